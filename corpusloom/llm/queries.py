@@ -25,9 +25,33 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.simhash import simhash_components
+
+    return simhash_components(read(spark, sf_dir, "documents"), words=3, seed=42, radius=2)
+
+
+SQL_OP10 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM s),
+r AS (SELECT doc_id, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM r) GROUP BY doc_id),
+e AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM e
+"""
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {"op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": SQL_OP4}
+    return {"op4_exact_dedup": SQL_OP4, "op10_substring_dedup": SQL_OP10}
