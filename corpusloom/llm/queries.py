@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.decontaminate import decontaminate
+
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.8)
+    return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.exact_dedup import exact_dedup
 
@@ -31,6 +45,79 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), words=3, seed=42, radius=2)
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusloom.llm.records import encode_and_read_back
+
+    return encode_and_read_back(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusloom.llm.tokens import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"), max_copies=3, weights=(1, 2, 3)).drop("copies")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.line_dedup import line_dedup
+
+    return line_dedup(read(spark, sf_dir, "documents"), run=3).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL_OP2 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+s AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d WHERE len(ls) >= 3),
+h AS (SELECT doc_id, i, md5(array_to_string(ls[i:i + 2], chr(10))) AS k FROM s),
+f AS (SELECT k, min((doc_id, i)) AS first FROM h GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM h JOIN f USING (k) WHERE (doc_id, i) > first),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM r) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+SQL_OP7 = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+t AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
+n AS (SELECT *, row_number() OVER (ORDER BY encode(key)) - 1 AS nth FROM t),
+l AS (SELECT *, nth % 3 + 1 AS weight, source_size * 3 AS bound FROM n),
+v AS (SELECT *, bound::DOUBLE / weight AS level FROM l),
+u AS (SELECT *, coalesce(sum(bound) OVER up, 0)::BIGINT AS gone, coalesce(sum(weight) OVER up, 0)::BIGINT AS used,
+  sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER ()::BIGINT AS weights FROM v
+  WINDOW up AS (ORDER BY level, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, (total - gone)::DOUBLE / (weights - used) AS pace FROM u),
+f AS (SELECT level AS f_level, nth AS f_nth, pace AS f_pace FROM p WHERE level > pace ORDER BY level, nth LIMIT 1),
+g AS (SELECT key, source_size, CASE WHEN f_pace IS NULL OR level < f_level OR (level = f_level AND nth < f_nth) THEN bound::DOUBLE ELSE weight * f_pace END AS target
+  FROM p LEFT JOIN f ON true),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS copies FROM g),
+r AS (SELECT *, target - copies * source_size AS rest FROM c),
+b AS (SELECT key, h, sum(size)::BIGINT AS here FROM d GROUP BY key, h),
+s AS (SELECT b.key, h, here, sum(here) OVER (PARTITION BY b.key ORDER BY h) AS upto, rest FROM b JOIN r USING (key)),
+m AS (SELECT key, arg_min(h, h) AS spot, arg_min(upto, h) AS upto, arg_min(here, h) AS here, any_value(rest) AS rest FROM s WHERE upto > rest GROUP BY key),
+x AS (SELECT key, spot + CASE WHEN abs(upto - rest) < abs(rest - (upto - here)) THEN 1 ELSE 0 END AS below FROM m)
+SELECT doc_id, size, source_size, target, (size * least(copies + CASE WHEN h < coalesce(below, 0) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+FROM d JOIN r USING (key) LEFT JOIN x USING (key)
+"""
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.pii import find_pii
+
+    return find_pii(read(spark, sf_dir, "documents"), rounds=3, accept=0.8, support=3)
+
+
 SQL_OP10 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
@@ -50,8 +137,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op8_simhash": op8_simhash, "op10_substring_dedup": op10_substring_dedup}
+    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": SQL_OP4, "op10_substring_dedup": SQL_OP10}
+    return {"op2_line_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4, "op7_mixing": SQL_OP7, "op10_substring_dedup": SQL_OP10}

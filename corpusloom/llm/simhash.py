@@ -134,3 +134,30 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42, radius:
     labelled = tops.hint("merge").join(least, "root").select("fp", "component_id")
     out = printed.hint("merge").join(labelled, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """One row of each component, with the columns of docs as they are: that with the smallest doc_id (null last).
+
+    Of rows with the same doc_id and fingerprint the one with the least text stays.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    short = docs.toDF(*names).withColumn("fp", F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                made = np.array([fingerprint(t, words, seed) for t in text_bytes(part.column(text))], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made)], part.schema.names)
+
+    printed = table(short.mapInArrow(run, short.schema), "simhash-docs")
+    rank = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("id"))
+    distinct = table(printed.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-distinct")
+    groups = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    tops = distinct.hint("merge").join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    first = tops.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.fp").alias("kept_fp"), F.col("one.least.id").alias("kept_id"))
+    same = (F.col("fp") == F.col("kept_fp")) & F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id"))
+    kept = printed.hint("merge").join(first, same, "left_semi")
+    one = kept.groupBy(doc_id, "fp").agg(F.min_by(F.struct(*names), F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
