@@ -22,10 +22,10 @@ are scored alike; rows with null doc_id are never learnt from; an empty table gi
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +36,23 @@ from corpusloom.llm._shared import slices, table
 
 MAX_ROWS = 20_000
 BINS = 16
-NAMES = ("words", "word_length", "not_lower", "digits", "marks", "odd_marks", "adjacent_repeats", "distinct", "top_word", "line_words", "repeated_lines", "loud_words", "lone_marks", "stops")
+NAMES = ("words", "word_length", "upper", "digits", "marks", "odd_marks", "adjacent_repeats", "distinct", "top_word", "line_words", "repeated_lines", "loud_words", "lone_marks", "stops")
 
-_LOWER = re.compile(r"[a-zß-öø-ÿ]")
-_LETTER = re.compile(r"[^\W\d_]")
-_MARK = re.compile(r"[^\w\s]")
-_ODD_MARK = re.compile(r"[^\w\s.,;:'\"()?-]")
-_DIGIT = re.compile(r"\d")
-_SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
+LOWER, UPPER, DIGIT, SPACE, MARK, ODD_MARK = range(6)
+
+
+def _class_of(c: str) -> int:
+    if c.isspace():
+        return SPACE
+    if c.isalpha():
+        return UPPER if c.isupper() else LOWER
+    if c.isnumeric():
+        return DIGIT
+    return MARK if c in ".,;:'\"()?-_" else ODD_MARK
+
+
+#: The class of each letter up to U+024F; all beyond counts as a lower-case letter.
+_CLASSES = np.array([*map(_class_of, map(chr, range(0x250))), LOWER], dtype=np.int64)
 
 
 def features(text: str) -> list[float]:
@@ -52,27 +61,26 @@ def features(text: str) -> list[float]:
     n = len(words)
     if not n:
         return [0.0] * len(NAMES)
-    chars = max(1, len(text))
-    letters = len(_LETTER.findall(text))
-    marks = len(_MARK.findall(text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kinds = np.bincount(_CLASSES[np.minimum(points, 0x250)], minlength=6).tolist()
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(map(str.isupper, words))
+    ends = sum(text.count(mark + space) for mark in ".!?" for space in " \n")
     return [
         np.log1p(n),
         sum(map(len, words)) / n,
-        1.0 - len(_LOWER.findall(text)) / max(1, letters),
-        len(_DIGIT.findall(text)) / chars,
-        marks / n,
-        len(_ODD_MARK.findall(text)) / n,
-        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        kinds[UPPER] / max(1, kinds[LOWER] + kinds[UPPER]),
+        kinds[DIGIT] / len(text),
+        (kinds[MARK] + kinds[ODD_MARK]) / n,
+        kinds[ODD_MARK] / n,
+        sum(map(eq, words, words[1:])) / n,
         len(counts) / n**0.8,
-        counts.most_common(1)[0][1] / n,
+        max(counts.values()) / n,
         np.log1p(n / max(1, len(lines))),
         1.0 - len(set(lines)) / max(1, len(lines)),
-        upper / n,
-        sum(len(w) == 1 and not w.isalnum() for w in words) / n,
-        len(_SENTENCE_END.findall(text)) / n,
+        sum(c for w, c in counts.items() if w.isupper()) / n,
+        sum(c for w, c in counts.items() if len(w) == 1 and not w.isalnum()) / n,
+        ends / n,
     ]
 
 
@@ -101,7 +109,7 @@ def bin_prior(positive: np.ndarray, unlabelled: np.ndarray, size: int) -> float:
     return float(np.clip((u[full] / p[full]).min(initial=1.0), 0.05, 0.99))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 1500, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Minimise the non-negative risk by Adam over the additive model; the result depends on the rows alone, not on their order."""
     both = np.concatenate((positive, unlabelled))
     edges = [np.unique(np.quantile(both[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(both.shape[1])]
