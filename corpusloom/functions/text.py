@@ -50,6 +50,9 @@ def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+_nfc = _nfc.asNondeterministic()  # so that the planner evaluates cleaning once, however often its result is used
+
+
 def nfc(text: Column) -> Column:
     """Unicode NFC; texts within Latin-1 have it already and don't leave the JVM's hands changed."""
     return F.when(text.rlike(r"[^\x{00}-\x{ff}]"), _nfc(F.when(text.rlike(r"[^\x{00}-\x{ff}]"), text))).otherwise(text)
@@ -118,7 +121,7 @@ def _occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
-def detect_lang(text: Column) -> Column:
+def detect_lang(text: Column, arabic: Column | None = None) -> Column:
     """ar, or the Latin language with the most marks in the first 2000 characters; short texts are en."""
     sample = F.lower(F.substring(text, 1, 2000))
     scored = []
@@ -126,7 +129,7 @@ def detect_lang(text: Column) -> Column:
         total = sum((_occurrences(sample, m) for m in marks), F.lit(0))
         scored.append(F.struct(total.alias("n"), F.lit(-place).alias("order"), F.lit(lang).alias("lang")))
     best = F.array_max(F.array(*scored))["lang"]
-    return F.when(is_arabic(text), "ar").when(F.length(text) < 50, "en").otherwise(best)
+    return F.when(is_arabic(text) if arabic is None else arabic, "ar").when(F.length(text) < 50, "en").otherwise(best)
 
 
 def char_count(text: Column) -> Column:

@@ -22,7 +22,6 @@ _WIDE = re.compile("[؀-ۿݐ-ݿࢠ-ࣿ]")
 _BREAK = re.compile("\n+|[.!?؟]")
 #: Where long sentences are parted, in order: after a colon or semicolon, at a table bar, after a comma before a capital.
 _CUTS = (re.compile(r"(?<=[:;])\s+"), re.compile(r"\s+\|\s+"), re.compile(r"(?<=,)\s+(?=[A-Zء-ي])"))
-CHUNK = "array<struct<index:string,text:string>>"
 
 
 def count_tokens(text: str) -> int:
@@ -107,7 +106,7 @@ def _arrow_lists(make) -> object:
         for part in parts:
             yield part.map(lambda t: None if t is None else make(t))
 
-    return run
+    return run.asNondeterministic()  # so that the planner evaluates it once
 
 
 def sentences(text: Column) -> Column:
@@ -160,26 +159,27 @@ def paragraph_chunks(text: Column, target: int = 260, overlap: int = 1) -> Colum
 def merge_tiny(texts: Column, smallest: int = MIN_TOKENS) -> Column:
     """Chunks below `smallest` tokens join the next one; a last one joins the one before. Gives (index, text).
 
-    The index of an untouched chunk is its place, of a merged one the place and the direction of its last merge.
+    The index of an untouched chunk is its place, of a merged one the place and the direction of its last merge. Chunks
+    are joined by newlines, which no token spans, so token counters are taken once per chunk and added.
     """
-    numbered = F.transform(texts, lambda t, i: F.struct(i.cast("int").alias("i"), t.alias("text")))
-    last = F.size(texts) - 1
+    piece = f"struct<index:string,text:string,c:{_COUNTERS}>"
+    numbered = F.transform(texts, lambda t, i: F.struct(i.cast("int").alias("i"), t.alias("text"), X.token_counters(t).alias("c")))
+
+    def put(index: Column, text: Column, counters: Column) -> Column:
+        return F.struct(index.alias("index"), text.alias("text"), counters.alias("c"))
 
     def step(acc: Column, x: Column) -> Column:
-        waits = acc["text"].isNotNull()
-        text = F.when(waits, F.concat(acc["text"], F.lit("\n"), x["text"])).otherwise(x["text"])
-        index = F.when(waits, F.concat(F.lit("merge_fwd_"), (x["i"] - 1).cast("string"))).otherwise(x["i"].cast("string"))
-        small = (X.approx_token_count(text) < smallest) & (last > 0)
-        forward = small & (x["i"] < last)
-        prior = F.element_at(acc["done"], -1)
-        joined = F.struct(F.concat(F.lit("merge_back_"), x["i"].cast("string")).alias("index"), F.concat(prior["text"], F.lit("\n"), text).alias("text"))
-        back = F.concat(F.slice(acc["done"], F.lit(1), F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(joined))
-        plain = F.concat(acc["done"], F.array(F.struct(index.alias("index"), text.alias("text"))))
-        done = F.when(forward, acc["done"]).when(small & (F.size(acc["done"]) > 0), back).otherwise(plain)
-        return F.struct(F.when(forward, text).alias("text"), done.alias("done"))
-
-    start = F.struct(F.lit(None).cast("string").alias("text"), F.array().cast(CHUNK).alias("done"))
-    return F.aggregate(numbered, start, step, lambda acc: acc["done"])
+        wait, prior = acc["wait"], F.element_at(acc["done"], -1)
+        fresh = put(x["i"].cast("string"), x["text"], x["c"])
+        grown = put(F.concat(F.lit("merge_fwd_"), (x["i"] - 1).cast("string")), F.concat(wait["text"], F.lit("\n"), x["text"]), _added(wait["c"], x["c"]))
+        here = F.when(wait.isNull(), fresh).otherwise(grown)
+        count = F.when(wait.isNull(), X.tokens_from(x["c"])).otherwise(X.tokens_from(_added(wait["c"], x["c"])))
+        back = F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1), F.array(put(F.concat(F.lit("merge_back_"), x["i"].cast("string")), F.concat(prior["text"], F.lit("\n"), here["text"]), _added(prior["c"], here["c"]))))
+        state = F.when((count >= smallest) | (acc["last"] == 0), 0).when(x["i"] < acc["last"], 1).when(F.size(acc["done"]) > 0, 2).otherwise(0)
+        return F.struct(F.when(state == 1, here).alias("wait"), F.when(state == 1, acc["done"]).when(state == 2, back).otherwise(F.concat(acc["done"], F.array(here))).alias("done"), acc["last"].alias("last"))
+
+    start = F.struct(F.lit(None).cast(piece).alias("wait"), F.array().cast(f"array<{piece}>").alias("done"), (F.size(texts) - 1).alias("last"))
+    return F.aggregate(numbered, start, step, lambda acc: F.transform(acc["done"], lambda d: F.struct(d["index"].alias("index"), d["text"].alias("text"))))
 
 
 def _numbered(texts: Column) -> Column:
@@ -204,7 +204,7 @@ def chunk_documents(clean: DataFrame, strategy: str = "sentence_window", target:
         raise ValueError("strategy must be 'sentence_window' or 'paragraph'")
     parted = clean.withColumn("pieces", pieces)
     parted = parted.withColumn("pieces", _numbered(F.col("pieces")) if overlap else merge_tiny(F.col("pieces")))
-    rows = parted.select("*", F.posexplode("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text")
+    rows = parted.select("*", F.posexplode_outer("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text")
     text = F.col("piece.text")
     rows = rows.withColumns({"text": text, "chunk_id": X.chunk_identity(F.col("doc_id"), strategy, F.col("piece.index")), "chunk_index": F.col("place"), "strategy": F.lit(strategy), "token_count": X.approx_token_count(text), "chunk_char_count": F.length(text), "chunk_content_hash": X.chunk_content_hash(text)})
     rows = rows.withColumnRenamed("doc_id", "source_doc_id").drop("piece", "place")

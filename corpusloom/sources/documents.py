@@ -59,18 +59,10 @@ def read_documents_table(docs: DataFrame) -> DataFrame:
 def clean_documents(raw: DataFrame, diacritics: bool = True, unicode_form: bool = True) -> DataFrame:
     """Raw documents with clean_text, counts, language and the hash of the clean text."""
     clean = raw.withColumn("clean_text", X.clean_text(F.col("raw_text"), diacritics, unicode_form))
-    text = F.col("clean_text")
-    return clean.withColumns(
-        {
-            "char_count": X.char_count(text),
-            "word_count": X.word_count(text),
-            "is_arabic": X.is_arabic(text),
-            "detected_lang": X.detect_lang(text),
-            "arabic_char_ratio": F.bround(X.arabic_ratio(text), 3),
-            "raw_content_hash": F.col("content_hash"),
-            "content_hash": X.content_hash(text),
-        }
-    )
+    text, ratio = F.col("clean_text"), F.col("arabic_char_ratio")
+    counted = clean.withColumns({"char_count": X.char_count(text), "word_count": X.word_count(text), "raw_content_hash": F.col("content_hash"), "content_hash": X.content_hash(text), "arabic_char_ratio": X.arabic_ratio(text)})
+    counted = counted.withColumn("is_arabic", ratio >= X.ARABIC_THRESHOLD)
+    return counted.withColumns({"detected_lang": X.detect_lang(text, F.col("is_arabic")), "arabic_char_ratio": F.bround(ratio, 3)})
 
 
 def drop_near_empty(clean: DataFrame, min_words: int = 12) -> DataFrame:
