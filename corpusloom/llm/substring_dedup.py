@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,9 +82,26 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes
                 counts = Counter(zip(shard, (b" ".join(words[i : i + gram]) for i in at.tolist()), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["shard", "phrase", "n"])
 
-    sampled = dealt.mapInArrow(sample, "shard int, phrase binary, n long").repartition(n, "phrase")
-    often = sampled.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase")
-    recurring = sampled.select("phrase", "shard").hint("merge").join(often, "phrase", "left_semi").repartition(n, "shard")
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by phrase, those that count more than once or have an equal neighbour."""
+        last, known = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            phrase = rows.column("phrase").chunk(0)
+            same = pc.equal(phrase[1:], phrase[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+            keep = rows.column("n").to_numpy() > 1
+            keep[0] |= known
+            keep[1:] |= same
+            keep[:-1] |= same
+            yield from rows.slice(0, len(keep) - 1).filter(pa.array(keep[:-1])).select(["shard", "phrase"]).to_batches()
+            last, known = rows.slice(len(keep) - 1).to_batches()[0], bool(keep[-1])
+        if last is not None and known:
+            yield last.select(["shard", "phrase"])
+
+    sampled = dealt.mapInArrow(sample, "shard int, phrase binary, n long").repartition(n, "phrase").sortWithinPartitions("phrase")
+    recurring = sampled.mapInArrow(twice, "shard int, phrase binary").repartition(n, "shard")
     sharded = dealt.repartition(n, "shard")
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
