@@ -20,10 +20,14 @@ table in the shared folder. Reading goes shard by shard, as rows of that table.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import fresh_path, partitions, slices, table
-from corpusloom.llm.tokens import CACHE_ENTRIES, cut
+from corpusloom.llm.tokens import byte_letters, cut, is_oddly_spaced
 
 MASK = 0xA282EAD8
+#: Entries of a worker's cache before a new generation begins; two are held.
+CACHE_ENTRIES = 400_000
 NULL_ID = -(1 << 63)
 SHARDS = "path string, part int, nth int, n_docs long, n_ids long, n_bytes long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -70,31 +76,98 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[int | None, np.ndarr
     return None if doc_id == NULL_ID else doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4"), end + 4
 
 
+#: Stands before a part that has no space before it.
+BARE = "\x01"
+_MARKS = ",.;:!?"
+#: A mark that isn't a pre-token of its own.
+_UNFIT = re.compile(f"[{_MARKS}](?=[ \n])(?<![^\\W_].)")
+
+#: Letters and signs behind them, which are a pre-token each; without the apostrophe, which has rules of its own.
+_MARKED = re.compile("([^\\W\\d_]+)([!-&(-/:-@\\[-`{-~]+)")
+
+
+def parts_of(text: str) -> list[str]:
+    """Independent parts of a text, so fine that they recur: words, marks that end them, newlines."""
+    if BARE in text:
+        return [BARE + text]
+    if "\n\n" in text or is_oddly_spaced(text) or _UNFIT.search(text):
+        first, *rest = cut(text)
+        return [BARE + first, *rest]
+    text = text.replace("\n", f" {BARE}\n {BARE}")
+    for mark in _MARKS:
+        text = text.replace(f"{mark} ", f" {BARE}{mark} ")
+    return (BARE + text).split(" ")
+
+
 class _Ids:
-    """Token ids by the tokenizers library; parts of texts that a worker has seen are not encoded again."""
+    """Token ids by the tokenizers library; parts of texts that a worker has seen are not encoded again.
+
+    New words of Latin letters, also those before signs, are encoded many at a time, as one line that needs no pattern to be split; the token that
+    begins with a space begins a word.
+    The cache has two generations of bounded size: when the new one is full it becomes the old one.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            made = self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)
-            known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, made, strict=True))
+        from tokenizers.pre_tokenizers import Split
+
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.pre_tokenizer = Split("\u0120", "merged_with_next")  # what byte-level text has for a space
+        self.letters = dict(enumerate(byte_letters()))
+        size = self.tokenizer.get_vocab_size()
+        self.begins = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(size)])
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _whole(texts: list[str], tokenizer) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _line(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it."""
+        line = f" {' '.join(words)}".encode().decode("latin-1").translate(self.letters)
+        (data,) = self._whole([line], self.words)
+        cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(data, dtype="<u4")])).tolist()
+        return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+
+    def _learn(self, parts: set[str]) -> None:
+        missing = parts.difference(self.new)
+        again = missing.intersection(self.old)
+        self.new.update((p, self.old[p]) for p in again)
+        missing -= again
+        words, marked, bare, others = [], [], [], []
+        for p in missing:
+            if p.isalpha() and max(p) < "\u0250":
+                words.append(p)
+            elif p[:1] == BARE and p[1:].isalpha() and max(p) < "\u0250":
+                bare.append(p)
+            elif (form := _MARKED.fullmatch(p)) is not None and form[1].isalpha() and max(p) < "\u0250":
+                marked.append((p, form[1], form[2]))
+            else:
+                others.append(p)
+        stems = {stem for _, stem, _ in marked}.difference(words)
+        words += [w for w in stems if w not in self.new]
+        for at in range(0, len(words), 1_000):
+            some = words[at : at + 1_000]
+            self.new.update(zip(some, self._line(some), strict=True))
+        mapped = [p[1:].encode().decode("latin-1").translate(self.letters) for p in bare]
+        self.new.update(zip(bare, self._whole(mapped, self.words), strict=True))
+        ends = {BARE + mark for _, _, mark in marked}.difference(self.new)
+        others += ends
+        for at in range(0, len(others), 2_000):
+            some = others[at : at + 2_000]
+            self.new.update(zip(some, self._whole([p[1:] if p[:1] == BARE else " " + p for p in some], self.tokenizer), strict=True))
+        for p, stem, mark in marked:
+            self.new[p] = self.new[stem] + self.new[BARE + mark]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.spaced) + len(self.first) > CACHE_ENTRIES:
-            self.spaced.clear()
-            self.first.clear()
-        split = [cut(t) for t in texts]
-        self._learn(self.spaced, list({p for parts in split for p in parts[1:]}.difference(self.spaced)), " ")
-        self._learn(self.first, list({parts[0] for parts in split}.difference(self.first)), "")
-        get = self.spaced.__getitem__
-        return [np.frombuffer(self.first[parts[0]] + b"".join(map(get, parts[1:])), dtype="<u4") for parts in split]
+        if len(self.new) > CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
+        split = [parts_of(t) for t in texts]
+        self._learn(set(chain.from_iterable(split)))
+        get = self.new.__getitem__
+        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in split]
 
 
 _HELD: dict[str, _Ids] = {}

@@ -24,13 +24,19 @@ CACHE_ENTRIES = 400_000
 #: The pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_ODD_SPACE = re.compile(r" \s|\s |^ | $")
+#: White space other than spaces and newlines, as `str.isspace` has it.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def is_oddly_spaced(text: str) -> bool:
+    """Is there a space at an end or beside other white space, or white space but spaces and newlines?"""
+    return "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text) is not None
+
+
 def cut(text: str) -> list[str]:
     """The parts of a text between single spaces; all but the first stand for a space and themselves."""
-    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    return _CUT.split(text) if is_oddly_spaced(text) else text.split(" ")
 
 
 class RankMerger:

@@ -8,7 +8,7 @@ import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from corpusloom.llm.records import CorruptRecord, encode_and_read_back, frame, read_at, read_records, unframe, write_records
+from corpusloom.llm.records import BARE, CorruptRecord, encode_and_read_back, frame, parts_of, read_at, read_records, unframe, write_records
 from corpusloom.llm.tokens import RankMerger, count_tokens, cut
 from tests.llm.conftest import HARD
 
@@ -43,6 +43,14 @@ def test_cut_parts_are_independent(library):
         assert ids == library.encode(t, add_special_tokens=False).ids
 
 
+def test_fine_parts_are_independent(library):
+    rng = random.Random(3)
+    pieces = ["word", "Wörd", "a", "1", "12", ",", ".", "!", "'s", "_", "\n", " ", " ", " ", "\n\n", "\x01", "e\u0301", "-", "²"]
+    for t in TRICKY + random_texts(300) + ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(3000)]:
+        ids = [i for p in parts_of(t) for i in library.encode(p[1:] if p[:1] == BARE else " " + p, add_special_tokens=False).ids]
+        assert ids == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_count_query(hard, clashing, empty, library):
     want = sorted(((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t, *_ in HARD), key=repr)
     for docs in (hard, clashing):
