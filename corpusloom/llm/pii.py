@@ -18,6 +18,8 @@ exclusive; repeated rows are kept apart; an empty table gives an empty result; e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,30 @@ SPAN = "struct<kind:string,start:int,end:int>"
 FOUND = "struct<start:int,end:int,surface:string>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """All matches with their places: array of (start, end, surface)."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    begin = lambda acc, x: acc["at"] + F.length(x["gap"])
+#: Found items are gathered in blocks of this size, so that a text with very many of them takes time in proportion.
+BLOCK = 512
+
+
+def _gathered(parts: Column, kind: str, item: Callable[[Column, Column, Column], Column]) -> Column:
+    """Walk over (gap, hit, ...) and gather item(x, start, end) for each hit; start and end are its places in the text."""
+    none = F.array().cast(f"array<{kind}>")
 
     def step(acc: Column, x: Column) -> Column:
-        end = begin(acc, x) + F.length(x["hit"])
-        one = F.struct(begin(acc, x).alias("start"), end.alias("end"), x["hit"].alias("surface"))
-        more = F.when(x["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(one)))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), more.alias("found"))
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        one, last, full = F.array(item(x, start, end)), x["hit"].isNull(), F.size(acc["block"]) >= BLOCK
+        block = F.when(last, acc["block"]).when(full, one).otherwise(F.concat(acc["block"], one))
+        blocks = F.when(full & ~last, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"])
+        return F.struct(F.coalesce(end, acc["at"]).alias("at"), blocks.alias("blocks"), block.alias("block"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("found"))
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("blocks"), none.alias("block"))
+    return F.aggregate(parts, begin, step, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+
+
+def _located(text: Column, pattern: str) -> Column:
+    """All matches with their places: array of (start, end, surface)."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return _gathered(parts, FOUND, lambda x, start, end: F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("surface")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -96,25 +109,20 @@ def _contexts(text: Column) -> Column:
     parts = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("hit"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("next"))
     lean = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
+    def item(x: Column, start: Column, end: Column) -> Column:
         before = F.substring(x["gap"], -80, 80)
-        one = F.struct(
-            begin.alias("start"),
+        return F.struct(
+            start.alias("start"),
             end.alias("end"),
             x["hit"].alias("surface"),
             lean(F.regexp_extract(before, rf"([^{SPACE}]+)[{SPACE}]+[^{SPACE}]+[{SPACE}]*$", 1)).alias("before2"),
             lean(F.regexp_extract(before, rf"([^{SPACE}]+)[{SPACE}]*$", 1)).alias("before1"),
             lean(F.regexp_extract(F.substring(x["next"], 1, 40), rf"^[{SPACE}]*([^{SPACE}]+)", 1)).alias("after"),
         )
-        more = F.when(x["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(one)))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), more.alias("found"))
 
-    kind = "array<struct<start:int,end:int,surface:string,before2:string,before1:string,after:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-    made = F.aggregate(parts, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike("[0-9@]"), made).otherwise(F.array().cast(kind))
+    kind = "struct<start:int,end:int,surface:string,before2:string,before1:string,after:string>"
+    made = _gathered(parts, kind, item)
+    return F.when(text.rlike("[0-9@]"), made).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def discover(rows: DataFrame, rounds: int = 3, accept: float = 0.8, support: int = 3) -> DataFrame:

@@ -72,8 +72,8 @@ def test_hard(hard, clashing, empty):
 
 def test_a_larger_budget_takes_what_a_smaller_one_takes(make_docs):
     rows = [(i, "w " * 10, "en", "a") for i in range(300)] + [(1000 + i, "w " * 10, "en", "b") for i in range(100)]
-    less = {r.doc_id for r in mix(make_docs(rows), weights=(1, 9)).collect() if r.taken and r.doc_id < 1000}
-    more = {r.doc_id for r in mix(make_docs(rows), weights=(2, 8)).collect() if r.taken and r.doc_id < 1000}
+    less = {r.doc_id for r in mix(make_docs(rows), weights=(1, 1)).collect() if r.taken and r.doc_id < 1000}
+    more = {r.doc_id for r in mix(make_docs(rows), weights=(5, 3)).collect() if r.taken and r.doc_id < 1000}
     assert less < more
 
 
