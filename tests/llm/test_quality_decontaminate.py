@@ -14,7 +14,7 @@ def test_non_negative_risk_finds_the_positives():
     positive = rng.normal(1.5, 1, (4000, 3))
     mixed = np.concatenate((rng.normal(1.5, 1, (2400, 3)), rng.normal(-1.5, 1, (1600, 3))))
     model = fit_nnpu(positive, mixed, 0.6)
-    assert (model.score(positive) > 0.5).mean() > 0.97 and (model.score(mixed[2400:]) < 0.5).mean() > 0.97
+    assert (model.score(positive) > 0.5).mean() > 0.95 and (model.score(mixed[2400:]) < 0.5).mean() > 0.95
     guessed = fit_nnpu(positive, mixed, None)
     assert 0.45 < guessed.prior < 0.75
     assert bin_prior(model.binned(positive), model.binned(positive), 3 * 17) == 0.99
