@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return keep_representatives(docs, words=3, seed=42, radius=2)
+    """Of each group of near copies (SimHash, or 0.8 of the five-word shingles) the document with the smallest doc_id stays."""
+    return keep_representatives(docs, words=3, seed=42, radius=2, near=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import partitions, slices, table
 from corpusloom.llm.components import components
+from corpusloom.llm.near_copies import near_links, only, text_key
 from corpusloom.llm.words import text_bytes
 
 SEGMENT_BITS = 2
@@ -136,28 +137,43 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42, radius:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+def keep_representatives(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 2, near: bool = False) -> DataFrame:
     """One row of each component, with the columns of docs as they are: that with the smallest doc_id (null last).
 
-    Of rows with the same doc_id and fingerprint the one with the least text stays.
+    Of rows with the same doc_id and fingerprint the one with the least text stays. With near, texts whose five-word shingles
+    have a Jaccard similarity of 0.8 or more are linked too (`near_copies.py`).
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    short = docs.toDF(*names).withColumn("fp", F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    short = docs.toDF(*names).withColumns({"row_id": F.monotonically_increasing_id(), "fp": zero} | ({"key": zero} if near else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                made = np.array([fingerprint(t, words, seed) for t in text_bytes(part.column(text))], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made)], part.schema.names)
+                texts = text_bytes(part.column(text))
+                made = [pa.array(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64))]
+                if near:
+                    made.append(pa.array([text_key(t) for t in texts], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names) + 1], *made], part.schema.names)
 
     printed = table(short.mapInArrow(run, short.schema), "simhash-docs")
     rank = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("id"))
     distinct = table(printed.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-distinct")
-    groups = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    linked = links(distinct.select("fp"), radius)
+    if near:
+        linked = table(linked, "simhash-links")
+        linked = linked.unionByName(near_links(printed.select("row_id", "key", "fp", F.col(text).cast("string").alias("text")), linked))
+    groups = components(linked).withColumnRenamed("node", "fp")
     tops = distinct.hint("merge").join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     first = tops.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.fp").alias("kept_fp"), F.col("one.least.id").alias("kept_id"))
     same = (F.col("fp") == F.col("kept_fp")) & F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id"))
-    kept = printed.hint("merge").join(first, same, "left_semi")
-    one = kept.groupBy(doc_id, "fp").agg(F.min_by(F.struct(*names), F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("row"))
-    return one.select("row.*").toDF(*docs.columns)
+    # by row_id only, so that texts stay where they are; texts are compared where a doc_id and fingerprint repeat
+    kept = table(printed.select("row_id", doc_id, "fp").hint("merge").join(first, same, "left_semi"), "simhash-kept")
+    each = kept.groupBy(doc_id, "fp").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
+    repeats = kept.hint("merge").join(each.filter("n > 1").select(F.col(doc_id).alias("same_id"), F.col("fp").alias("same_fp")), F.col(doc_id).eqNullSafe(F.col("same_id")) & (F.col("fp") == F.col("same_fp")), "left_semi")
+    told = only(printed.select("row_id", doc_id, "fp", text), table(repeats.select("row_id"), "simhash-repeats"), "left_semi", "row_id")
+    least = told.groupBy(doc_id, "fp").agg(F.min(F.struct(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "row_id")).alias("one")).select("one.row_id")
+    stay = table(each.filter("n = 1").select("row_id").unionByName(least), "simhash-stay")
+    gone = table(printed.select("row_id").hint("merge").join(stay, "row_id", "left_anti"), "simhash-gone")
+    return only(printed, gone, "left_anti", "row_id").select(*names).toDF(*docs.columns)
