@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the session names in spark.checkpoint.dir. Only where that is unset (tests in local mode)
-    a temporary folder is made and registered.
+    It is what the session names in spark.checkpoint.dir, or what was given to setCheckpointDir. Only in local mode, where
+    driver and executors are one process, a temporary folder stands in for it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -40,6 +39,27 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(tables: list[DataFrame]) -> None:
+    """Delete written tables that no later read needs."""
+    for one in tables:
+        spark = one.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in one.inputFiles()}:
+            if file.startswith(("file:", "/")) or "://" in file:
+                spot = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+                spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spot, True)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join rows that may share a hot key to a table with one row per key.
+
+    The rows of a key are dealt to `salts` tasks by a hash of the column `by`; each row of small is repeated for all of them. Sizes beyond that
+    are split by AQE.
+    """
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.hint("merge").join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

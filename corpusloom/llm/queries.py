@@ -115,7 +115,7 @@ FROM d JOIN r USING (key) LEFT JOIN x USING (key)
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.pii import find_pii
 
-    return find_pii(read(spark, sf_dir, "documents"), rounds=3, accept=0.8, support=3)
+    return find_pii(read(spark, sf_dir, "documents"), accept=0.8, support=3, common=20)
 
 
 SQL_OP10 = r"""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from corpusloom.llm.pii import find_pii
@@ -66,3 +67,37 @@ def test_contexts_discover_unseen_identifiers(make_docs):
         assert got[100 + i].spans == f"id:{at}:{at + len(f'@user_{i}x')}" and got[100 + i].n_email == 0
     assert all(got[200 + i].spans == "" for i in range(20))
     assert all(got[i].n_email == 1 and "id:" not in got[i].spans for i in range(40))
+
+
+def test_held_out_identifiers(make_docs):
+    """Planted identifiers that no base pattern has, by the chain cards, long codes, the label before them, short secrets there."""
+    rng = random.Random(4)
+    vocabulary = ["river", "stone", "paper", "green", "walks", "under", "early", "seven", "light", "round"]
+    filler = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    card = lambda: next(c for c in (str(rng.randint(10**15, 10**16 - 1)) for _ in iter(int, 1)) if luhn(c))
+    code = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    rows, planted = [], []
+    for k in range(60):
+        rows.append((k, f"{filler(9)} {card()} {filler(6)}"))
+    for k in range(100, 160):
+        secret = code() if k < 148 else f"pw-{rng.randint(10, 99)}x{k}"
+        rows.append((k, f"{filler(5)} apikey = '{secret}', {filler(4)}"))
+        planted.append((k, secret))
+    for k in range(200, 260):  # numbers that are nobody's
+        rows.append((k, f"{filler(5)} in the year {1000000 + k} and version 2.10.{k} {filler(3)}"))
+    for k in range(300, 340):  # a part number that stands in very many places
+        rows.append((k, f"{filler(3)} AB1234567890CD {filler(4)}"))
+    got = {r.doc_id: r for r in find_pii(make_docs(rows)).collect()}
+    found = {(i, x) for i, r in got.items() for x in r.spans.split(",") if x.startswith("id:")}
+    texts = dict(rows)
+    want = {(i, f"id:{texts[i].index(s)}:{texts[i].index(s) + len(s)}") for i, s in planted}
+    assert len(found & want) / len(want) >= 0.95, "recall"
+    assert len(found & want) / len(found) >= 0.95, "precision"
+    assert not any("id:" in got[i].spans for i in range(60))
+
+
+def test_neighbours_at_edges_and_beside_other_hits(make_docs):
+    """An identifier at the begin of a text or right behind another one has its context, too."""
+    rows = [(i, f"{10**8 + 7919 * i} +1 (555) 010-{1000 + i} ends") for i in range(8)]
+    rows += [(50 + i, f"user{i}@mail.example.com ref{i}99 here") for i in range(8)]
+    assert all(r.n_phone + r.n_email == 1 for r in find_pii(make_docs(rows)).collect())
