@@ -3,18 +3,22 @@
 A window is `window` consecutive words. A word goes if a window that covers it has the same words as a window that starts
 elsewhere (all occurrences go, the first one too; windows are judged on the input).
 
-1. Sampled phrases. Every window holds at least one short phrase that has the least hash among its phrases; which one
-   depends on the window's words alone, so equal windows hold equal sampled phrases. Only these phrases (about one word
-   position in fifteen) are counted over all documents, by their text. Those that occur twice are recurring.
-2. Automata. Documents are dealt to shards of bounded size by a hash of doc_id. Each shard compiles one Aho-Corasick
-   automaton (pyahocorasick) from the recurring phrases that occur in it and streams its documents through; the
-   windows around the phrases found are candidates.
-3. Confirmation. The 64-bit hashes of the candidates go, packed by hash range, to tasks that count them; the repeated
-   ones go back to their shards, which mark the windows and remove the covered words.
-
-Nothing depends on the size of a group: within a shard, equal phrases and windows are merged before they are sent, so
-a hot one sends one entry per shard. Both passes of step 2 and 3 read the same shuffle of the texts. A shard holds
-about `shard_bytes` of text, or one longer document.
+1. Candidates. Every window holds at least one short phrase that has the least hash among its phrases; which one
+   depends on the window's words alone, so equal windows hold equal sampled phrases. These phrases (about one word
+   position in fifteen) are counted over all documents; the windows around those that occur twice are candidates.
+2. Confirming recurring passages. Documents are dealt to shards of bounded size. Each shard sends the hashes of its candidate windows,
+   packed by hash range, to its block of shards, which merges equal ones and sends each distinct window once to the task that
+   counts its range over all blocks. What occurs twice goes back the same way.
+3. Automata. Each shard takes the first place of each confirmed window, joins these to passages, and compiles one Aho-Corasick
+   automaton (pyahocorasick) from the sampled phrases of its passages.
+4. Locating. All documents stream through the automaton of their shard. Around each phrase found, windows are looked up among the
+   passages and their words compared with the passage's; windows that are equal word by word delete the words they cover.
+   Nothing is deleted that the automaton has not found.
+
+A hot window sends one entry per shard to its block and one per block beyond; a hot phrase is one row per Arrow batch and shard, counted by
+partial sums and joined back by a sort-merge join between two written tables, which AQE splits. A shard holds about `shard_bytes` of text, or one
+longer document, or rows that are equal in doc_id and text. Whether a window occurs in another shard is judged by a hash of 64 bits and those
+of its range (the more, the larger the input); within a shard words are compared.
 
 Defined results: null text has no words; repeated rows count as separate occurrences (so equal texts of at least
 `window` words lose all words); an empty table gives an empty result; extra columns are ignored.
@@ -23,25 +27,28 @@ Defined results: null text has no words; repeated rows count as separate occurre
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import partitions, slices
-from corpusloom.llm.words import covered, inside, joined, minima, text_bytes, window_hashes, word_hashes
+from corpusloom.llm._shared import partitions, slices, table
+from corpusloom.llm.words import covered, inside, joined, minima, other_hashes, text_bytes, window_hashes, word_hashes
 
 SHARD_BYTES = 4_000_000
+#: Shards whose windows are merged before they are counted over all.
+BLOCK = 256
+#: Bytes of text for each range of window hashes.
+RANGE_BYTES = 8_000_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+WINDOWS = "block int, range int, shard int, windows binary"
 
 
 def _locate(words: list[bytes], bounds: np.ndarray, phrases: list[bytes], gram: int) -> np.ndarray:
-    """For each word: does a recurring phrase start here? One automaton, one pass over each text."""
+    """For each word: does one of the phrases start here? One automaton, one pass over each text."""
     found = np.zeros(len(words), dtype=bool)
     if not phrases or not words:
         return found
@@ -59,90 +66,139 @@ def _locate(words: list[bytes], bounds: np.ndarray, phrases: list[bytes], gram:
     return found
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _packed(ranges: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Windows in order of their ranges: the ranges, and the windows of each as bytes."""
+    kept, first = np.unique(ranges, return_index=True)
+    return kept, [x.tobytes() for x in np.split(windows, first[1:])] if len(kept) else []
+
+
+def _unpacked(windows: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(windows.to_pylist()), dtype=np.uint64)
+
+
+def _rows(block, ranges: np.ndarray, shard, windows: list[bytes]) -> pa.Table:
+    n = len(windows)
+    fill = lambda x: pa.array([x] * n if np.isscalar(x) or x is None else x, pa.int32())
+    return pa.table({"block": fill(block), "range": pa.array(np.asarray(ranges, dtype=np.int32)), "shard": fill(shard), "windows": pa.array(windows, pa.binary())})
+
+
+def _equal_words(words: list[bytes], here: np.ndarray, there: np.ndarray, width: int) -> np.ndarray:
+    """Are the runs of `width` words at `here` and `there` the same, word by word?"""
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
+    same = np.ones(len(here), dtype=bool)
+    for k in range(width):
+        same &= ids[here + k] == ids[there + k]
+    return same
+
+
+def repeated_words(words: list[bytes], bounds: np.ndarray, confirmed: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Which words of a shard lie in an occurrence of a recurring passage. confirmed: hashes of recurring windows."""
+    gone = np.zeros(len(words), dtype=bool)
+    if not len(confirmed) or len(words) < window:
+        return gone
+    hashed = word_hashes(words)
+    hashes, whole = window_hashes(hashed, window), inside(bounds, window, len(words))
+    at = np.flatnonzero(whole & np.isin(hashes, confirmed))
+    known, first = np.unique(hashes[at], return_index=True)
+    passages = np.zeros(len(hashes), dtype=bool)
+    passages[at[first]] = True
+    anchors = minima(window_hashes(hashed, gram), passages, window - gram + 1)
+    found = _locate(words, bounds, list(dict.fromkeys(b" ".join(words[i : i + gram]) for i in anchors.tolist())), gram)
+    marks = np.concatenate(([0], np.cumsum(found)))
+    reach = window - gram + 1
+    near = np.flatnonzero(whole & (marks[reach : reach + len(hashes)] > marks[: len(hashes)]))
+    spot = np.minimum(np.searchsorted(known, hashes[near]), len(known) - 1)
+    near, spot = near[known[spot] == hashes[near]], spot[known[spot] == hashes[near]]
+    equal = np.zeros(len(hashes), dtype=bool)
+    equal[near[_equal_words(words, near, at[first][spot], window)]] = True
+    return covered(equal, window, len(words))
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space)."""
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    ranges = max(n, -(-total // 8_000_000))  # about a million windows each, were all words candidates
+    # bits of the hash that choose a range within a block, and those that part it for the count over all blocks
+    bits = max(n, -(-min(total, block * shard_bytes) // RANGE_BYTES)).bit_length()
+    finer = max(0, (total // RANGE_BYTES).bit_length() - bits)
 
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    dealt = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(F.coalesce(doc_id, F.xxhash64(text))), F.lit(shards)).cast("int").alias("shard"))
+    dealt = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id, F.xxhash64(text)), F.lit(shards)).cast("int").alias("shard"))
+
+    def sampled(words: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashed = word_hashes(words)
+        grams = window_hashes(hashed, gram)
+        return hashed, grams, minima(grams, inside(bounds, window, len(words)), window - gram + 1)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words, bounds = joined(text_bytes(part.column("text")))
-                grams = window_hashes(word_hashes(words), gram)
-                at = minima(grams, inside(bounds, window, len(words)), window - gram + 1)
-                shard = np.repeat(part.column("shard").to_numpy(), np.diff(bounds))[at].tolist()
-                counts = Counter(zip(shard, (b" ".join(words[i : i + gram]) for i in at.tolist()), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["shard", "phrase", "n"])
-
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by phrase, those that count more than once or have an equal neighbour."""
-        last, known = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            phrase = rows.column("phrase").chunk(0)
-            same = pc.equal(phrase[1:], phrase[:-1]).to_numpy(zero_copy_only=False).astype(bool)
-            keep = rows.column("n").to_numpy() > 1
-            keep[0] |= known
-            keep[1:] |= same
-            keep[:-1] |= same
-            yield from rows.slice(0, len(keep) - 1).filter(pa.array(keep[:-1])).select(["shard", "phrase"]).to_batches()
-            last, known = rows.slice(len(keep) - 1).to_batches()[0], bool(keep[-1])
-        if last is not None and known:
-            yield last.select(["shard", "phrase"])
-
-    sampled = dealt.mapInArrow(sample, "shard int, phrase binary, n long").repartition(n, "phrase").sortWithinPartitions("phrase")
-    recurring = sampled.mapInArrow(twice, "shard int, phrase binary").repartition(n, "shard")
+                _, grams, at = sampled(words, bounds)
+                shard = np.repeat(part.column("shard").to_numpy(), np.diff(bounds))[at]
+                pairs = np.rec.fromarrays((grams[at], shard), names="h,shard") if len(at) else np.rec.fromarrays((np.zeros(0, np.uint64), np.zeros(0, np.int32)), names="h,shard")
+                each, times = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each["h"].view(np.int64)), pa.array(each["shard"].astype(np.int32)), pa.array(times)], ["h", "shard", "n"])
+
+    phrases = table(dealt.mapInArrow(sample, "h long, shard int, n long"), "phrases")
+    often = table(phrases.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "phrases-often")
+    recurring = phrases.select("h", "shard").hint("merge").join(often, "h", "left_semi").repartition(n, "shard")
     sharded = dealt.repartition(n, "shard")
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Packed hashes of the windows around phrases, by hash range; a window that occurs twice is sent twice."""
+        """Hashes of the windows around recurring phrases, by range; a window that occurs twice is sent twice."""
         words, bounds = joined(text_bytes(left.column("text").combine_chunks()))
-        at = _locate(words, bounds, list(dict.fromkeys(right.column("phrase").to_pylist())), gram)
-        marks = np.concatenate(([0], np.cumsum(at)))
+        hashed, grams, at = sampled(words, bounds)
+        mark = np.zeros(len(words) + 1, dtype=np.int64)
+        mark[1 + at[np.isin(grams[at], np.unique(right.column("h").to_numpy()).view(np.uint64))]] = 1
+        marks = np.cumsum(mark)
         reach = window - gram + 1
         ok = inside(bounds, window, len(words))
-        ok &= (marks[reach : reach + len(ok)] - marks[: len(ok)]) > 0
-        seen, times = np.unique(window_hashes(word_hashes(words), window)[ok], return_counts=True)
+        ok &= marks[reach : reach + len(ok)] > marks[: len(ok)]
+        ranges, windows = (other_hashes(hashed, window)[ok] >> np.uint64(64 - bits)), window_hashes(hashed, window)[ok]
+        order = np.lexsort((windows, ranges))
+        ranges, windows = ranges[order], windows[order]
+        # of equal neighbours two are sent
+        third = np.zeros(len(windows), dtype=bool)
+        third[2:] = (windows[2:] == windows[:-2]) & (ranges[2:] == ranges[:-2])
+        kept, packed = _packed(ranges[~third], windows[~third])
+        shard = left.column("shard")[0].as_py() if left.num_rows else 0
+        return _rows(shard // block, kept, shard, packed)
+
+    def merge(group: pa.Table) -> pa.Table:
+        """Of one block and range: each distinct window, twice if the block has it twice, in finer ranges."""
+        seen, times = np.unique(_unpacked(group.column("windows")), return_counts=True)
         sent = np.repeat(seen, np.minimum(times, 2))
-        kept, first = np.unique((sent >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
-        packed = [x.tobytes() for x in np.split(sent, first[1:])] if len(kept) else []
-        shard = left.column("shard")[0].as_py() if left.num_rows else -1
-        return pa.table({"range": pa.array(kept.astype(np.int32)), "shard": pa.array([shard] * len(kept), pa.int32()), "windows": pa.array(packed, pa.binary())})
+        coarse = group.column("range")[0].as_py()
+        ranges = (np.full(len(sent), coarse, dtype=np.int64) << finer) | ((sent >> np.uint64(64 - finer)).astype(np.int64) if finer else 0)
+        kept, packed = _packed(ranges, sent)
+        return _rows(group.column("block")[0].as_py(), kept, None, packed)
 
     def confirm(group: pa.Table) -> pa.Table:
-        """Of one hash range: the windows that occur twice or more, for each shard that sent them."""
+        """Of one range: for each block its windows that occur twice or more in all."""
         packed = group.column("windows").to_pylist()
-        sizes = [len(p) // 8 for p in packed]
-        every = np.frombuffer(b"".join(packed), dtype=np.uint64)
-        order = np.sort(every)
+        order = np.sort(np.frombuffer(b"".join(packed), dtype=np.uint64))
         twice = np.unique(order[1:][order[1:] == order[:-1]])
-        shard, out = [], []
-        for s, part in zip(group.column("shard").to_pylist(), np.split(every, np.cumsum(sizes)[:-1]), strict=True):
-            part = np.unique(part)
-            part = part[np.isin(part, twice, assume_unique=True)]
-            if len(part):
-                shard.append(s)
-                out.append(part.tobytes())
-        return pa.table({"shard": pa.array(shard, pa.int32()), "windows": pa.array(out, pa.binary())})
+        held = [np.intersect1d(np.frombuffer(p, dtype=np.uint64), twice) for p in packed]
+        some = [k for k, h in enumerate(held) if len(h)]
+        blocks = group.column("block").to_pylist()
+        return _rows([blocks[k] for k in some], np.full(len(some), group.column("range")[0].as_py() >> finer if len(some) else 0), None, [held[k].tobytes() for k in some])
+
+    def return_(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of one block and range: for each shard its windows among the confirmed ones."""
+        confirmed = np.unique(_unpacked(right.column("windows")))
+        held = [np.intersect1d(np.frombuffer(p, dtype=np.uint64), confirmed) for p in left.column("windows").to_pylist()]
+        some = [k for k, h in enumerate(held) if len(h)]
+        shard = left.column("shard").to_pylist()
+        return pa.table({"shard": pa.array([shard[k] for k in some], pa.int32()), "windows": pa.array([held[k].tobytes() for k in some], pa.binary())})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         words, bounds = joined(text_bytes(left.column("text").combine_chunks()))
-        repeated = np.sort(np.frombuffer(b"".join(right.column("windows").to_pylist()), dtype=np.uint64))
-        gone = np.zeros(len(words), dtype=bool)
-        if len(repeated) and len(words) >= window:
-            hashes = window_hashes(word_hashes(words), window)
-            at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-            gone = covered((repeated[at] == hashes) & inside(bounds, window, len(words)), window, len(words))
+        gone = repeated_words(words, bounds, np.unique(_unpacked(right.column("windows"))), window, gram)
         kept = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if gone[a:b].any():
@@ -152,6 +208,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes
         removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[bounds])
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    found = sharded.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, "range int, shard int, windows binary")
-    repeated = found.groupBy("range").applyInArrow(confirm, "shard int, windows binary").repartition(n, "shard")
-    return sharded.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(remove, RESULT)
+    sent = sharded.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, WINDOWS).repartition(n, "block", "range")
+    merged = sent.groupBy("block", "range").applyInArrow(merge, WINDOWS)
+    counted = merged.groupBy("range").applyInArrow(confirm, WINDOWS).repartition(n, "block", "range")
+    back = sent.groupBy("block", "range").cogroup(counted.groupBy("block", "range")).applyInArrow(return_, "shard int, windows binary").repartition(n, "shard")
+    return sharded.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(remove, RESULT)

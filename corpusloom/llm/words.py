@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03  # odd, so that they have inverses modulo 2**64
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -30,13 +30,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of `width` words (also of runs across texts), by one cumulative sum."""
+def window_hashes(hashes: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each run of `width` words (also of runs across texts), by one cumulative sum. base: an odd number."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, dtype=np.uint64)
-    up = np.cumprod(np.full(n, BASE, dtype=np.uint64))
-    down = np.cumprod(np.full(n - width + 1, pow(BASE, -1, 1 << 64), dtype=np.uint64))
+    up = np.cumprod(np.full(n, base, dtype=np.uint64))
+    down = np.cumprod(np.full(n - width + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up)))
     x = (sums[width:] - sums[:-width]) * down
     x ^= x >> np.uint64(33)
@@ -45,6 +45,11 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def other_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A second hash of each run of words, independent of the first one's sum."""
+    return window_hashes((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), width, OTHER_BASE)
+
+
 def inside(bounds: np.ndarray, width: int, n: int) -> np.ndarray:
     """For each run of `width` words of n: does it lie in one text?"""
     if n < width:

@@ -1,9 +1,14 @@
 import hashlib
 import random
 from collections import Counter
+from unittest import mock
 
+import numpy as np
+
+from corpusloom.llm import substring_dedup
 from corpusloom.llm.line_dedup import line_dedup
-from corpusloom.llm.substring_dedup import remove_repeats
+from corpusloom.llm.substring_dedup import remove_repeats, repeated_words
+from corpusloom.llm.words import joined, window_hashes, word_hashes
 from tests.llm.conftest import HARD
 
 
@@ -80,5 +85,32 @@ def test_windows_random(make_docs):
         rows.append((i, rng.choice((" ", "\n", " \t ")).join(words)))
     rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, "a " * 500), (401, "a " * 7 + "b " + "a " * 7)]
     for width, gram in ((7, 3), (12, 6), (7, 7), (5, 1)):
-        got = remove_repeats(make_docs(rows).repartition(3), width, gram, shard_bytes=700).collect()
+        got = remove_repeats(make_docs(rows).repartition(3), width, gram, shard_bytes=700, block=4).collect()
         assert sorted(map(tuple, got), key=repr) == brute_windows(rows, width)
+
+
+def test_nothing_goes_without_the_automaton():
+    """What is deleted is what the automaton finds: with an automaton that finds nothing all words stay."""
+    words, bounds = joined([b"a b c d e f g h", b"x a b c d e f g h y"])
+    confirmed = np.unique(window_hashes(word_hashes(words), 5)[[0, 1, 2, 3]])
+    assert repeated_words(words, bounds, confirmed, 5, 2).tolist() == [True] * 8 + [False] + [True] * 8 + [False]
+    with mock.patch.object(substring_dedup, "_locate", lambda words, *_: np.zeros(len(words), dtype=bool)):
+        assert not repeated_words(words, bounds, confirmed, 5, 2).any()
+
+
+def test_windows_of_equal_hash_are_compared_by_words():
+    """A window whose hash is that of a passage but whose words are others stays."""
+    words, bounds = joined([b"a b c d e", b"a b c d e", b"p b c q r"])
+    blind = lambda hashes, width, base=0: np.full(max(0, len(hashes) - width + 1), 7, dtype=np.uint64) if width == 5 else window_hashes(hashes, width)
+    with mock.patch.object(substring_dedup, "window_hashes", blind):
+        gone = repeated_words(words, bounds, np.array([7], dtype=np.uint64), 5, 2)
+    assert gone.tolist() == [True] * 10 + [False] * 5
+
+
+def test_one_phrase_in_every_document(make_docs):
+    """A hot phrase and a hot passage, over many shards and blocks."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, " ".join([*(f"u{i}_{k}" for k in range(rng.randint(0, 9))), "we all say so", passage if i % 3 else "none"])) for i in range(400)]
+    got = remove_repeats(make_docs(rows), 7, 3, shard_bytes=300, block=5).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_windows(rows, 7)
