@@ -10,14 +10,16 @@ is skipped. All items at or above the threshold are returned, there is no top-k.
 at once: the exact sums over the rare terms plus, per item, all it could still get from frequent ones must reach
 the threshold somewhere.
 
-Hits are verified: the item's words are parted in two halves, question and answer; of each half's distinct word 5-grams at least
-`overlap` must occur in the passage.
+Hits are verified: an item is parted into question and answer (after the last "answer:" or "a:" with words on both sides, else after the
+last question mark with words on both sides, else in the middle of its words); of the distinct word 5-grams of each at least `overlap` must
+occur in the passage.
 
-Size of what is sent to the executors: the index is built for at most `index_bytes` of item text at a time; more
-items make several indexes, and the documents are searched once for each.
+Size of what is sent to the executors: an index holds at most about `index_bytes` of item text; more items make several, and the
+documents are searched with each. What scores and passages rest on (number of items, document frequencies, mean and greatest length) is
+counted by Spark over all items and is the same in every index, so hits don't depend on `index_bytes`.
 
-Defined results: null texts and items count as empty; items without words match nothing; items with fewer than five
-words in a half use the half as one gram; repeated items each report their id; repeated rows are kept; an empty table
+Defined results: null texts and items count as empty; items without words match nothing; a question or answer with fewer
+than five words is one gram; repeated items each report their id; repeated rows are kept; an empty table
 or benchmark gives no hits; extra columns are ignored.
 """
 
@@ -27,17 +29,19 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import slices
+from corpusloom.llm._shared import slices, table
 
 INDEX_BYTES = 8_000_000
 K1, B = 1.2, 0.75  # BM25 as usual
 _WORD = re.compile(r"\w+")
+_ANSWER, _ASKED = re.compile(r"\b(?:answer|a)\s*:", re.IGNORECASE), re.compile("[?？؟]")
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -50,22 +54,47 @@ def grams(words: Sequence[str], n: int = 5) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
+def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+    """The words of the two sides of an item."""
+    for mark in (_ANSWER, _ASKED):
+        for found in reversed(list(mark.finditer(text))):
+            sides = terms_of(text[: found.start()]), terms_of(text[found.end() :])
+            if all(sides):
+                return sides
+    words = terms_of(text)
+    return words[: len(words) // 2], words[len(words) // 2 :]
+
+
+@dataclass
+class Collection:
+    """What BM25 has to know of all items: how many have words, mean and greatest number of words, items with each term."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Collection:
+        words = [w for t in texts if (w := terms_of(t))]
+        lengths = list(map(len, words))
+        return cls(len(words), sum(lengths) / max(1, len(words)), max(lengths, default=1), Counter(t for w in words for t in set(w)))
+
+
 class BlockMaxIndex:
     """Postings by term: item numbers in order, weights, and the largest weight of each block of postings."""
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = 0.6, block: int = 16) -> None:
-        kept = [(i, w) for i, t in items if (w := terms_of(t))]
-        self.ids = [i for i, _ in kept]
-        self.words = [w for _, w in kept]
-        self.threshold, self.block = threshold, block
-        self.longest = max(map(len, self.words), default=1)
-        mean = sum(map(len, self.words)) / max(1, len(kept))
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = 0.6, block: int = 16, collection: Collection | None = None) -> None:
+        kept = [(i, w, t) for i, t in items if (w := terms_of(t))]
+        about = Collection.of([t for _, t in items]) if collection is None else collection
+        self.ids = [i for i, _, _ in kept]
+        self.words = [w for _, w, _ in kept]
+        self.threshold, self.block, self.longest = threshold, block, about.longest
         n = len(kept)
-        df = Counter(t for w in self.words for t in set(w))
-        idf = {t: np.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        idf = {t: np.log(1 + (about.n - d + 0.5) / (d + 0.5)) for t, d in about.df.items()}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for item, words in enumerate(self.words):
-            norm = K1 * (1 - B + B * len(words) / mean)
+            norm = K1 * (1 - B + B * len(words) / about.mean)
             own = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
             total = sum(own.values())
             for t, x in own.items():
@@ -76,7 +105,7 @@ class BlockMaxIndex:
         self.most = np.array([max(w) for w in self.weights], dtype=np.float64)
         self.block_most = [[max(w[a : a + block]) for a in range(0, len(w), block)] for w in self.weights]
         self._sift_tables(n)
-        self.halves = [(grams(w[: len(w) // 2]), grams(w[len(w) // 2 :])) for w in self.words]
+        self.halves = [tuple(map(grams, question_and_answer(t))) for _, _, t in kept]
 
     def _sift_tables(self, n: int) -> None:
         """Frequent terms: the longest lists, as long as no item draws more than half the threshold from them."""
@@ -157,7 +186,7 @@ class BlockMaxIndex:
         return found
 
     def verified(self, item: int, passage: Sequence[str], overlap: float) -> bool:
-        """Does each half of the item overlap the passage by its grams?"""
+        """Do question and answer of the item both overlap the passage by their grams?"""
         for half in self.halves[item]:
             if half:
                 size = len(next(iter(half)))
@@ -197,15 +226,35 @@ class BlockMaxIndex:
         return [sorted(x, key=lambda i: (i is None, i)) for x in out]
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """part, term, length: a row for each item and distinct term of it; first is set on one row of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = terms_of(text)
+                rows += [(part, t, len(words), k == 0) for k, t in enumerate(dict.fromkeys(words))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.bool_()), strict=True)], ["part", "term", "length", "first"])
+
+    return items.mapInArrow(run, "part int, term string, length long, first boolean")
+
+
 def indexes(items: DataFrame, threshold: float, index_bytes: int = INDEX_BYTES) -> Iterator[BlockMaxIndex]:
-    """One index for each part of the items; a part holds about index_bytes of text."""
+    """One index for each part of the items; a part holds about index_bytes of text, and only parts come to the driver."""
     plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // index_bytes))
-    dealt = plain.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    dealt = plain.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    terms = table(_terms(dealt.select("part", "text")), "benchmark-terms")
+    about = terms.agg(F.count_if("first").alias("n"), F.avg(F.when(F.col("first"), F.col("length"))).alias("mean"), F.max("length").alias("longest")).first()
+    df = table(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "benchmark-df")
     for part in range(parts):
         rows = dealt.filter(F.col("part") == part).select("item_id", "text").toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        yield BlockMaxIndex(list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True)), threshold)
+        own = df.hint("merge").join(terms.filter(F.col("part") == part).select("term").distinct(), "term").select("term", "df").toArrow()
+        known = dict(zip(own.column("term").to_pylist(), own.column("df").to_pylist(), strict=True))
+        collection = Collection(about["n"], about["mean"] or 1.0, about["longest"] or 1, known)
+        yield BlockMaxIndex(list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True)), threshold, collection=collection)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, index_bytes: int = INDEX_BYTES) -> DataFrame:

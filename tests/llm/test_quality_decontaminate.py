@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from corpusloom.llm.decontaminate import BlockMaxIndex, decontaminate, grams, terms_of
+from corpusloom.llm.decontaminate import BlockMaxIndex, decontaminate, grams, question_and_answer, terms_of
 from corpusloom.llm.quality import bin_prior, features, fit, fit_nnpu, keep_good, quality
 from tests.conftest import SF
 from tests.llm.conftest import HARD
@@ -63,19 +63,19 @@ def test_quality_of_hard_rows(spark, hard, clashing, empty):
 
 def brute_hits(texts, items, overlap=0.8):
     """Passages as told, every item verified in every passage."""
-    split = [(i, terms_of(t)) for i, t in items if terms_of(t)]
-    step = max((len(w) for _, w in split), default=1)
+    split = [(i, question_and_answer(t)) for i, t in items if terms_of(t)]
+    step = max((len(terms_of(t)) for _, t in items), default=1) or 1
     out = []
     for t in texts:
         words, found = terms_of(t), set()
         for p in range(max(1, -(-len(words) // step) - 1)):
             passage = words[p * step : (p + 2) * step]
-            for i, w in split:
-                halves = [h for h in (grams(w[: len(w) // 2]), grams(w[len(w) // 2 :])) if h]
+            for i, sides in split:
+                halves = [h for h in map(grams, sides) if h]
                 sizes = [len(next(iter(h))) for h in halves]
                 if all(len(h & {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}) >= overlap * len(h) for h, n in zip(halves, sizes, strict=True)):
                     found.add(i)
-        out.append(sorted(found))
+        out.append(sorted(found, key=lambda i: (i is None, i or 0)))
     return out
 
 
@@ -127,11 +127,20 @@ def test_documents(spark, hard, clashing, empty, make_docs):
     docs = make_docs(list(enumerate(texts)))
     for size in (8_000_000, 4_000):  # the second makes several indexes
         got = {r.doc_id: r.item_ids for r in decontaminate(docs, bench, index_bytes=size).collect()}
-        if size == 8_000_000:
-            assert [got[i] for i in range(len(texts))] == brute_hits(texts, items)
-        else:
-            assert sum(len(x) for x in got.values()) > 40
+        assert [got[i] for i in range(len(texts))] == brute_hits(texts, items)
+    small = [(1, "one two three four five six"), (2, "c 12,5 it's"), (3, "W w"), (3, "W w"), (None, "no id here"), (4, ""), (5, None)]
+    small_bench = spark.createDataFrame(small, "item_id long, text string")
+    want = sorted(((i, hits) for (i, *_), hits in zip(HARD, brute_hits([t or "" for _, t, *_ in HARD], small), strict=True)), key=repr)
     for d in (hard, clashing):
-        assert len(decontaminate(d, bench).collect()) == len(HARD)
+        for size in (8_000_000, 10):
+            found = decontaminate(d, small_bench, index_bytes=size)
+            assert sorted(((r.doc_id, r[-1]) for r in found.collect()), key=repr) == want
     assert decontaminate(empty, bench).collect() == []
     assert all(r.item_ids == [] for r in decontaminate(hard, bench.filter("false")).collect())
+
+
+def test_question_and_answer():
+    assert question_and_answer("What is it? Is it blue? A: a blue bird") == (["what", "is", "it", "is", "it", "blue"], ["a", "blue", "bird"])
+    assert question_and_answer("Who came? The cat") == (["who", "came"], ["the", "cat"])
+    assert question_and_answer("one two three?") == (["one"], ["two", "three"])
+    assert question_and_answer("") == ([], []) and question_and_answer("solo") == ([], ["solo"])
