@@ -2,7 +2,8 @@
 
 Each step rewires links towards smaller nodes and never adds more links than it had; the number of rounds grows
 with the logarithm of the component size. Nothing is collected but two numbers per round. A hub with very many links is
-aggregated by partial minima, and its joins are sort-merge joins, whose hot keys AQE splits.
+aggregated by partial minima; its links are dealt to several tasks when they meet the minimum (`salted_join`). The tables of a round are
+deleted when the next one has been written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import table
+from corpusloom.llm._shared import drop_tables, salted_join, table
 
 
 def _state(links: DataFrame) -> tuple:
@@ -29,13 +30,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = table(large, "components-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.hint("merge").join(least, "a")
-        small = met.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        at = table(small.filter("a > b").distinct(), "components")
+        least = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
+        # the neighbours above a: links turned around
+        up = at.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = table(salted_join(up, least, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components-large")
+        low = table(large.groupBy("a").agg(F.min("b").alias("m")), "components-least")
+        met = salted_join(large, low, ["a"], "b")
+        small = met.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        before, at = at, table(small.filter("a > b").distinct(), "components")
+        drop_tables([before, least, large, low])
         now = _state(at)
         if now == state:
             break

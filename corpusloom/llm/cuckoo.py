@@ -31,7 +31,7 @@ class CuckooIndex:
         self.entry = array("q", bytes(8 * SLOTS * buckets))
 
     def _place(self, key: bytes) -> tuple[int, int]:
-        """Tag (never 0, which marks an empty slot) and first bucket; keys are digests, so their bytes are uniform."""
+        """Tag (never 0, which marks an empty slot) and first bucket; keys begin with a digest, so their bytes are uniform."""
         tag = int.from_bytes(key[:2], "little") or 1
         return tag, int.from_bytes(key[2:10], "little") & self.mask
 

@@ -1,9 +1,11 @@
 """Exact dedup over a cuckoo-filter index of live digests.
 
 The flow: every row gets the SHA-256 digest of its text in the JVM; each Arrow batch is pre-aggregated, so that a
-group of copies with a third of all rows leaves one row per batch; rows meet by a digest bucket, where a
+group of copies with a third of all rows leaves one row per batch; rows meet by a bucket of about `BUCKET_ROWS` rows, where a
 `CuckooIndex` holds the live digests of one bucket at a time; the live entries are joined back to all rows.
-A larger doc_id that arrives for a live digest deletes the live entry and is inserted in its place.
+A larger doc_id that arrives for a live digest deletes the live entry and is inserted in its place. Buckets are chosen by another hash of the
+digest, so that its own bytes are free for the filter's tags and slots. What a bucket stores of a text, and a hit is verified against, is its SHA-256
+and length: texts stay where they are.
 
 Defined results: null text counts as empty; equal rows are copies of each other (of repeated doc_ids all stay);
 a null doc_id never wins against another one; an empty table gives an empty result; extra columns are ignored.
@@ -17,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import partitions, text_or_empty
+from corpusloom.llm._shared import partitions, table, text_or_empty
 from corpusloom.llm.cuckoo import CuckooIndex
 
+BUCKET_ROWS = 50_000
 LIVE = "text_sha256 string, keep_id long, group_size long"
 PARTIAL = "text_sha256 string, n_bytes long, top_id long, n long"
 
@@ -38,7 +41,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; the index of one bucket is held at a time."""
+    """Rows come sorted by bucket (the last column); the index of one bucket is held at a time."""
     index, current = CuckooIndex(), None
 
     def flush() -> pa.RecordBatch:
@@ -46,11 +49,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([k[:32].hex() for k, _ in live], pa.string()), pa.array([v[0] for _, v in live], pa.int64()), pa.array([v[1] for _, v in live], pa.int64())], ["text_sha256", "keep_id", "group_size"])
 
     for batch in batches:
-        for digest, n_bytes, top, n in zip(*(batch.column(c).to_pylist() for c in ("text_sha256", "n_bytes", "top_id", "n")), strict=True):
-            if digest[:3] != current:
+        for digest, n_bytes, top, n, bucket in zip(*(batch.column(c).to_pylist() for c in ("text_sha256", "n_bytes", "top_id", "n", "bucket")), strict=True):
+            if bucket != current:
                 if index.live:
                     yield flush()
-                index, current = CuckooIndex(), digest[:3]
+                index, current = CuckooIndex(), bucket
             key = bytes.fromhex(digest) + n_bytes.to_bytes(8, "little")
             live = index.get(key)
             if live is None:
@@ -64,11 +67,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def live_digests(docs: DataFrame) -> DataFrame:
+def live_digests(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per distinct text: text_sha256, keep_id (largest doc_id), group_size."""
     n = partitions(docs.sparkSession)
-    met = digests(docs).mapInArrow(_combine, PARTIAL).withColumn("bucket", F.substring("text_sha256", 1, 3))
-    return met.repartition(n, "bucket").sortWithinPartitions("bucket").drop("bucket").mapInArrow(_index, LIVE)
+    buckets = max(n, -(-docs.count() // bucket_rows))
+    met = digests(docs).mapInArrow(_combine, PARTIAL).withColumn("bucket", F.pmod(F.xxhash64("text_sha256"), F.lit(buckets)))
+    return met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_index, LIVE)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -76,6 +80,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     The join is a sort-merge join, whose hot keys AQE splits; nothing is broadcast.
     """
-    live = live_digests(docs)
+    live = table(live_digests(docs), "live-digests")  # a plain scan on both sides of the join
     joined = digests(docs).drop("n_bytes").hint("merge").join(live, "text_sha256", "inner")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -6,8 +6,9 @@ label. With g the model, l the logistic loss and p the class prior (share of pos
     p * E_positive[l(g)] + max(0, E_unlabelled[l(-g)] - p * E_positive[l(-g)])
 
 is minimised; where the second term falls below zero its gradient is turned around, so that the model does not
-learn the unlabelled rows by heart (Kiryo et al., 2017). The prior is estimated: the share of label 1 among the labelled training rows
-where both labels occur, else the least ratio of unlabelled to positive mass over well-filled feature bins.
+learn the unlabelled rows by heart (Kiryo et al., 2017). The prior is estimated from positives and unlabelled rows alone, as no trusted
+negatives are assumed: a first model is fitted on half of the sample, and on the other half the least ratio of unlabelled to positive
+rows above a score is taken, with a bound for its sampling error deciding which (best bin estimation, Garg et al., 2021).
 
 The model is additive: each numeric feature of the text is cut into bins at quantiles of the training sample, with one
 weight per bin. Features see the text alone; labels, lang, source and doc_id are never inputs of a score.
@@ -16,7 +17,7 @@ Bound of the sample: at most about `max_rows` positives and as many unlabelled r
 their features (a few numbers each) reach the driver. Counts that set the sampling rates cover all rows, and scoring covers all.
 
 Defined results: null text counts as empty; an empty text has all features zero and gets the score that the model
-gives to these; with no positives or no unlabelled rows every score is the prior (0.5 without labels); repeated rows
+gives to these; a very long text is scored whole; a score of exactly the threshold is kept; with no positives or no unlabelled rows every score is the prior (0.5 without labels); repeated rows
 are scored alike; rows with null doc_id are never learnt from; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -109,6 +110,27 @@ def bin_prior(positive: np.ndarray, unlabelled: np.ndarray, size: int) -> float:
     return float(np.clip((u[full] / p[full]).min(initial=1.0), 0.05, 0.99))
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from the scores of both: where the ratio of those above a score is surely smallest."""
+    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.95, 96)))
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    doubt = np.sqrt(np.log(40) / 2 / len(positive)) + np.sqrt(np.log(40) / 2 / len(unlabelled))
+    at = np.argmin(u / p + 1.01 / p * doubt)
+    return float(np.clip(u[at] / p[at], 0.05, 0.99))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """By cross-fitting: each half is scored by the model of the other one; with very few rows by the feature bins alone."""
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    found = []
+    for a in (0, 1):
+        model = fit_nnpu(positive[a::2], unlabelled[a::2], None, steps=300)
+        found.append(best_bin(model.score(positive[1 - a :: 2]), model.score(unlabelled[1 - a :: 2])))
+    return float(np.mean(found))
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 1500, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Minimise the non-negative risk by Adam over the additive model; the result depends on the rows alone, not on their order."""
     both = np.concatenate((positive, unlabelled))
@@ -152,12 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_rows
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & ~_held_out())
     told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     joined = ids.hint("merge").join(told.withColumn("told", F.lit(True)), "doc_id", "left")
-    roles = table(joined.select("doc_id", "quality", F.when(F.col("told").isNull(), 0).when(F.col("quality") == 1, 1).otherwise(2).alias("role")), "quality-roles")
+    roles = table(joined.select("doc_id", F.when(F.col("told").isNull(), 0).when(F.col("quality") == 1, 1).otherwise(2).alias("role")), "quality-roles")
     counts = {r["role"]: r["n"] for r in roles.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
-    n_zero = roles.filter("quality = 0").count()
     positives, unlabelled = counts.get(1, 0), counts.get(0, 0)
-    if prior is None and positives and n_zero:
-        prior = positives / (positives + n_zero)
     if not positives or not unlabelled:
         return Model(0.5 if prior is None else prior)
     scale = 1 << 30
@@ -171,12 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_rows
 
     # about 2 * max_rows rows of two numbers: the sample's bound is that of the broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, role int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
+    drawn = texts.mapInArrow(run, "doc_id long, role int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("role", "x")).alias("one"))
+    rows = drawn.select("doc_id", "one.role", "one.x").toArrow().sort_by([("doc_id", "ascending")])  # one row of a repeated id
     x = np.array(rows.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
     role = rows.column("role").to_numpy()
     if not (role == 1).any() or not (role == 0).any():
         return Model(0.5 if prior is None else prior)
-    return fit_nnpu(x[role == 1], x[role == 0], prior)
+    return fit_nnpu(x[role == 1], x[role == 0], estimate_prior(x[role == 1], x[role == 0]) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

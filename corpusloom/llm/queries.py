@@ -70,7 +70,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.line_dedup import line_dedup
 
-    return line_dedup(read(spark, sf_dir, "documents"), run=3).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return line_dedup(read(spark, sf_dir, "documents"), run=3, long=200).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL_OP2 = r"""
@@ -79,7 +79,10 @@ s AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d WHERE len(ls)
 h AS (SELECT doc_id, i, md5(array_to_string(ls[i:i + 2], chr(10))) AS k FROM s),
 f AS (SELECT k, min((doc_id, i)) AS first FROM h GROUP BY k HAVING count(*) > 1),
 r AS (SELECT doc_id, i FROM h JOIN f USING (k) WHERE (doc_id, i) > first),
-g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM r) GROUP BY doc_id)
+a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+o AS (SELECT line, min((doc_id, i)) AS first FROM a WHERE length(line) >= 200 GROUP BY line HAVING count(*) > 1),
+q AS (SELECT doc_id, i FROM a JOIN o USING (line) WHERE (doc_id, i) > first),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM r UNION ALL SELECT doc_id, i AS j FROM q) GROUP BY doc_id)
 SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)), '') END) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)

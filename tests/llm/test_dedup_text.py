@@ -12,20 +12,24 @@ from corpusloom.llm.words import joined, window_hashes, word_hashes
 from tests.llm.conftest import HARD
 
 
-def brute_lines(rows, run):
+def runs_of(t, run, long):
+    lines = [] if t is None else t.split("\n")
+    return lines, [(k, tuple(lines[k : k + run])) for k in range(len(lines) - run + 1)] + [(k, (x,)) for k, x in enumerate(lines) if len(x) >= long]
+
+
+def brute_lines(rows, run, long=200):
     first = {}
     for i, t, *_ in rows:
-        lines = [] if t is None else t.split("\n")
-        for k in range(len(lines) - run + 1):
-            place, key = (i is not None, i or 0, k), tuple(lines[k : k + run])
+        for k, key in runs_of(t, run, long)[1]:
+            place = (i is not None, i or 0, k)
             first[key] = min(first.get(key, place), place)
     out = []
     for i, t, *_ in rows:
-        lines = [] if t is None else t.split("\n")
+        lines, runs = runs_of(t, run, long)
         gone = set()
-        for k in range(len(lines) - run + 1):
-            if first[tuple(lines[k : k + run])] < (i is not None, i or 0, k):
-                gone |= set(range(k, k + run))
+        for k, key in runs:
+            if first[key] < (i is not None, i or 0, k):
+                gone |= set(range(k, k + len(key)))
         kept = None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone)
         out.append((i, len(lines), len(gone), kept))
     return sorted(out, key=repr)
@@ -41,9 +45,9 @@ def test_lines_against_brute_force(hard, clashing, empty, make_docs):
 def test_lines_random(make_docs):
     rng = random.Random(9)
     rows = [(i, "\n".join(rng.choice("abcd") if rng.random() < 0.6 else str(rng.random()) for _ in range(rng.randint(0, 30)))) for i in range(120)]
-    rows += [(200 + i, "\n".join("pqrstu")) for i in range(200)] + [(500, "\n".join("a" * 40))]
-    for run in (2, 3, 5):
-        assert sorted(map(tuple, line_dedup(make_docs(rows).repartition(3), run).collect()), key=repr) == brute_lines(rows, run)
+    rows += [(200 + i, "\n".join("pqrstu")) for i in range(200)] + [(500, "\n".join("a" * 40)), (501, "a long line"), (502, "x\na long line"), (503, "a long line\na long line")]
+    for run, long in ((2, 200), (3, 8), (5, 200)):
+        assert sorted(map(tuple, line_dedup(make_docs(rows).repartition(3), run, long).collect()), key=repr) == brute_lines(rows, run, long)
 
 
 def brute_windows(rows, width):

@@ -3,7 +3,7 @@ import os
 import random
 
 from corpusloom.llm.cuckoo import CuckooIndex
-from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.exact_dedup import exact_dedup, live_digests
 
 
 def brute(rows):
@@ -61,3 +61,21 @@ def test_cuckoo_hits_are_verified_against_content():
     for k in range(7):  # tag and buckets are the same for all; two buckets hold eight
         index.insert(same_place + bytes([k]) * 30, [k])
     assert index.get(same_place + b"\3" * 30) == [3] and index.get(same_place + b"a" * 30) == ["a"]
+
+
+def test_tags_of_a_bucket_are_spread():
+    """The digests of one bucket share no bits that the filter uses: few false hits among many keys."""
+    index = CuckooIndex()
+    keys = [hashlib.sha256(str(i).encode()).digest() + (9).to_bytes(8, "little") for i in range(20_000)]
+    for k in keys:
+        index.insert(k, [1])
+    for i in range(20_000):
+        assert index.get(hashlib.sha256(f"other {i}".encode()).digest() + bytes(8)) is None
+    assert index.false_hits < 60 and len({index._place(k)[0] for k in keys}) > 15_000
+    assert index.mask + 1 <= 16_384
+
+
+def test_small_buckets(make_docs):
+    rows = [(i, f"text {i % 301}") for i in range(900)]
+    got = live_digests(make_docs(rows).repartition(3), bucket_rows=7).collect()
+    assert sorted((r.keep_id, r.group_size) for r in got) == sorted((max(i for i in range(900) if i % 301 == k), len(range(k, 900, 301))) for k in range(301))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from corpusloom.llm.decontaminate import BlockMaxIndex, decontaminate, grams, question_and_answer, terms_of
-from corpusloom.llm.quality import bin_prior, features, fit, fit_nnpu, keep_good, quality
+from corpusloom.llm.quality import bin_prior, estimate_prior, features, fit, fit_nnpu, keep_good, quality
 from tests.conftest import SF
 from tests.llm.conftest import HARD
 
@@ -17,6 +17,10 @@ def test_non_negative_risk_finds_the_positives():
     assert (model.score(positive) > 0.5).mean() > 0.95 and (model.score(mixed[2400:]) < 0.5).mean() > 0.95
     guessed = fit_nnpu(positive, mixed, None)
     assert 0.45 < guessed.prior < 0.75
+    for share in (0.3, 0.6, 0.9):
+        n = int(4000 * share)
+        other = np.concatenate((rng.normal(1.5, 1, (n, 3)), rng.normal(-1.5, 1, (4000 - n, 3))))
+        assert abs(estimate_prior(positive, other) - share) < 0.08
     assert bin_prior(model.binned(positive), model.binned(positive), 3 * 17) == 0.99
 
 
@@ -34,7 +38,8 @@ def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in quality(docs, labels).collect()}
     assert all(r.held_out == held_out(i) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in got.items())
     told = [(got[r.doc_id].predicted, r.quality) for r in labels.collect() if held_out(r.doc_id)]
-    assert np.mean([p == q for p, q in told]) > 0.9
+    assert np.mean([p == q for p, q in told]) >= 0.95
+    assert 0.7 < fit(docs, labels).prior < 0.99  # nearer to the share among labels (0.87) than a blind guess
     assert np.mean([p for p, q in told if q == 1]) > 0.95
     again = {r.doc_id: r.score for r in quality(docs.repartition(5), labels).collect()}
     assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
