@@ -1,12 +1,15 @@
-"""SimHash near-dedup: segment-popcount embedding, a grid join under Manhattan distance, exact verification.
+"""SimHash near-dedup: segment-popcount embedding, a grid range-join under Manhattan distance, exact verification.
 
 A 64-bit fingerprint is embedded as the bit counts of its two-bit segments. The Manhattan distance of two
 embeddings never exceeds the Hamming distance of the fingerprints, so pairs farther apart than the radius drop out
-without a look at the bits. The segments form `radius + 3` groups; a pair within the radius differs in at most
-`radius` groups, so it shares the cell of at least one grid, a grid being the coordinates of three groups. Cells with few
-fingerprints compare them all. Cells with many (a group of near copies) go another, exact and linear way: two
-fingerprints within 2 bits share a value at one flipped bit or none, so each is linked with the smallest
-fingerprint that shares such a value.
+without a look at the bits. The segments form groups; a pair within the radius differs in at most `radius` groups, so it shares the
+cell of at least one grid, a grid being the coordinates of all groups but `radius`. There are as many groups as keep the expected number of
+unrelated fingerprints in a cell below a quarter, whatever their number (`groups_for`): the grid is made finer as the input grows.
+Within a cell, pairs are kept by the range condition on Manhattan distance, then by the bits.
+
+What still crowds a cell is a group of near copies, whose pairs must not all be listed. There each fingerprint is linked with the smallest one
+that shares its value or one flipped bit of it: two fingerprints within 2 bits share such a value, at most 65 fingerprints do, and so this way is
+exact and linear, too.
 
 Links are between distinct fingerprints only: copies are one node. Components come from `components.py`.
 
@@ -26,14 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import partitions, slices, table
+from corpusloom.llm._shared import salted_join, slices, table
 from corpusloom.llm.components import components
 from corpusloom.llm.near_copies import near_links, only, text_key
 from corpusloom.llm.words import text_bytes
 
 SEGMENT_BITS = 2
-#: A cell with more distinct fingerprints than this takes the linear way instead of comparing all its pairs.
-FULL_CELL = 32
+#: A cell with more distinct fingerprints than this holds a group of near copies.
+CROWDED = 32
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -83,10 +86,17 @@ def _manhattan(a: Column, b: Column) -> Column:
     return total
 
 
-def grids(radius: int) -> list[int]:
+def groups_for(n: int, radius: int) -> int:
+    """Groups of segments, so that of n unrelated fingerprints a quarter at most meets another one in a cell.
+
+    The bit count of a two-bit segment is worth 1.5 bits.
+    """
+    return next((g for g in range(radius + 1, 33) if 4 * n <= 2 ** (1.5 * (64 // SEGMENT_BITS) * (g - radius) / g)), 32)
+
+
+def grids(radius: int, groups: int) -> list[int]:
     """Bit masks of the coordinates of each grid."""
     n = 64 // SEGMENT_BITS
-    groups = radius + 3
     edges = [round(n * g / groups) for g in range(groups + 1)]
     masks = [sum(3 << (2 * i) for i in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
@@ -97,20 +107,19 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Links a > b between fingerprints of `distinct` (column fp, no repeats) that give its components at the radius."""
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2: the linear way for full cells holds up to 2 bits")
-    spark = distinct.sparkSession
-    n = partitions(spark)
     emb = popcounts(F.col("fp"))
-    cells = F.array(*(F.struct(F.lit(g).alias("grid"), emb.bitwiseAND(F.lit(m)).alias("cell")) for g, m in enumerate(grids(radius))))
+    masks = grids(radius, groups_for(distinct.count(), radius))
+    cells = F.array(*(F.struct(F.lit(g).alias("grid"), emb.bitwiseAND(F.lit(m)).alias("cell")) for g, m in enumerate(masks)))
     placed = distinct.select("fp", F.explode(cells).alias("c")).select("fp", "c.grid", "c.cell")
-    sizes = placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = table(placed.hint("merge").join(sizes, ["grid", "cell"]), "simhash-cells")
+    sizes = table(placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
+    shared = table(salted_join(placed, sizes, ["grid", "cell"], "fp"), "simhash-cells")
 
-    few = shared.filter(F.col("n") <= FULL_CELL).groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps"))
+    few = shared.filter(F.col("n") <= CROWDED).groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps"))
     pairs = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda x: x < F.col("a"))).alias("b"))
     pairs = pairs.filter(_manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= radius)
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
 
-    crowded = shared.filter(F.col("n") > FULL_CELL).select("fp").distinct()
+    crowded = shared.filter(F.col("n") > CROWDED).select("fp").distinct()
     flips = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
     flipped = [F.col("fp").bitwiseXOR(F.lit(f)) for f in flips]
     if radius == 2:  # any two that share a value are within two bits
@@ -118,9 +127,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     else:  # the flipped bit is part of the key, so that only two that differ in this bit alone share it
         keys = [F.struct(F.lit(f).cast("long").alias("bit"), F.least(F.col("fp"), k).alias("v")) for f, k in zip(flips, flipped, strict=True)][: 64 * radius]
     keyed = crowded.select("fp", F.explode(F.array(*keys) if keys else F.array().cast("array<struct<bit:bigint,v:bigint>>")).alias("key"))
-    met = keyed.repartition(n, "key")
-    first = met.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = met.hint("merge").join(first, "key").select(F.col("fp").alias("a"), "b").filter("a > b")
+    first = keyed.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    stars = keyed.hint("merge").join(first, "key").select(F.col("fp").alias("a"), "b").filter("a > b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -131,8 +139,9 @@ def simhash_components(docs: DataFrame, words: int = 3, seed: int = 42, radius:
     groups = components(links(distinct.select("fp"), radius))
     tops = distinct.hint("merge").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
     tops = tops.select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    least = tops.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = tops.hint("merge").join(least, "root").select("fp", "component_id")
+    tops = table(tops, "simhash-roots")
+    least = table(tops.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
+    labelled = table(salted_join(tops, least, ["root"], "fp").select("fp", "component_id"), "simhash-labels")
     out = printed.hint("merge").join(labelled, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import xxhash
 
 from corpusloom.llm.components import components
-from corpusloom.llm.simhash import fingerprint, grids, keep_representatives, links, simhash_components
+from corpusloom.llm.simhash import fingerprint, grids, groups_for, keep_representatives, links, simhash_components
 from tests.llm.conftest import HARD
 
 
@@ -90,12 +90,25 @@ def test_links_give_the_components_of_all_pairs(spark):
 
 def test_pairs_within_the_radius_share_a_grid_cell():
     rng = random.Random(5)
+    pop = lambda x: sum(((x >> 2 * i & 1) + (x >> (2 * i + 1) & 1)) << 2 * i for i in range(32))
     for radius in (0, 1, 2):
-        for _ in range(300):
-            a = rng.getrandbits(64)
-            b = a ^ sum(1 << k for k in rng.sample(range(64), radius))
-            pop = lambda x: sum(((x >> 2 * i & 1) + (x >> (2 * i + 1) & 1)) << 2 * i for i in range(32))
-            assert any((pop(a) ^ pop(b)) & m & (1 << 64) - 1 == 0 for m in grids(radius))
+        for n in (10, 10**6, 2 * 10**10):
+            masks = grids(radius, groups_for(n, radius))
+            for _ in range(100):
+                a = rng.getrandbits(64)
+                b = a ^ sum(1 << k for k in rng.sample(range(64), radius))
+                assert any((pop(a) ^ pop(b)) & m & (1 << 64) - 1 == 0 for m in masks)
+
+
+def test_cells_stay_small_as_the_input_grows():
+    """The grid gets finer: the share of unrelated pairs that meet in a cell falls as 1 / n."""
+    rng = random.Random(8)
+    pop = lambda x: sum(((x >> 2 * i & 1) + (x >> (2 * i + 1) & 1)) << 2 * i for i in range(32))
+    assert [groups_for(n, 2) for n in (10, 10**5, 10**8, 2 * 10**10)] == sorted(groups_for(n, 2) for n in (10, 10**5, 10**8, 2 * 10**10))
+    for n in (1000, 20_000):
+        prints = [pop(rng.getrandbits(64)) for _ in range(n)]
+        for mask in grids(2, groups_for(n, 2)):
+            assert len({p & mask & (1 << 64) - 1 for p in prints}) > 0.6 * n
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
