@@ -6,8 +6,10 @@ last, the others go by hash. Two sets of similarity 4/5 share one of the first `
 no pair. Of the pairs that meet and have fitting sizes, those whose signatures differ in more bits than the sets may in shingles
 drop out; the others are checked on the whole sets. Which shingles count as frequent changes the cost only, not the result.
 
-A shingle at which many texts meet (a group of near copies) compares all with its smallest text first. What then belongs to the
-largest component there needs no further comparison among itself; all else is compared with every other text of the shingle.
+A shingle at which many texts meet (a group of near copies) compares all with two of them first: the most central text, that is the one which
+meets others at the most such shingles, and the one with the smallest key. What then belongs to the largest component there needs no further comparison among itself; all else is
+compared with the texts of the shingle that are not in its component. These comparisons are part of the join, by a sketch that each text of a crowded
+shingle carries, so that only pairs which may be similar become rows.
 
 Shingles are compared by a 64-bit hash. Words are as in simhash.py; a text with fewer words than a shingle is near
 to equal texts only, which have one fingerprint.
@@ -23,12 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import partitions, slices, table
+from corpusloom.llm._shared import drop_tables, partitions, salted_join, slices, table
 from corpusloom.llm.components import components
 from corpusloom.llm.words import text_bytes, window_hashes, word_hashes
 
-#: A shingle with more texts than this compares them with its smallest first.
+#: A shingle with more texts than this compares them with its most central one first.
 FULL_CELL = 32
+#: Longs of a sketch: the signature in short.
+SKETCH = 32
 #: One text in so many is looked at for frequent shingles; those in OFTEN of them count, MOST_FREQUENT at most.
 SAMPLED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
 #: Bits of a signature, a power of two.
@@ -59,10 +63,10 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     return found[: n - (4 * n + 4) // 5 + 1], n - (8 * n + 8) // 9 + 1
 
 
-def signature(found: np.ndarray) -> bytes:
-    """A bit for each shingle; two signatures differ in no more bits than the sets in shingles."""
-    bits = np.zeros(SIGNATURE, dtype=bool)
-    bits[found & (SIGNATURE - 1)] = True
+def signature(found: np.ndarray, size: int = SIGNATURE) -> bytes:
+    """A bit for each shingle; two signatures differ in no more bits than the sets in shingles. size: a power of two."""
+    bits = np.zeros(size, dtype=bool)
+    bits[found & (size - 1)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -125,7 +129,23 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     near = table(met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(likely, "a long, b long"), "near-likely")
     held = table(among(near).mapInArrow(sets, "key long, held binary"), "near-sets")
     met = near.hint("merge").join(held.toDF("a", "held_a"), "a").hint("merge").join(held.toDF("b", "held_b"), "b")
-    return table(met.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
+    found = table(met.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
+    drop_tables([bits, near, held])
+    return found
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            bits = [signature(shingles(t, words), 64 * SKETCH) for t in text_bytes(part.column("text"))]
+            made = [np.frombuffer(b, np.int64) for b in bits]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(made, pa.list_(pa.int64()))], ["key", "sketch"])
+
+
+def _near(a: Column, b: Column) -> Column:
+    """May two texts be similar, by their sketches? Sets of similarity 4/5 differ in a ninth of their sizes at most."""
+    differ = sum((F.bit_count(F.get(a["sketch"], F.lit(k)).bitwiseXOR(F.get(b["sketch"], F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    return 9 * differ <= a["n"] + b["n"]
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -171,8 +191,15 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
     full = shared.filter(F.col("texts") > FULL_CELL)
-    least = full.groupBy("h").agg(F.min(one).alias("y"))
-    stars = full.hint("merge").join(least, "h").withColumn("x", one).filter((F.col("x.key") != F.col("y.key")) & _fits(F.col("x"), F.col("y")))
+    # central texts first: those that meet others at many shingles are the least changed copies
+    often = table(full.groupBy("key").agg((-F.count(F.lit(1))).alias("rank")), "near-often")
+    sketched = table(only(texts.select("key", "text"), often.select("key"), "left_semi", "key").mapInArrow(lambda batches: _sketches(batches, words), "key long, sketch array<long>"), "near-sketches")
+    full = table(full.hint("merge").join(often, "key").hint("merge").join(sketched, "key"), "near-crowds")
+    one = F.struct("rank", "key", "n", "short", "sketch")
+    least = full.groupBy("h").agg(F.min(one).alias("y"), F.min_by(one, "key").alias("z"))
+    stars = full.hint("merge").join(least, "h").withColumn("x", one)
+    stars = stars.select("x", F.explode(F.array("y", "z")).alias("y"))
+    stars = stars.filter((F.col("x.key") != F.col("y.key")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     pairs = pairs.unionByName(stars.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))).distinct()
     links = _linked(_verified(texts, table(pairs, "near-pairs"), words), nodes)
     if full.isEmpty():
@@ -182,10 +209,11 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     rooted = nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
     placed = table(full.hint("merge").join(rooted, "key"), "near-full")
     counts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
-    most = counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest"))
-    others = placed.hint("merge").join(most, "h").filter("root != largest").select("h", F.col("root").alias("other"), one.alias("x"))
-    rest = others.hint("merge").join(placed.select("h", "root", one.alias("y")), "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")))
+    most = table(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), "near-most")
+    others = table(salted_join(placed, most, ["h"], "key").filter("root != largest").select("h", F.col("root").alias("other"), one.alias("x")), "near-others")
+    rest = others.hint("merge").join(placed.select("h", "root", one.alias("y")), "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     rest = table(rest.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-rest")
+    drop_tables([full, placed, most, others, sketched])
     return links if rest.isEmpty() else links.unionByName(_linked(_verified(texts, rest, words), nodes))
 
 
