@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,13 @@ scalar("c20_informative_tokens", lambda t: F.array_join(F.array_sort(X.informati
 scalar("c23_numbers", lambda t: F.array_join(F.array_sort(X.numbers(t)), " "), "array_to_string(list_sort(list_distinct(regexp_extract_all({t}, '[0-9]+(?:[.,][0-9]+)?'))), ' ')")
 scalar("c24_digit_ratio", lambda t: F.round(X.digit_ratio(t), 9), f"round({n_of('{t}', '\\p{Nd}')}::DOUBLE / greatest(length({{t}}), 1), 9)")
 scalar("c25_detect_query_language", X.detect_query_language, "CASE WHEN regexp_matches({t}, '[\\x{0600}-\\x{06FF}]') THEN 'ar' ELSE 'en' END")
-scalar("c26_answer_is_idk", lambda t: X.answer_is_idk(F.substring(F.concat(F.lit(" I  Don't know.. "), t), 1, 17)), rx(strip_sql(rx("lower(substr(' I  Don''t know.. ' || {t}, 1, 17))", f"[{SPACE}]+", " ")), "\\.+$") + " = 'i don''t know'", plain=True)
+#: An answer that abstains, with as many full stops as the text's length leaves, before every second text; the others are answers as they are.
+scalar(
+    "c26_answer_is_idk",
+    lambda t: X.answer_is_idk(F.when(F.length(t) % 2 == 0, F.concat(F.lit(" I  Don't know"), F.repeat(F.lit("."), F.length(t) % 3), F.when(F.length(t) % 5 == 0, t).otherwise("\n"))).otherwise(t)),
+    rx(strip_sql(rx("lower(CASE WHEN length({t}) % 2 = 0 THEN ' I  Don''t know' || repeat('.', length({t}) % 3) || CASE WHEN length({t}) % 5 = 0 THEN {t} ELSE chr(10) END ELSE {t} END)", f"[{SPACE}]+", " ")), "\\.+$") + " = 'i don''t know'",
+    plain=True,
+)
 scalar("c30_is_scanned_page", X.is_scanned_page, f"length({strip_sql('{t}')}) < 50", plain=True)
 
 
@@ -113,9 +120,25 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 register("s5_read_documents_table", f"SELECT * FROM {RAW_SQL}")(raw)
 register("c14_doc_identity", f"SELECT id, file_hash, doc_id, sha256(doc_id || '::v1::paragraph::0') AS chunk_id FROM {RAW_SQL}")(lambda spark, d: raw(spark, d).select("id", "file_hash", "doc_id", X.chunk_identity(F.col("doc_id"), "paragraph", F.lit(0)).alias("chunk_id")))
 register("c17_page_label", "SELECT conv_id, turn, CASE WHEN turn - 1 >= 0 THEN turn ELSE -1 END AS display_page, CASE WHEN role = 'user' THEN role WHEN turn - 1 >= 0 THEN turn::VARCHAR ELSE '' END AS label FROM conversations")(lambda spark, d: read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(X.display_page(F.col("turn") - 1), F.lit(-1)).alias("display_page"), X.page_label(F.when(F.col("role") == "user", F.col("role")).otherwise(""), F.col("turn") - 1).alias("label")))
-register("c21_shares_script", "SELECT d.doc_id, b.item_id, regexp_matches(d.text, '[A-Za-z]') AND regexp_matches(b.text, '[A-Za-z]') OR regexp_matches(d.text, '[\\x{0600}-\\x{06FF}]') AND regexp_matches(b.text, '[\\x{0600}-\\x{06FF}]') AS shares FROM documents d JOIN benchmark b ON d.doc_id = b.item_id")(lambda spark, d: read(spark, d, "documents").withColumnRenamed("text", "a").join(read(spark, d, "benchmark"), F.col("doc_id") == F.col("item_id")).select("doc_id", "item_id", X.shares_script(F.col("a"), F.col("text")).alias("shares")))
-BIGRAM_SQL = "list_filter(list_transform(regexp_extract_all(q, '[A-Za-z0-9_]+|[\\x{0600}-\\x{06FF}]+'), lambda x: lower(x)), lambda x: length(x) >= 3)"
-register("c22_count_bigrams", f"SELECT doc_id, len(list_filter(range(1, len(ws)), lambda i: (length(ws[i]) >= 4 OR length(ws[i + 1]) >= 4) AND contains(lower(text), ws[i] || ' ' || ws[i + 1]))) AS bigrams FROM (SELECT doc_id, text, {BIGRAM_SQL} AS ws FROM (SELECT doc_id, text, substr(text, 1, 300) AS q FROM documents))")(lambda spark, d: read(spark, d, "documents").select("doc_id", retrieval.count_bigrams(F.substring("text", 1, 300), F.col("text")).alias("bigrams")))
+
+
+def paired(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with one item of the benchmark: doc_id, text, item_id, query."""
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    number = F.col("doc_id") % F.lit(items.count())
+    return read(spark, d, "documents").select("doc_id", "text", number.alias("item_id")).hint("merge").join(items, "item_id")
+
+
+PAIRED_SQL = "(SELECT d.doc_id, d.text, b.item_id, b.text AS query FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
+register(
+    "c21_shares_script",
+    f"SELECT doc_id, item_id, regexp_matches(text, '[A-Za-z]') AND regexp_matches(query, '[A-Za-z]') OR regexp_matches(text, '[\\x{{0600}}-\\x{{06FF}}]') AND regexp_matches(query, '[\\x{{0600}}-\\x{{06FF}}]') AS shares FROM {PAIRED_SQL}",
+)(lambda spark, d: paired(spark, d).select("doc_id", "item_id", X.shares_script(F.col("text"), F.col("query")).alias("shares")))
+BIGRAM_SQL = "list_filter(list_transform(regexp_extract_all(query, '[A-Za-z0-9_]+|[\\x{0600}-\\x{06FF}]+'), lambda x: lower(x)), lambda x: length(x) >= 3)"
+register(
+    "c22_count_bigrams",
+    f"SELECT doc_id, len(list_filter(range(1, len(ws)), lambda i: (length(ws[i]) >= 4 OR length(ws[i + 1]) >= 4) AND contains(lower(text), ws[i] || ' ' || ws[i + 1]))) AS bigrams FROM (SELECT doc_id, text, {BIGRAM_SQL} AS ws FROM {PAIRED_SQL})",
+)(lambda spark, d: paired(spark, d).select("doc_id", retrieval.count_bigrams(F.col("query"), F.col("text")).alias("bigrams")))
 register("c27_derive_chunk_score", f"SELECT doc_id, CASE WHEN n <= 0 THEN 0.0 ELSE round(least(greatest(n / 250.0, 0.1), 0.99)::DOUBLE, 4) END AS score FROM (SELECT doc_id, {COUNT_SQL.replace('{t}', 'text')} AS n FROM documents)")(lambda spark, d: read(spark, d, "documents").select("doc_id", X.derive_chunk_score(X.approx_token_count(F.col("text"))).alias("score")))
 register("c28_normalize_job", "SELECT event_id, coalesce(nullif(trim(event_type), ''), 'unknown') AS kind, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'indexed' WHEN 'click' THEN 'processing' ELSE 'queued' END AS status, coalesce(try_cast(regexp_extract(props, '[0-9]+') AS BIGINT), 0) AS chunks FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", F.coalesce(F.nullif(F.trim("event_type"), F.lit("")), F.lit("unknown")).alias("kind"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "indexed").when(F.col("event_type") == "click", "processing").otherwise("queued").alias("status"), F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0)).alias("chunks")))
 
@@ -211,19 +234,21 @@ register("a14_index_report", "SELECT count(*) FILTER (doc_id % 10 IN (0, 2)) AS
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     every = read(spark, d, "embeddings")
-    return every.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), every.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return every.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), every.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-PAIRS_SQL = "(SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 40)"
+PAIRS_SQL = "(SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)"
 TOPK_SQL = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {PAIRS_SQL})"
-register("j3_vector_score", f"SELECT query_id, count(*) AS pairs, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM {PAIRS_SQL} GROUP BY query_id")(lambda spark, d: (lambda q, c: c.join(F.broadcast(q.withColumnRenamed("vector", "qv").limit(retrieval.QUERY_BATCH))).groupBy("query_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max(retrieval.cosine(F.col("qv"), F.col("vector"))), 6).alias("best"), F.round(F.avg(retrieval.cosine(F.col("qv"), F.col("vector"))), 6).alias("mean")))(*vectors(spark, d)))
+register("j3_vector_score", f"SELECT query_id, count(*) AS pairs, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM {PAIRS_SQL} GROUP BY query_id")(
+    lambda spark, d: retrieval.vector_score(*vectors(spark, d)).withColumns({c: F.round(c, 6) for c in ("best", "mean")})
+)
 register("r1_vector_topk", f"SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM {TOPK_SQL} WHERE rank <= 15")(lambda spark, d: retrieval.vector_topk(*vectors(spark, d), 15).withColumn("score", F.round("score", 6)))
 register("f4_min_score", f"SELECT query_id, chunk_id FROM {TOPK_SQL} WHERE rank <= 15 AND score >= 0.2")(lambda spark, d: retrieval.vector_topk(*vectors(spark, d), 15).filter(F.col("score").isNull() | (F.col("score") >= 0.2)).select("query_id", "chunk_id"))
 CAPPED = "(SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM " + TOPK_SQL + " WHERE rank <= 15)"
 
 
 def capped(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.vector_topk(*vectors(spark, d), 15).join(points(spark, d).withColumnRenamed("vec_id", "chunk_id"), "chunk_id")
+    hits = retrieval.vector_topk(*vectors(spark, d), 15).hint("merge").join(points(spark, d).withColumnRenamed("vec_id", "chunk_id"), "chunk_id")
     hits = hits.select("query_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.sha2(F.col("chunk_id").cast("string"), 256).alias("chunk_content_hash"), F.col("label").cast("string").alias("document_group_id"), "score")
     return retrieval.post_process(hits, 5, min_score=None).select("query_id", "rank", "chunk_id", "document_group_id")
 
@@ -240,10 +265,12 @@ def bench(spark: SparkSession, d: str) -> DataFrame:
 
 
 TOK_SQL = f"q AS (SELECT item_id AS query_id, lower(text) AS asked, {MATCH_SQL.replace('{t}', 'text')} AS qt FROM benchmark), c AS (SELECT doc_id AS chunk_id, text, {MATCH_SQL.replace('{t}', 'text')} AS ct FROM documents), o AS (SELECT query_id, chunk_id, asked, text, len(qt) AS size, len(list_intersect(qt, ct)) AS overlap FROM q, c)"
-register("j4_token_overlap", f"WITH {TOK_SQL} SELECT query_id, chunk_id, overlap, size FROM o WHERE overlap >= 12")(lambda spark, d: retrieval.token_overlap(bench(spark, d).withColumn("tokens", X.match_tokens(F.col("query"))), docs_as_chunks(spark, d).withColumn("tokens", X.match_tokens(F.col("text"))), 12))
+register("j4_token_overlap", f"WITH {TOK_SQL} SELECT query_id, chunk_id, overlap, size FROM o WHERE overlap >= 2")(lambda spark, d: retrieval.token_overlap(bench(spark, d).withColumn("tokens", X.match_tokens(F.col("query"))), docs_as_chunks(spark, d).withColumn("tokens", X.match_tokens(F.col("text"))), retrieval.LEXICAL_OVERLAP))
 LEXICAL = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, least(0.9, 0.42 + overlap::DOUBLE / size * 0.36 + CASE WHEN phrase THEN 0.1 ELSE 0.0 END) AS score FROM (SELECT *, contains(lower(text), asked) AS phrase FROM o WHERE overlap >= 2) WHERE phrase OR overlap::DOUBLE / size >= 0.55) WHERE score >= 0.72)"
 register("r6_lexical_search", f"WITH {TOK_SQL} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM {LEXICAL} WHERE rank <= 15")(lambda spark, d: retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15).withColumn("score", F.round("score", 6)))
-register("u2_token_intersection", f"SELECT doc_id, len(list_intersect({MATCH_SQL.replace('{t}', 'd.text')}, {MATCH_SQL.replace('{t}', 'b.text')})) AS shared FROM documents d JOIN benchmark b ON d.doc_id = b.item_id")(lambda spark, d: read(spark, d, "documents").join(bench(spark, d), F.col("doc_id") == F.col("query_id")).select("doc_id", F.size(F.array_intersect(X.match_tokens(F.col("text")), X.match_tokens(F.col("query")))).alias("shared")))
+register("u2_token_intersection", f"SELECT doc_id, len(list_intersect({MATCH_SQL.replace('{t}', 'text')}, {MATCH_SQL.replace('{t}', 'query')})) AS shared FROM {PAIRED_SQL}")(
+    lambda spark, d: paired(spark, d).select("doc_id", F.size(F.array_intersect(X.match_tokens(F.col("text")), X.match_tokens(F.col("query")))).alias("shared"))
+)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -256,24 +283,51 @@ CANDS = f"WITH {TOK_SQL}, h AS (SELECT query_id, chunk_id, score FROM {LEXICAL}
 WEIGHTED = "g AS (SELECT x.query_id, x.chunk_id, sum(w) FILTER (list_contains(ct, t)) / greatest(sum(w), 1e-9) AS weighted FROM (SELECT k.query_id, k.chunk_id, k.ct, u.t, 1.0 / coalesce(f.df, 1) AS w FROM k, (SELECT query_id AS qid, unnest(qt) AS t FROM q) u LEFT JOIN f ON f.query_id = u.qid AND f.t = u.t WHERE u.qid = k.query_id) x GROUP BY 1, 2)"
 register("a10_token_frequency", f"{CANDS} SELECT query_id, t AS token, df FROM f")(lambda spark, d: retrieval.token_frequency(candidates(spark, d).withColumn("tokens", X.match_tokens(F.col("text")))))
 register("a11_weighted_coverage", f"{CANDS}, {WEIGHTED} SELECT query_id, chunk_id, round(coalesce(weighted, 0), 6) AS weighted FROM g")(lambda spark, d: retrieval.weighted_coverage(bench(spark, d).withColumn("tokens", X.match_tokens(F.col("query"))), candidates(spark, d).withColumn("tokens", X.match_tokens(F.col("text")))).withColumn("weighted", F.round("weighted", 6)))
-register("r3_hybrid_rerank")(lambda spark, d: retrieval.hybrid_rerank(candidates(spark, d), bench(spark, d).withColumn("variant", F.lit(0))))
-register("r4_reject_low_confidence")(lambda spark, d: retrieval.reject_low_confidence(retrieval.hybrid_rerank(candidates(spark, d), bench(spark, d).withColumn("variant", F.lit(0)))).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score")))
-register("r5_retrieve_with_variants")(lambda spark, d: retrieval.retrieve_with_variants(bench(spark, d).withColumn("variant", F.lit(0)), spark.createDataFrame([], "query_id long, variant int, chunk_id long, score double"), docs_as_chunks(spark, d), 5))
+
+
+def variants(spark: SparkSession, d: str) -> DataFrame:
+    """Each item of the benchmark as asked, in its normal form, and with two rewrites: its first eight words, and its last eight."""
+    words = F.split(F.trim("query"), r"\s+")
+    rewrites = F.array(F.array_join(F.slice(words, 1, 8), " "), F.array_join(F.slice(words, F.greatest(F.size(words) - 7, F.lit(1)), F.lit(8)), " "))
+    return bench(spark, d).select("query_id", F.posexplode(questions.query_variants(F.col("query"), F.lit(None).cast("string"), rewrites)).alias("variant", "query"))
+
+
+def variant_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
+    """The nearest documents of each variant by their embeddings: query_id, variant, chunk_id, score."""
+    asked = ingest.embed(variants(spark, d), "query", "query").select((F.col("query_id") * 1000 + F.col("variant")).alias("query_id"), F.col("embedding").alias("vector"))
+    points_ = ingest.embed(docs_as_chunks(spark, d), "text").select("chunk_id", F.col("embedding").alias("vector"))
+    return retrieval.vector_topk(asked, points_, k).select(F.floor(F.col("query_id") / 1000).alias("query_id"), (F.col("query_id") % 1000).cast("int").alias("variant"), "chunk_id", "score")
+
+
+def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Vector and word hits of all variants, with texts."""
+    both = variant_hits(spark, d).select("query_id", "chunk_id", "score").unionByName(candidates(spark, d).select("query_id", "chunk_id", "score"))
+    return retrieval.best_per_chunk(both).hint("merge").join(docs_as_chunks(spark, d), "chunk_id")
+
+
+register("r3_hybrid_rerank")(lambda spark, d: retrieval.hybrid_rerank(merged_candidates(spark, d), variants(spark, d)))
+register("r4_reject_low_confidence")(
+    lambda spark, d: retrieval.reject_low_confidence(retrieval.hybrid_rerank(merged_candidates(spark, d), variants(spark, d))).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+)
+register("r5_retrieve_with_variants")(lambda spark, d: retrieval.retrieve_with_variants(variants(spark, d), variant_hits(spark, d), docs_as_chunks(spark, d), 5))
 register("r7_recent_activity", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")(lambda spark, d: tables.recent(read(spark, d, "events").select("event_id", "event_type", "ts"), "ts", "event_id", 20).drop("ts"))
 register("r9_best_per_chunk", "SELECT user_id AS query_id, event_type AS chunk_id, max(value) AS score FROM events GROUP BY 1, 2")(lambda spark, d: retrieval.best_per_chunk(read(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("chunk_id"), F.col("value").alias("score"))))
 register("u3_candidate_union", f"WITH {TOK_SQL} SELECT query_id, chunk_id, max(round(score, 6)) AS score FROM (SELECT query_id, chunk_id, score FROM {LEXICAL} WHERE rank <= 15 UNION ALL SELECT query_id, chunk_id, score FROM {TOPK_SQL} WHERE rank <= 15) GROUP BY 1, 2")(lambda spark, d: retrieval.best_per_chunk(retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15).select("query_id", "chunk_id", F.round("score", 6).alias("score")).unionByName(retrieval.vector_topk(*vectors(spark, d), 15).select("query_id", "chunk_id", F.round("score", 6).alias("score")))))
-register("u5_unique_sources", "SELECT query_id, label::VARCHAR AS source_doc_id, 'unknown' AS source_path, place FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS place FROM " + TOPK_SQL + " WHERE rank <= 15 GROUP BY query_id, label)")(lambda spark, d: retrieval.unique_sources(retrieval.vector_topk(*vectors(spark, d), 15).join(points(spark, d).withColumnRenamed("vec_id", "chunk_id"), "chunk_id").select("query_id", "rank", F.col("label").cast("string").alias("source_doc_id"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("int").alias("page_num"))).select("query_id", "source_doc_id", "source_path", "place"))
+register("u5_unique_sources", "SELECT query_id, label::VARCHAR AS source_doc_id, 'unknown' AS source_path, place FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS place FROM " + TOPK_SQL + " WHERE rank <= 15 GROUP BY query_id, label)")(lambda spark, d: retrieval.unique_sources(retrieval.vector_topk(*vectors(spark, d), 15).hint("merge").join(points(spark, d).withColumnRenamed("vec_id", "chunk_id"), "chunk_id").select("query_id", "rank", F.col("label").cast("string").alias("source_doc_id"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("int").alias("page_num"))).select("query_id", "source_doc_id", "source_path", "place"))
 ADJACENT = "(SELECT query_id, rank, score, nth, n.vec_id AS chunk_id FROM (SELECT t.query_id, t.rank, t.score, e.label, o.nth, e.vec_id + o.off AS at FROM " + TOPK_SQL + " t JOIN embeddings e ON e.vec_id = t.chunk_id, (VALUES (0, 0), (1, -1), (2, 1)) o(nth, off) WHERE t.rank <= 5) x JOIN embeddings n ON n.vec_id = x.at AND n.label = x.label)"
 
 
 def adjacent(spark: SparkSession, d: str) -> DataFrame:
     place = points(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("group_id"), F.col("vec_id").alias("chunk_index"))
-    hits = retrieval.vector_topk(*vectors(spark, d), 5).join(place, "chunk_id")
+    hits = retrieval.vector_topk(*vectors(spark, d), 5).hint("merge").join(place, "chunk_id")
     return tables.expand_adjacent(hits, place).select("query_id", "chunk_id", "rank")
 
 
 register("j5_expand_adjacent", f"SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank * 10 + nth)) AS rank FROM {ADJACENT} GROUP BY query_id, chunk_id")(adjacent)
-register("j6_document_chunk_counts", "SELECT source AS source_path, count(DISTINCT doc_id) AS documents, count(c.item_id) AS chunk_count FROM documents LEFT JOIN (SELECT item_id, 'src' || (item_id % 7) AS s FROM benchmark) c ON c.s = source GROUP BY source")(lambda spark, d: read(spark, d, "documents").groupBy(F.col("source").alias("source_path")).agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("rows")).join(read(spark, d, "benchmark").groupBy(F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("source_path")).agg(F.count(F.lit(1)).alias("c")), "source_path", "left").select("source_path", "documents", (F.coalesce("c", F.lit(0)) * F.col("rows")).alias("chunk_count")))
+register(
+    "j6_document_chunk_counts",
+    "SELECT source AS source_path, count(DISTINCT doc_id) AS documents, coalesce(any_value(n), 0) AS chunk_count FROM documents LEFT JOIN (SELECT 'src' || (item_id % 7) AS s, count(*) AS n FROM benchmark GROUP BY 1) c ON c.s = source GROUP BY source",
+)(lambda spark, d: tables.chunk_counts(read(spark, d, "documents").withColumnRenamed("source", "source_path"), read(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("source_path"))))
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -281,7 +335,7 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("project_id"), F.lit("txt").alias("file_type"), F.concat(F.lit("/in/"), (F.col("event_id") % 97).cast("string")).alias("input_path"), F.array((F.col("user_id") % 50).cast("string")).alias("file_hashes"), F.array((F.col("user_id") % 11).cast("string")).alias("source_paths"))
 
 
-register("j7_match_ingestion_job", "WITH j AS (SELECT event_id AS job_id, ts, event_type AS p, event_id % 97 AS a, user_id % 50 AS b, user_id % 11 AS c FROM events), r AS (SELECT job_id AS run_id, p, a, b, c FROM j WHERE job_id % 50 = 0) SELECT run_id, arg_max(j.job_id, (j.ts, j.job_id)) AS job_id FROM r JOIN j ON j.p = r.p AND (j.a = r.a OR j.b = r.b OR j.c = r.c) GROUP BY run_id")(lambda spark, d: tables.match_ingestion_job(jobs(spark, d).filter("job_id % 50 = 0").withColumnRenamed("job_id", "run_id"), jobs(spark, d)))
+register("j7_match_ingestion_job", "WITH j AS (SELECT event_id AS job_id, ts, event_type AS p, event_id % 97 AS a, user_id % 50 AS b, user_id % 11 AS c FROM events), m AS (SELECT p, a, max((ts, job_id)) AS m FROM j GROUP BY 1, 2), n AS (SELECT p, b, max((ts, job_id)) AS m FROM j GROUP BY 1, 2), o AS (SELECT p, c, max((ts, job_id)) AS m FROM j GROUP BY 1, 2) SELECT j.job_id AS run_id, greatest(m.m, n.m, o.m)[2] AS job_id FROM j JOIN m USING (p, a) JOIN n USING (p, b) JOIN o USING (p, c)")(lambda spark, d: tables.match_ingestion_job(jobs(spark, d).withColumnRenamed("job_id", "run_id"), jobs(spark, d)))
 register("j8_deletion_targets", f"SELECT id, source_path FROM {RAW_SQL} WHERE source_path = 'src1' OR starts_with(source_path, 'src1/')")(lambda spark, d: tables.deletion_targets(raw(spark, d), "src1/").select("id", "source_path"))
 register("j9_delete_rows", f"WITH r AS (SELECT * FROM {RAW_SQL}) SELECT id FROM r WHERE source_path NOT IN (SELECT source_path FROM r WHERE id % 4 = 0) AND file_hash NOT IN (SELECT file_hash FROM r WHERE id % 4 = 0)")(lambda spark, d: tables.delete_rows(raw(spark, d), raw(spark, d).filter("id % 4 = 0").select("source_path"), raw(spark, d).filter("id % 4 = 0").select("file_hash")).select("id"))
 register("j10_related_jobs", "SELECT event_id AS job_id FROM events WHERE '/in/' || (event_id % 97) = '/in/9' OR starts_with('/in/' || (event_id % 97), '/in/9/')")(lambda spark, d: tables.deletion_targets(jobs(spark, d).withColumnRenamed("input_path", "source_path"), "/in/9").select("job_id"))
@@ -338,7 +392,18 @@ register("h6_detect_charset", "SELECT page_id, coalesce(nullif(lower(regexp_extr
 TURNS_SQL = "(SELECT conv_id, turn, text AS query, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user')"
 WORD_SQL = "list_transform(regexp_extract_all({t}, '[A-Za-z0-9_]+|[\\x{0600}-\\x{06FF}]+'), lambda x: lower(x))"
 FOLLOW_SQL = f"(SELECT *, CASE WHEN asked = '' THEN false WHEN len(qt) <= 4 THEN true WHEN regexp_matches(asked, '\\.(pdf|docx|html|txt|md|csv|xlsx?)\\b', 'i') OR regexp_matches(asked, '\\p{{Nd}}') THEN false WHEN novel <= 1 THEN true ELSE len(qt)::DOUBLE / greatest(len(pt), 1) <= 0.45 AND novel <= 2 END AS followup FROM (SELECT *, len(list_filter(qt, lambda t: NOT list_contains(pt, t) AND length(t) >= 4)) AS novel FROM (SELECT *, {WORD_SQL.replace('{t}', 'asked')} AS qt, {WORD_SQL.replace('{t}', 'lower(previous)')} AS pt FROM (SELECT *, lower({strip_sql('query')}) AS asked FROM {TURNS_SQL} WHERE previous IS NOT NULL))))"
-register("p1_last_user_turn", f"SELECT conv_id, {strip_sql('arg_max(text, turn)')} AS last FROM conversations WHERE role = 'user' AND NOT contains(text, chr(10)) AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE contains(text, chr(10))) GROUP BY conv_id")(lambda spark, d: (lambda c: c.join(c.filter(F.col("text").contains("\n")).select("conv_id").distinct(), "conv_id", "left_anti").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("ls")).select("conv_id", questions.last_user_turn(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("last")).filter("last IS NOT NULL"))(read(spark, d, "conversations")))
+SAID_SQL = "(SELECT conv_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM (SELECT conv_id, regexp_split_to_array(string_agg(role || ': ' || text, chr(10) ORDER BY turn), '\\r?\\n') AS lines FROM conversations GROUP BY conv_id))"
+
+
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as one text with a turn after the other."""
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("said"))
+
+
+register("p1_last_user_turn", f"SELECT conv_id, {strip_sql('substr(last, 6)')} AS last FROM (SELECT conv_id, arg_max({strip_sql('line')}, nth) FILTER (starts_with(lower({strip_sql('line')}), 'user:')) AS last FROM {SAID_SQL} GROUP BY conv_id)")(
+    lambda spark, d: transcripts(spark, d).select("conv_id", questions.last_user_turn(F.col("said")).alias("last"))
+)
 register("p2_is_followup", f"SELECT conv_id, turn, followup FROM {FOLLOW_SQL}")(lambda spark, d: questions.user_turns(read(spark, d, "conversations")).filter("previous IS NOT NULL").select("conv_id", "turn", questions.is_followup(F.col("query"), F.col("previous")).alias("followup")))
 CONTEXTUAL = f"CASE WHEN followup AND {strip_sql('previous')} <> '' AND {strip_sql('previous')} <> {strip_sql('query')} THEN {strip_sql('previous || chr(10) || query')} END"
 register("p3_contextual_variant", f"SELECT conv_id, turn, {CONTEXTUAL} AS variant FROM {FOLLOW_SQL}")(lambda spark, d: questions.user_turns(read(spark, d, "conversations")).filter("previous IS NOT NULL").select("conv_id", "turn", questions.contextual_variant(F.col("query"), F.col("previous")).alias("variant")))
@@ -363,7 +428,17 @@ register("p7_build_context", f"SELECT * FROM {CONTEXT_SQL}")(contexts)
 register("p8_build_prompt", f"SELECT query_id, {prompt_sql(questions.STRICT)} AS strict, {prompt_sql(questions.SIMPLE)} AS simple FROM {CONTEXT_SQL}")(lambda spark, d: contexts(spark, d).select("query_id", *(questions.build_prompt(F.col("query_id").cast("string"), F.col("context"), v).alias(v) for v in ("strict", "simple"))))
 register("p9_prompt_question", f"SELECT conv_id, turn, CASE WHEN coalesce(previous, '') = '' THEN query ELSE 'Earlier turns:' || chr(10) || previous || chr(10) || chr(10) || 'Question now:' || chr(10) || query END AS question FROM {TURNS_SQL}")(lambda spark, d: questions.user_turns(read(spark, d, "conversations")).select("conv_id", "turn", questions.prompt_question(F.col("query"), F.col("previous")).alias("question")))
 register("p10_conversation_context")(lambda spark, d: questions.conversation_context(read(spark, d, "conversations")))
-register("p11_answer", "SELECT item_id AS query_id, 'I don''t know' AS answer FROM benchmark")(lambda spark, d: questions.answers(bench(spark, d), contexts(spark, d).select("query_id", F.col("context").alias("prompt"))).select("query_id", "answer"))
+
+
+def size_of_prompt(prompts: pd.Series) -> pd.Series:
+    """A generator that can be checked: it tells how long the prompt is, and has no answer to long ones."""
+    return prompts.map(lambda p: f"{len(p)} letters" if len(p) < 4000 else None)
+
+
+register(
+    "p11_answer",
+    f"SELECT doc_id AS query_id, CASE WHEN length(context) < 4000 THEN length(context) || ' letters' ELSE 'I don''t know' END AS answer FROM documents LEFT JOIN {CONTEXT_SQL} ON query_id = doc_id",
+)(lambda spark, d: questions.answers(read(spark, d, "documents").select(F.col("doc_id").alias("query_id")), contexts(spark, d).select("query_id", F.col("context").alias("prompt")), size_of_prompt).select("query_id", "answer"))
 register("p12_sessions_from_activity", "SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND u.text <> '' AND a.text <> ''")(lambda spark, d: (lambda c: c.filter("role = 'user' AND text <> ''").select("conv_id", "turn", F.col("text").alias("question")).join(c.filter("role = 'assistant' AND text <> ''").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")).hint("merge"), ["conv_id", "turn"]))(read(spark, d, "conversations")))
 register("p15_query_activity_record", "SELECT event_id, 'query' AS type, ts, round(value, 2) AS latency, 'user ' || user_id AS description FROM events WHERE event_type = 'view'")(lambda spark, d: read(spark, d, "events").filter("event_type = 'view'").select("event_id", F.lit("query").alias("type"), "ts", F.round("value", 2).alias("latency"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description")))
 

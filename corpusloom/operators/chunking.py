@@ -157,7 +157,7 @@ def paragraph_chunks(text: Column, target: int = 260, overlap: int = 1) -> Colum
 
 
 def merge_tiny(texts: Column, smallest: int = MIN_TOKENS) -> Column:
-    """Chunks below `smallest` tokens join the next one; a last one joins the one before. Gives (index, text).
+    """Chunks below `smallest` tokens join the next one; a last one joins the one before. Gives (index, text, c), c being the counters.
 
     The index of an untouched chunk is its place, of a merged one the place and the direction of its last merge. Chunks
     are joined by newlines, which no token spans, so token counters are taken once per chunk and added.
@@ -179,19 +179,24 @@ def merge_tiny(texts: Column, smallest: int = MIN_TOKENS) -> Column:
         return F.struct(F.when(state == 1, here).alias("wait"), F.when(state == 1, acc["done"]).when(state == 2, back).otherwise(F.concat(acc["done"], F.array(here))).alias("done"), acc["last"].alias("last"))
 
     start = F.struct(F.lit(None).cast(piece).alias("wait"), F.array().cast(f"array<{piece}>").alias("done"), (F.size(texts) - 1).alias("last"))
-    return F.aggregate(numbered, start, step, lambda acc: F.transform(acc["done"], lambda d: F.struct(d["index"].alias("index"), d["text"].alias("text"))))
+    return F.aggregate(numbered, start, step, lambda acc: acc["done"])
 
 
 def _numbered(texts: Column) -> Column:
-    return F.transform(texts, lambda t, i: F.struct(i.cast("string").alias("index"), t.alias("text")))
+    return F.transform(texts, lambda t, i: F.struct(i.cast("string").alias("index"), t.alias("text"), X.token_counters(t).alias("c")))
 
 
 def informative(chunks: DataFrame) -> DataFrame:
-    """Chunks with some text in them."""
+    """Chunks with some text in them. chunks: text, token_count."""
     letters = F.regexp_count("text", F.lit(r"\p{L}"))
     return chunks.filter((F.length(X.strip(F.col("text"))) > 0) & (F.col("token_count") >= MIN_INFORMATIVE_TOKENS) & (letters >= MIN_LETTERS))
 
 
+def _informative(piece: Column) -> Column:
+    """Is there some text in a piece? By its counters, which are taken once per chunk; letters mean that it isn't blank."""
+    return (X.tokens_from(piece["c"]) >= MIN_INFORMATIVE_TOKENS) & (piece["c"]["letters"] >= MIN_LETTERS)
+
+
 def chunk_documents(clean: DataFrame, strategy: str = "sentence_window", target: int | None = None, overlap: int | None = None) -> DataFrame:
     """Chunks of clean documents, one row each, with lineage columns. The texts of a chunk never leave its document's task."""
     if strategy == "sentence_window":
@@ -204,11 +209,11 @@ def chunk_documents(clean: DataFrame, strategy: str = "sentence_window", target:
         raise ValueError("strategy must be 'sentence_window' or 'paragraph'")
     parted = clean.withColumn("pieces", pieces)
     parted = parted.withColumn("pieces", _numbered(F.col("pieces")) if overlap else merge_tiny(F.col("pieces")))
-    rows = parted.select("*", F.posexplode_outer("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text")
+    rows = parted.select("*", F.posexplode("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text").filter(_informative(F.col("piece")))
     text = F.col("piece.text")
-    rows = rows.withColumns({"text": text, "chunk_id": X.chunk_identity(F.col("doc_id"), strategy, F.col("piece.index")), "chunk_index": F.col("place"), "strategy": F.lit(strategy), "token_count": X.approx_token_count(text), "chunk_char_count": F.length(text), "chunk_content_hash": X.chunk_content_hash(text)})
+    rows = rows.withColumns({"text": text, "chunk_id": X.chunk_identity(F.col("doc_id"), strategy, F.col("piece.index")), "chunk_index": F.col("place"), "strategy": F.lit(strategy), "token_count": X.tokens_from(F.col("piece.c")), "chunk_char_count": F.length(text), "chunk_content_hash": X.chunk_content_hash(text)})
     rows = rows.withColumnRenamed("doc_id", "source_doc_id").drop("piece", "place")
-    return informative(chunk_metadata(rows))
+    return chunk_metadata(rows)
 
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,9 +46,9 @@ class Sections(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         named = {k: v or "" for k, v in attrs}
         if tag == "meta":
-            name = (named.get("name") or named.get("property") or "").lower()
-            if name in META:
-                self.meta[f"meta_{name.replace(':', '_')}"] = named.get("content", "")
+            told = [named[k].lower() for k in ("name", "property") if named.get(k)]
+            for name in META.intersection(told[:1]):
+                self.meta["_".join(["meta", *name.split(":")])] = named.get("content", "")
         if tag in VOID:
             return
         for x in reversed(self.stack):
@@ -100,19 +101,18 @@ class Sections(HTMLParser):
         return root.attrs.get("id") or (root.attrs.get("class", "").split() or [""])[0]
 
     def _by_heading(self) -> list[tuple[str, str]]:
-        found: list[tuple[str, list[str]]] = []
-        title, parts = "", []
-        for tag, block in self.blocks:
-            text = " ".join(block.parts)
-            if tag in HEADINGS and text:
-                if parts or title:
-                    found.append((title, parts))
-                title, parts = text, []
-            elif text and tag in CONTENT:
-                parts.append(text)
-        if parts:
-            found.append((title, parts))
-        return [(t, "\n".join(p)) for t, p in found] or [("", "\n".join(self.body))]
+        """Each block belongs to the last heading with text before it, number 0 being none; a heading at the very end has no section."""
+        said = [(tag in HEADINGS, " ".join(block.parts)) for tag, block in self.blocks]
+        said = [(heading, text) for heading, text in said if text]
+        number = list(accumulate(heading for heading, _ in said))
+        titles = ["", *(text for heading, text in said if heading)]
+        parts: list[list[str]] = [[] for _ in titles]
+        for k, (heading, text) in zip(number, said, strict=True):
+            if not heading:
+                parts[k].append(text)
+        last = len(titles) - 1
+        found = [(titles[k], "\n".join(p)) for k, p in enumerate(parts) if p or 0 < k < last]
+        return found or [("", "\n".join(self.body))]
 
 
 def parse(html: str) -> Sections:

@@ -110,7 +110,7 @@ def answers(queries: DataFrame, prompts: DataFrame, generate=None) -> DataFrame:
     joined = queries.join(prompts, "query_id", "left")
     if generate is None:
         return joined.withColumn("answer", F.lit(IDK))
-    made = F.pandas_udf(generate, "string")(F.col("prompt"))
+    made = F.pandas_udf(generate, "string")(F.coalesce("prompt", F.lit("")))  # evaluated for all rows; those without hits are not used
     return joined.withColumn("answer", F.when(F.col("prompt").isNull(), IDK).otherwise(F.coalesce(made, F.lit(IDK))))
 
 

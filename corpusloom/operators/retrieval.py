@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from corpusloom.functions import text as X
 MIN_SCORE, PER_DOCUMENT, OVERSAMPLE = 0.74, 3, 3.0
 VARIANT_FLOOR, FALLBACK_FLOOR, LEXICAL_FLOOR, LEXICAL_OVERLAP = 0.76, 0.68, 0.72, 2
 MIN_HYBRID, TOP_WINDOW = 0.66, 0.1
+LEXICAL_SHARE = 0.55
 #: Largest table of query vectors that is sent to every task; more queries are searched in several passes.
 QUERY_BATCH = 20_000
 
@@ -30,24 +33,48 @@ def vector_topk(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     Queries travel to the points in batches of a fixed size; each task multiplies whole Arrow batches and keeps k rows per query, so k rows per
     query and task are shuffled. queries: query_id, vector; points: chunk_id, vector.
     """
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BATCH))
+    found = reduce(DataFrame.unionByName, [_best_in_tasks(batch, points, k) for batch in _query_batches(queries)])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _query_batches(queries: DataFrame) -> Iterator[Broadcast]:
+    """Ids and vectors of at most about QUERY_BATCH queries at a time, sent once to each executor."""
+    parts = max(1, -(-queries.count() // QUERY_BATCH))
     dealt = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    found = None
     for part in range(parts):
         rows = dealt.filter(F.col("part") == part).select("query_id", "vector").toArrow()
-        ids = rows.column("query_id").to_numpy()
-        matrix = np.array(rows.column("vector").to_pylist(), dtype=np.float64)
-        one = _best_in_tasks(ids, matrix, points, k)
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        yield queries.sparkSession.sparkContext.broadcast((rows.column("query_id").to_numpy(), np.array(rows.column("vector").to_pylist(), dtype=np.float64)))
+
+
+def vector_score(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """query_id, pairs, best, mean: number, maximum and mean of a query's scores over all points.
+
+    Each task multiplies whole Arrow batches and sends one row per query.
+    """
+
+    def of(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            n, best, total = 0, np.full(len(ids), -np.inf), np.zeros(len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(ids) else 0, 1000):
+                    scores = matrix @ np.array(batch.column("vector").slice(at, 1000).to_pylist(), dtype=np.float64).T
+                    n, best, total = n + scores.shape[1], np.maximum(best, scores.max(axis=1)), total + scores.sum(axis=1)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), n)), pa.array(best), pa.array(total)], ["query_id", "pairs", "best", "total"])
+
+        return points.select("vector").mapInArrow(run, "query_id long, pairs long, best double, total double")
 
+    parts = reduce(DataFrame.unionByName, map(of, _query_batches(queries)))
+    return parts.groupBy("query_id").agg(F.sum("pairs").alias("pairs"), F.max("best").alias("best"), (F.sum("total") / F.sum("pairs")).alias("mean"))
 
-def _best_in_tasks(ids: np.ndarray, matrix: np.ndarray, points: DataFrame, k: int) -> DataFrame:
+
+def _best_in_tasks(sent: Broadcast, points: DataFrame, k: int) -> DataFrame:
     kind = dict(points.dtypes)["chunk_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = sent.value
         best: list[list[tuple[float, object]]] = [[] for _ in ids]
         for batch in batches:
             if not batch.num_rows or not len(ids):
@@ -81,15 +108,35 @@ def token_overlap(queries: DataFrame, chunks: DataFrame, least: int = 1) -> Data
     return pairs.filter(F.col("overlap") >= least)
 
 
+def covering_pairs(queries: DataFrame, chunks: DataFrame, least: int = LEXICAL_OVERLAP, share: float = LEXICAL_SHARE) -> DataFrame:
+    """As `token_overlap`, but for pairs only that share `share` of the query's tokens and `least` of them at least.
+
+    A chunk that lacks all of a query's rarest tokens can't have enough of the others: only `size - needed + 1` rarest ones of each query are
+    joined, and what meets there is checked on the tokens themselves. So words that are in every chunk make no pairs.
+    """
+    have = chunks.select("chunk_id", F.explode("tokens").alias("token"))
+    needed = F.greatest(F.lit(least), F.ceil(F.size("tokens") * share - 1e-9))
+    asked = queries.select("query_id", (F.size("tokens") - needed + 1).alias("rare"), F.explode("tokens").alias("token"))
+    df = have.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = asked.hint("merge").join(df, "token").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token")))  # a query's few tokens
+    absent = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")).hint("merge").join(ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("known")), "query_id")
+    # tokens that no chunk has are the rarest of all
+    probes = ranked.hint("merge").join(absent, "query_id").filter(F.col("nth") + F.col("size") - F.col("known") <= F.col("rare")).select("query_id", "token")
+    met = have.hint("merge").join(probes, "token").select("query_id", "chunk_id").distinct()
+    both = met.hint("merge").join(queries.select("query_id", F.col("tokens").alias("asked"), needed.alias("needed")), "query_id").hint("merge").join(chunks.select("chunk_id", "tokens"), "chunk_id")
+    counted = both.select("query_id", "chunk_id", F.size("asked").alias("size"), F.size(F.array_intersect("asked", "tokens")).alias("overlap"), "needed")
+    return counted.filter(F.col("overlap") >= F.col("needed")).drop("needed")
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank by token coverage and phrase. queries: query_id, query; chunks: chunk_id, text."""
     asked = queries.withColumn("tokens", X.match_tokens(F.col("query")))
     have = chunks.withColumn("tokens", X.match_tokens(F.col("text")))
-    pairs = token_overlap(asked, have, LEXICAL_OVERLAP)
+    pairs = covering_pairs(asked, have)
     coverage = F.col("overlap") / F.col("size")
     # without the phrase a pair needs 5/6 of the tokens, with it 5/9: the others are not joined back to their texts
     near = pairs.filter(0.42 + coverage * 0.36 + 0.1 >= LEXICAL_FLOOR)
-    full = near.join(queries.select("query_id", F.lower("query").alias("asked")), "query_id").hint("merge").join(chunks.select("chunk_id", "text"), "chunk_id")
+    full = near.hint("merge").join(queries.select("query_id", F.lower("query").alias("asked")), "query_id").hint("merge").join(chunks.select("chunk_id", "text"), "chunk_id")
     phrase = F.lower("text").contains(F.col("asked"))
     score = F.least(F.lit(0.9), 0.42 + coverage * 0.36 + F.when(phrase, 0.1).otherwise(0.0))
     scored = full.filter(phrase | (coverage >= 0.55)).select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= LEXICAL_FLOOR)
@@ -115,10 +162,10 @@ def weighted_coverage(asked: DataFrame, candidates: DataFrame) -> DataFrame:
 
     asked: query_id, tokens; candidates: query_id, chunk_id, tokens.
     """
-    each = asked.select("query_id", F.explode("tokens").alias("token")).join(token_frequency(candidates), ["query_id", "token"], "left")
+    each = asked.select("query_id", F.explode("tokens").alias("token")).hint("merge").join(token_frequency(candidates), ["query_id", "token"], "left")
     weights = each.withColumn("w", 1.0 / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))
     have = candidates.select("query_id", "chunk_id", "tokens")
-    pairs = weights.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("weights")).join(have, "query_id")
+    pairs = weights.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("weights")).hint("merge").join(have, "query_id")
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x["w"])
     hit = total(F.filter("weights", lambda x: F.array_contains("tokens", x["token"])))
     return pairs.select("query_id", "chunk_id", (hit / F.greatest(total(F.col("weights")), F.lit(1e-9))).alias("weighted"))
@@ -132,9 +179,9 @@ def hybrid_rerank(candidates: DataFrame, variants: DataFrame) -> DataFrame:
     have = candidates.withColumn("tokens", X.match_tokens(F.col("text")))
     asked = variants.withColumn("asked", X.match_tokens(F.col("query")))
     df = token_frequency(have)
-    weights = asked.select("query_id", "variant", F.explode("asked").alias("token")).join(df, ["query_id", "token"], "left")
+    weights = asked.select("query_id", "variant", F.explode("asked").alias("token")).hint("merge").join(df, ["query_id", "token"], "left")
     weights = weights.groupBy("query_id", "variant").agg(F.sort_array(F.collect_list(F.struct("token", (1.0 / F.coalesce("df", F.lit(1))).alias("w")))).alias("weights"))
-    pairs = have.join(asked, "query_id").join(weights, ["query_id", "variant"], "left")
+    pairs = have.hint("merge").join(asked, "query_id").hint("merge").join(weights, ["query_id", "variant"], "left")
     text, query = F.col("text"), F.col("query")
     script = X.shares_script(query, text)
     live = script & (F.size("asked") > 0)
@@ -170,7 +217,7 @@ def reject_low_confidence(ranked: DataFrame) -> DataFrame:
     floor = F.greatest(F.lit(MIN_HYBRID), F.col("top.score") - TOP_WINDOW)
     weak = (F.col("top.score") < MIN_HYBRID) | (F.col("top.script") & (F.col("top.informative") < 0.25) & (F.col("top.semantic") < 0.82)) | (F.col("top.script") & (F.greatest("top.coverage", "top.weighted") < 0.18) & (F.col("top.semantic") < 0.81))
     kept = (F.col("top.semantic") >= 0.86) | ~weak
-    return ranked.join(top, "query_id").filter(kept & (F.col("score") >= floor)).drop("top")
+    return ranked.hint("merge").join(top, "query_id").filter(kept & (F.col("score") >= floor)).drop("top")
 
 
 def post_process(hits: DataFrame, k: int, dedup: bool = True, cap: int | None = PER_DOCUMENT, min_score: float | None = MIN_SCORE) -> DataFrame:
@@ -216,12 +263,12 @@ def retrieve_with_variants(variants: DataFrame, hits: DataFrame, chunks: DataFra
     """
     tops = hits.groupBy("query_id", "variant").agg(F.max("score").alias("top"))
     passed = tops.filter((F.col("variant") == 0) | (F.col("top") >= VARIANT_FLOOR))
-    best = best_per_chunk(hits.join(passed.select("query_id", "variant"), ["query_id", "variant"], "left_semi"))
+    best = best_per_chunk(hits.hint("merge").join(passed.select("query_id", "variant"), ["query_id", "variant"], "left_semi"))
     sure = tops.groupBy("query_id").agg(F.max("top").alias("top")).filter(F.col("top") >= FALLBACK_FLOOR).select("query_id")
-    sure = sure.join(passed.select("query_id").distinct(), "query_id", "left_semi")
-    unsure = variants.filter(F.col("variant") == 0).join(sure, "query_id", "left_anti").select("query_id", "query")
+    sure = sure.hint("merge").join(passed.select("query_id").distinct(), "query_id", "left_semi")
+    unsure = variants.filter(F.col("variant") == 0).hint("merge").join(sure, "query_id", "left_anti").select("query_id", "query")
     words = lexical_search(unsure, chunks, max(3 * k, 5)).select("query_id", "chunk_id", "score")
     merged = best_per_chunk(best.unionByName(words)).join(chunks.hint("merge"), "chunk_id")
     ranked = reject_low_confidence(hybrid_rerank(merged, variants))
-    kept = ranked.join(chunks.select("chunk_id", "chunk_content_hash", "document_group_id").hint("merge"), "chunk_id")
+    kept = ranked.hint("merge").join(chunks.select("chunk_id", "chunk_content_hash", "document_group_id").hint("merge"), "chunk_id")
     return post_process(kept, k, min_score=None)

@@ -89,7 +89,7 @@ def expand_adjacent(hits: DataFrame, chunks: DataFrame, window: int = 1) -> Data
     offsets = [0] + [s * k for k in range(1, window + 1) for s in (-1, 1)]
     around = hits.select("query_id", "rank", "score", "group_id", "chunk_index", F.posexplode(F.array(*map(F.lit, offsets))).alias("nth", "offset"))
     around = around.select("query_id", "rank", "score", "nth", "group_id", (F.col("chunk_index") + F.col("offset")).alias("chunk_index"))
-    found = around.join(chunks.select("group_id", "chunk_index", "chunk_id"), ["group_id", "chunk_index"])
+    found = around.hint("merge").join(chunks.select("group_id", "chunk_index", "chunk_id"), ["group_id", "chunk_index"])
     once = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "nth", "score")).alias("one"))
     order = Window.partitionBy("query_id").orderBy("one.rank", "one.nth")  # a query's few hits
     return once.select("query_id", "chunk_id", F.col("one.score").alias("score"), F.row_number().over(order).alias("rank"))
@@ -109,15 +109,25 @@ def delete_rows(rows: DataFrame, paths: DataFrame, hashes: DataFrame) -> DataFra
 def match_ingestion_job(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """For each run the newest job of the same project and type with the same path, or a shared hash or source.
 
-    runs: run_id, project_id, file_type, input_path, file_hashes[], source_paths[]; jobs: job_id, created_at and the same. Each
-    way to match is an equi join, so no job is compared with runs it shares nothing with.
+    runs: run_id, project_id, file_type, input_path, file_hashes[], source_paths[]; jobs: job_id, created_at and the same. Jobs are first
+    reduced to the newest one of each value, so that a run meets one row per value, however many jobs share it.
     """
-    keys = ["project_id", "file_type"]
+    keys = ["project_id", "file_type", "value"]
+
+    def values(rows: DataFrame, column: str, *kept: str) -> DataFrame:
+        value = F.col(column) if column == "input_path" else F.explode(column)
+        return rows.select(*kept, "project_id", "file_type", value.alias("value"))
 
     def by(column: str) -> DataFrame:
-        a = runs.select("run_id", *keys, F.explode(column).alias("value")) if column != "input_path" else runs.select("run_id", *keys, F.col(column).alias("value"))
-        b = jobs.select("job_id", "created_at", *keys, F.explode(column).alias("value")) if column != "input_path" else jobs.select("job_id", "created_at", *keys, F.col(column).alias("value"))
-        return a.join(b.hint("merge"), [*keys, "value"]).select("run_id", "job_id", "created_at")
+        newest = values(jobs, column, "job_id", "created_at").groupBy(*keys).agg(F.max(F.struct("created_at", "job_id")).alias("newest"))
+        return values(runs, column, "run_id").hint("merge").join(newest, keys).select("run_id", "newest")
 
     every = by("input_path").unionByName(by("file_hashes")).unionByName(by("source_paths"))
-    return every.groupBy("run_id").agg(F.max_by("job_id", F.struct("created_at", "job_id")).alias("job_id"))
+    return every.groupBy("run_id").agg(F.max("newest").alias("newest")).select("run_id", "newest.job_id")
+
+
+def chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per source path: distinct documents and chunks. documents: source_path, doc_id; chunks: source_path."""
+    each = documents.groupBy("source_path").agg(F.countDistinct("doc_id").alias("documents"))
+    counted = chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("chunk_count"))
+    return each.hint("merge").join(counted, "source_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
