@@ -76,6 +76,16 @@ def _unpacked(windows: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(windows.to_pylist()), dtype=np.uint64)
 
 
+def _among(packed: bytes, known: np.ndarray) -> np.ndarray:
+    """The distinct hashes of a packed sorted list that are in `known` (sorted, without repeats), in time that does not grow with its size."""
+    some = np.frombuffer(packed, dtype=np.uint64)
+    if not len(known) or not len(some):
+        return some[:0]
+    at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+    some = some[known[at] == some]
+    return some[np.concatenate((np.ones(min(1, len(some)), dtype=bool), some[1:] != some[:-1]))]
+
+
 def _rows(block, ranges: np.ndarray, shard, windows: list[bytes]) -> pa.Table:
     n = len(windows)
     fill = lambda x: pa.array([x] * n if np.isscalar(x) or x is None else x, pa.int32())
@@ -183,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes
         packed = group.column("windows").to_pylist()
         order = np.sort(np.frombuffer(b"".join(packed), dtype=np.uint64))
         twice = np.unique(order[1:][order[1:] == order[:-1]])
-        held = [np.intersect1d(np.frombuffer(p, dtype=np.uint64), twice) for p in packed]
+        held = [_among(p, twice) for p in packed]
         some = [k for k, h in enumerate(held) if len(h)]
         blocks = group.column("block").to_pylist()
         return _rows([blocks[k] for k in some], np.full(len(some), group.column("range")[0].as_py() >> finer if len(some) else 0), None, [held[k].tobytes() for k in some])
@@ -191,7 +201,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes
     def return_(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of one block and range: for each shard its windows among the confirmed ones."""
         confirmed = np.unique(_unpacked(right.column("windows")))
-        held = [np.intersect1d(np.frombuffer(p, dtype=np.uint64), confirmed) for p in left.column("windows").to_pylist()]
+        held = [_among(p, confirmed) for p in left.column("windows").to_pylist()]
         some = [k for k, h in enumerate(held) if len(h)]
         shard = left.column("shard").to_pylist()
         return pa.table({"shard": pa.array([shard[k] for k in some], pa.int32()), "windows": pa.array([held[k].tobytes() for k in some], pa.binary())})
