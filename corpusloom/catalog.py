@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import normalizers
 from corpusloom.functions import text as X
 from corpusloom.operators import aggregates, chunking, html, questions, retrieval, tables
 from corpusloom.plans import ingest
@@ -140,7 +141,94 @@ register(
     f"SELECT doc_id, len(list_filter(range(1, len(ws)), lambda i: (length(ws[i]) >= 4 OR length(ws[i + 1]) >= 4) AND contains(lower(text), ws[i] || ' ' || ws[i + 1]))) AS bigrams FROM (SELECT doc_id, text, {BIGRAM_SQL} AS ws FROM {PAIRED_SQL})",
 )(lambda spark, d: paired(spark, d).select("doc_id", retrieval.count_bigrams(F.col("query"), F.col("text")).alias("bigrams")))
 register("c27_derive_chunk_score", f"SELECT doc_id, CASE WHEN n <= 0 THEN 0.0 ELSE round(least(greatest(n / 250.0, 0.1), 0.99)::DOUBLE, 4) END AS score FROM (SELECT doc_id, {COUNT_SQL.replace('{t}', 'text')} AS n FROM documents)")(lambda spark, d: read(spark, d, "documents").select("doc_id", X.derive_chunk_score(X.approx_token_count(F.col("text"))).alias("score")))
-register("c28_normalize_job", "SELECT event_id, coalesce(nullif(trim(event_type), ''), 'unknown') AS kind, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'indexed' WHEN 'click' THEN 'processing' ELSE 'queued' END AS status, coalesce(try_cast(regexp_extract(props, '[0-9]+') AS BIGINT), 0) AS chunks FROM events")(lambda spark, d: read(spark, d, "events").select("event_id", F.coalesce(F.nullif(F.trim("event_type"), F.lit("")), F.lit("unknown")).alias("kind"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "indexed").when(F.col("event_type") == "click", "processing").otherwise("queued").alias("status"), F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0)).alias("chunks")))
+
+
+# --- loose records ---
+
+
+def record(**fields: Column) -> Column:
+    """A record with these text fields; a field that is null is not there."""
+    named = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(v.cast("string") for v in fields.values())))
+    return F.map_filter(named, lambda _, v: v.isNotNull())
+
+
+def normalized(name: str, kind: str, table: str, key: str, sql: str, make: Callable[[], tuple[Column, Column | None]], shown: dict[str, str]) -> None:
+    """A query of records made from the rows of a table; shown: field of the result to column."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        one = normalizers.normalize(kind, *make(), F.col(key))
+        return read(spark, d, table).select(key, one.alias("r")).select(key, *(F.col(f"r.{k}").alias(v) for k, v in shown.items()))
+
+    register(name, sql)(run)
+
+
+def job_record() -> tuple[Column, None]:
+    word = F.create_map(*map(F.lit, ("error", "FAILED", "purchase", "Indexed", "click", "processing")))
+    return record(mime_type=F.col("event_type"), status=F.coalesce(F.try_element_at(word, "event_type"), F.lit("odd")), chunks_created=F.get_json_object("props", "$.k")), None
+
+
+register("c28_normalize_job", "SELECT event_id, coalesce(nullif(trim(event_type), ''), 'unknown') AS kind, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'indexed' WHEN 'click' THEN 'processing' ELSE 'queued' END AS status, coalesce(try_cast(regexp_extract(props, '[0-9]+') AS BIGINT), 0) AS chunks FROM events")(
+    lambda spark, d: read(spark, d, "events").select("event_id", normalizers.normalize("job", *job_record()).alias("r")).select("event_id", F.col("r.file_type").alias("kind"), "r.status", F.coalesce("r.chunks_created", F.lit(0)).cast("long").alias("chunks"))
+)
+normalized(
+    "c28_normalize_document",
+    "document",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id ELSE 'd' || doc_id END AS id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Unknown document' END AS name, lang AS type, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE n_chars END::DOUBLE AS size, n_chars::DOUBLE AS chunks FROM documents",
+    lambda: (
+        record(
+            doc_id=F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))),
+            file_name=F.lit("  "),
+            name=F.when(F.col("doc_id") % 2 == 0, F.col("source")),
+            type=F.col("lang"),
+            file_size=F.when(F.col("doc_id") % 5 == 0, "large"),
+            size=F.col("n_chars"),
+            total_chunks=F.col("n_chars"),
+        ),
+        None,
+    ),
+    {"id": "id", "file_name": "name", "file_type": "type", "file_size": "size", "chunk_count": "chunks"},
+)
+normalized(
+    "c28_normalize_chunk",
+    "chunk",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, 'c' || doc_id AS id, text, n_chars::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Unknown source' END AS source, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 9 END::DOUBLE AS page FROM documents",
+    lambda: (
+        record(content=F.col("text"), similarity=F.col("n_chars"), page_num=F.when(F.col("doc_id") % 4 == 0, "ix")),
+        record(chunk_id=F.concat(F.lit("c"), F.col("doc_id").cast("string")), source_path=F.when(F.col("doc_id") % 2 == 0, F.col("source")), page=F.col("doc_id") % 9),
+    ),
+    {"id": "id", "text": "text", "score": "score", "source": "source", "page_number": "page"},
+)
+normalized(
+    "c28_normalize_answer",
+    "answer",
+    "conversations",
+    "turn",
+    "SELECT turn, 'answer-' || turn AS id, CASE WHEN role = 'user' THEN text ELSE '' END AS question, CASE WHEN role = 'user' THEN '' ELSE text END AS answer, length(text)::DOUBLE AS tokens FROM conversations",
+    lambda: (record(query=F.when(F.col("role") == "user", F.col("text")), answer=F.when(F.col("role") != "user", F.col("text")), tokens_used=F.length("text")), None),
+    {"id": "id", "question": "question", "answer": "answer", "tokens_used": "tokens"},
+)
+normalized(
+    "c28_normalize_stats",
+    "stats",
+    "documents",
+    "doc_id",
+    "SELECT doc_id, n_chars::DOUBLE AS documents, 0.0::DOUBLE AS chunks, CASE WHEN lang = 'en' THEN 'healthy' ELSE 'offline' END AS health FROM documents",
+    lambda: (record(documents_count=F.col("n_chars"), total_chunks=F.lit("many"), retrieval_health=F.when(F.col("lang") == "en", "healthy").otherwise("odd")), None),
+    {"total_documents": "documents", "total_chunks": "chunks", "retrieval_health": "health"},
+)
+normalized(
+    "c28_normalize_activity",
+    "activity",
+    "events",
+    "event_id",
+    "SELECT event_id, 'activity-' || event_id AS id, CASE event_type WHEN 'error' THEN 'error' ELSE 'query' END AS type, CASE WHEN event_id % 2 = 0 THEN props ELSE 'Activity event' END AS description FROM events",
+    lambda: (record(type=F.col("event_type"), title=F.when(F.col("event_id") % 2 == 0, F.col("props"))), None),
+    {"id": "id", "type": "type", "description": "description"},
+)
 
 
 # --- sources ---
@@ -168,7 +256,49 @@ register("s11_upsert_vectors", f"WITH n AS ({POINTS_NEW}) SELECT vec_id, label F
 register("s12_delete_points", "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT conv_id FROM conversations)")(lambda spark, d: tables.delete_keys(points(spark, d), read(spark, d, "conversations").select(F.col("conv_id").alias("vec_id")), ["vec_id"]))
 register("s13_existing_ids", "SELECT DISTINCT conv_id AS vec_id FROM conversations WHERE conv_id IN (SELECT vec_id FROM embeddings)")(lambda spark, d: tables.existing_ids(points(spark, d), read(spark, d, "conversations").select(F.col("conv_id").alias("vec_id")), "vec_id"))
 register("s15_embedding_cache", "SELECT chunk_content_hash, c.content_hash IS NOT NULL AS cached FROM (SELECT DISTINCT sha256(text) AS chunk_content_hash FROM documents) h LEFT JOIN (SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 0) c ON c.content_hash = h.chunk_content_hash")(lambda spark, d: tables.resolve_vectors(read(spark, d, "documents").select(F.sha2("text", 256).alias("chunk_content_hash")), read(spark, d, "documents").filter("doc_id % 2 = 0").select(F.lit("m").alias("model_key"), F.sha2("text", 256).alias("content_hash")), "m"))
-register("s16_manifest_by_file", "SELECT source, count(*) AS chunks, count(DISTINCT sha256(text)) AS files FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 7 = 0) GROUP BY source")(lambda spark, d: (lambda m: m.join(m.filter("doc_id % 7 = 0").select("file_hash").distinct(), "file_hash", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_hash").alias("files")))(read(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))))
+register("s13_list_ids", "SELECT vec_id FROM embeddings WHERE label IN (1, 2, 3)")(lambda spark, d: tables.list_ids(points(spark, d), {"label": [1, 2, 3]}, "vec_id"))
+register("s13_points_by_ids", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT conv_id FROM conversations)")(lambda spark, d: tables.points_by_ids(points(spark, d), read(spark, d, "conversations").select(F.col("conv_id").alias("vec_id")), "vec_id"))
+
+
+def file_rows(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
+
+
+register("s16_manifest_by_file", "SELECT source, count(*) AS chunks, count(DISTINCT sha256(text)) AS files FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 7 = 0) GROUP BY source")(
+    lambda spark, d: tables.manifest_by_files(file_rows(spark, d), file_rows(spark, d).filter("doc_id % 7 = 0")).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_hash").alias("files"))
+)
+register("s16_replace_manifest", "WITH n AS (SELECT doc_id + 1000000000 AS doc_id, 'new' AS source, sha256(text) AS file_hash FROM documents WHERE doc_id % 7 = 0) SELECT doc_id, source, sha256(text) AS file_hash FROM documents WHERE sha256(text) NOT IN (SELECT file_hash FROM n) UNION ALL SELECT * FROM n")(
+    lambda spark, d: tables.replace_manifest(file_rows(spark, d), file_rows(spark, d).filter("doc_id % 7 = 0").withColumns({"doc_id": F.col("doc_id") + 1000000000, "source": F.lit("new")}))
+)
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", "ts", "event_type")
+
+
+register("s17_append_activity", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")(lambda spark, d: tables.append_activity(log(spark, d).filter("event_id % 3 > 0"), log(spark, d).filter("event_id % 3 = 0")))
+
+
+def saved_jobs(spark: SparkSession, d: str, low: int, high: int) -> DataFrame:
+    """The events of some users as saves of jobs, one job a user."""
+    rows = read(spark, d, "events").filter(F.col("user_id") % 10 < high).filter(F.col("user_id") % 10 >= low)
+    return rows.select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"), F.struct("ts", "event_id").alias("updated_at"))
+
+
+def job_table(spark: SparkSession, d: str) -> DataFrame:
+    """Users 0 to 5 (modulo 10) are there with their first event, then all events of 3 to 9 are saved."""
+    first = tables.first_by_key(saved_jobs(spark, d, 0, 6), "id", F.col("updated_at"))
+    return tables.save_jobs(first, saved_jobs(spark, d, 3, 10)).select("id", "status", "created_at")
+
+
+JOBS_SQL = "(SELECT user_id::VARCHAR AS id, CASE WHEN user_id % 10 < 3 THEN arg_min(event_type, (ts, event_id)) ELSE arg_max(event_type, (ts, event_id)) END AS status, CASE WHEN user_id % 10 < 6 THEN min(ts) ELSE arg_max(ts, (ts, event_id)) END AS created_at FROM events GROUP BY user_id)"
+register("s18_save_jobs", f"SELECT * FROM {JOBS_SQL}")(job_table)
+register("s18_delete_job", f"SELECT * FROM {JOBS_SQL} WHERE id <> '3'")(lambda spark, d: tables.delete_job(job_table(spark, d), "3"))
+register("s18_get_job", f"SELECT * FROM {JOBS_SQL} WHERE id = '3'")(lambda spark, d: tables.get_job(job_table(spark, d), "3"))
+register("s18_list_jobs", f"SELECT * FROM {JOBS_SQL} ORDER BY created_at DESC, id DESC LIMIT 200")(lambda spark, d: tables.list_jobs(job_table(spark, d)))
+register("a13_job_counts", "SELECT count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS active, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events")(
+    lambda spark, d: aggregates.job_counts(read(spark, d, "events").select(F.when(F.col("event_type") == "purchase", "indexed").when(F.col("event_type") == "error", "failed").otherwise("queued").alias("status")))
+)
 register("s17_list_activities", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")(lambda spark, d: tables.recent(read(spark, d, "events").select("event_id", "ts", "event_type"), "ts", "event_id"))
 register("s18_latest_jobs", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")(lambda spark, d: tables.latest_by_key(read(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", F.struct("ts", "event_id")).drop("ts"))
 CASES_SQL = "(SELECT 'case-' || item_id AS id, item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN ['src' || (item_id % 20)] ELSE [] END AS src, [substr(text, 1, 40)] AS ev, CASE WHEN item_id % 5 = 0 THEN ['src3/'] ELSE [] END AS bad FROM benchmark)"
@@ -192,11 +322,26 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
     return sources.clean_documents(raw(spark, d))
 
 
+def round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Clean documents written as JSON lines and read back."""
+    path = streams.shared_path(spark, "clean")
+    sources.save_documents(clean(spark, d).withColumn("metadata", record(file_hash=F.col("file_hash"))), path)
+    return sources.load_documents(spark, path)
+
+
 CLEAN_DOCS = f"(SELECT id, doc_id, source_path, file_type, page_num, file_hash, t AS clean_text, {n_of('t', f'[^{SPACE}]+')} AS word_count, {COUNT_SQL.replace('{t}', 't')} AS token_count, {n_of('t', r'\p{L}')} AS letters FROM (SELECT *, {CLEAN_SQL.replace('{t}', 'raw_text')} AS t FROM {RAW_SQL}))"
 register("f1_drop_near_empty", f"SELECT id, word_count FROM {CLEAN_DOCS} WHERE word_count >= 12")(lambda spark, d: sources.drop_near_empty(clean(spark, d)).select("id", "word_count"))
 register("f2_informative_chunks", f"SELECT id FROM {CLEAN_DOCS} WHERE token_count >= 12 AND letters >= 20")(lambda spark, d: chunking.informative(clean(spark, d).withColumn("text", F.col("clean_text")).withColumn("token_count", X.approx_token_count(F.col("text")))).select("id"))
 register("f3_metadata_filter", "SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')")(lambda spark, d: read(spark, d, "documents").filter(tables.metadata_filter({"lang": "en", "source": ["src1", "src2", "src3"], "n_chars": None, "text": []})).select("doc_id"))
-register("f5_inspect_chunks", f"SELECT doc_id, score, count(*) OVER () AS total FROM (SELECT doc_id, source, lang, round(least(greatest(n / 250.0, 0.1), 0.99)::DOUBLE, 4) AS score FROM (SELECT *, {COUNT_SQL.replace('{t}', 'text')} AS n FROM documents)) WHERE contains(lower(source), 'src1') AND lang IN ('en', 'fr') AND score BETWEEN 0.3 AND 0.9")(lambda spark, d: (lambda rows: rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))).select("doc_id", "score", "total"))(read(spark, d, "documents").select("doc_id", "source", "lang", X.derive_chunk_score(X.approx_token_count(F.col("text"))).alias("score")).filter(F.lower("source").contains("src1") & F.col("lang").isin("en", "fr") & F.col("score").between(0.3, 0.9))))
+register("f5_inspect_chunks", f"SELECT doc_id, score, count(*) OVER () AS total FROM (SELECT doc_id, source, lang, round(least(greatest(n / 250.0, 0.1), 0.99)::DOUBLE, 4) AS score FROM (SELECT *, {COUNT_SQL.replace('{t}', 'text')} AS n FROM documents)) WHERE contains(lower(source), 'src1') AND lang IN ('en', 'fr') AND score BETWEEN 0.3 AND 0.9")(
+    lambda spark, d: tables.inspect_chunks(read(spark, d, "documents").select("doc_id", F.col("source").alias("source_path"), F.col("lang").alias("file_type"), X.derive_chunk_score(X.approx_token_count(F.col("text"))).alias("score")), "SRC1", ["en", "fr"], 0.3, 0.9).select("doc_id", "score", "total")
+)
+register("a13_average_score", f"SELECT coalesce(round(avg(score) * 100), 0)::BIGINT AS average_score FROM ({SQL['c27_derive_chunk_score']})")(
+    lambda spark, d: aggregates.average_score_percent(read(spark, d, "documents").select(X.derive_chunk_score(X.approx_token_count(F.col("text"))).alias("score")))
+)
+register("s10_load_documents", f"SELECT doc_id, source_path, page_num, length(t) AS char_count, word_count, md5(t) AS digest FROM (SELECT *, clean_text AS t FROM {CLEAN_DOCS})")(
+    lambda spark, d: round_trip(spark, d).select("doc_id", "source_path", "page_num", "char_count", "word_count", F.md5("clean_text").alias("digest"))
+)
 
 
 # --- chunks ---
@@ -376,7 +521,7 @@ register("a7_documents_overview", "SELECT source AS source_path, arg_min(doc_id,
 register("a8_system_stats", "SELECT (SELECT count(DISTINCT source) FROM documents) AS total_documents, (SELECT max(n_chars) FROM documents) AS last_ingestion_at, (SELECT count(*) FROM documents) AS total_chunks, (SELECT round(avg(value), 2) FROM events WHERE event_type = 'view') AS avg_retrieval_latency_ms, 'healthy' AS retrieval_health")(lambda spark, d: aggregates.system_stats(as_documents(spark, d), as_documents(spark, d), read(spark, d, "events").select(F.when(F.col("event_type") == "view", "query").otherwise("other").alias("type"), F.col("value").alias("latency"))))
 register("a9_dominant_language", "SELECT lang FROM (SELECT lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY lang) ORDER BY n DESC, f LIMIT 1")(lambda spark, d: aggregates.dominant_language(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("detected_lang"))))
 register("a13_activity_counts", "SELECT event_type AS type, count(*) AS n, round(avg(value), 2) AS avg_latency FROM events GROUP BY event_type")(lambda spark, d: aggregates.activity_counts(read(spark, d, "events").select(F.col("event_type").alias("type"), F.col("value").alias("latency"))))
-register("a15_count_chunks", "SELECT source AS ingestion_id, count(*) FILTER (length(trim(text)) > 0) AS chunks FROM documents GROUP BY source")(lambda spark, d: read(spark, d, "documents").groupBy(F.col("source").alias("ingestion_id")).agg(F.count_if(F.length(F.trim("text")) > 0).alias("chunks")))
+register("a15_count_chunks", "SELECT source AS ingestion_id, count(*) FILTER (length(trim(text)) > 0) AS chunks FROM documents GROUP BY source")(lambda spark, d: aggregates.count_chunks(read(spark, d, "documents").select(F.col("source").alias("ingestion_id"), "text")))
 register("a16_run_sources", f"SELECT id % 10 AS ingestion_id, count(DISTINCT source_path) AS sources, count(DISTINCT file_hash) AS files, min(source_path) AS first_source, max(source_path) AS last_source FROM {RAW_SQL} GROUP BY 1")(lambda spark, d: aggregates.run_sources(raw(spark, d).withColumn("ingestion_id", F.col("id") % 10)))
 
 
@@ -439,8 +584,22 @@ register(
     "p11_answer",
     f"SELECT doc_id AS query_id, CASE WHEN length(context) < 4000 THEN length(context) || ' letters' ELSE 'I don''t know' END AS answer FROM documents LEFT JOIN {CONTEXT_SQL} ON query_id = doc_id",
 )(lambda spark, d: questions.answers(read(spark, d, "documents").select(F.col("doc_id").alias("query_id")), contexts(spark, d).select("query_id", F.col("context").alias("prompt")), size_of_prompt).select("query_id", "answer"))
-register("p12_sessions_from_activity", "SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND u.text <> '' AND a.text <> ''")(lambda spark, d: (lambda c: c.filter("role = 'user' AND text <> ''").select("conv_id", "turn", F.col("text").alias("question")).join(c.filter("role = 'assistant' AND text <> ''").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")).hint("merge"), ["conv_id", "turn"]))(read(spark, d, "conversations")))
-register("p15_query_activity_record", "SELECT event_id, 'query' AS type, ts, round(value, 2) AS latency, 'user ' || user_id AS description FROM events WHERE event_type = 'view'")(lambda spark, d: read(spark, d, "events").filter("event_type = 'view'").select("event_id", F.lit("query").alias("type"), "ts", F.round("value", 2).alias("latency"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description")))
+
+
+def asked_and_answered(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of users with the assistant's next turn as query activity."""
+    said = read(spark, d, "conversations").filter("text <> ''")
+    answers = said.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    both = said.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(answers.hint("merge"), ["conv_id", "turn"])
+    return questions.query_activity(both.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"), F.col("turn").alias("ts"), "question", "answer", F.lit(0.0).alias("latency")))
+
+
+register("p12_sessions_from_activity", "SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND u.text <> '' AND a.text <> ''")(
+    lambda spark, d: questions.sessions_from_activity(asked_and_answered(spark, d)).select(F.regexp_extract("session_id", r"-(\d+):", 1).cast("long").alias("conv_id"), F.col("at").alias("turn"), "question", "answer")
+)
+register("p15_query_activity_record", "SELECT event_id, 'query' AS type, ts, round(value, 2) AS latency, 'user ' || user_id AS description FROM events WHERE event_type = 'view'")(
+    lambda spark, d: questions.query_activity(read(spark, d, "events").filter("event_type = 'view'").select("event_id", "ts", F.col("value").alias("latency"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("question"), F.lit("").alias("answer"))).select("event_id", "type", "ts", "latency", "description")
+)
 
 
 # --- evaluation ---
@@ -483,9 +642,9 @@ def indexed(spark: SparkSession, d: str) -> DataFrame:
     index = ingest.Index(spark, folder)
     rows = read(spark, d, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "text", F.sha2((F.col("doc_id") % 7).cast("string"), 256).alias("file_hash"), F.lit("{}").alias("metadata_json"))
     hashed = lambda df: df.withColumn("chunk_content_hash", X.chunk_content_hash(F.col("text")))
-    index.index_chunks(hashed(rows.filter("doc_id % 10 <> 0")), 1)
+    index.index_chunks(hashed(rows.filter("doc_id % 10 <> 0")))
     second = rows.filter("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 2, F.concat(F.lit("new "), "text")).otherwise(F.col("text")))
-    return index.index_chunks(hashed(second), 2)
+    return index.index_chunks(hashed(second))
 
 
 HASH_SQL = f"sha256({NORMAL_SQL.replace('{t}', 'text')})"
@@ -495,11 +654,45 @@ register("i1_index_chunks", f"WITH c AS (SELECT {HASH_SQL} AS h FROM documents W
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
     folder = streams.shared_path(spark, "run")
     ingest.write_latest_and_snapshot(read(spark, d, "documents").select("doc_id", "source"), folder, "run-1")
-    return spark.read.parquet(f"{folder}/latest/run-1").join(spark.read.parquet(f"{folder}/snapshots").filter("ingestion_id = 'run-1'").select("doc_id"), "doc_id", "left_semi")
+    return ingest.read_latest(spark, folder).join(spark.read.parquet(f"{folder}/snapshots").filter("run = 'run-1'").select("doc_id"), "doc_id", "left_semi")
 
 
 register("s9_latest_and_snapshot", "SELECT doc_id, source FROM documents")(snapshot)
-register("i4_ingest_job_record", "SELECT 'job-' || source AS id, count(*) AS documents, count(DISTINCT sha256(text)) AS files, 'indexed' AS status FROM documents GROUP BY source")(lambda spark, d: read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct(F.sha2("text", 256)).alias("files")).select(F.concat(F.lit("job-"), "source").alias("id"), "documents", "files", F.lit("indexed").alias("status")))
+register("i4_ingest_job_record", "SELECT 'job-' || source AS id, count(*) AS documents, count(DISTINCT sha256(text)) AS files, 'indexed' AS status FROM documents GROUP BY source")(
+    lambda spark, d: tables.ingest_job_record(read(spark, d, "documents").select("source", F.sha2("text", 256).alias("file_hash")), "source", "now").select("id", "documents", "files", "status")
+)
+
+
+def whole_run(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as files: a fifth can't be read, and a fifth has null content."""
+    ext = F.element_at(F.array(*map(F.lit, ("txt", "MD", "bin", "txt", "md"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("in/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    files = read(spark, d, "documents").select(path.alias("path"), F.when(F.col("doc_id") % 5 != 4, F.col("text").cast("binary")).alias("content"))
+    folder = streams.shared_path(spark, "run")
+    counts = ingest.run_pipeline(files, folder, "run-1", "now", "paragraph", index=ingest.Collections(spark, folder).create("p"))
+    return counts.drop("chunks")
+
+
+register(
+    "i3_run_pipeline",
+    f"WITH r AS (SELECT file_hash, word_count FROM {CLEAN_DOCS} WHERE id % 5 IN (0, 1, 3)), u AS (SELECT file_hash, any_value(word_count) AS word_count FROM r GROUP BY file_hash) SELECT count(*) AS files, count(*) AS raw_pages, count(*) FILTER (word_count >= 12) AS clean_docs, (SELECT count(*) FROM documents) - count(*) FILTER (word_count >= 12) AS skipped FROM u",
+)(whole_run)
+
+
+def projects(spark: SparkSession, d: str) -> DataFrame:
+    """Even documents in one project, odd ones in another that is deleted, and a third without any."""
+    every = ingest.Collections(spark, streams.shared_path(spark, "projects"))
+    rows = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), "text", X.chunk_content_hash(F.col("text")).alias("chunk_content_hash"), F.lit("{}").alias("metadata_json"), F.sha2("text", 256).alias("file_hash"))
+    for name, rest in (("even", 0), ("odd", 1)):
+        every.create(name).index_chunks(rows.filter(F.col("doc_id") % 2 == rest))
+    every.create("empty")
+    every.delete("odd")
+    said = [(name, every.exists(name), every.has_points(name)) for name in ("even", "odd", "empty")]
+    counted = every.create("even").vectors().agg(F.count(F.lit(1)).alias("points"))
+    return spark.createDataFrame(said, "project string, there boolean, filled boolean").crossJoin(counted)  # three rows and one
+
+
+register("s14_collections", "SELECT project, there, filled, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS points FROM (VALUES ('even', true, true), ('odd', false, false), ('empty', true, false)) p(project, there, filled)")(projects)
 
 
 # --- streams ---
@@ -512,6 +705,18 @@ def stream_ingested(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("t1_stream_ingest", f"SELECT id, doc_id, word_count AS words FROM {CLEAN_DOCS}")(stream_ingested)
+
+
+def stream_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stream in as chunks of an index; a second stream over the same table changes nothing."""
+    index = ingest.Index(spark, streams.shared_path(spark, "stream-index"))
+    chunks = lambda b: b.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "text", X.chunk_content_hash(F.col("text")).alias("chunk_content_hash"), F.lit("{}").alias("metadata_json"), F.sha2("text", 256).alias("file_hash"))
+    for k in range(2):
+        streams.stream_index(streams.read_stream(spark, d, "documents"), chunks, index, streams.shared_path(spark, f"stream-index-checkpoint-{k}"))
+    return index.manifest().join(index.vectors().hint("merge"), "chunk_id").select("chunk_id", "chunk_content_hash")
+
+
+register("t1_stream_index", f"SELECT sha256(doc_id::VARCHAR) AS chunk_id, sha256({NORMAL_SQL.replace('{t}', 'text')}) AS chunk_content_hash FROM documents")(stream_indexed)
 register("t2_stream_activity_stats", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2")(lambda spark, d: streams.run_to_table(streams.window_stats(streams.read_stream(spark, d, "events")), "stats", "complete"))
 register("t3_stream_dedup", "SELECT count(DISTINCT user_id) AS users FROM events")(lambda spark, d: streams.run_to_table(streams.stream_dedup(streams.read_stream(spark, d, "events"), "user_id", "ts"), "dedup").agg(F.count(F.lit(1)).alias("users")))
 register("t4_stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR > ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")(lambda spark, d: streams.run_to_table(streams.sessions(streams.read_stream(spark, d, "events")), "sessions", "complete"))

@@ -107,3 +107,19 @@ def run_sources(rows: DataFrame) -> DataFrame:
 
 def activity_counts(activity: DataFrame) -> DataFrame:
     return activity.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 2).alias("avg_latency"))
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """One row: jobs under way, done and failed. jobs: status."""
+    under_way = F.col("status").isin("processing", "queued")
+    return jobs.agg(F.count_if(under_way).alias("active"), F.count_if(F.col("status") == "indexed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def average_score_percent(chunks: DataFrame) -> DataFrame:
+    """One row: the mean score of chunks as a whole percentage, 0 without any."""
+    return chunks.agg(F.coalesce(F.round(F.avg("score") * 100), F.lit(0.0)).cast("long").alias("average_score"))
+
+
+def count_chunks(chunks: DataFrame) -> DataFrame:
+    """Per ingestion the chunks that aren't blank. chunks: ingestion_id, text."""
+    return chunks.groupBy("ingestion_id").agg(F.count_if(F.length(F.trim("text")) > 0).alias("chunks"))

@@ -19,7 +19,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: A start tag that ends an open element of the same kind, as browsers do.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 ENDS_P = SECTIONS | HEADINGS | {"div", "ul", "ol", "table", "h3", "h4", "h5", "h6", "blockquote", "pre", "p"}
-RESULT = "page_id long, section_no int, title string, text string, html_title string, metadata map<string,string>"
+RESULT = "section_no int, title string, text string, html_title string, metadata map<string,string>"
 
 
 class _Open:
@@ -122,23 +122,26 @@ def parse(html: str) -> Sections:
     return parser
 
 
-def extract_sections(pages: DataFrame) -> DataFrame:
-    """One row per section of each page. pages: page_id, html. A page that can't be parsed gives its bare text."""
+def extract_sections(pages: DataFrame, *keys: str) -> DataFrame:
+    """One row per section of each page. pages: html and the keys (page_id if none is named). A page that can't be parsed gives its bare text."""
+    kept = pages.select(*(keys or [F.col("page_id").cast("long").alias("page_id")]), "html")
+    named = kept.drop("html").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for at, html in enumerate(batch.column("html").to_pylist()):
                 try:
                     p = parse(html or "")
-                    rows += [(page, k, title, text, p.title, list(p.meta.items())) for k, (title, text) in enumerate(p.sections())]
+                    rows += [(at, k, title, text, p.title, list(p.meta.items())) for k, (title, text) in enumerate(p.sections())]
                 except AssertionError:  # the parser's own sign of broken markup
-                    rows.append((page, 0, "", re.sub("<[^>]*>", " ", html).strip(), "", []))
+                    rows.append((at, 0, "", re.sub("<[^>]*>", " ", html).strip(), "", []))
             types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "section_no", "title", "text", "html_title", "metadata"])
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, types, strict=True)]
+            whose = [batch.column(f.name).take(columns[0]) for f in named]
+            yield pa.RecordBatch.from_arrays([*whose, *columns[1:]], [*(f.name for f in named), "section_no", "title", "text", "html_title", "metadata"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, RESULT)
+    return kept.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in named)}, {RESULT}")
 
 
 def html_title(html: Column) -> Column:

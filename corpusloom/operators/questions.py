@@ -157,3 +157,15 @@ def probe_multi_chunk(hits: DataFrame) -> DataFrame:
     """Per query the page labels of its hits in order, and previews."""
     rows = F.sort_array(F.collect_list(F.struct("rank", "page_label", F.substring("text", 1, 220).alias("preview"))))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["page_label"]), ",").alias("pages"), F.array_join(F.transform(rows, lambda r: r["preview"]), "\n").alias("previews"))
+
+
+def query_activity(answered: DataFrame) -> DataFrame:
+    """An activity row for each answered query. answered: event_id, ts, question, answer, latency and, if there are any, retrieved (ids)."""
+    given = F.size("retrieved") if "retrieved" in answered.columns else F.lit(0)
+    return answered.select("event_id", F.lit("query").alias("type"), "ts", F.round("latency", 2).alias("latency"), F.col("question").alias("description"), "question", "answer", given.alias("retrieved_count"))
+
+
+def sessions_from_activity(activity: DataFrame) -> DataFrame:
+    """A session for each query event that has a question and an answer, however empty, newest first: session_id, title, question, answer, at."""
+    whole = activity.filter((F.col("type") == "query") & F.col("question").isNotNull() & F.col("answer").isNotNull())
+    return whole.select(F.concat(F.lit("activity-session-"), F.col("event_id").cast("string")).alias("session_id"), F.col("question").alias("title"), "question", "answer", F.col("ts").alias("at")).orderBy(F.desc("at"))

@@ -131,3 +131,72 @@ def chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     each = documents.groupBy("source_path").agg(F.countDistinct("doc_id").alias("documents"))
     counted = chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("chunk_count"))
     return each.hint("merge").join(counted, "source_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+
+
+def list_ids(points: DataFrame, filters: dict[str, object] | None = None, key: str = "chunk_id") -> DataFrame:
+    """The ids of all points that the filters hold for; no cap."""
+    return points.filter(metadata_filter(filters or {})).select(key)
+
+
+def points_by_ids(points: DataFrame, wanted: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The points that are asked for, each once; unknown ids have no row."""
+    return points.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def manifest_by_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The manifest rows of the listed file hashes."""
+    return manifest.join(files.select("file_hash").distinct(), "file_hash", "left_semi")
+
+
+def replace_manifest(manifest: DataFrame, current: DataFrame) -> DataFrame:
+    """The rows of every file that current holds are replaced by those of current; other files stay."""
+    return upsert(manifest, current, ["file_hash"])
+
+
+def append_activity(activity: DataFrame, new: DataFrame, time: str = "ts", key: str = "event_id", n: int = RECENT) -> DataFrame:
+    """The log with the new events, newest n only."""
+    return recent(activity.unionByName(new), time, key, n)
+
+
+def save_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """Jobs by id: a saved one replaces the old one but keeps its created_at. Both: id, created_at and more.
+
+    Several saved rows of one id: the newest updated_at counts.
+    """
+    latest = latest_by_key(new, "id", F.col("updated_at"))
+    before = jobs.select("id", F.col("created_at").alias("__before"))
+    dated = latest.hint("merge").join(before, "id", "left").withColumn("created_at", F.coalesce("__before", "created_at")).drop("__before")
+    return upsert(jobs, dated.select(*jobs.columns), ["id"])
+
+
+def get_job(jobs: DataFrame, job_id: str) -> DataFrame:
+    return jobs.filter(F.col("id") == job_id)
+
+
+def delete_job(jobs: DataFrame, job_id: str) -> DataFrame:
+    """All jobs but that one; null ids stay."""
+    return jobs.filter(~F.col("id").eqNullSafe(F.lit(job_id)))
+
+
+def list_jobs(jobs: DataFrame, n: int = RECENT) -> DataFrame:
+    return recent(jobs, "created_at", "id", n)
+
+
+def ingest_job_record(documents: DataFrame, run: str, now: str) -> DataFrame:
+    """A job per run: id, counts, file hashes and sources counted, status. documents: the run column, file_hash."""
+    counted = documents.groupBy(run).agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("file_hash").alias("files"))
+    status = F.when(F.col("documents") > 0, "indexed").otherwise("failed")
+    return counted.select(F.concat(F.lit("job-"), F.col(run)).alias("id"), "documents", "files", status.alias("status"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
+
+
+def inspect_chunks(chunks: DataFrame, source: str | None = None, types: list[str] | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Chunks whose source_path has the text in it, in any case, of one of the types and with a score in the range, beside their total number.
+
+    chunks: source_path, file_type, score and more.
+    """
+    kept = chunks.filter(F.col("score").between(low, high))
+    if source:
+        kept = kept.filter(F.lower("source_path").contains(source.lower()))
+    if types:
+        kept = kept.filter(F.lower("file_type").isin([t.lower() for t in types]))
+    return kept.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("total"))))  # one row

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,27 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import chunking, tables
-from corpusloom.sources.documents import clean_documents, drop_near_empty, read_documents_table
+from corpusloom.sources.documents import LOADERS, clean_documents, dedup_files, drop_near_empty, file_fingerprint, read_documents_table, route_by_extension
 
 MODEL_KEY = "hashing-tf-256"
+Embed = Callable[[DataFrame, str], DataFrame]
+Load = Callable[[DataFrame], DataFrame]
+
+
+def _spot(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """A path and its file system, whichever scheme it has."""
+    spot = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spot, spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions below a path, oldest first."""
+    spot, store = _spot(spark, path)
+    if not store.exists(spot):
+        return []
+    marks = [(s.getPath().getName(), _spot(spark, f"{s.getPath()}/_SUCCESS")[0]) for s in store.listStatus(spot)]
+    done = [(store.getFileStatus(mark).getModificationTime(), name) for name, mark in marks if store.exists(mark)]
+    return [name for _, name in sorted(done)]
 
 
 def embed(rows: DataFrame, column: str, kind: str = "passage", dimension: int = 256) -> DataFrame:
@@ -32,68 +52,199 @@ def chunks_of(docs: DataFrame, strategy: str = "sentence_window", min_words: int
 
 @dataclass
 class Index:
-    """Tables of one project below a folder: manifest, vectors, cache. Each write goes to a new version; a pointer row says which is current."""
+    """Tables of one project below a folder: manifest, vectors, cache. Each write goes to a new version, the newest complete one is current.
+
+    embed: adds the column embedding to rows from the named text column; model_key keeps the vectors of several models apart in the cache.
+    """
 
     spark: SparkSession
     folder: str
+    embed: Embed = embed
+    model_key: str = MODEL_KEY
+
+    MANIFEST = "chunk_id string, chunk_content_hash string, metadata_json string, file_hash string"
+    VECTORS = "chunk_id string, embedding array<float>"
+    CACHE = "model_key string, content_hash string, embedding array<float>"
+    DIFF = "chunk_id string, status string"
+
+    def versions(self, name: str) -> list[int]:
+        return sorted(int(v[1:]) for v in complete_versions(self.spark, f"{self.folder}/{name}"))
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        spot = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        store = spot.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not store.exists(spot):
-            return self.spark.createDataFrame([], schema)
-        versions = sorted(int(s.getPath().getName()[1:]) for s in store.listStatus(spot) if store.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        versions = self.versions(name)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
 
-    def _write(self, name: str, rows: DataFrame, version: int) -> None:
+    def _write(self, name: str, rows: DataFrame) -> None:
         """A version counts once its _SUCCESS file is there, so a run that breaks off leaves the one before current."""
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
-
-    MANIFEST = "chunk_id string, chunk_content_hash string, metadata_json string, file_hash string"
-    VECTORS = "chunk_id string, embedding array<float>"
-    CACHE = "model_key string, content_hash string, embedding array<float>"
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{max(self.versions(name), default=0) + 1}")
 
-    def index_chunks(self, chunks: DataFrame, version: int, reset: bool = False) -> DataFrame:
+    def index_chunks(self, chunks: DataFrame, reset: bool = False) -> DataFrame:
         """Bring the index to these chunks; returns the report. chunks: chunk_id, text, chunk_content_hash, metadata_json, file_hash.
 
         Only the file hashes that the chunks have are compared. No chunks: nothing changes. A second run with the same input changes nothing.
+        The manifest is written last: after a run that broke off, the next one finds the same differences again.
         """
         current = tables.first_by_key(chunks, "chunk_id", F.col("chunk_content_hash"))
         manifest = self._read("manifest", self.MANIFEST)
         if reset:
             manifest = manifest.limit(0)
-        touched = manifest.join(current.select("file_hash").distinct(), "file_hash", "left_semi")
-        diff = tables.manifest_diff(touched, current)
+        touched = tables.manifest_by_files(manifest, current)
+        self._write("diff", tables.manifest_diff(touched, current))  # written once: three tables depend on it
+        diff = self._read("diff", self.DIFF)
         changed = current.join(diff.filter(F.col("status").isin("new", "changed")), "chunk_id", "left_semi")
         cache = self._read("cache", self.CACHE)
-        resolved = tables.resolve_vectors(changed, cache, MODEL_KEY)
+        resolved = tables.resolve_vectors(changed, cache, self.model_key)
         missing = changed.join(resolved.filter(~F.col("cached")), "chunk_content_hash", "left_semi")
-        made = embed(missing.groupBy("chunk_content_hash").agg(F.min("text").alias("text")), "text")
-        made = made.select(F.lit(MODEL_KEY).alias("model_key"), F.col("chunk_content_hash").alias("content_hash"), "embedding")
+        made = self.embed(missing.groupBy("chunk_content_hash").agg(F.min("text").alias("text")), "text")
+        made = made.select(F.lit(self.model_key).alias("model_key"), F.col("chunk_content_hash").alias("content_hash"), "embedding")
         report = tables.index_report(diff, resolved)
         counts = report.first().asDict()  # one row, and it must be counted before the tables change
-        self._write("cache", cache.unionByName(made), version)
+        self._write("cache", cache.unionByName(made))
         full = self._read("cache", self.CACHE)
-        vectors = changed.select("chunk_id", F.col("chunk_content_hash").alias("content_hash")).join(full.filter(F.col("model_key") == MODEL_KEY), "content_hash").select("chunk_id", "embedding")
+        vectors = changed.select("chunk_id", F.col("chunk_content_hash").alias("content_hash")).join(full.filter(F.col("model_key") == self.model_key), "content_hash").select("chunk_id", "embedding")
         old = self._read("vectors", self.VECTORS)
         if reset:
             old = old.limit(0)
         kept = tables.delete_keys(old, diff.filter(F.col("status") != "unchanged"), ["chunk_id"])
-        self._write("vectors", kept.unionByName(vectors), version)
+        self._write("vectors", kept.unionByName(vectors))
         rest = manifest.join(touched.select("chunk_id"), "chunk_id", "left_anti")
-        self._write("manifest", rest.unionByName(current.select("chunk_id", "chunk_content_hash", "metadata_json", "file_hash")), version)
+        self._write("manifest", rest.unionByName(current.select("chunk_id", "chunk_content_hash", "metadata_json", "file_hash")))
         return self.spark.createDataFrame([counts], report.schema)
 
+    def manifest(self) -> DataFrame:
+        return self._read("manifest", self.MANIFEST)
+
+    def vectors(self) -> DataFrame:
+        return self._read("vectors", self.VECTORS)
+
+    def delete_files(self, files: DataFrame) -> None:
+        """The chunks of the listed file hashes go from the vectors and the manifest; the cache stays, as it goes by content."""
+        manifest = self.manifest()
+        gone = tables.manifest_by_files(manifest, files)
+        self._write("vectors", tables.delete_keys(self.vectors(), gone, ["chunk_id"]))
+        self._write("manifest", tables.delete_keys(manifest, gone, ["chunk_id"]))
 
-def write_latest_and_snapshot(chunks: DataFrame, folder: str, run: str) -> None:
-    """The run's snapshot, then the latest table in a new version; readers take the newest complete one (`read_latest`)."""
-    chunks.write.mode("overwrite").parquet(f"{folder}/snapshots/ingestion_id={run}")
-    chunks.sparkSession.read.parquet(f"{folder}/snapshots/ingestion_id={run}").write.mode("overwrite").parquet(f"{folder}/latest/{run}")
 
+@dataclass
+class Collections:
+    """The indexes of several projects, each in a folder of its own."""
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, project: str) -> str:
+        """Projects are named by letters, digits, dots, dashes and low lines; another name is an error, as it could lead elsewhere."""
+        if not project or project.strip(".") == "" or not all(c.isalnum() or c in "._-" for c in project):
+            raise ValueError(f"no name for a project: {project!r}")
+        return f"{self.folder}/project_id={project}"
+
+    def create(self, project: str, **options: object) -> Index:
+        """The project's index; one that is there already is kept."""
+        spot, store = _spot(self.spark, self.path(project))
+        store.mkdirs(spot)
+        return Index(self.spark, self.path(project), **options)
+
+    def exists(self, project: str) -> bool:
+        spot, store = _spot(self.spark, self.path(project))
+        return store.exists(spot)
+
+    def has_points(self, project: str) -> bool:
+        return not Index(self.spark, self.path(project)).vectors().isEmpty()
+
+    def delete(self, project: str) -> bool:
+        """False if there was none."""
+        spot, store = _spot(self.spark, self.path(project))
+        return store.delete(spot, True)
 
-def delete_ingestion(chunks: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """The rows that stay without a path and all below it, and one row of counts."""
+
+def write_snapshot(rows: DataFrame, folder: str, run: str) -> DataFrame:
+    """The rows of one run, read back. A run that is written again replaces its own snapshot only."""
+    path = f"{folder}/snapshots/run={run}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def write_latest(rows: DataFrame, folder: str, run: str) -> None:
+    rows.write.mode("overwrite").parquet(f"{folder}/latest/{run}")
+
+
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest complete latest table."""
+    runs = complete_versions(spark, f"{folder}/latest")
+    if not runs:
+        raise FileNotFoundError(f"no complete run below {folder}")
+    return spark.read.parquet(f"{folder}/latest/{runs[-1]}")
+
+
+def write_latest_and_snapshot(chunks: DataFrame, folder: str, run: str) -> None:
+    """The run's snapshot, then the latest table in a new version; readers take the newest complete one (`read_latest`)."""
+    write_latest(write_snapshot(chunks, folder, run), folder, run)
+
+
+def load_files(files: DataFrame, loaders: dict[str, Load] = LOADERS) -> tuple[DataFrame, DataFrame]:
+    """Pages of files by their loaders, and one row of counts: given, files (read, each content once).
+
+    files: path, content. Skipped are files that no loader takes, and of equal bytes all but the first by path; a file without content
+    is no copy of another.
+    """
+    routed = route_by_extension(files.select("path", "content")).withColumn("file_hash", F.coalesce(file_fingerprint(F.col("content")), F.sha2("path", 256)))
+    routed = routed.withColumn("skipped", F.coalesce(~F.col("reader").isin(*loaders), F.lit(True)))
+    kept = dedup_files(routed.filter(~F.col("skipped")))
+    pages = None
+    for reader, load in loaders.items():
+        some = load(kept.filter(F.col("reader") == reader))
+        pages = some if pages is None else pages.unionByName(some)
+    hashes = routed.agg(F.count(F.lit(1)).alias("given"), F.countDistinct(F.when(~F.col("skipped"), F.col("file_hash"))).alias("files"))
+    return pages, hashes
+
+
+def run_pipeline(files: DataFrame, folder: str, run: str, now: str, strategy: str = "sentence_window", min_words: int = 12, index: Index | None = None, reset: bool = False, loaders: dict[str, Load] = LOADERS) -> DataFrame:
+    """Files to clean documents, chunks, snapshots, index and latest tables; one row of counts.
+
+    files: path, content. The counts: files (read without failure), raw_pages, clean_docs, skipped (unsupported, copies, failed, near-empty),
+    chunks. Pages are written once and read by all that follows. If indexing fails, the error is raised and the latest tables stay as
+    they were; the snapshots of the run are there.
+    """
+    spark = files.sparkSession
+    pages, counts = load_files(files, loaders)
+    failed = F.col("raw_text").isNull()
+    raw = pages.withColumn("failed", failed).withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+    raw = raw.withColumns({"content_hash": X.content_hash(F.col("raw_text")), "doc_id": X.doc_identity(F.col("file_hash"), F.col("page_num"))})
+    clean = stamp(clean_documents(raw), run, now).withColumn("kept", ~F.col("failed") & (F.col("word_count") >= min_words))
+    pages = write_snapshot(clean, f"{folder}/pages", run)
+    documents = pages.filter("kept").drop("kept", "failed")
+    chunks = write_snapshot(chunking.stamp_lineage(chunking.chunk_documents(documents, strategy), run, now), f"{folder}/chunks", run)
+    if index is not None:
+        told = ("source_path", "page_num", "strategy", "ingestion_id")
+        meta = F.map_from_arrays(F.array(*map(F.lit, told)), F.array(*(F.col(c).cast("string") for c in told)))
+        index.index_chunks(chunks.select("chunk_id", "text", "chunk_content_hash", tables.stable_metadata(meta).alias("metadata_json"), "file_hash"), reset)
+    write_latest(documents, f"{folder}/pages", run)
+    write_latest(chunks, f"{folder}/chunks", run)
+    seen = pages.agg(F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("raw_pages"), F.count_if("kept").alias("clean_docs")).crossJoin(counts).crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunks")))  # one row each
+    skipped = F.col("given") - F.col("files") + F.col("failed") + F.col("raw_pages") - F.col("clean_docs")
+    return spark.createDataFrame(*_held(seen.select((F.col("files") - F.col("failed")).alias("files"), "raw_pages", "clean_docs", skipped.alias("skipped"), "chunks")))
+
+
+def _held(row: DataFrame) -> tuple[list, object]:
+    """One row of counts, taken now."""
+    return row.collect(), row.schema
+
+
+def stamp(documents: DataFrame, run: str, now: str) -> DataFrame:
+    return documents.withColumns({"ingestion_id": F.lit(run), "ingested_at": F.lit(now), "first_ingested_at": F.lit(now)})
+
+
+def delete_ingestion(chunks: DataFrame, path: str, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay without a path and all below it, and one row of counts; the index, if given, loses the files too.
+
+    Nothing at or below the path: LookupError.
+    """
     targets = tables.deletion_targets(chunks, path)
     kept = tables.delete_rows(chunks, targets.select("source_path").distinct(), targets.select("file_hash").distinct())
     counts = targets.agg(F.countDistinct("source_path").alias("paths"), F.countDistinct("file_hash").alias("hashes"), F.count(F.lit(1)).alias("rows_matched"))
-    return kept, counts
+    rows, schema = _held(counts)
+    if rows[0]["rows_matched"] == 0:
+        raise LookupError(f"nothing at or below {path}")
+    if index is not None:
+        index.delete_files(targets.select("file_hash"))
+    return kept, chunks.sparkSession.createDataFrame(rows, schema)

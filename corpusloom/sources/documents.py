@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.html import extract_sections
 
 #: Which reader takes which extension.
 READERS = {"txt": "text", "md": "text", "html": "html", "htm": "html", "json": "json", "jsonl": "json"}
+CLEAN_SCHEMA = "doc_id string, source_path string, file_type string, page_num int, clean_text string, char_count int, word_count int, detected_lang string, is_arabic boolean, metadata map<string,string>"
 CASE_SCHEMA = "id string, query string, expected_source_contains array<string>, expected_chunk_contains array<string>, expected_answer_keywords array<string>, forbidden_source_contains array<string>, notes string, top_k int, prompt_version string"
 
 
@@ -56,6 +58,39 @@ def read_documents_table(docs: DataFrame) -> DataFrame:
     return raw.withColumn("doc_id", X.doc_identity(F.col("file_hash"), F.col("page_num")))
 
 
+def load_text(files: DataFrame) -> DataFrame:
+    """Files as one page each: source_path, file_type, file_hash, page_num, raw_text. Bytes that aren't UTF-8 become marks; no content gives a null text."""
+    return files.select(F.col("path").alias("source_path"), extension(F.col("path")).alias("file_type"), "file_hash", F.lit(0).alias("page_num"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw_text"))
+
+
+def load_html(files: DataFrame) -> DataFrame:
+    """Each section of a page as a document of its own; no content gives one row with a null text."""
+    pages = files.select("path", "file_hash", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+    parts = extract_sections(pages.filter("html IS NOT NULL"), "path", "file_hash")
+    made = parts.select("path", "file_hash", F.col("section_no").alias("page_num"), F.concat_ws("\n", F.nullif("title", F.lit("")), "text").alias("raw_text"))
+    lost = pages.filter("html IS NULL").select("path", "file_hash", F.lit(0).alias("page_num"), F.lit(None).cast("string").alias("raw_text"))
+    return made.unionByName(lost).select(F.col("path").alias("source_path"), extension(F.col("path")).alias("file_type"), "file_hash", "page_num", "raw_text")
+
+
+#: The reader of a file takes one of these; another format is added with a function from files to pages.
+LOADERS = {"text": load_text, "html": load_html}
+
+
+def save_documents(documents: DataFrame, path: str) -> None:
+    """Clean documents as JSON lines. Null fields are written, so that every key is there on reading."""
+    documents.selectExpr(*(c.split()[0] for c in CLEAN_SCHEMA.split(", "))).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Clean documents from JSON lines. A line that is no object of the schema, has an unknown key or lacks one (but metadata) is an error."""
+    known = [c.split()[0] for c in CLEAN_SCHEMA.split(", ")]
+    keys = F.json_object_keys("value")
+    unlike = keys.isNull() | (F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0) | (F.size(F.array_except(F.array(*map(F.lit, known[:-1])), keys)) > 0)
+    line = F.when(F.coalesce(unlike, F.lit(True)), F.raise_error(F.concat(F.lit("not a clean document: "), F.substring("value", 1, 200))).cast("string")).otherwise(F.col("value"))
+    rows = spark.read.text(path).select(F.from_json(line, CLEAN_SCHEMA, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+    return rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+
+
 def clean_documents(raw: DataFrame, diacritics: bool = True, unicode_form: bool = True) -> DataFrame:
     """Raw documents with clean_text, counts, language and the hash of the clean text."""
     clean = raw.withColumn("clean_text", X.clean_text(F.col("raw_text"), diacritics, unicode_form))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.ingest import Index
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, or in the warehouse where that is unset."""
@@ -72,6 +74,15 @@ def stream_ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_index(stream: DataFrame, chunks: Callable[[DataFrame], DataFrame], index: Index, checkpoint: str) -> None:
+    """Each micro-batch becomes chunks and is brought into the index; a batch that runs again finds nothing changed.
+
+    chunks gives chunk_id, text, chunk_content_hash, metadata_json and file_hash.
+    """
+    write = lambda batch, _: index.index_chunks(chunks(batch))
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def read_ingested(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The newest row of each key."""
     rows = spark.read.parquet(path)
