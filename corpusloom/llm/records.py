@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import fresh_path, partitions, slices, table
-from corpusloom.llm.tokens import byte_letters, cut, is_oddly_spaced
+from corpusloom.llm.tokens import byte_letters, byte_level_file, cut, is_oddly_spaced
 
 MASK = 0xA282EAD8
 #: Entries of a worker's cache before a new generation begins; two are held.
@@ -112,6 +112,7 @@ class _Ids:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import Split
 
+        byte_level_file(path)
         self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.words.pre_tokenizer = Split("\u0120", "merged_with_next")  # what byte-level text has for a space
         self.letters = dict(enumerate(byte_letters()))

@@ -39,6 +39,29 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if is_oddly_spaced(text) else text.split(" ")
 
 
+def byte_level_file(path: str) -> dict:
+    """A tokenizer file, if it is of the form that this module and the records count on; ValueError for any other.
+
+    That is: byte-level BPE with PRE_TOKEN as its pattern, no normalizer, dropout, affixes or fallback, and added tokens that are found as they stand.
+    A post-processor doesn't matter, as no special tokens are added.
+    """
+    try:
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        model, split = told["model"], told["pre_tokenizer"] or {}
+        vocab = model["vocab"]
+    except (UnicodeDecodeError, json.JSONDecodeError, KeyError, TypeError) as wrong:
+        raise ValueError(f"{path} is no tokenizer file in JSON") from wrong
+    plain = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    plain += [k for k in ("normalizer", "truncation", "padding") if told.get(k)]
+    odd = [t["content"] for t in told.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path} is not byte-level BPE with the usual pattern and no space put before a text")
+    if plain or odd or not set(byte_letters()).issubset(vocab):
+        raise ValueError(f"{path} has what is not provided for: {[*plain, *odd] or 'bytes without a symbol'}")
+    return told
+
+
 class RankMerger:
     """Counts BPE symbols of many pre-tokens at a time, held as one ragged numpy array.
 
@@ -61,8 +84,7 @@ class RankMerger:
 
     @classmethod
     def from_file(cls, path: str) -> RankMerger:
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
+        told = byte_level_file(path)
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
         return cls(told["model"]["vocab"], merges, [t["content"] for t in told.get("added_tokens", [])])
 

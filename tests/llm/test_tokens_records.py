@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from itertools import accumulate
@@ -8,7 +9,7 @@ import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from corpusloom.llm.records import BARE, CorruptRecord, encode_and_read_back, frame, parts_of, read_at, read_records, unframe, write_records
+from corpusloom.llm.records import BARE, CorruptRecord, _Ids, encode_and_read_back, frame, parts_of, read_at, read_records, unframe, write_records
 from corpusloom.llm.tokens import RankMerger, count_tokens, cut
 from tests.llm.conftest import HARD
 
@@ -107,3 +108,18 @@ def test_frames():
         with pytest.raises(CorruptRecord):
             unframe(data[:-1])
     assert len(frame(1, small)) + 6 == len(frame(1, np.array([1, 2, 65536], "<u4")))
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        told = json.load(file)
+    changes = [{"normalizer": {"type": "NFC"}}, {"truncation": {"max_length": 8}}, {"pre_tokenizer": None}, {"pre_tokenizer": told["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": told["model"] | {"dropout": 0.1}}, {"model": told["model"] | {"vocab": {"a": 0}}}, {"added_tokens": [told["added_tokens"][0] | {"lstrip": True}]}]
+    paths = [public_tokenizers.path(n) for n in ("word_bpe_49k.json", "piece_bpe_32k.model")]
+    for k, change in enumerate(changes):
+        (tmp_path / f"{k}.json").write_text(json.dumps(told | change))
+        paths.append(str(tmp_path / f"{k}.json"))
+    for path in paths:
+        for made in (RankMerger.from_file, _Ids):
+            with pytest.raises(ValueError):
+                made(path)
+    RankMerger.from_file(PATH), _Ids(PATH)
