@@ -94,8 +94,8 @@ def _frequent(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array(often.select("h").toArrow().column("h"), dtype=np.int64))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Of pairs (a, b) of text keys those that are similar."""
+def _verified(texts: DataFrame, pairs: DataFrame, words: int, likely: bool = False) -> DataFrame:
+    """Of pairs (a, b) of text keys those that are similar. likely: their sketches have been compared already."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +103,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
                 found = [shingles(t, words) for t in text_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s) for s in found], pa.binary())], ["key", "n", "bits"])
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64) for c in ("bits_a", "bits_b"))
             total = np.array(batch.column("n_a"), dtype=np.int64) + np.array(batch.column("n_b"), dtype=np.int64)
@@ -124,13 +124,16 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
         keys = table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
         return only(texts.select("key", "text"), keys, "left_semi", "key")
 
-    bits = table(among(pairs).mapInArrow(signed, "key long, n int, bits binary"), "near-bits")
-    met = pairs.hint("merge").join(bits.toDF("a", "n_a", "bits_a"), "a").hint("merge").join(bits.toDF("b", "n_b", "bits_b"), "b")
-    near = table(met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(likely, "a long, b long"), "near-likely")
+    near, made = pairs, []
+    if not likely:
+        bits = table(among(pairs).mapInArrow(signed, "key long, n int, bits binary"), "near-bits")
+        met = pairs.hint("merge").join(bits.toDF("a", "n_a", "bits_a"), "a").hint("merge").join(bits.toDF("b", "n_b", "bits_b"), "b")
+        near = table(met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(close, "a long, b long"), "near-likely")
+        made = [bits, near]
     held = table(among(near).mapInArrow(sets, "key long, held binary"), "near-sets")
     met = near.hint("merge").join(held.toDF("a", "held_a"), "a").hint("merge").join(held.toDF("b", "held_b"), "b")
     found = table(met.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
-    drop_tables([bits, near, held])
+    drop_tables([*made, held])
     return found
 
 
@@ -155,7 +158,7 @@ def _fits(a: Column, b: Column) -> Column:
 
 
 def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
-    """Links a > b between fingerprints that, with the known ones, give the components of similarity 4/5.
+    """Links a > b between fingerprints that give the components of the known links and of similarity 4/5.
 
     rows: row_id, key (`text_key`), fp, text. known: links a > b between fingerprints.
     """
@@ -201,12 +204,13 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     stars = stars.select("x", F.explode(F.array("y", "z")).alias("y"))
     stars = stars.filter((F.col("x.key") != F.col("y.key")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     pairs = pairs.unionByName(stars.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))).distinct()
-    links = _linked(_verified(texts, table(pairs, "near-pairs"), words), nodes)
+    links = known.unionByName(_linked(_verified(texts, table(pairs, "near-pairs"), words), nodes))
     if full.isEmpty():
         return links
 
-    groups = components(known.unionByName(links)).withColumnRenamed("node", "fp")
+    groups = components(links).withColumnRenamed("node", "fp")
     rooted = nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    rooted = table(rooted, "near-roots")
     placed = table(full.hint("merge").join(rooted, "key"), "near-full")
     counts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
     most = table(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), "near-most")
@@ -214,10 +218,12 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     rest = others.hint("merge").join(placed.select("h", "root", one.alias("y")), "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     rest = table(rest.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-rest")
     drop_tables([full, placed, most, others, sketched])
-    return links if rest.isEmpty() else links.unionByName(_linked(_verified(texts, rest, words), nodes))
+    # what is linked already is a star, and the rest links stars by their roots
+    links = groups.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    return links if rest.isEmpty() else links.unionByName(_linked(_verified(texts, rest, words, likely=True), rooted))
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the fingerprints of pairs of text keys."""
+    """Links between the nodes of pairs of text keys. nodes: key, node."""
     both = pairs.hint("merge").join(nodes.toDF("a", "x"), "a").hint("merge").join(nodes.toDF("b", "y"), "b").filter("x != y")
     return table(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "near-linked")

@@ -172,7 +172,7 @@ def keep_representatives(docs: DataFrame, words: int = 3, seed: int = 42, radius
     linked = links(distinct.select("fp"), radius)
     if near:
         linked = table(linked, "simhash-links")
-        linked = linked.unionByName(near_links(printed.select("row_id", "key", "fp", F.col(text).cast("string").alias("text")), linked))
+        linked = near_links(printed.select("row_id", "key", "fp", F.col(text).cast("string").alias("text")), linked)
     groups = components(linked).withColumnRenamed("node", "fp")
     tops = distinct.hint("merge").join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     first = tops.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.fp").alias("kept_fp"), F.col("one.least.id").alias("kept_id"))
