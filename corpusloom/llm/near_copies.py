@@ -8,7 +8,7 @@ drop out; the others are checked on the whole sets. Which shingles count as freq
 
 A shingle at which many texts meet (a group of near copies) compares all with two of them first: the most central text, that is the one which
 meets others at the most such shingles, and the one with the smallest key. What then belongs to the largest component there needs no further comparison among itself; all else is
-compared with the texts of the shingle that are not in its component. These comparisons are part of the join, by a sketch that each text of a crowded
+compared with a few texts of that component, and what this has not linked with all texts of the shingle that are not in its component. These comparisons are part of the join, by a sketch that each text of a crowded
 shingle carries, so that only pairs which may be similar become rows.
 
 Shingles are compared by a 64-bit hash. Words are as in simhash.py; a text with fewer words than a shingle is near
@@ -31,6 +31,8 @@ from corpusloom.llm.words import text_bytes, window_hashes, word_hashes
 
 #: A shingle with more texts than this compares them with its most central one first.
 FULL_CELL = 32
+#: So many texts of the largest component of a crowded shingle are compared with those outside it before all are.
+PIVOTS = 8
 #: Longs of a sketch: the signature in short.
 SKETCH = 32
 #: One text in so many is looked at for frequent shingles; those in OFTEN of them count, MOST_FREQUENT at most.
@@ -212,17 +214,33 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     rooted = nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
     rooted = table(rooted, "near-roots")
     placed = table(full.hint("merge").join(rooted, "key"), "near-full")
-    counts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
-    most = table(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), "near-most")
-    others = table(salted_join(placed, most, ["h"], "key").filter("root != largest").select("h", F.col("root").alias("other"), one.alias("x")), "near-others")
-    rest = others.hint("merge").join(placed.select("h", "root", one.alias("y")), "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
+    most, others = _outside(placed, one)
+    # most that lie outside are near to some of the inside: one link each does, so a few of the inside come first
+    inside = salted_join(placed, most, ["h"], "key").filter("root = largest")
+    pivots = table(inside.groupBy("h").agg(F.array(*(F.min_by(one, F.xxhash64("key", F.lit(i))) for i in range(PIVOTS))).alias("ys")), "near-pivots")
+    first = salted_join(others, pivots, ["h"], "x.key").select("x", F.explode("ys").alias("y")).filter(_fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
+    first = table(first.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-first")
+    joined = _linked(_verified(texts, first, words, likely=True), rooted)
+    drop_tables([most, others, pivots, first])
+    met = salted_join(placed.withColumnRenamed("root", "node"), components(joined), ["node"], "key", "left")
+    again = table(met.withColumn("root", F.coalesce("root", "node")).drop("node"), "near-full")
+    most, others = _outside(again, one)
+    rest = others.hint("merge").join(again.select("h", "root", one.alias("y")), "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     rest = table(rest.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-rest")
-    drop_tables([full, placed, most, others, sketched])
-    # what is linked already is a star, and the rest links stars by their roots
-    links = groups.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    drop_tables([full, placed, again, most, others, sketched])
+    # what is linked already is a star, and the other links join stars by their roots
+    links = groups.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(joined)
     return links if rest.isEmpty() else links.unionByName(_linked(_verified(texts, rest, words, likely=True), rooted))
 
 
+def _outside(placed: DataFrame, one: Column) -> tuple[DataFrame, DataFrame]:
+    """Of each shingle the largest component, and the texts that are not in it."""
+    counts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
+    most = table(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), "near-most")
+    others = salted_join(placed, most, ["h"], "key").filter("root != largest").select("h", F.col("root").alias("other"), one.alias("x"))
+    return most, table(others, "near-others")
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of pairs of text keys. nodes: key, node."""
     both = pairs.hint("merge").join(nodes.toDF("a", "x"), "a").hint("merge").join(nodes.toDF("b", "y"), "b").filter("x != y")
