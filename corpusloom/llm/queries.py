@@ -139,10 +139,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.fill_middle import fill_in_middle, restored
+
+    made = fill_in_middle(read(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+SQL_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS ks, ('0x' || hx[1:8])::BIGINT AS h1, ('0x' || hx[9:16])::BIGINT AS h2,
+  ('0x' || hx[17:24])::BIGINT AS h3, ('0x' || hx[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(ks) AS n, least(h1 % (len(ks) + 1), h2 % (len(ks) + 1)) AS a, greatest(h1 % (len(ks) + 1), h2 % (len(ks) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, coalesce(array_to_string(ks[1:a], ''), '') AS pre, coalesce(array_to_string(ks[a + 1:b], ''), '') AS mid, coalesce(array_to_string(ks[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup)
+    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup, op12_fill_in_middle)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4, "op7_mixing": SQL_OP7, "op10_substring_dedup": SQL_OP10}
+    return {"op2_line_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4, "op7_mixing": SQL_OP7, "op10_substring_dedup": SQL_OP10, "op12_fill_in_middle": SQL_OP12}
