@@ -139,6 +139,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.spelling import group_variants
+
+    return group_variants(read(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, rate=199)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.fill_middle import fill_in_middle, restored
 
@@ -162,7 +168,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup, op12_fill_in_middle)
+    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup, op11_spelling_variants, op12_fill_in_middle)
     return {f.__name__: f for f in named}
 
 
