@@ -167,8 +167,14 @@ FROM p
 """
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.language_model import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), folds=5, held=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup, op11_spelling_variants, op12_fill_in_middle)
+    named = (op1_quality, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_token_records, op6_token_counts, op7_mixing, op8_simhash, op9_pii, op10_substring_dedup, op11_spelling_variants, op12_fill_in_middle, op13_language_model)
     return {f.__name__: f for f in named}
 
 
