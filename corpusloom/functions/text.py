@@ -6,6 +6,7 @@ Latin-1 reach.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -58,6 +59,35 @@ def nfc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x{00}-\x{ff}]"), _nfc(F.when(text.rlike(r"[^\x{00}-\x{ff}]"), text))).otherwise(text)
 
 
+_HINT = re.compile(MOJIBAKE)
+
+
+def _mended(text: str) -> str:
+    """`repair_mojibake`, then NFC, of one text."""
+    if _HINT.search(text):
+        try:
+            again = text.encode("latin-1").decode()
+        except UnicodeError:
+            again = ""
+        if again and not _HINT.search(again) and sum(map(str.isalpha, again)) >= 0.8 * sum(map(str.isalpha, text)):
+            text = again
+    return unicodedata.normalize("NFC", text)
+
+
+@F.pandas_udf(T.StringType())
+def _mend(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield part.map(lambda t: None if t is None else _mended(t))
+
+
+_mend = _mend.asNondeterministic()
+
+
+def mend(text: Column) -> Column:
+    """`nfc(repair_mojibake(text))` in one step: only texts with a hint or letters beyond Latin-1 leave the JVM."""
+    return F.coalesce(_mend(F.when(text.rlike(rf"{MOJIBAKE}|[^\x{{00}}-\x{{ff}}]"), text)), text)
+
+
 def expand_ligatures(text: Column) -> Column:
     for one, letters in LIGATURES.items():
         text = F.replace(text, F.lit(one), F.lit(letters))
@@ -100,7 +130,7 @@ def strip(text: Column) -> Column:
 def clean_text(text: Column, diacritics: bool = True, unicode_form: bool = True) -> Column:
     """All cleaning steps in order. unicode_form=False leaves out mojibake repair and NFC."""
     if unicode_form:
-        text = nfc(repair_mojibake(text))
+        text = mend(text)
     text = normalize_arabic(strip_bidi_marks(expand_ligatures(text)))
     if diacritics:
         text = strip_arabic_diacritics(text)

@@ -1,189 +1,60 @@
 """Documents to chunks: paragraphs, sentence windows, merging of small pieces.
 
-Paragraph packing and the merges are folds over arrays in the JVM. Sentence segmentation looks back without bound, which
-no built-in expresses; it is an Arrow function over batches of texts.
+Texts are cut by the Arrow functions of `segments.py`, one pass a text, which also count; what follows are built-in expressions.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
+from corpusloom.operators import segments
+from corpusloom.operators.segments import Piece, arrow_lists, arrow_pieces, counters, merge_small, numbered, pack_paragraphs, pack_sentences, paragraphs, sentence_units
 
 MIN_TOKENS, MIN_INFORMATIVE_TOKENS, MIN_LETTERS = 80, 12, 20  # fixed values
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-_WIDE = re.compile("[؀-ۿݐ-ݿࢠ-ࣿ]")
-_BREAK = re.compile("\n+|[.!?؟]")
-#: Where long sentences are parted, in order: after a colon or semicolon, at a table bar, after a comma before a capital.
-_CUTS = (re.compile(r"(?<=[:;])\s+"), re.compile(r"\s+\|\s+"), re.compile(r"(?<=,)\s+(?=[A-Zء-ي])"))
-
-
-def count_tokens(text: str) -> int:
-    """The Python twin of `approx_token_count`, for packing inside the Arrow function."""
-    found = _TOKEN.findall(text)
-    letters = sum(map(str.isalpha, text))
-    if letters and len(_WIDE.findall(text)) / letters >= 0.30:
-        return max(len(found), round(1.35 * sum(any(map(str.isalnum, t)) for t in found)))
-    return len(found)
-
-
-def _ends_sentence(text: str, at: int) -> bool:
-    """Is the mark at this place the end of a sentence? Only full stops may not be."""
-    if text[at] != ".":
-        return True
-    if text[at - 1 : at].isdigit() and text[at + 1 : at + 2].isdigit():
-        return False
-    follows = re.compile(r"\s*").match(text, at + 1).end()
-    if not text[follows : follows + 1].isalpha():
-        return True
-    word = re.split(r"\s", text[max(0, at - 400) : at + 1])[-1].strip("\"')]}")
-    letters = [c for c in word if c.isalpha()]
-    dots = word.count(".")
-    return not (dots > 1 or (dots == 1 and 0 < len(letters) < 5 and any(map(str.isupper, letters))))
-
-
-def split_sentences(text: str) -> list[str]:
-    text, units, start, at = text.strip(), [], 0, 0
-    while (mark := _BREAK.search(text, at)) is not None:
-        at = mark.end()
-        if mark[0][0] == "\n":
-            units.append(text[start : mark.start()])
-        elif _ends_sentence(text, mark.start()):
-            at = re.compile("[\"')\\]}]*").match(text, at).end()
-            units.append(text[start:at])
-            at = re.compile(r"\s*").match(text, at).end()
-        else:
-            continue
-        start = at
-    return [u.strip() for u in (*units, text[start:]) if u.strip()]
-
-
-def split_oversized(text: str, target: int) -> list[str]:
-    """Parts of at most `target` tokens, as far as words allow."""
-    text = text.strip()
-    whole = count_tokens(text)
-    if whole <= target:
-        return [text] if text else []
-    for cut in _CUTS:
-        parts = [p for p in map(str.strip, cut.split(text)) if p]
-        if len(parts) > 1:
-            fine = [q for p in parts for q in split_oversized(p, target)]
-            if max(map(count_tokens, fine)) < whole:
-                return fine
-    words = text.split()
-    if len(words) == 1:
-        return [text]
-    half = len(words) // 2
-    return [q for side in (words[:half], words[half:]) for q in split_oversized(" ".join(side), target)]
-
-
-def sentence_units(text: str, target: int) -> list[str]:
-    return [p for u in split_sentences(text) for p in split_oversized(u, target)]
-
-
-def pack_sentences(units: list[str], target: int, overlap: int) -> list[str]:
-    """Greedy windows of units, each starting `overlap` units before the end of the last one."""
-    sizes, packed, begin = [count_tokens(u) for u in units], [], 0
-    while begin < len(units):
-        end, total = begin + 1, sizes[begin]
-        while end < len(units) and total + sizes[end] <= target:
-            total += sizes[end]
-            end += 1
-        packed.append(" ".join(units[begin:end]))
-        begin = max(begin + 1, end - overlap)
-    return packed
-
-
-def _arrow_lists(make) -> object:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda t: None if t is None else make(t))
-
-    return run.asNondeterministic()  # so that the planner evaluates it once
+Segment = Callable[[str], list[Piece]]
+
+
+def _texts(segment: Segment) -> Callable[[Column], Column]:
+    return arrow_lists(lambda t: [p.text for p in segment(t)])
 
 
 def sentences(text: Column) -> Column:
-    return _arrow_lists(split_sentences)(text)
+    return arrow_lists(segments.split_sentences)(text)
 
 
 def units_of(text: Column, target: int = 140) -> Column:
-    return _arrow_lists(lambda t: sentence_units(t, target))(text)
+    return _texts(lambda t: sentence_units(t, target))(text)
 
 
-def sentence_windows(text: Column, target: int = 140, overlap: int = 0) -> Column:
-    return _arrow_lists(lambda t: pack_sentences(sentence_units(t, target), target, overlap))(text)
+def by_sentences(target: int = 140, overlap: int = 0) -> Segment:
+    return lambda t: pack_sentences(sentence_units(t, target), target, overlap)
 
 
-def split_paragraphs(text: Column) -> Column:
-    """Non-blank trimmed lines; runs of newlines part them."""
-    return F.filter(F.transform(F.split(text, r"\n+"), X.strip), lambda p: F.length(p) > 0)
+def by_paragraphs(target: int = 260, overlap: int = 1) -> Segment:
+    return lambda t: pack_paragraphs(paragraphs(t), target, overlap)
 
 
-def _added(a: Column, b: Column) -> Column:
-    return F.struct(*((a[n] + b[n]).alias(n) for n in ("tokens", "words", "arabic", "letters")))
+def sentence_windows(text: Column, target: int = 140, overlap: int = 0) -> Column:
+    return _texts(by_sentences(target, overlap))(text)
 
 
-_COUNTERS = "struct<tokens:int,words:int,arabic:int,letters:int>"
+def split_paragraphs(text: Column) -> Column:
+    """Non-blank trimmed lines; runs of newlines part them."""
+    return F.filter(F.transform(F.split(text, r"\n+"), X.strip), lambda p: F.length(p) > 0)
 
 
 def paragraph_chunks(text: Column, target: int = 260, overlap: int = 1) -> Column:
-    """Greedy packing of paragraphs, joined by blank lines; a new chunk begins with the last `overlap` ones.
-
-    Tokens never span newlines, so the counters of a chunk are the sums of its paragraphs' counters.
-    """
-    one = "array<struct<text:string,c:%s>>" % _COUNTERS
-    units = F.transform(split_paragraphs(text), lambda p: F.struct(p.alias("text"), X.token_counters(p).alias("c")))
-    zero = F.struct(*(F.lit(0).alias(n) for n in ("tokens", "words", "arabic", "letters")))
-    join = lambda held: F.array_join(F.transform(held, lambda u: u["text"]), "\n\n")
-
-    def step(acc: Column, unit: Column) -> Column:
-        total = F.aggregate(acc["held"], zero, lambda a, u: _added(a, u["c"]))
-        full = (F.size(acc["held"]) > 0) & (X.tokens_from(_added(total, unit["c"])) > target)
-        kept = F.slice(acc["held"], F.greatest(F.size(acc["held"]) - overlap, F.lit(0)) + 1, overlap) if overlap else F.array().cast(one)
-        held = F.concat(F.when(full, kept).otherwise(acc["held"]), F.array(unit))
-        done = F.when(full, F.concat(acc["done"], F.array(join(acc["held"])))).otherwise(acc["done"])
-        return F.struct(held.alias("held"), done.alias("done"))
-
-    start = F.struct(F.array().cast(one).alias("held"), F.array().cast("array<string>").alias("done"))
-    end = lambda acc: F.when(F.size(acc["held"]) > 0, F.concat(acc["done"], F.array(join(acc["held"])))).otherwise(acc["done"])
-    return F.aggregate(units, start, step, end)
+    """Greedy packing of paragraphs, joined by blank lines; a new chunk begins with the last `overlap` ones."""
+    return _texts(by_paragraphs(target, overlap))(text)
 
 
 def merge_tiny(texts: Column, smallest: int = MIN_TOKENS) -> Column:
-    """Chunks below `smallest` tokens join the next one; a last one joins the one before. Gives (index, text, c), c being the counters.
-
-    The index of an untouched chunk is its place, of a merged one the place and the direction of its last merge. Chunks
-    are joined by newlines, which no token spans, so token counters are taken once per chunk and added.
-    """
-    piece = f"struct<index:string,text:string,c:{_COUNTERS}>"
-    numbered = F.transform(texts, lambda t, i: F.struct(i.cast("int").alias("i"), t.alias("text"), X.token_counters(t).alias("c")))
-
-    def put(index: Column, text: Column, counters: Column) -> Column:
-        return F.struct(index.alias("index"), text.alias("text"), counters.alias("c"))
-
-    def step(acc: Column, x: Column) -> Column:
-        wait, prior = acc["wait"], F.element_at(acc["done"], -1)
-        fresh = put(x["i"].cast("string"), x["text"], x["c"])
-        grown = put(F.concat(F.lit("merge_fwd_"), (x["i"] - 1).cast("string")), F.concat(wait["text"], F.lit("\n"), x["text"]), _added(wait["c"], x["c"]))
-        here = F.when(wait.isNull(), fresh).otherwise(grown)
-        count = F.when(wait.isNull(), X.tokens_from(x["c"])).otherwise(X.tokens_from(_added(wait["c"], x["c"])))
-        back = F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1), F.array(put(F.concat(F.lit("merge_back_"), x["i"].cast("string")), F.concat(prior["text"], F.lit("\n"), here["text"]), _added(prior["c"], here["c"]))))
-        state = F.when((count >= smallest) | (acc["last"] == 0), 0).when(x["i"] < acc["last"], 1).when(F.size(acc["done"]) > 0, 2).otherwise(0)
-        return F.struct(F.when(state == 1, here).alias("wait"), F.when(state == 1, acc["done"]).when(state == 2, back).otherwise(F.concat(acc["done"], F.array(here))).alias("done"), acc["last"].alias("last"))
-
-    start = F.struct(F.lit(None).cast(piece).alias("wait"), F.array().cast(f"array<{piece}>").alias("done"), (F.size(texts) - 1).alias("last"))
-    return F.aggregate(numbered, start, step, lambda acc: acc["done"])
-
-
-def _numbered(texts: Column) -> Column:
-    return F.transform(texts, lambda t, i: F.struct(i.cast("string").alias("index"), t.alias("text"), X.token_counters(t).alias("c")))
+    """Chunks below `smallest` tokens join the next one; a last one joins the one before. Gives (index, text, c), c being the counters."""
+    return arrow_pieces(lambda ts: merge_small([Piece(t, counters(t)) for t in ts], smallest))(texts)
 
 
 def informative(chunks: DataFrame) -> DataFrame:
@@ -197,18 +68,19 @@ def _informative(piece: Column) -> Column:
     return (X.tokens_from(piece["c"]) >= MIN_INFORMATIVE_TOKENS) & (piece["c"]["letters"] >= MIN_LETTERS)
 
 
-def chunk_documents(clean: DataFrame, strategy: str = "sentence_window", target: int | None = None, overlap: int | None = None) -> DataFrame:
-    """Chunks of clean documents, one row each, with lineage columns. The texts of a chunk never leave its document's task."""
-    if strategy == "sentence_window":
-        overlap = 0 if overlap is None else overlap
-        pieces = sentence_windows(F.col("clean_text"), target or 140, overlap)
-    elif strategy == "paragraph":
-        overlap = 1 if overlap is None else overlap
-        pieces = paragraph_chunks(F.col("clean_text"), target or 260, overlap)
-    else:
-        raise ValueError("strategy must be 'sentence_window' or 'paragraph'")
-    parted = clean.withColumn("pieces", pieces)
-    parted = parted.withColumn("pieces", _numbered(F.col("pieces")) if overlap else merge_tiny(F.col("pieces")))
+def chunk_documents(clean: DataFrame, strategy: str = "sentence_window", target: int | None = None, overlap: int | None = None, segment: Segment | None = None) -> DataFrame:
+    """Chunks of clean documents, one row each, with lineage columns. The texts of a chunk never leave its document's task.
+
+    segment: from a text to its pieces with their counters, instead of the strategy's own; `strategy` then only names it.
+    """
+    if segment is None:
+        if strategy not in ("sentence_window", "paragraph"):
+            raise ValueError("strategy must be 'sentence_window' or 'paragraph'")
+        by_windows = strategy == "sentence_window"
+        overlap = (0 if by_windows else 1) if overlap is None else overlap
+        segment = by_sentences(target or 140, overlap) if by_windows else by_paragraphs(target or 260, overlap)
+    pieces = arrow_pieces(lambda t: numbered(segment(t)) if overlap else merge_small(segment(t), MIN_TOKENS))
+    parted = clean.withColumn("pieces", pieces(F.col("clean_text")))
     rows = parted.select("*", F.posexplode("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text").filter(_informative(F.col("piece")))
     text = F.col("piece.text")
     rows = rows.withColumns({"text": text, "chunk_id": X.chunk_identity(F.col("doc_id"), strategy, F.col("piece.index")), "chunk_index": F.col("place"), "strategy": F.lit(strategy), "token_count": X.tokens_from(F.col("piece.c")), "chunk_char_count": F.length(text), "chunk_content_hash": X.chunk_content_hash(text)})

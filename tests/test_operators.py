@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chunking, html, questions, retrieval, tables
+from corpusloom.operators import chunking, html, questions, retrieval, segments, tables
 from corpusloom.plans.ingest import Index, delete_ingestion, embed, write_latest_and_snapshot
 from corpusloom.sources import documents as sources
 
@@ -33,34 +33,35 @@ def test_mojibake(spark):
 
 def test_token_count_matches_python(spark):
     for t in ("a_b c, d! 12.5", "مرحبا بكم في المدرسة الكبيرة", "", "x́ y"):
-        assert one(spark, t, X.approx_token_count) == chunking.count_tokens(t)
+        assert one(spark, t, X.approx_token_count) == segments.count_tokens(t)
 
 
 def test_sentences():
-    assert chunking.split_sentences("Dr. Smith paid 3.14 today. It was fine! (Really?) Yes\nNew line U.S. Army this.") == ["Dr. Smith paid 3.14 today.", "It was fine!", "(Really?)", "Yes", "New line U.S. Army this."]
-    assert chunking.split_sentences("ما هذا؟ نعم.") == ["ما هذا؟", "نعم."]
-    assert chunking.split_sentences("") == []
+    assert segments.split_sentences("Dr. Smith paid 3.14 today. It was fine! (Really?) Yes\nNew line U.S. Army this.") == ["Dr. Smith paid 3.14 today.", "It was fine!", "(Really?)", "Yes", "New line U.S. Army this."]
+    assert segments.split_sentences("ما هذا؟ نعم.") == ["ما هذا؟", "نعم."]
+    assert segments.split_sentences("") == []
 
 
 def test_oversized_units():
     text = "first part of it: " + " ".join(f"w{i}" for i in range(30))
-    parts = chunking.split_oversized(text, 8)
-    assert " ".join(parts).split() == text.split() and all(chunking.count_tokens(p) <= 8 for p in parts)
-    assert chunking.split_oversized("x" * 500, 1) == ["x" * 500]
+    parts = [p.text for p in segments.split_oversized(text, 8)]
+    assert " ".join(parts).split() == text.split() and all(segments.count_tokens(p) <= 8 for p in parts)
+    assert [p.text for p in segments.split_oversized("x" * 500, 1)] == ["x" * 500]
 
 
 def test_windows_overlap_and_differ():
     units = [f"s{i} a b." for i in range(6)]
-    packed = chunking.pack_sentences(units, 8, 0)
+    pack = lambda overlap: [p.text for p in segments.pack_sentences([segments.Piece(u, segments.counters(u)) for u in units], 8, overlap)]
+    packed = pack(0)
     assert packed == [" ".join(units[i : i + 2]) for i in (0, 2, 4)]
-    lapped = chunking.pack_sentences(units, 8, 1)
+    lapped = pack(1)
     assert all(a != b and a.split(". ")[-1].rstrip(".") in b for a, b in zip(lapped, lapped[1:]))
 
 
 def greedy(paragraphs, target, overlap):
     out, held = [], []
     for p in paragraphs:
-        if held and chunking.count_tokens("\n\n".join([*held, p])) > target:
+        if held and segments.count_tokens("\n\n".join([*held, p])) > target:
             out.append("\n\n".join(held))
             held = held[-overlap:] if overlap else []
         held.append(p)
