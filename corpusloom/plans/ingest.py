@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from py4j.java_gateway import JavaObject
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import chunking, tables
+from corpusloom.plans.buckets import BucketTables, spot_of
 from corpusloom.sources.documents import LOADERS, clean_documents, dedup_files, drop_near_empty, file_fingerprint, read_documents_table, route_by_extension
 
 MODEL_KEY = "hashing-tf-256"
@@ -20,18 +20,12 @@ Embed = Callable[[DataFrame, str], DataFrame]
 Load = Callable[[DataFrame], DataFrame]
 
 
-def _spot(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
-    """A path and its file system, whichever scheme it has."""
-    spot = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return spot, spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def complete_versions(spark: SparkSession, path: str) -> list[str]:
     """The complete versions below a path, oldest first."""
-    spot, store = _spot(spark, path)
+    spot, store = spot_of(spark, path)
     if not store.exists(spot):
         return []
-    marks = [(s.getPath().getName(), _spot(spark, f"{s.getPath()}/_SUCCESS")[0]) for s in store.listStatus(spot)]
+    marks = [(s.getPath().getName(), spot_of(spark, f"{s.getPath()}/_SUCCESS")[0]) for s in store.listStatus(spot)]
     done = [(store.getFileStatus(mark).getModificationTime(), name) for name, mark in marks if store.exists(mark)]
     return [name for _, name in sorted(done)]
 
@@ -52,8 +46,10 @@ def chunks_of(docs: DataFrame, strategy: str = "sentence_window", min_words: int
 
 @dataclass
 class Index:
-    """Tables of one project below a folder: manifest, vectors, cache. Each write goes to a new version, the newest complete one is current.
+    """Tables of one project below a folder: manifest, vectors, cache (`buckets.py`). A run rewrites only the buckets in which something changed.
 
+    Manifest and vectors are parted by the file's hash, so the buckets of the given files are all that is read; a chunk belongs to one file, as its id is made of
+    that file's hash. The cache is parted by content hash and only added to.
     embed: adds the column embedding to rows from the named text column; model_key keeps the vectors of several models apart in the cache.
     """
 
@@ -61,68 +57,73 @@ class Index:
     folder: str
     embed: Embed = embed
     model_key: str = MODEL_KEY
+    buckets: int = 32
 
     MANIFEST = "chunk_id string, chunk_content_hash string, metadata_json string, file_hash string"
     VECTORS = "chunk_id string, embedding array<float>"
-    CACHE = "model_key string, content_hash string, embedding array<float>"
-    DIFF = "chunk_id string, status string"
+    SCHEMAS = {"manifest": MANIFEST, "vectors": f"{VECTORS}, file_hash string", "cache": "model_key string, content_hash string, embedding array<float>"}
+    KEYS = {"manifest": "file_hash", "vectors": "file_hash", "cache": "content_hash"}
 
-    def versions(self, name: str) -> list[int]:
-        return sorted(int(v[1:]) for v in complete_versions(self.spark, f"{self.folder}/{name}"))
+    def tables(self) -> BucketTables:
+        """As of the newest commit."""
+        return BucketTables(self.spark, self.folder, self.SCHEMAS, self.KEYS, self.buckets)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        versions = self.versions(name)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        """A version counts once its _SUCCESS file is there, so a run that breaks off leaves the one before current."""
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{max(self.versions(name), default=0) + 1}")
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows that several tables depend on, written once."""
+        path = f"{self.folder}/work/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def index_chunks(self, chunks: DataFrame, reset: bool = False) -> DataFrame:
         """Bring the index to these chunks; returns the report. chunks: chunk_id, text, chunk_content_hash, metadata_json, file_hash.
 
-        Only the file hashes that the chunks have are compared. No chunks: nothing changes. A second run with the same input changes nothing.
-        The manifest is written last: after a run that broke off, the next one finds the same differences again.
+        Only the file hashes that the chunks have are compared. No chunks: nothing changes. A second run with the same input writes no table.
+        All tables change with one commit: after a run that broke off, the next one finds the same differences again.
         """
-        current = tables.first_by_key(chunks, "chunk_id", F.col("chunk_content_hash"))
-        manifest = self._read("manifest", self.MANIFEST)
+        held = self.tables()
+        current = self._kept(tables.first_by_key(chunks.select("chunk_id", "text", "chunk_content_hash", "metadata_json", "file_hash"), "chunk_id", F.col("chunk_content_hash")), "current")
         if reset:
-            manifest = manifest.limit(0)
+            held.clear("manifest")
+            held.clear("vectors")
+        here = held.buckets_of("manifest", current)
+        manifest = held.written("manifest", here)
         touched = tables.manifest_by_files(manifest, current)
-        self._write("diff", tables.manifest_diff(touched, current))  # written once: three tables depend on it
-        diff = self._read("diff", self.DIFF)
-        changed = current.join(diff.filter(F.col("status").isin("new", "changed")), "chunk_id", "left_semi")
-        cache = self._read("cache", self.CACHE)
-        resolved = tables.resolve_vectors(changed, cache, self.model_key)
-        missing = changed.join(resolved.filter(~F.col("cached")), "chunk_content_hash", "left_semi")
+        diff = self._kept(tables.manifest_diff(touched, current), "diff")
+        changed = current.hint("merge").join(diff.filter(F.col("status").isin("new", "changed")), "chunk_id", "left_semi")
+        known = held.buckets_of("cache", changed.select(F.col("chunk_content_hash").alias("content_hash")))
+        resolved = self._kept(tables.resolve_vectors(changed, held.read("cache", known), self.model_key), "resolved")
+        counts = tables.index_report(diff, resolved)
+        missing = changed.hint("merge").join(resolved.filter(~F.col("cached")), "chunk_content_hash", "left_semi")
         made = self.embed(missing.groupBy("chunk_content_hash").agg(F.min("text").alias("text")), "text")
-        made = made.select(F.lit(self.model_key).alias("model_key"), F.col("chunk_content_hash").alias("content_hash"), "embedding")
-        report = tables.index_report(diff, resolved)
-        counts = report.first().asDict()  # one row, and it must be counted before the tables change
-        self._write("cache", cache.unionByName(made))
-        full = self._read("cache", self.CACHE)
-        vectors = changed.select("chunk_id", F.col("chunk_content_hash").alias("content_hash")).join(full.filter(F.col("model_key") == self.model_key), "content_hash").select("chunk_id", "embedding")
-        old = self._read("vectors", self.VECTORS)
-        if reset:
-            old = old.limit(0)
-        kept = tables.delete_keys(old, diff.filter(F.col("status") != "unchanged"), ["chunk_id"])
-        self._write("vectors", kept.unionByName(vectors))
-        rest = manifest.join(touched.select("chunk_id"), "chunk_id", "left_anti")
-        self._write("manifest", rest.unionByName(current.select("chunk_id", "chunk_content_hash", "metadata_json", "file_hash")))
-        return self.spark.createDataFrame([counts], report.schema)
+        held.append("cache", made.select(F.lit(self.model_key).alias("model_key"), F.col("chunk_content_hash").alias("content_hash"), "embedding"))
+
+        # of the buckets that were compared, those with a difference; the others keep their files
+        moved = current.select("chunk_id", "file_hash").unionByName(touched.select("chunk_id", "file_hash")).hint("merge").join(diff.filter(F.col("status") != "unchanged"), "chunk_id", "left_semi")
+        touched_buckets = held.buckets_of("manifest", moved)
+        in_them = held.bucket("manifest").isin(touched_buckets)
+        cache = held.written("cache", known).filter(F.col("model_key") == self.model_key)
+        vectors = changed.select("chunk_id", F.col("chunk_content_hash").alias("content_hash"), "file_hash").hint("merge").join(cache, "content_hash").select("chunk_id", "embedding", "file_hash")
+        rest = tables.delete_keys(held.written("vectors", touched_buckets), diff.filter(F.col("status") != "unchanged"), ["chunk_id"])
+        held.replace("vectors", rest.unionByName(vectors), touched_buckets)
+        rest = held.written("manifest", touched_buckets).hint("merge").join(touched.select("chunk_id"), "chunk_id", "left_anti")
+        held.replace("manifest", rest.unionByName(current.filter(in_them).select("chunk_id", "chunk_content_hash", "metadata_json", "file_hash")), touched_buckets)
+        report = self.spark.createDataFrame(*_held(counts))
+        held.commit()
+        return report
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", self.MANIFEST)
+        return self.tables().read("manifest")
 
     def vectors(self) -> DataFrame:
-        return self._read("vectors", self.VECTORS)
+        return self.tables().read("vectors").drop("file_hash")
 
     def delete_files(self, files: DataFrame) -> None:
         """The chunks of the listed file hashes go from the vectors and the manifest; the cache stays, as it goes by content."""
-        manifest = self.manifest()
-        gone = tables.manifest_by_files(manifest, files)
-        self._write("vectors", tables.delete_keys(self.vectors(), gone, ["chunk_id"]))
-        self._write("manifest", tables.delete_keys(manifest, gone, ["chunk_id"]))
+        held, gone = self.tables(), files.select("file_hash").distinct()
+        here = held.buckets_of("manifest", gone)
+        for name in ("vectors", "manifest"):
+            held.replace(name, tables.delete_keys(held.read(name, here), gone, ["file_hash"]), here)
+        held.commit()
 
 
 @dataclass
@@ -140,12 +141,12 @@ class Collections:
 
     def create(self, project: str, **options: object) -> Index:
         """The project's index; one that is there already is kept."""
-        spot, store = _spot(self.spark, self.path(project))
+        spot, store = spot_of(self.spark, self.path(project))
         store.mkdirs(spot)
         return Index(self.spark, self.path(project), **options)
 
     def exists(self, project: str) -> bool:
-        spot, store = _spot(self.spark, self.path(project))
+        spot, store = spot_of(self.spark, self.path(project))
         return store.exists(spot)
 
     def has_points(self, project: str) -> bool:
@@ -153,7 +154,7 @@ class Collections:
 
     def delete(self, project: str) -> bool:
         """False if there was none."""
-        spot, store = _spot(self.spark, self.path(project))
+        spot, store = spot_of(self.spark, self.path(project))
         return store.delete(spot, True)
 
 

@@ -171,11 +171,11 @@ def test_index_runs(spark, tmp_path):
     assert first.asDict() == {"new_or_changed": 3, "unchanged": 0, "deleted": 0, "embedded": 2, "cache_hits": 0, "cache_misses": 2}
     second = index.index_chunks(make(("a", "x", "h1", "{}", "f"), ("d", "y", "h2", "{}", "f"))).first()
     assert second.asDict() == {"new_or_changed": 1, "unchanged": 1, "deleted": 1, "embedded": 0, "cache_hits": 1, "cache_misses": 0}
-    assert sorted(r.chunk_id for r in index._read("vectors", index.VECTORS).collect()) == ["a", "c", "d"]
+    assert sorted(r.chunk_id for r in index.vectors().collect()) == ["a", "c", "d"]
     again = index.index_chunks(make(("a", "x", "h1", "{}", "f"), ("d", "y", "h2", "{}", "f"))).first()
     assert again.new_or_changed == again.deleted == 0
     empty = index.index_chunks(make().limit(0)).first()
-    assert empty.deleted == 0 and index._read("manifest", index.MANIFEST).count() == 3
+    assert empty.deleted == 0 and index.manifest().count() == 3
 
 
 def test_volatile_metadata_is_ignored(spark):
