@@ -39,13 +39,13 @@ from corpusloom.llm._shared import partitions, slices, table
 from corpusloom.llm.words import text_bytes, word_hashes
 
 #: Training text whose tokens make one update; text of a shard when scoring; text for each range of word hashes.
-TASK_BYTES, SHARD_BYTES, RANGE_BYTES = 16_000_000, 8_000_000, 16_000_000
+TASK_BYTES, SHARD_BYTES, RANGE_BYTES = 16_000_000, 4_000_000, 16_000_000
 #: Distinct words that a task adds up before it sends them on.
 HELD_WORDS = 1_000_000
 #: Updates that one node of the tree adds up; rows of weights that travel together.
 FAN, BLOCK_ROWS = 64, 1_024
 #: Tokens of a small batch.
-BATCH = 4_096
+BATCH = 8_192
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -87,8 +87,8 @@ class Tokens:
             words.append(b"")  # no word is empty: this is the end
             bounds.append(len(words))
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2)
-        letters = np.frombuffer(b"\0\0" + b"\0\0".join(words), dtype=np.uint8).astype(np.uint64)
-        endings = mixed(letters[ends - 1] + (letters[ends - 2] << np.uint64(8)) + np.uint64(1))
+        letters = np.frombuffer(b"\0\0" + b"\0\0".join(words), dtype=np.uint8)
+        endings = mixed(letters[ends - 1] + letters[ends - 2].astype(np.uint64) * np.uint64(256) + np.uint64(1))
         hashes = word_hashes(words)
         return cls(hashes, endings, (endings % np.uint64(shape.classes)).astype(np.int64), (mixed(hashes) % np.uint64(shape.slots)).astype(np.int64), np.array(bounds, dtype=np.int64))
 
@@ -102,35 +102,41 @@ class Tokens:
         return out
 
     def features(self, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of weights, one column per feature: for the classes, and for the slots of each token's class."""
+        """Rows of weights, one line per feature: for the classes, and for the slots of each token's class."""
         words, skipped = self.before(self.hashes, 1), self.before(self.hashes, 2)
         endings = mixed(self.before(self.endings, 1) + mixed(self.before(self.endings, 2)))
         each = [np.full(len(words), 7, dtype=np.uint64), mixed(words + np.uint64(11)), mixed(skipped + np.uint64(23)), mixed(endings + np.uint64(41))]
         down, own = np.uint64(64 - shape.bits), (self.classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x5851F42D4C957F2D)
-        return tuple(np.stack([(x >> down).astype(np.int32) for x in xs], axis=1) for xs in (each, [mixed(x + own) for x in each]))
+        kind = np.uint16 if shape.bits <= 16 else np.uint32  # short numbers are sorted faster
+        return tuple(np.stack([(x >> down).astype(kind) for x in xs]) for xs in (each, [mixed(x + own) for x in each]))
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
+    """Probabilities, one line per class or slot, one column per token."""
+    z = np.take(weights, rows[0], axis=0)
+    for r in rows[1:]:
+        z += np.take(weights, r, axis=0)
+    z = z.T.copy()
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= z.sum(axis=0)
     return np.maximum(z, np.float32(1e-20), out=z)
 
 
-def learn(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, right: np.ndarray, rate: float) -> None:
+def learn(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, right: np.ndarray, rate: np.float32) -> None:
     """One small batch of gradient descent, in place. used: how many tokens had each row."""
     off = softmax(weights, rows)
-    off[np.arange(len(right)), right] -= 1
-    for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        sorted_rows = rows[order, k]
-        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        at, gradient = sorted_rows[first], np.add.reduceat(off[order], first, axis=0)
-        squares[at] += (gradient * gradient).mean(axis=1)
-        weights[at] -= rate * gradient / np.sqrt(squares[at])[:, None]
+    off[right, np.arange(len(right))] -= 1
+    off = off.T.copy()
+    for r in rows:
+        order = np.argsort(r, kind="stable")
+        ordered = r[order]
+        first = np.concatenate(([0], 1 + np.flatnonzero(ordered[1:] != ordered[:-1])))
+        at, gradient = ordered[first], np.add.reduceat(np.take(off, order, axis=0), first, axis=0)
+        total = squares[at] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
+        squares[at] = total
+        gradient *= (rate / np.sqrt(total))[:, None]
+        weights[at] -= gradient
         used[at] += np.diff(np.concatenate((first, [len(right)])))
 
 
@@ -167,7 +173,7 @@ def _learnt(docs: DataFrame, start: Weights, shape: Shape, tasks: int) -> pa.Tab
                 rows, rights = tokens.features(shape), (tokens.classes, tokens.slots)
                 for at in range(0, len(tokens.hashes), BATCH):
                     for k in (0, 1):
-                        learn(now[k], squares[k], used[k], rows[k][at : at + BATCH], rights[k][at : at + BATCH], shape.rate)
+                        learn(now[k], squares[k], used[k], rows[k][:, at : at + BATCH], rights[k][at : at + BATCH], np.float32(shape.rate))
         made = []
         for k in (0, 1):
             all_rows = np.column_stack(((now[k] - begun.weights[k]) * used[k][:, None], (squares[k] - begun.squares[k]) * used[k], used[k]))
@@ -305,8 +311,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, shape: Shape
         log, (rows, rights) = unigrams.within(times, tokens.classes * shape.slots + tokens.slots), (tokens.features(shape), (tokens.classes, tokens.slots))
         for at in range(0, len(log), BATCH):
             for k in (0, 1):
-                p = softmax(weights.weights[k], rows[k][at : at + BATCH])
-                log[at : at + BATCH] += np.log10(p[np.arange(len(p)), rights[k][at : at + BATCH]].astype(np.float64))
+                p, right = softmax(weights.weights[k], rows[k][:, at : at + BATCH]), rights[k][at : at + BATCH]
+                log[at : at + BATCH] += np.log10(p[right, np.arange(len(right))].astype(np.float64))
         first = tokens.bounds[:-1]
         per_text = [np.add.reduceat(x, first) for x in ((times > 0).astype(np.int64), unigrams.base(times), log)]
         return pa.table({"doc_id": group.column("doc_id"), "held_out": group.column("held_out"), "n_tokens": pa.array(np.diff(tokens.bounds)), "n_known": pa.array(per_text[0]), "base_score": pa.array(per_text[1]), "score": pa.array(per_text[2])})

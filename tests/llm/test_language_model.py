@@ -80,7 +80,7 @@ def test_probabilities_add_up_to_one(spark, make_docs):
         c, s = divmod(bucket, SMALL.slots)
         here = Tokens(first.hashes, first.endings, np.full_like(first.classes, c), np.full_like(first.slots, s), first.bounds)
         a, b = here.features(SMALL)
-        p = softmax(weights.weights[0], a[-1:])[0, c] * softmax(weights.weights[1], b[-1:])[0, s]
+        p = softmax(weights.weights[0], a[:, -1:])[c, 0] * softmax(weights.weights[1], b[:, -1:])[s, 0]
         n = np.concatenate((words[known["bucket"] == bucket], [0]))
         total += float(p) * (10 ** unigrams.within(n, np.full(len(n), bucket))).sum()
     assert total == pytest.approx(1, abs=1e-4)
@@ -100,4 +100,4 @@ def test_a_tree_of_sums_equals_one_sum(make_docs, monkeypatch):
 def test_contexts_stay_within_a_text():
     one, two = Tokens.of([b"a b c"], SMALL), Tokens.of([b"x y", b"a b c", b""], SMALL)
     for x, y in zip(one.features(SMALL), two.features(SMALL), strict=True):
-        assert (x == y[3:7]).all()
+        assert (x == y[:, 3:7]).all()
