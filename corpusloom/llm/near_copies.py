@@ -7,9 +7,12 @@ no pair. Of the pairs that meet and have fitting sizes, those whose signatures d
 drop out; the others are checked on the whole sets. Which shingles count as frequent changes the cost only, not the result.
 
 A shingle at which many texts meet (a group of near copies) compares all with two of them first: the most central text, that is the one which
-meets others at the most such shingles, and the one with the smallest key. What then belongs to the largest component there needs no further comparison among itself; all else is
-compared with a few texts of that component, and what this has not linked with all texts of the shingle that are not in its component. These comparisons are part of the join, by a sketch that each text of a crowded
-shingle carries, so that only pairs which may be similar become rows.
+meets others at the most such shingles, and the one with the smallest key. Then come rounds. In each, a text that is not in the largest component of
+its shingle is compared with a few of those of other components there, and the components are found anew; in the next round it is
+compared with four times as many, none of them twice, until all have been or nothing is left outside. Most texts of a group are linked by the first few, so what is
+compared with many is only what hardly anything is near to. Which texts come first goes by a hash of their keys, so that shingles with the same texts take the same
+ones. These comparisons are part of the join, by a sketch that each text of a crowded shingle carries, so that only pairs which may be similar
+become rows.
 
 Shingles are compared by a 64-bit hash. Words are as in simhash.py; a text with fewer words than a shingle is near
 to equal texts only, which have one fingerprint.
@@ -31,8 +34,11 @@ from corpusloom.llm.words import text_bytes, window_hashes, word_hashes
 
 #: A shingle with more texts than this compares them with its most central one first.
 FULL_CELL = 32
-#: So many texts of the largest component of a crowded shingle are compared with those outside it before all are.
-PIVOTS = 8
+#: With so many texts of a crowded shingle those outside its largest component are compared first; when all that is left makes at most so many pairs
+#: for each text of the table, it is compared at once.
+PIVOTS, AT_ONCE = 8, 8
+#: The texts of a frequent shingle are dealt to so many tasks.
+SALTS = 16
 #: Longs of a sketch: the signature in short.
 SKETCH = 32
 #: One text in so many is looked at for frequent shingles; those in OFTEN of them count, MOST_FREQUENT at most.
@@ -173,22 +179,27 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     sent = spark.sparkContext.broadcast(_frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sent.value
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t, words) for t in text_bytes(part.column("text"))]
-                made = [prefix(s, sent.value) for s in sets]
+                made = [prefix(s, frequent) for s in sets]
                 sizes = [len(p) for p, _ in made]
                 key = np.repeat(np.array(part.column("key"), dtype=np.int64), sizes)
                 size = np.repeat(np.array([len(s) for s in sets], dtype=np.int32), sizes)
                 short = np.concatenate([np.zeros(0, bool), *(np.arange(len(p)) < k for p, k in made)])
                 h = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in made)])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(size), pa.array(short)], ["h", "key", "n", "short"])
+                hot = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
+                salt = np.where(hot, key % SALTS, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(hot), pa.array(key), pa.array(size), pa.array(short)], ["h", "salt", "hot", "key", "n", "short"])
 
-    met = texts.select("key", "text").mapInArrow(run, "h long, key long, n int, short boolean").repartition(n, "h")
+    met = texts.select("key", "text").mapInArrow(run, "h long, salt int, hot boolean, key long, n int, short boolean").repartition(n, "h", "salt")
     # all columns are used, so that both sides of the join share one shuffle
-    sizes = met.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.max("short").alias("short"))
-    sizes = sizes.filter("low != high AND short AND (texts > 2 OR 5 * fewest >= 4 * most)").select("h", "texts")
-    shared = table(met.hint("merge").join(sizes, "h"), "near-cells")
+    parts = met.groupBy("h", "salt").agg(F.max("hot").alias("hot"), F.count(F.lit(1)).alias("texts"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.max("short").alias("short"))
+    whole = parts.filter("hot").groupBy("h").agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("fewest").alias("fewest"), F.max("most").alias("most"), F.max("short").alias("short"))
+    sizes = parts.filter("NOT hot").drop("hot").unionByName(whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    sizes = sizes.filter("low != high AND short AND (texts > 2 OR 5 * fewest >= 4 * most)").select("h", "salt", "texts")
+    shared = table(met.hint("merge").join(sizes, ["h", "salt"]).select("h", "hot", "key", "n", "short", "texts"), "near-cells")
     one = F.struct("key", "n", "short")
 
     few = shared.filter(F.col("texts") <= FULL_CELL).groupBy("h").agg(F.collect_list(one).alias("all"))
@@ -201,8 +212,8 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     sketched = table(only(texts.select("key", "text"), often.select("key"), "left_semi", "key").mapInArrow(lambda batches: _sketches(batches, words), "key long, sketch array<long>"), "near-sketches")
     full = table(full.hint("merge").join(often, "key").hint("merge").join(sketched, "key"), "near-crowds")
     one = F.struct("rank", "key", "n", "short", "sketch")
-    least = full.groupBy("h").agg(F.min(one).alias("y"), F.min_by(one, "key").alias("z"))
-    stars = full.hint("merge").join(least, "h").withColumn("x", one)
+    least = table(full.groupBy("h").agg(F.min(one).alias("y"), F.min_by(one, "key").alias("z")), "near-least")
+    stars = salted_join(full, least, ["h"], "key").withColumn("x", one)
     stars = stars.select("x", F.explode(F.array("y", "z")).alias("y"))
     stars = stars.filter((F.col("x.key") != F.col("y.key")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     pairs = pairs.unionByName(stars.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))).distinct()
@@ -211,34 +222,50 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
         return links
 
     groups = components(links).withColumnRenamed("node", "fp")
-    rooted = nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
-    rooted = table(rooted, "near-roots")
+    rooted = table(nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")), "near-roots")
+    # what is linked already is a star, and the links of the rounds join stars by their roots
+    links = groups.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
     placed = table(full.hint("merge").join(rooted, "key"), "near-full")
-    most, others = _outside(placed, one)
-    # most that lie outside are near to some of the inside: one link each does, so a few of the inside come first
-    inside = salted_join(placed, most, ["h"], "key").filter("root = largest")
-    pivots = table(inside.groupBy("h").agg(F.array(*(F.min_by(one, F.xxhash64("key", F.lit(i))) for i in range(PIVOTS))).alias("ys")), "near-pivots")
-    first = salted_join(others, pivots, ["h"], "x.key").select("x", F.explode("ys").alias("y")).filter(_fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
-    first = table(first.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-first")
-    joined = _linked(_verified(texts, first, words, likely=True), rooted)
-    drop_tables([most, others, pivots, first])
-    met = salted_join(placed.withColumnRenamed("root", "node"), components(joined), ["node"], "key", "left")
-    again = table(met.withColumn("root", F.coalesce("root", "node")).drop("node"), "near-full")
-    most, others = _outside(again, one)
-    rest = others.hint("merge").join(again.select("h", "root", one.alias("y")), "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
-    rest = table(rest.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-rest")
-    drop_tables([full, placed, again, most, others, sketched])
-    # what is linked already is a star, and the other links join stars by their roots
-    links = groups.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(joined)
-    return links if rest.isEmpty() else links.unionByName(_linked(_verified(texts, rest, words, likely=True), rooted))
-
-
-def _outside(placed: DataFrame, one: Column) -> tuple[DataFrame, DataFrame]:
-    """Of each shingle the largest component, and the texts that are not in it."""
+    number, done, reach = rooted.count(), 0, PIVOTS
+    drop_tables([full, least])
+    while True:
+        others = _outside(placed, one)
+        left = others.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("texts") - done).alias("pairs"), F.max("texts").alias("most")).first()
+        if not left["rows"]:
+            break
+        last = left["pairs"] <= AT_ONCE * number or reach >= left["most"]
+        turn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("texts")
+        now = placed.filter((turn >= done) & (F.lit(last) | (turn < reach))).select("h", "root", one.alias("y"))
+        pairs = others.hint("merge").join(now, "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
+        pairs = table(pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-round")
+        joined = _linked(_verified(texts, pairs, words, likely=True), rooted)
+        drop_tables([others, pairs])
+        links = links.unionByName(joined)
+        if last:
+            break
+        if not joined.isEmpty():
+            roots = table(components(joined), "near-moved")
+            (rooted, before), (placed, old) = (_moved(rooted, roots), rooted), (_moved(placed, roots), placed)
+            drop_tables([before, old, roots])
+        done, reach = reach, 4 * reach
+    drop_tables([placed, sketched])
+    return links
+
+
+def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with their newest roots. roots: node, root, one row per root that is one no more."""
+    met = salted_join(rows.withColumnRenamed("root", "node"), roots, ["node"], "key", "left")
+    return table(met.withColumn("root", F.coalesce("root", "node")).drop("node"), "near-moving")
+
+
+def _outside(placed: DataFrame, one: Column) -> DataFrame:
+    """Of each shingle the texts that are not in its largest component: h, texts, other (the component), x."""
     counts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
     most = table(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), "near-most")
-    others = salted_join(placed, most, ["h"], "key").filter("root != largest").select("h", F.col("root").alias("other"), one.alias("x"))
-    return most, table(others, "near-others")
+    others = salted_join(placed, most, ["h"], "key").filter("root != largest").select("h", "texts", F.col("root").alias("other"), one.alias("x"))
+    found = table(others, "near-others")
+    drop_tables([most])
+    return found
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -89,3 +89,27 @@ def test_similar_sets_meet_in_their_prefixes():
             (x, short), (y, _) = prefix(a, frequent), prefix(b, frequent)
             assert set(x[:short]) & set(y)
     assert not len(shingles(b"a b c d")) and len(shingles(b"A b c d e")) == 1
+
+
+def test_pairs_of_a_group_at_the_edge_grow_with_its_size(spark, make_docs, monkeypatch):
+    """Texts of 300 words with four changed each: most pairs are just below 0.8, but all are one group."""
+    verified = []
+    whole = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda texts, pairs, *a, **b: verified.append(pairs.count()) or whole(texts, pairs, *a, **b))
+    rng = random.Random(4)
+    base, made = [f"w{rng.randrange(100_000)}" for _ in range(300)], {}
+    for n in (300, 900):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for k in rng.sample(range(300), 4):
+                words[k] = f"x{rng.randrange(100_000)}"
+            rows.append((i, " ".join(words)))
+        verified.clear()
+        got = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, make_docs(rows), SF).collect())
+        made[n] = sum(verified)
+        if n == 300:
+            assert got == kept_ids(rows)
+        else:
+            assert got == [0]
+    assert made[900] <= 1.3 * 3 * made[300]
