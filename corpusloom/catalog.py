@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import normalizers
 from corpusloom.functions import text as X
 from corpusloom.operators import aggregates, chunking, html, questions, retrieval, tables
+from corpusloom.operators.postings import Postings
 from corpusloom.plans import ingest
+from corpusloom.plans.buckets import spot_of
+from corpusloom.sources import charsets
 from corpusloom.sources import documents as sources
 from corpusloom.streaming import activity as streams
 
@@ -409,10 +412,26 @@ def bench(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_INDEXES: dict[tuple[str, str], Postings] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> Postings:
+    """The stored index of the words of the documents: written by the first query of a session that searches them, read by the others."""
+    key = (spark.sparkContext.applicationId, d)
+    spot, store = spot_of(spark, f"{_INDEXES[key].folder}/terms") if key in _INDEXES else (None, None)
+    if spot is None or not store.exists(spot):
+        _INDEXES[key] = Postings.build(docs_as_chunks(spark, d).select("chunk_id", "text"))
+    return _INDEXES[key]
+
+
+def bench_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return bench(spark, d).withColumn("tokens", X.match_tokens(F.col("query")))
+
+
 TOK_SQL = f"q AS (SELECT item_id AS query_id, lower(text) AS asked, {MATCH_SQL.replace('{t}', 'text')} AS qt FROM benchmark), c AS (SELECT doc_id AS chunk_id, text, {MATCH_SQL.replace('{t}', 'text')} AS ct FROM documents), o AS (SELECT query_id, chunk_id, asked, text, len(qt) AS size, len(list_intersect(qt, ct)) AS overlap FROM q, c)"
-register("j4_token_overlap", f"WITH {TOK_SQL} SELECT query_id, chunk_id, overlap, size FROM o WHERE overlap >= 2")(lambda spark, d: retrieval.token_overlap(bench(spark, d).withColumn("tokens", X.match_tokens(F.col("query"))), docs_as_chunks(spark, d).withColumn("tokens", X.match_tokens(F.col("text"))), retrieval.LEXICAL_OVERLAP))
+register("j4_token_overlap", f"WITH {TOK_SQL} SELECT query_id, chunk_id, overlap, size FROM o WHERE overlap >= 2")(lambda spark, d: retrieval.token_overlap(bench_tokens(spark, d), index_of(spark, d), retrieval.LEXICAL_OVERLAP))
 LEXICAL = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, least(0.9, 0.42 + overlap::DOUBLE / size * 0.36 + CASE WHEN phrase THEN 0.1 ELSE 0.0 END) AS score FROM (SELECT *, contains(lower(text), asked) AS phrase FROM o WHERE overlap >= 2) WHERE phrase OR overlap::DOUBLE / size >= 0.55) WHERE score >= 0.72)"
-register("r6_lexical_search", f"WITH {TOK_SQL} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM {LEXICAL} WHERE rank <= 15")(lambda spark, d: retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15).withColumn("score", F.round("score", 6)))
+register("r6_lexical_search", f"WITH {TOK_SQL} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM {LEXICAL} WHERE rank <= 15")(lambda spark, d: retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15, index_of(spark, d)).withColumn("score", F.round("score", 6)))
 register("u2_token_intersection", f"SELECT doc_id, len(list_intersect({MATCH_SQL.replace('{t}', 'text')}, {MATCH_SQL.replace('{t}', 'query')})) AS shared FROM {PAIRED_SQL}")(
     lambda spark, d: paired(spark, d).select("doc_id", F.size(F.array_intersect(X.match_tokens(F.col("text")), X.match_tokens(F.col("query")))).alias("shared"))
 )
@@ -420,7 +439,7 @@ register("u2_token_intersection", f"SELECT doc_id, len(list_intersect({MATCH_SQL
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The lexical hits of the benchmark, with texts, as candidates of a rerank."""
-    hits = retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15).select("query_id", "chunk_id", "score")
+    hits = retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15, index_of(spark, d)).select("query_id", "chunk_id", "score")
     return hits.join(docs_as_chunks(spark, d).hint("merge"), "chunk_id")
 
 
@@ -454,10 +473,10 @@ register("r3_hybrid_rerank")(lambda spark, d: retrieval.hybrid_rerank(merged_can
 register("r4_reject_low_confidence")(
     lambda spark, d: retrieval.reject_low_confidence(retrieval.hybrid_rerank(merged_candidates(spark, d), variants(spark, d))).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 )
-register("r5_retrieve_with_variants")(lambda spark, d: retrieval.retrieve_with_variants(variants(spark, d), variant_hits(spark, d), docs_as_chunks(spark, d), 5))
+register("r5_retrieve_with_variants")(lambda spark, d: retrieval.retrieve_with_variants(variants(spark, d), variant_hits(spark, d), docs_as_chunks(spark, d), 5, index_of(spark, d)))
 register("r7_recent_activity", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")(lambda spark, d: tables.recent(read(spark, d, "events").select("event_id", "event_type", "ts"), "ts", "event_id", 20).drop("ts"))
 register("r9_best_per_chunk", "SELECT user_id AS query_id, event_type AS chunk_id, max(value) AS score FROM events GROUP BY 1, 2")(lambda spark, d: retrieval.best_per_chunk(read(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("chunk_id"), F.col("value").alias("score"))))
-register("u3_candidate_union", f"WITH {TOK_SQL} SELECT query_id, chunk_id, max(round(score, 6)) AS score FROM (SELECT query_id, chunk_id, score FROM {LEXICAL} WHERE rank <= 15 UNION ALL SELECT query_id, chunk_id, score FROM {TOPK_SQL} WHERE rank <= 15) GROUP BY 1, 2")(lambda spark, d: retrieval.best_per_chunk(retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15).select("query_id", "chunk_id", F.round("score", 6).alias("score")).unionByName(retrieval.vector_topk(*vectors(spark, d), 15).select("query_id", "chunk_id", F.round("score", 6).alias("score")))))
+register("u3_candidate_union", f"WITH {TOK_SQL} SELECT query_id, chunk_id, max(round(score, 6)) AS score FROM (SELECT query_id, chunk_id, score FROM {LEXICAL} WHERE rank <= 15 UNION ALL SELECT query_id, chunk_id, score FROM {TOPK_SQL} WHERE rank <= 15) GROUP BY 1, 2")(lambda spark, d: retrieval.best_per_chunk(retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15, index_of(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score")).unionByName(retrieval.vector_topk(*vectors(spark, d), 15).select("query_id", "chunk_id", F.round("score", 6).alias("score")))))
 register("u5_unique_sources", "SELECT query_id, label::VARCHAR AS source_doc_id, 'unknown' AS source_path, place FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS place FROM " + TOPK_SQL + " WHERE rank <= 15 GROUP BY query_id, label)")(lambda spark, d: retrieval.unique_sources(retrieval.vector_topk(*vectors(spark, d), 15).hint("merge").join(points(spark, d).withColumnRenamed("vec_id", "chunk_id"), "chunk_id").select("query_id", "rank", F.col("label").cast("string").alias("source_doc_id"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("int").alias("page_num"))).select("query_id", "source_doc_id", "source_path", "place"))
 ADJACENT = "(SELECT query_id, rank, score, nth, n.vec_id AS chunk_id FROM (SELECT t.query_id, t.rank, t.score, e.label, o.nth, e.vec_id + o.off AS at FROM " + TOPK_SQL + " t JOIN embeddings e ON e.vec_id = t.chunk_id, (VALUES (0, 0), (1, -1), (2, 1)) o(nth, off) WHERE t.rank <= 5) x JOIN embeddings n ON n.vec_id = x.at AND n.label = x.label)"
 
@@ -510,7 +529,7 @@ register("a3_dataset_summary", f"SELECT file_type, count(DISTINCT source_path) A
 SCORE_SQL = f"(SELECT strategy, round(in_range_pct * 1.5 - tiny * 3.0 - oversize * 4.0 - hard_oversize * 8.0 - variation * 20.0, 2) AS score FROM {STATS_SQL})"
 register("a4_score_strategies", f"SELECT strategy, score, score = max(score) OVER () AS recommended FROM {SCORE_SQL}")(lambda spark, d: aggregates.score_strategies(stats(spark, d)))
 register("a5_chunking_insights", f"SELECT strategy, rule, value FROM (SELECT strategy, unnest([{{'rule': 'above the hard limit', 'value': hard_oversize::DOUBLE, 'on': hard_oversize > 0}}, {{'rule': 'above the range', 'value': oversize::DOUBLE, 'on': oversize > 0}}, {{'rule': 'below the range', 'value': tiny::DOUBLE, 'on': tiny > 0}}, {{'rule': 'uneven sizes', 'value': variation::DOUBLE, 'on': variation > 0.4}}, {{'rule': 'even sizes', 'value': variation::DOUBLE, 'on': variation <= 0.4}}, {{'rule': 'few documents', 'value': documents::DOUBLE, 'on': documents < 3}}, {{'rule': 'no Arabic', 'value': 0.0::DOUBLE, 'on': true}}], recursive := true) FROM {STATS_SQL}) WHERE \"on\"")(lambda spark, d: aggregates.chunking_insights(stats(spark, d)))
-register("a6_lexical_probe", f"WITH {TOK_SQL} SELECT count(*) AS query_count, round(avg(best), 3) AS avg_overlap, round(count(*) FILTER (best >= 0.5)::DOUBLE / count(*) * 100, 1) AS hit_rate FROM (SELECT query_id, max(overlap::DOUBLE / size) AS best FROM o GROUP BY query_id)")(lambda spark, d: aggregates.lexical_probe(bench(spark, d).withColumn("tokens", X.match_tokens(F.col("query"))), docs_as_chunks(spark, d).withColumn("tokens", X.match_tokens(F.col("text")))))
+register("a6_lexical_probe", f"WITH {TOK_SQL} SELECT count(*) AS query_count, round(avg(best), 3) AS avg_overlap, round(count(*) FILTER (best >= 0.5)::DOUBLE / count(*) * 100, 1) AS hit_rate FROM (SELECT query_id, max(overlap::DOUBLE / size) AS best FROM o GROUP BY query_id)")(lambda spark, d: aggregates.lexical_probe(bench_tokens(spark, d), index_of(spark, d)))
 
 
 def as_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -532,6 +551,50 @@ register("h2_html_title", "SELECT page_id, trim(regexp_extract(html, '<title[^>]
 register("h6_detect_charset", "SELECT page_id, coalesce(nullif(lower(regexp_extract(substr(html, 1, 4096), 'charset=[\"'']?([A-Za-z0-9_-]+)', 1, 'i')), ''), 'utf-8') AS charset FROM pages")(lambda spark, d: read(spark, d, "pages").select("page_id", html.detect_charset(F.col("html")).alias("charset")))
 
 
+def encoded_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as bytes: a third in UTF-8, a third in Latin-1 and declared so, a third in UTF-16 with nothing but a byte order mark to tell."""
+    which = F.col("page_id") % 3
+    text = F.when(which == 1, F.replace("html", F.lit('charset="utf-8"'), F.lit('charset="iso-8859-1"'))).when(which == 2, F.replace("html", F.lit('charset="utf-8"'), F.lit("none"))).otherwise(F.col("html"))
+    content = F.when(which == 1, F.encode(text, "ISO-8859-1")).when(which == 2, F.encode(text, "UTF-16")).otherwise(F.encode(text, "UTF-8"))
+    return read(spark, d, "pages").select("page_id", content.alias("content"))
+
+
+register(
+    "h6_decode_pages",
+    "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' ELSE 'utf-16' END AS charset, md5(CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(html, 'charset=\"utf-8\"', 'charset=\"iso-8859-1\"') ELSE replace(html, 'charset=\"utf-8\"', 'none') END) AS digest FROM pages",
+)(lambda spark, d: encoded_pages(spark, d).select("page_id", charsets.decoded(F.col("content")).alias("v")).select("page_id", "v.charset", F.md5("v.text").alias("digest")))
+
+
+# --- files ---
+
+
+def source_files(spark: SparkSession, d: str) -> str:
+    """A folder with a file of each source: its documents by doc_id, a line end after each."""
+    folder = streams.shared_path(spark, "files")
+    texts = read(spark, d, "documents").select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
+    texts.select("source", "text").write.partitionBy("source").text(folder)
+    return folder
+
+
+FILES_SQL = "(SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY source)"
+SOURCE_OF = F.regexp_extract("path", "source=([^/]*)/", 1)
+register("s1_scan_files", f"SELECT source, strlen(content) AS length, sha256(content) AS file_hash FROM {FILES_SQL}")(lambda spark, d: sources.scan_files(spark, source_files(spark, d), ["TXT"]).select(SOURCE_OF.alias("source"), "length", sources.file_fingerprint(F.col("content")).alias("file_hash")))
+
+
+def folder_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The files stream into an index in batches of seven; a second call finds no new ones. Sources with their file's hash, and whether all chunks have a vector."""
+    folder = source_files(spark, d)
+    index, checkpoint = ingest.Index(spark, streams.shared_path(spark, "folder-index")), streams.shared_path(spark, "folder-checkpoint")
+    for _ in range(2):
+        streams.stream_folder(spark, folder, index, checkpoint, ["txt"], files_a_batch=7)
+    found = index.manifest().hint("merge").join(index.vectors().select("chunk_id", F.lit(True).alias("has")), "chunk_id", "left")
+    path = F.get_json_object("metadata_json", "$.source_path")
+    return found.groupBy("file_hash").agg(F.regexp_extract(F.min(path), "source=([^/]*)/", 1).alias("source"), F.coalesce(F.every("has"), F.lit(False)).alias("has_vectors"))
+
+
+register("t1_stream_folder", f"SELECT sha256(content) AS file_hash, source, true AS has_vectors FROM {FILES_SQL}")(folder_streamed)
+
+
 # --- questions ---
 
 TURNS_SQL = "(SELECT conv_id, turn, text AS query, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user')"
@@ -606,7 +669,7 @@ register("p15_query_activity_record", "SELECT event_id, 'query' AS type, ts, rou
 
 
 def case_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 5)
+    hits = retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 5, index_of(spark, d))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path"))
     return hits.join(docs.hint("merge"), "chunk_id").select(F.concat(F.lit("case-"), F.col("query_id").cast("string")).alias("id"), "query_id", "rank", "text", "source_path")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.retrieval import token_overlap
+from corpusloom.operators.postings import Postings
 
 TINY, LARGE, HARD = 80, 250, 512  # fixed values: the token range chunks should be in
 
@@ -70,11 +70,10 @@ def chunking_insights(stats: DataFrame) -> DataFrame:
     return stats.select("strategy", F.explode(F.array_compact(rules)).alias("r")).select("strategy", "r.rule", "r.value")
 
 
-def lexical_probe(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_count, avg_overlap and hit_rate: the best share of a query's words that one chunk has. Both: id and tokens."""
-    asked = queries.filter(F.size("tokens") > 0)
-    best = token_overlap(asked, chunks).groupBy("query_id").agg(F.max(F.col("overlap") / F.col("size")).alias("best"))
-    each = asked.select("query_id").join(best, "query_id", "left").select(F.coalesce("best", F.lit(0.0)).alias("best"))
+def lexical_probe(queries: DataFrame, chunks: DataFrame | Postings) -> DataFrame:
+    """query_count, avg_overlap and hit_rate: the best share of a query's words that one chunk has. Both: id and tokens; or the chunks' index."""
+    index = chunks if isinstance(chunks, Postings) else Postings.build(chunks)
+    each = index.best_overlap(queries.filter(F.size("tokens") > 0)).select((F.col("overlap") / F.col("size")).alias("best"))
     return each.agg(F.count(F.lit(1)).alias("query_count"), F.round(F.avg("best"), 3).alias("avg_overlap"), F.round(F.count_if(F.col("best") >= 0.5) / F.count(F.lit(1)) * 100, 1).alias("hit_rate"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.postings import Postings
+from corpusloom.sources.shared import only, shared_path, written
 
 # Floors, weights and limits of the ranking.
 MIN_SCORE, PER_DOCUMENT, OVERSAMPLE = 0.74, 3, 3.0
@@ -97,46 +99,31 @@ def _best_in_tasks(sent: Broadcast, points: DataFrame, k: int) -> DataFrame:
     return points.select("chunk_id", "vector").mapInArrow(run, f"query_id long, chunk_id {kind}, score double")
 
 
-def token_overlap(queries: DataFrame, chunks: DataFrame, least: int = 1) -> DataFrame:
+def token_overlap(queries: DataFrame, chunks: DataFrame | Postings, least: int = 1) -> DataFrame:
     """query_id, chunk_id, overlap, size: shared distinct tokens of all pairs that share at least `least`.
 
-    An equi join on tokens. queries: query_id, tokens; chunks: chunk_id, tokens.
+    queries: query_id, tokens; chunks: chunk_id, tokens, or their index.
     """
-    asked = queries.select("query_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    have = chunks.select("chunk_id", F.explode("tokens").alias("token"))
-    pairs = have.hint("merge").join(asked, "token").groupBy("query_id", "chunk_id", "size").agg(F.count(F.lit(1)).alias("overlap"))
-    return pairs.filter(F.col("overlap") >= least)
+    return _indexed(chunks).all_pairs(queries, least)
 
 
-def covering_pairs(queries: DataFrame, chunks: DataFrame, least: int = LEXICAL_OVERLAP, share: float = LEXICAL_SHARE) -> DataFrame:
-    """As `token_overlap`, but for pairs only that share `share` of the query's tokens and `least` of them at least.
+def covering_pairs(queries: DataFrame, chunks: DataFrame | Postings, least: int = LEXICAL_OVERLAP, share: float = LEXICAL_SHARE) -> DataFrame:
+    """As `token_overlap`, but for pairs only that share `share` of the query's tokens and `least` of them at least. Words that are in every chunk make no pairs."""
+    return _indexed(chunks).covering(queries, least, share)
 
-    A chunk that lacks all of a query's rarest tokens can't have enough of the others: only `size - needed + 1` rarest ones of each query are
-    joined, and what meets there is checked on the tokens themselves. So words that are in every chunk make no pairs.
-    """
-    have = chunks.select("chunk_id", F.explode("tokens").alias("token"))
-    needed = F.greatest(F.lit(least), F.ceil(F.size("tokens") * share - 1e-9))
-    asked = queries.select("query_id", (F.size("tokens") - needed + 1).alias("rare"), F.explode("tokens").alias("token"))
-    df = have.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = asked.hint("merge").join(df, "token").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token")))  # a query's few tokens
-    absent = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")).hint("merge").join(ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("known")), "query_id")
-    # tokens that no chunk has are the rarest of all
-    probes = ranked.hint("merge").join(absent, "query_id").filter(F.col("nth") + F.col("size") - F.col("known") <= F.col("rare")).select("query_id", "token")
-    met = have.hint("merge").join(probes, "token").select("query_id", "chunk_id").distinct()
-    both = met.hint("merge").join(queries.select("query_id", F.col("tokens").alias("asked"), needed.alias("needed")), "query_id").hint("merge").join(chunks.select("chunk_id", "tokens"), "chunk_id")
-    counted = both.select("query_id", "chunk_id", F.size("asked").alias("size"), F.size(F.array_intersect("asked", "tokens")).alias("overlap"), "needed")
-    return counted.filter(F.col("overlap") >= F.col("needed")).drop("needed")
-
-
-def lexical_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank by token coverage and phrase. queries: query_id, query; chunks: chunk_id, text."""
+
+def _indexed(chunks: DataFrame | Postings) -> Postings:
+    return chunks if isinstance(chunks, Postings) else Postings.build(chunks)
+
+
+def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, index: Postings | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank by token coverage and phrase. queries: query_id, query; chunks: chunk_id, text; index: that of the chunks, if there is one."""
     asked = queries.withColumn("tokens", X.match_tokens(F.col("query")))
-    have = chunks.withColumn("tokens", X.match_tokens(F.col("text")))
-    pairs = covering_pairs(asked, have)
+    pairs = covering_pairs(asked, index or chunks.select("chunk_id", "text"))
     coverage = F.col("overlap") / F.col("size")
     # without the phrase a pair needs 5/6 of the tokens, with it 5/9: the others are not joined back to their texts
-    near = pairs.filter(0.42 + coverage * 0.36 + 0.1 >= LEXICAL_FLOOR)
-    full = near.hint("merge").join(queries.select("query_id", F.lower("query").alias("asked")), "query_id").hint("merge").join(chunks.select("chunk_id", "text"), "chunk_id")
+    near = written(pairs.filter(0.42 + coverage * 0.36 + 0.1 >= LEXICAL_FLOOR), shared_path(queries.sparkSession, "near"))
+    full = near.hint("merge").join(queries.select("query_id", F.lower("query").alias("asked")), "query_id").hint("merge").join(only(chunks.select("chunk_id", "text"), near, "chunk_id"), "chunk_id")
     phrase = F.lower("text").contains(F.col("asked"))
     score = F.least(F.lit(0.9), 0.42 + coverage * 0.36 + F.when(phrase, 0.1).otherwise(0.0))
     scored = full.filter(phrase | (coverage >= 0.55)).select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= LEXICAL_FLOOR)
@@ -256,7 +243,7 @@ def unique_sources(hits: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank")))
 
 
-def retrieve_with_variants(variants: DataFrame, hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def retrieve_with_variants(variants: DataFrame, hits: DataFrame, chunks: DataFrame, k: int, index: Postings | None = None) -> DataFrame:
     """The whole second half of a search: gate variants, merge, fall back to words, rerank, reject, post-process.
 
     variants: query_id, variant (0 first), query; hits: query_id, variant, chunk_id, score; chunks: chunk_id, text, chunk_content_hash, document_group_id.
@@ -267,7 +254,7 @@ def retrieve_with_variants(variants: DataFrame, hits: DataFrame, chunks: DataFra
     sure = tops.groupBy("query_id").agg(F.max("top").alias("top")).filter(F.col("top") >= FALLBACK_FLOOR).select("query_id")
     sure = sure.hint("merge").join(passed.select("query_id").distinct(), "query_id", "left_semi")
     unsure = variants.filter(F.col("variant") == 0).hint("merge").join(sure, "query_id", "left_anti").select("query_id", "query")
-    words = lexical_search(unsure, chunks, max(3 * k, 5)).select("query_id", "chunk_id", "score")
+    words = lexical_search(unsure, chunks, max(3 * k, 5), index).select("query_id", "chunk_id", "score")
     merged = best_per_chunk(best.unionByName(words)).join(chunks.hint("merge"), "chunk_id")
     ranked = reject_low_confidence(hybrid_rerank(merged, variants))
     kept = ranked.hint("merge").join(chunks.select("chunk_id", "chunk_content_hash", "document_group_id").hint("merge"), "chunk_id")

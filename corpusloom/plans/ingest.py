@@ -199,6 +199,20 @@ def load_files(files: DataFrame, loaders: dict[str, Load] = LOADERS) -> tuple[Da
     return pages, hashes
 
 
+def file_chunks(files: DataFrame, strategy: str = "sentence_window", min_words: int = 12, loaders: dict[str, Load] = LOADERS) -> DataFrame:
+    """Files (path, content) to chunks as `Index.index_chunks` takes them. What is skipped is as in `run_pipeline`."""
+    pages, _ = load_files(files, loaders)
+    raw = pages.filter(F.col("raw_text").isNotNull())
+    raw = raw.withColumns({"content_hash": X.content_hash(F.col("raw_text")), "doc_id": X.doc_identity(F.col("file_hash"), F.col("page_num"))})
+    chunks = chunking.chunk_documents(drop_near_empty(clean_documents(raw), min_words), strategy)
+    return index_rows(chunks)
+
+
+def index_rows(chunks: DataFrame, told: tuple[str, ...] = ("source_path", "page_num", "strategy")) -> DataFrame:
+    meta = F.map_from_arrays(F.array(*map(F.lit, told)), F.array(*(F.col(c).cast("string") for c in told)))
+    return chunks.select("chunk_id", "text", "chunk_content_hash", tables.stable_metadata(meta).alias("metadata_json"), "file_hash")
+
+
 def run_pipeline(files: DataFrame, folder: str, run: str, now: str, strategy: str = "sentence_window", min_words: int = 12, index: Index | None = None, reset: bool = False, loaders: dict[str, Load] = LOADERS) -> DataFrame:
     """Files to clean documents, chunks, snapshots, index and latest tables; one row of counts.
 
@@ -216,9 +230,7 @@ def run_pipeline(files: DataFrame, folder: str, run: str, now: str, strategy: st
     documents = pages.filter("kept").drop("kept", "failed")
     chunks = write_snapshot(chunking.stamp_lineage(chunking.chunk_documents(documents, strategy), run, now), f"{folder}/chunks", run)
     if index is not None:
-        told = ("source_path", "page_num", "strategy", "ingestion_id")
-        meta = F.map_from_arrays(F.array(*map(F.lit, told)), F.array(*(F.col(c).cast("string") for c in told)))
-        index.index_chunks(chunks.select("chunk_id", "text", "chunk_content_hash", tables.stable_metadata(meta).alias("metadata_json"), "file_hash"), reset)
+        index.index_chunks(index_rows(chunks, ("source_path", "page_num", "strategy", "ingestion_id")), reset)
     write_latest(documents, f"{folder}/pages", run)
     write_latest(chunks, f"{folder}/chunks", run)
     seen = pages.agg(F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("raw_pages"), F.count_if("kept").alias("clean_docs")).crossJoin(counts).crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunks")))  # one row each

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.html import extract_sections
+from corpusloom.sources.charsets import decoded
 
 #: Which reader takes which extension.
 READERS = {"txt": "text", "md": "text", "html": "html", "htm": "html", "json": "json", "jsonl": "json"}
@@ -18,10 +19,29 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _allowed(files: DataFrame, extensions: list[str]) -> DataFrame:
+    return files.filter(extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions]))
+
+
 def scan_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
-    """path, content and length of the files below folder with one of the extensions, whatever their case."""
+    """path, content and length of the files below folder with one of the extensions, whatever their case, in the order of their lower-cased paths.
+
+    A folder without such files, or that isn't there, gives no rows.
+    """
+    spot = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spot):
+        return spark.createDataFrame([], FILES)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.filter(extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions]))
+    return _allowed(files, extensions).orderBy(F.lower("path"), "path")
+
+
+def stream_files(spark: SparkSession, folder: str, extensions: list[str], files_a_batch: int = 10_000) -> DataFrame:
+    """The same files as a stream: those that come to the folder, each once."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_a_batch)).load(folder)
+    return _allowed(files, extensions)
 
 
 def file_fingerprint(content: Column) -> Column:
@@ -59,13 +79,14 @@ def read_documents_table(docs: DataFrame) -> DataFrame:
 
 
 def load_text(files: DataFrame) -> DataFrame:
-    """Files as one page each: source_path, file_type, file_hash, page_num, raw_text. Bytes that aren't UTF-8 become marks; no content gives a null text."""
-    return files.select(F.col("path").alias("source_path"), extension(F.col("path")).alias("file_type"), "file_hash", F.lit(0).alias("page_num"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw_text"))
+    """Files as one page each: source_path, file_type, file_hash, page_num, raw_text. Decoded by `charsets.py`; no content gives a null text."""
+    text = decoded(F.col("content"), declares=False)["text"]
+    return files.select(F.col("path").alias("source_path"), extension(F.col("path")).alias("file_type"), "file_hash", F.lit(0).alias("page_num"), text.alias("raw_text"))
 
 
 def load_html(files: DataFrame) -> DataFrame:
-    """Each section of a page as a document of its own; no content gives one row with a null text."""
-    pages = files.select("path", "file_hash", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+    """Each section of a page as a document of its own; no content gives one row with a null text. Decoded by the charset the page declares, else seems to have."""
+    pages = files.select("path", "file_hash", decoded(F.col("content"))["text"].alias("html"))
     parts = extract_sections(pages.filter("html IS NOT NULL"), "path", "file_hash")
     made = parts.select("path", "file_hash", F.col("section_no").alias("page_num"), F.concat_ws("\n", F.nullif("title", F.lit("")), "text").alias("raw_text"))
     lost = pages.filter("html IS NULL").select("path", "file_hash", F.lit(0).alias("page_num"), F.lit(None).cast("string").alias("raw_text"))

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans.ingest import Index
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: that of spark.checkpoint.dir, or the one given to setCheckpointDir.
-
-    In local mode alone, where they are one process, the warehouse stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from corpusloom.plans.ingest import Index, file_chunks
+from corpusloom.sources.documents import READERS, stream_files
+from corpusloom.sources.shared import shared_path
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +78,15 @@ def stream_index(stream: DataFrame, chunks: Callable[[DataFrame], DataFrame], in
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_folder(spark: SparkSession, folder: str, index: Index, checkpoint: str, extensions: list[str] | None = None, strategy: str = "sentence_window", min_words: int = 12, files_a_batch: int = 10_000) -> None:
+    """The files that have come to a folder since the last call, by micro-batches: read, cleaned, cut into chunks and brought into the index.
+
+    Which files have been read is in the checkpoint. A file with the bytes of an earlier one changes nothing, as chunks go by the file's hash.
+    """
+    files = stream_files(spark, folder, extensions or list(READERS), files_a_batch)
+    stream_index(files, lambda batch: file_chunks(batch, strategy, min_words), index, checkpoint)
+
+
 def read_ingested(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The newest row of each key."""
     rows = spark.read.parquet(path)
