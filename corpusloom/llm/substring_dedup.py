@@ -8,17 +8,18 @@ elsewhere (all occurrences go, the first one too; windows are judged on the inpu
    position in fifteen) are counted over all documents; the windows around those that occur twice are candidates.
 2. Confirming recurring passages. Documents are dealt to shards of bounded size. Each shard sends the hashes of its candidate windows,
    packed by hash range, to its block of shards, which merges equal ones and sends each distinct window once to the task that
-   counts its range over all blocks. What occurs twice goes back the same way.
-3. Automata. Each shard takes the first place of each confirmed window, joins these to passages, and compiles one Aho-Corasick
-   automaton (pyahocorasick) from the sampled phrases of its passages.
-4. Locating. All documents stream through the automaton of their shard. Around each phrase found, windows are looked up among the
-   passages and their words compared with the passage's; windows that are equal word by word delete the words they cover.
-   Nothing is deleted that the automaton has not found.
+   counts its range over all blocks. What occurs twice goes back to the blocks. There each recurring window has an owner, the first
+   shard of the block that holds it, which is told who else does.
+3. Passages. The owner joins its windows to passages, runs of windows that start at neighbouring words, and sends each shard the words of those
+   that it holds.
+4. Automata. Each shard compiles one Aho-Corasick automaton (pyahocorasick) from the sampled phrases of the passages sent to it, and streams its
+   documents through it. Around each phrase found, windows are looked up among those of the passages and their words compared with the
+   passage's; windows that are equal word by word delete the words they cover. A passage that was not sent, or that the automaton does not find, deletes nothing.
 
 A hot window sends one entry per shard to its block and one per block beyond; a hot phrase is one row per Arrow batch and shard, counted by
 partial sums and joined back by a sort-merge join between two written tables, which AQE splits. A shard holds about `shard_bytes` of text, or one
-longer document, or rows that are equal in doc_id and text. Whether a window occurs in another shard is judged by a hash of 64 bits and those
-of its range (the more, the larger the input); within a shard words are compared.
+longer document, or rows that are equal in doc_id and text. A passage goes to the shards of one block at most. Within a block words are compared; whether a window occurs in
+another block is judged by a hash of 64 bits and those of its range (the more, the larger the input).
 
 Defined results: null text has no words; repeated rows count as separate occurrences (so equal texts of at least
 `window` words lose all words); an empty table gives an empty result; extra columns are ignored.
@@ -102,26 +103,42 @@ def _equal_words(words: list[bytes], here: np.ndarray, there: np.ndarray, width:
     return same
 
 
-def repeated_words(words: list[bytes], bounds: np.ndarray, confirmed: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Which words of a shard lie in an occurrence of a recurring passage. confirmed: hashes of recurring windows."""
-    gone = np.zeros(len(words), dtype=bool)
-    if not len(confirmed) or len(words) < window:
-        return gone
-    hashed = word_hashes(words)
-    hashes, whole = window_hashes(hashed, window), inside(bounds, window, len(words))
-    at = np.flatnonzero(whole & np.isin(hashes, confirmed))
-    known, first = np.unique(hashes[at], return_index=True)
-    passages = np.zeros(len(hashes), dtype=bool)
-    passages[at[first]] = True
-    anchors = minima(window_hashes(hashed, gram), passages, window - gram + 1)
-    found = _locate(words, bounds, list(dict.fromkeys(b" ".join(words[i : i + gram]) for i in anchors.tolist())), gram)
+def passages_for(words: list[bytes], bounds: np.ndarray, asked: np.ndarray, holders: np.ndarray, window: int) -> dict[int, bytes]:
+    """For each holder the passages, a line each, that its windows make here. asked: hashes of windows, of each the holder."""
+    hashes, whole = window_hashes(word_hashes(words), window), inside(bounds, window, len(words))
+    starts = np.flatnonzero(whole)
+    known, first = np.unique(hashes[starts], return_index=True)
+    at = starts[first[np.searchsorted(known, asked)]]
+    order = np.lexsort((at, holders))
+    at, holders = at[order], holders[order]
+    cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (holders[1:] != holders[:-1]), [True])))
+    made: dict[int, list[bytes]] = {}
+    for a, b, holder in zip(at[cut[:-1]].tolist(), at[cut[1:] - 1].tolist(), holders[cut[:-1]].tolist(), strict=True):
+        made.setdefault(holder, []).append(b" ".join(words[a : b + window]))
+    return {holder: b"\n".join(lines) for holder, lines in made.items()}
+
+
+def repeated_words(words: list[bytes], bounds: np.ndarray, passages: list[bytes], window: int, gram: int) -> np.ndarray:
+    """Which words of a shard lie in a window that is part of one of the passages (words, joined by spaces)."""
+    told, edges = joined(passages)
+    if len(told) < window or len(words) < window:
+        return np.zeros(len(words), dtype=bool)
+    # the passages: their windows, and the sampled phrases by which the automaton finds them
+    hashed, whole = word_hashes(told), inside(edges, window, len(told))
+    starts = np.flatnonzero(whole)
+    known, first = np.unique(window_hashes(hashed, window)[starts], return_index=True)
+    anchors = minima(window_hashes(hashed, gram), whole, window - gram + 1)
+    found = _locate(words, bounds, list(dict.fromkeys(b" ".join(told[i : i + gram]) for i in anchors.tolist())), gram)
+    # the texts: windows around what was found
     marks = np.concatenate(([0], np.cumsum(found)))
-    reach = window - gram + 1
-    near = np.flatnonzero(whole & (marks[reach : reach + len(hashes)] > marks[: len(hashes)]))
-    spot = np.minimum(np.searchsorted(known, hashes[near]), len(known) - 1)
-    near, spot = near[known[spot] == hashes[near]], spot[known[spot] == hashes[near]]
-    equal = np.zeros(len(hashes), dtype=bool)
-    equal[near[_equal_words(words, near, at[first][spot], window)]] = True
+    reach, last = window - gram + 1, len(words) - window + 1
+    near = np.flatnonzero(inside(bounds, window, len(words)) & (marks[reach : reach + last] > marks[:last]))
+    equal = np.zeros(last, dtype=bool)
+    if len(near):
+        hashes = window_hashes(word_hashes(words), window)[near]
+        spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        near, spot = near[known[spot] == hashes], spot[known[spot] == hashes]
+        equal[near[_equal_words(words + told, near, len(words) + starts[first[spot]], window)]] = True
     return covered(equal, window, len(words))
 
 
@@ -199,16 +216,30 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes
         return _rows([blocks[k] for k in some], np.full(len(some), group.column("range")[0].as_py() >> finer if len(some) else 0), None, [held[k].tobytes() for k in some])
 
     def return_(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of one block and range: for each shard its windows among the confirmed ones."""
+        """Of one block and range: for each owner its windows among the confirmed ones, each with a shard that holds it."""
         confirmed = np.unique(_unpacked(right.column("windows")))
         held = [_among(p, confirmed) for p in left.column("windows").to_pylist()]
-        some = [k for k, h in enumerate(held) if len(h)]
-        shard = left.column("shard").to_pylist()
-        return pa.table({"shard": pa.array([shard[k] for k in some], pa.int32()), "windows": pa.array([held[k].tobytes() for k in some], pa.binary())})
+        windows = np.concatenate([np.zeros(0, np.uint64), *held])
+        holders = np.repeat(left.column("shard").to_numpy(), list(map(len, held))).astype(np.int32)
+        order = np.lexsort((holders, windows))
+        windows, holders = windows[order], holders[order]
+        first = np.concatenate((np.ones(min(1, len(windows)), dtype=bool), windows[1:] != windows[:-1]))
+        owners = holders[np.maximum.accumulate(np.where(first, np.arange(len(windows)), 0))]
+        order = np.argsort(owners, kind="stable")
+        kept, packed = _packed(owners[order], windows[order])
+        _, whose = _packed(owners[order], holders[order])
+        return pa.table({"shard": pa.array(kept.astype(np.int32)), "windows": pa.array(packed, pa.binary()), "holders": pa.array(whose, pa.binary())})
+
+    def extract(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of an owner: for each shard the passages that it holds."""
+        words, bounds = joined(text_bytes(left.column("text").combine_chunks()))
+        whose = np.frombuffer(b"".join(right.column("holders").to_pylist()), dtype=np.int32)
+        made = passages_for(words, bounds, _unpacked(right.column("windows")), whose, window) if len(whose) else {}
+        return pa.table({"shard": pa.array(made.keys(), pa.int32()), "passages": pa.array(made.values(), pa.binary())})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         words, bounds = joined(text_bytes(left.column("text").combine_chunks()))
-        gone = repeated_words(words, bounds, np.unique(_unpacked(right.column("windows"))), window, gram)
+        gone = repeated_words(words, bounds, b"\n".join(right.column("passages").to_pylist()).split(b"\n"), window, gram)
         kept = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if gone[a:b].any():
@@ -221,5 +252,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 6, shard_bytes
     sent = sharded.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, WINDOWS).repartition(n, "block", "range")
     merged = sent.groupBy("block", "range").applyInArrow(merge, WINDOWS)
     counted = merged.groupBy("range").applyInArrow(confirm, WINDOWS).repartition(n, "block", "range")
-    back = sent.groupBy("block", "range").cogroup(counted.groupBy("block", "range")).applyInArrow(return_, "shard int, windows binary").repartition(n, "shard")
-    return sharded.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(remove, RESULT)
+    owned = sent.groupBy("block", "range").cogroup(counted.groupBy("block", "range")).applyInArrow(return_, "shard int, windows binary, holders binary").repartition(n, "shard")
+    passages = sharded.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(extract, "shard int, passages binary").repartition(n, "shard")
+    return sharded.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(remove, RESULT)

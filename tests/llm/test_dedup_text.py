@@ -7,7 +7,7 @@ import numpy as np
 
 from corpusloom.llm import substring_dedup
 from corpusloom.llm.line_dedup import line_dedup
-from corpusloom.llm.substring_dedup import remove_repeats, repeated_words
+from corpusloom.llm.substring_dedup import passages_for, remove_repeats, repeated_words
 from corpusloom.llm.words import joined, window_hashes, word_hashes
 from tests.llm.conftest import HARD
 
@@ -93,13 +93,30 @@ def test_windows_random(make_docs):
         assert sorted(map(tuple, got), key=repr) == brute_windows(rows, width)
 
 
-def test_nothing_goes_without_the_automaton():
-    """What is deleted is what the automaton finds: with an automaton that finds nothing all words stay."""
-    words, bounds = joined([b"a b c d e f g h", b"x a b c d e f g h y"])
-    confirmed = np.unique(window_hashes(word_hashes(words), 5)[[0, 1, 2, 3]])
-    assert repeated_words(words, bounds, confirmed, 5, 2).tolist() == [True] * 8 + [False] + [True] * 8 + [False]
+def test_what_goes_is_what_the_automaton_has():
+    """With the same texts, a passage more takes more words, a passage less takes fewer, and an automaton that finds nothing takes none."""
+    words, bounds = joined([b"a b c d e f g h", b"x a b c d e f g h y", b"k l m n o p q", b"k l m n o p z"])
+    gone = lambda *passages: repeated_words(words, bounds, list(passages), 5, 2).tolist()
+    one, two = [True] * 8 + [False] + [True] * 8 + [False] + [False] * 14, [False] * 18 + [True] * 6 + [False] + [True] * 6 + [False]
+    assert gone(b"a b c d e f g h") == one
+    assert gone(b"k l m n o p") == two
+    assert gone(b"a b c d e f g h", b"k l m n o p") == [a or b for a, b in zip(one, two, strict=True)]
+    assert gone(b"b c d e f") == [False] + [True] * 5 + [False] * 4 + [True] * 5 + [False] * 17
+    assert not any(gone()) and not any(gone(b"")) and not any(gone(b"a b c d"))
     with mock.patch.object(substring_dedup, "_locate", lambda words, *_: np.zeros(len(words), dtype=bool)):
-        assert not repeated_words(words, bounds, confirmed, 5, 2).any()
+        assert not any(gone(b"a b c d e f g h"))
+    phrases = []
+    with mock.patch.object(substring_dedup, "_locate", lambda words, bounds, p, gram: phrases.extend(p) or np.zeros(len(words), dtype=bool)):
+        gone(b"a b c d e f g h")
+    assert phrases and all(p in b"a b c d e f g h" for p in phrases)
+
+
+def test_owners_send_each_holder_its_passages():
+    words, bounds = joined([b"a b c d e f g", b"u v w x y z", b"a b c d e f g"])
+    hashes = window_hashes(word_hashes(words), 5)
+    asked = hashes[[0, 1, 2, 0, 7, 8, 1, 2]]
+    holders = np.array([4, 4, 4, 2, 4, 2, 9, 9], dtype=np.int32)
+    assert passages_for(words, bounds, asked, holders, 5) == {4: b"a b c d e f g\nu v w x y", 2: b"a b c d e\nv w x y z", 9: b"b c d e f g"}
 
 
 def test_windows_of_equal_hash_are_compared_by_words():
@@ -107,7 +124,7 @@ def test_windows_of_equal_hash_are_compared_by_words():
     words, bounds = joined([b"a b c d e", b"a b c d e", b"p b c q r"])
     blind = lambda hashes, width, base=0: np.full(max(0, len(hashes) - width + 1), 7, dtype=np.uint64) if width == 5 else window_hashes(hashes, width)
     with mock.patch.object(substring_dedup, "window_hashes", blind):
-        gone = repeated_words(words, bounds, np.array([7], dtype=np.uint64), 5, 2)
+        gone = repeated_words(words, bounds, [b"a b c d e"], 5, 2)
     assert gone.tolist() == [True] * 10 + [False] * 5
 
 
