@@ -14,6 +14,7 @@ from corpusloom.operators import aggregates, chunking, html, questions, retrieva
 from corpusloom.operators.postings import Postings
 from corpusloom.plans import ingest
 from corpusloom.plans.buckets import spot_of
+from corpusloom.plans.jobs import Jobs
 from corpusloom.sources import charsets
 from corpusloom.sources import documents as sources
 from corpusloom.streaming import activity as streams
@@ -577,14 +578,13 @@ def source_files(spark: SparkSession, d: str) -> str:
 
 
 FILES_SQL = "(SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY source)"
-SOURCE_OF = F.regexp_extract("path", "source=([^/]*)/", 1)
-register("s1_scan_files", f"SELECT source, strlen(content) AS length, sha256(content) AS file_hash FROM {FILES_SQL}")(lambda spark, d: sources.scan_files(spark, source_files(spark, d), ["TXT"]).select(SOURCE_OF.alias("source"), "length", sources.file_fingerprint(F.col("content")).alias("file_hash")))
+register("s1_scan_files", f"SELECT source, strlen(content) AS length, sha256(content) AS file_hash FROM {FILES_SQL}")(lambda spark, d: sources.scan_files(spark, source_files(spark, d), ["TXT"]).select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "length", sources.file_fingerprint(F.col("content")).alias("file_hash")))
 
 
 def folder_streamed(spark: SparkSession, d: str) -> DataFrame:
     """The files stream into an index in batches of seven; a second call finds no new ones. Sources with their file's hash, and whether all chunks have a vector."""
     folder = source_files(spark, d)
-    index, checkpoint = ingest.Index(spark, streams.shared_path(spark, "folder-index")), streams.shared_path(spark, "folder-checkpoint")
+    index, checkpoint = ingest.Index(spark, streams.shared_path(spark, "folder-index"), buckets=8), streams.shared_path(spark, "folder-checkpoint")
     for _ in range(2):
         streams.stream_folder(spark, folder, index, checkpoint, ["txt"], files_a_batch=7)
     found = index.manifest().hint("merge").join(index.vectors().select("chunk_id", F.lit(True).alias("has")), "chunk_id", "left")
@@ -649,6 +649,28 @@ register(
 )(lambda spark, d: questions.answers(read(spark, d, "documents").select(F.col("doc_id").alias("query_id")), contexts(spark, d).select("query_id", F.col("context").alias("prompt")), size_of_prompt).select("query_id", "answer"))
 
 
+def moody(prompts: pd.Series) -> pd.Series:
+    """A generator that fails on every batch in which a prompt has a number of letters that five divides."""
+    if any(len(p) % 5 == 0 for p in prompts):
+        raise RuntimeError("not this one")
+    return prompts.map(lambda p: f"{len(p)} letters")
+
+
+def answered_with_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Each query vector's hits in two fifths of the cases, as a prompt of as many letters as its id says, and as sources."""
+    hits = retrieval.vector_topk(*vectors(spark, d), 5).hint("merge").join(points(spark, d).withColumnRenamed("vec_id", "chunk_id"), "chunk_id")
+    hits = hits.filter(F.col("query_id") % 100 < 40).withColumns({"source_doc_id": F.col("label").cast("string"), "source_path": F.lit(None).cast("string"), "page_num": F.lit(0)})
+    prompts = hits.select("query_id", F.repeat(F.lit("x"), (F.col("query_id") / 20 + 1).cast("int")).alias("prompt")).distinct()
+    made = questions.answers(vectors(spark, d)[0].select("query_id"), prompts, moody, retrieval.unique_sources(hits))
+    return made.select("query_id", "answer", F.array_join(F.transform("sources", lambda s: s["source_doc_id"]), ",").alias("sources"))
+
+
+register(
+    "p11_answer_with_sources",
+    f"WITH h AS (SELECT query_id, label, min(rank) AS first FROM {TOPK_SQL} WHERE rank <= 5 AND query_id % 100 < 40 GROUP BY query_id, label), s AS (SELECT query_id, string_agg(label::VARCHAR, ',' ORDER BY first) AS sources FROM h GROUP BY query_id) SELECT vec_id AS query_id, CASE WHEN s.query_id IS NOT NULL AND (vec_id // 20 + 1) % 5 <> 0 THEN (vec_id // 20 + 1) || ' letters' ELSE 'I don''t know' END AS answer, coalesce(sources, '') AS sources FROM embeddings LEFT JOIN s ON s.query_id = vec_id WHERE vec_id % 20 = 0",
+)(answered_with_sources)
+
+
 def asked_and_answered(spark: SparkSession, d: str) -> DataFrame:
     """The turns of users with the assistant's next turn as query activity."""
     said = read(spark, d, "conversations").filter("text <> ''")
@@ -702,7 +724,7 @@ register("f7_matches", "SELECT doc_id, contains(lower(text), 'the') OR contains(
 def indexed(spark: SparkSession, d: str) -> DataFrame:
     """Index all chunks twice, the second time with changes: the second report."""
     folder = streams.shared_path(spark, "index")
-    index = ingest.Index(spark, folder)
+    index = ingest.Index(spark, folder, buckets=8)
     rows = read(spark, d, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "text", F.sha2((F.col("doc_id") % 7).cast("string"), 256).alias("file_hash"), F.lit("{}").alias("metadata_json"))
     hashed = lambda df: df.withColumn("chunk_content_hash", X.chunk_content_hash(F.col("text")))
     index.index_chunks(hashed(rows.filter("doc_id % 10 <> 0")))
@@ -742,6 +764,29 @@ register(
 )(whole_run)
 
 
+def job_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as files of a run, a job for each source; the first source's job is deleted with all that it made. The paths that are left in the latest pages."""
+    path = F.concat(F.lit("in/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    folder = streams.shared_path(spark, "run")
+    index = ingest.Index(spark, f"{folder}/index", buckets=8)
+    ingest.run_pipeline(read(spark, d, "documents").select(path.alias("path"), F.col("text").cast("binary").alias("content")), folder, "run-1", "now", "paragraph", index=index)
+    made = Jobs(spark, f"{folder}/jobs")
+    every = read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    none = F.array().cast("array<string>")
+    told = {"id": F.col("source"), "project_id": F.lit("p"), "file_type": F.lit("txt"), "input_path": F.concat(F.lit("in/"), F.col("source")), "file_hashes": none, "source_paths": none, "ingestion_id": F.lit(None).cast("string"), "status": F.lit("indexed"), "created_at": F.lit("1"), "updated_at": F.lit("1")}
+    made.save(every.select(*(c.alias(k) for k, c in told.items())))
+    made.delete(made.all().agg(F.min("id")).first()[0], folder, index)
+    left = ingest.read_latest(spark, f"{folder}/pages").select("source_path").distinct()
+    # as many as have a job
+    return left.hint("merge").join(made.all().select(F.col("id").alias("job")), F.regexp_extract("source_path", "^in/([^/]*)/", 1) == F.col("job"), "left_semi")
+
+
+register(
+    "i5_delete_job",
+    f"WITH f AS (SELECT file_hash, arg_min('in/' || source_path || '.txt', lower('in/' || source_path || '.txt')) AS source_path, any_value(word_count) AS word_count FROM {CLEAN_DOCS} GROUP BY file_hash) SELECT source_path FROM f WHERE word_count >= 12 AND NOT starts_with(source_path, 'in/' || (SELECT min(source) FROM documents) || '/')",
+)(job_deleted)
+
+
 def projects(spark: SparkSession, d: str) -> DataFrame:
     """Even documents in one project, odd ones in another that is deleted, and a third without any."""
     every = ingest.Collections(spark, streams.shared_path(spark, "projects"))
@@ -772,7 +817,7 @@ register("t1_stream_ingest", f"SELECT id, doc_id, word_count AS words FROM {CLEA
 
 def stream_indexed(spark: SparkSession, d: str) -> DataFrame:
     """Documents stream in as chunks of an index; a second stream over the same table changes nothing."""
-    index = ingest.Index(spark, streams.shared_path(spark, "stream-index"))
+    index = ingest.Index(spark, streams.shared_path(spark, "stream-index"), buckets=8)
     chunks = lambda b: b.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), "text", X.chunk_content_hash(F.col("text")).alias("chunk_content_hash"), F.lit("{}").alias("metadata_json"), F.sha2("text", 256).alias("file_hash"))
     for k in range(2):
         streams.stream_index(streams.read_stream(spark, d, "documents"), chunks, index, streams.shared_path(spark, f"stream-index-checkpoint-{k}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.postings import Postings
@@ -15,31 +15,50 @@ def ingest_summary(clean: DataFrame) -> DataFrame:
     return clean.groupBy("detected_lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if("is_arabic").alias("arabic"), F.sum("word_count").alias("words"))
 
 
-def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Per strategy the sizes of its chunks. Input: strategy, source_doc_id, token_count, is_arabic."""
-    t = F.col("token_count")
-    n = F.count(F.lit(1))
-    spread = F.coalesce(F.stddev_samp(t), F.lit(0.0))
-    return chunks.groupBy("strategy").agg(
+def size_histogram(chunks: DataFrame) -> DataFrame:
+    """strategy, size, n, arabic: how many chunks have a size. It is small, and histograms of parts add up to that of the whole."""
+    return chunks.groupBy("strategy", F.col("token_count").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_arabic").alias("arabic"))
+
+
+def histogram_stats(sizes: DataFrame) -> DataFrame:
+    """Per strategy the statistics of its chunk sizes, exact, from `size_histogram` alone."""
+    t, c = F.col("size"), F.col("n")
+    upto = F.sum("n").over(Window.partitionBy("strategy").orderBy("size"))  # as many rows as there are sizes
+    placed = sizes.withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy("strategy"))})
+    exact = lambda x: F.sum(x.cast("decimal(38,0)"))
+    total, squares, n = exact(t * c), exact(t.cast("decimal(18,0)") * t * c), F.sum("n")
+    spread = F.when(n > 1, F.sqrt(((n.cast("decimal(20,0)") * squares - total * total) / (n.cast("decimal(20,0)") * (n - 1))).cast("double"))).otherwise(0.0)
+    mean = F.sum(t * c) / n
+    within = lambda low, high: F.coalesce(F.sum(F.when(t.between(low, high), c)), F.lit(0))
+    # the middle chunk, or both of them
+    low, high = F.min(F.when(F.col("upto") >= F.floor((F.col("all") + 1) / 2), t)), F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, t))
+    return placed.groupBy("strategy").agg(
         n.alias("chunks"),
-        F.round(F.avg(t), 1).alias("avg_tokens"),
-        F.floor(F.median(t)).cast("long").alias("median_tokens"),
+        F.round(mean, 1).alias("avg_tokens"),
+        F.floor((low + high) / 2).cast("long").alias("median_tokens"),
         F.min(t).alias("min_tokens"),
         F.max(t).alias("max_tokens"),
         F.round(spread, 1).alias("stdev_tokens"),
-        F.round(F.when(F.avg(t) > 0, spread / F.avg(t)).otherwise(0.0), 3).alias("variation"),
-        F.sum(t).cast("long").alias("total_tokens"),
-        F.count_if("is_arabic").alias("arabic"),
-        F.count_if(~F.col("is_arabic")).alias("other"),
-        F.countDistinct("source_doc_id").alias("documents"),
-        F.count_if(t < TINY).alias("tiny"),
-        F.count_if(t.between(TINY, LARGE)).alias("in_range"),
-        F.count_if(t > LARGE).alias("oversize"),
-        F.count_if(t > HARD).alias("hard_oversize"),
-        F.round(F.count_if(t.between(TINY, LARGE)) / n * 100, 1).alias("in_range_pct"),
+        F.round(F.when(mean > 0, spread / mean).otherwise(0.0), 3).alias("variation"),
+        F.sum(t * c).cast("long").alias("total_tokens"),
+        F.sum("arabic").alias("arabic"),
+        (n - F.sum("arabic")).alias("other"),
+        within(-(2**31), TINY - 1).alias("tiny"),
+        within(TINY, LARGE).alias("in_range"),
+        within(LARGE + 1, 2**31 - 1).alias("oversize"),
+        within(HARD + 1, 2**31 - 1).alias("hard_oversize"),
+        F.round(within(TINY, LARGE) / n * 100, 1).alias("in_range_pct"),
     )
 
 
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """Per strategy the sizes of its chunks. Input: strategy, source_doc_id, token_count, is_arabic."""
+    documents = chunks.groupBy("strategy").agg(F.countDistinct("source_doc_id").alias("documents"))
+    joined = histogram_stats(size_histogram(chunks)).hint("merge").join(documents.withColumnRenamed("strategy", "__of"), F.col("strategy").eqNullSafe(F.col("__of"))).drop("__of")
+    order = ["strategy", "chunks", "avg_tokens", "median_tokens", "min_tokens", "max_tokens", "stdev_tokens", "variation", "total_tokens", "arabic", "other", "documents", "tiny", "in_range", "oversize", "hard_oversize", "in_range_pct"]
+    return joined.select(*order)
+
+
 def dataset_summary(clean: DataFrame) -> DataFrame:
     return clean.groupBy("file_type").agg(F.countDistinct("source_path").alias("sources"), F.count(F.lit(1)).alias("documents"), F.count_if("is_arabic").alias("arabic"))
 

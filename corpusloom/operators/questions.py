@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,13 +108,42 @@ def conversation_context(conversations: DataFrame) -> DataFrame:
     return before.select("conv_id", "turn", F.array_join(kept, "\n\n").alias("context"))
 
 
-def answers(queries: DataFrame, prompts: DataFrame, generate=None) -> DataFrame:
-    """Adds answer: what `generate` gives for the prompt (a function of batches of prompts), "I don't know" without hits or generator."""
-    joined = queries.join(prompts, "query_id", "left")
+def _isolated(generate: Callable[[pd.Series], pd.Series]) -> Callable[[pd.Series], pd.Series]:
+    """A generator of which one failing prompt fails alone: a batch that raises is asked again prompt by prompt, and those that raise have no answer."""
+
+    def one(prompt: str) -> str | None:
+        try:
+            return next(iter(generate(pd.Series([prompt]))))
+        except Exception:  # noqa: BLE001  whatever a model raises
+            return None
+
+    def run(prompts: pd.Series) -> pd.Series:
+        asked = prompts[prompts.notna()]
+        try:
+            made = pd.Series(list(generate(asked)), index=asked.index, dtype=object) if len(asked) else asked
+            if len(made) != len(asked):
+                raise ValueError("as many answers as prompts are needed")
+        except Exception:  # noqa: BLE001
+            made = asked.map(one)
+        return made.reindex(prompts.index)
+
+    return run
+
+
+def answers(queries: DataFrame, prompts: DataFrame, generate: Callable[[pd.Series], pd.Series] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Adds answer: what `generate` gives for the prompt (a function of batches of prompts), "I don't know" without hits or generator, or where it fails.
+
+    sources (as of `retrieval.unique_sources`): adds sources too, those of the query's hits in their order, whether or not there is an answer; none without hits.
+    """
+    joined = queries.hint("merge").join(prompts, "query_id", "left")
+    if sources is not None:
+        one = F.struct("place", "source_doc_id", "source_path", "page_num")
+        listed = sources.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))  # a query's few hits
+        joined = joined.hint("merge").join(listed, "query_id", "left").withColumn("sources", F.coalesce("sources", F.expr("array()").cast(dict(listed.dtypes)["sources"])))
     if generate is None:
         return joined.withColumn("answer", F.lit(IDK))
-    made = F.pandas_udf(generate, "string")(F.coalesce("prompt", F.lit("")))  # evaluated for all rows; those without hits are not used
-    return joined.withColumn("answer", F.when(F.col("prompt").isNull(), IDK).otherwise(F.coalesce(made, F.lit(IDK))))
+    made = F.pandas_udf(_isolated(generate), "string").asNondeterministic()(F.col("prompt"))  # evaluated once; null prompts are not asked
+    return joined.withColumn("answer", F.coalesce(made, F.lit(IDK)))
 
 
 def _holds(text: Column, needles: Column, every: bool) -> Column:
