@@ -12,6 +12,7 @@ from corpusloom.functions import normalizers
 from corpusloom.functions import text as X
 from corpusloom.operators import aggregates, chunking, html, questions, retrieval, tables
 from corpusloom.operators.postings import Postings
+from corpusloom.operators.vectors import VectorTable
 from corpusloom.plans import ingest
 from corpusloom.plans.buckets import spot_of
 from corpusloom.plans.jobs import Jobs
@@ -405,6 +406,20 @@ def capped(spark: SparkSession, d: str) -> DataFrame:
 register("r2_post_process", f"SELECT query_id, place AS rank, chunk_id::VARCHAR AS chunk_id, label::VARCHAR AS document_group_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM {CAPPED} WHERE n <= 3) WHERE place <= 5")(capped)
 
 
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """From a table in cells: of the points with one of four labels the five best after post-processing, out of fifteen."""
+    every = read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    named = every.select("chunk_id", F.sha2(F.col("chunk_id").cast("string"), 256).alias("chunk_content_hash"), F.col("label").cast("string").alias("document_group_id"))
+    found = retrieval.search(vectors(spark, d)[0], VectorTable.build(every, cells=16), named, 5, {"label": [1, 2, 3, 4], "none": None}, min_score=None)
+    return found.select("query_id", "rank", "chunk_id", "document_group_id")
+
+
+register(
+    "r1_filtered_search",
+    f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {PAIRS_SQL} WHERE label IN (1, 2, 3, 4)), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM t WHERE rank <= 15) SELECT query_id, place AS rank, chunk_id::VARCHAR AS chunk_id, label::VARCHAR AS document_group_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE n <= 3) WHERE place <= 5",
+)(filtered_search)
+
+
 def docs_as_chunks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.sha2("text", 256).alias("chunk_content_hash"), F.col("source").alias("document_group_id"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.postings import Postings
+from corpusloom.operators.vectors import TopK, VectorTable
 from corpusloom.sources.shared import only, shared_path, written
 
 # Floors, weights and limits of the ranking.
@@ -77,28 +78,31 @@ def _best_in_tasks(sent: Broadcast, points: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
-        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        best, every = TopK(len(ids), k), np.arange(len(ids))
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            names = batch.column("chunk_id").to_pylist()
-            for at in range(0, len(names), 1000):
+            names = np.array(batch.column("chunk_id").to_pylist())
+            for at in range(0, batch.num_rows if len(ids) else 0, 1000):
                 block = np.array(batch.column("vector").slice(at, 1000).to_pylist(), dtype=np.float64)
-                scores = matrix @ block.T
-                keep = min(k, scores.shape[1])
-                floor = np.partition(scores, -keep, axis=1)[:, -keep]
-                for q, c in zip(*np.nonzero(scores >= floor[:, None]), strict=True):
-                    best[q].append((-scores[q, c], names[at + c]))
-                for q in range(len(ids)):
-                    if len(best[q]) > k:
-                        best[q] = sorted(best[q])[:k]
-        rows = [(i, name, -s) for i, found in zip(ids.tolist(), best, strict=True) for s, name in found]
-        out = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64() if kind == "bigint" else pa.string()), pa.array(out[2], pa.float64())], ["query_id", "chunk_id", "score"])
+                best.add(every, names[at : at + 1000], matrix @ block.T)
+        q, chunks, scores = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunks.tolist(), pa.int64() if kind == "bigint" else pa.string()), pa.array(scores, pa.float64())], ["query_id", "chunk_id", "score"])
 
     return points.select("chunk_id", "vector").mapInArrow(run, f"query_id long, chunk_id {kind}, score double")
 
 
+def search(queries: DataFrame, table: VectorTable, hits: DataFrame, k: int, filters: dict[str, object] | None = None, dedup: bool = True, cap: int | None = PER_DOCUMENT, min_score: float | None = MIN_SCORE, oversample: float = OVERSAMPLE) -> DataFrame:
+    """The k hits of each query after post-processing: `oversample` times as many are looked for, with the filters applied before any is scored.
+
+    queries: query_id, vector; hits: chunk_id, chunk_content_hash, document_group_id of all points. Without dedup and cap the nearest k are returned as they are.
+    """
+    wanted = max(k, round(k * max(1.0, oversample)))
+    found = table.search(queries, wanted, filters)
+    named = found.hint("merge").join(only(hits, written(found.select("chunk_id"), shared_path(queries.sparkSession, "found")), "chunk_id"), "chunk_id")
+    if not dedup and cap is None:
+        return named.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "chunk_content_hash", "document_group_id", "score")
+    return post_process(named.withColumn("chunk_id", F.col("chunk_id").cast("string")), k, dedup, cap, min_score)
+
+
 def token_overlap(queries: DataFrame, chunks: DataFrame | Postings, least: int = 1) -> DataFrame:
     """query_id, chunk_id, overlap, size: shared distinct tokens of all pairs that share at least `least`.
 
