@@ -310,11 +310,9 @@ CASES_SQL = "(SELECT 'case-' || item_id AS id, item_id, text AS query, CASE WHEN
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<string>")
     item = F.col("item_id")
     given = read(spark, d, "benchmark").select(F.concat(F.lit("case-"), item.cast("string")).alias("id"), item, F.col("text").alias("query"), F.when(item % 2 == 0, F.array(F.concat(F.lit("src"), (item % 20).cast("string")))).alias("expected_source_contains"), F.array(F.substring("text", 1, 40)).alias("expected_chunk_contains"), F.lit(None).cast("array<string>").alias("expected_answer_keywords"), F.when(item % 5 == 0, F.array(F.lit("src3/"))).alias("forbidden_source_contains"), F.lit(None).cast("int").alias("top_k"), F.lit(None).cast("string").alias("prompt_version"))
-    filled = {c: F.coalesce(c, none) for c in ("expected_source_contains", "expected_chunk_contains", "expected_answer_keywords", "forbidden_source_contains")}
-    return given.withColumns(filled | {"top_k": F.coalesce("top_k", F.lit(5)), "prompt_version": F.coalesce("prompt_version", F.lit("strict"))})
+    return sources.with_case_defaults(given)
 
 
 register("s19_eval_cases", f"SELECT id, len(src) AS sources, len(bad) AS forbidden, 5 AS top_k, 'strict' AS prompt_version FROM {CASES_SQL}")(lambda spark, d: cases(spark, d).select("id", F.size("expected_source_contains").alias("sources"), F.size("forbidden_source_contains").alias("forbidden"), "top_k", "prompt_version"))
@@ -567,6 +565,18 @@ register("h2_html_title", "SELECT page_id, trim(regexp_extract(html, '<title[^>]
 register("h6_detect_charset", "SELECT page_id, coalesce(nullif(lower(regexp_extract(substr(html, 1, 4096), 'charset=[\"'']?([A-Za-z0-9_-]+)', 1, 'i')), ''), 'utf-8') AS charset FROM pages")(lambda spark, d: read(spark, d, "pages").select("page_id", html.detect_charset(F.col("html")).alias("charset")))
 
 
+def tagged_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with meta tags put before their title: an author by name, a title by property, one that isn't looked for."""
+    page = F.col("page_id").cast("string")
+    tags = F.concat(F.lit('<META NAME="Author" content="page '), page, F.lit('"><meta property="og:title" content="no '), page, F.lit('"><meta name="robots" content="none"><title>'))
+    return read(spark, d, "pages").select("page_id", F.replace("html", F.lit("<title>"), tags).alias("html"))
+
+
+register("h2_meta_tags", "SELECT page_id, 2 AS tags, 'page ' || page_id AS author, 'no ' || page_id AS og_title FROM pages")(
+    lambda spark, d: html.extract_sections(tagged_pages(spark, d)).filter("section_no = 0").select("page_id", F.size("metadata").alias("tags"), F.col("metadata")["meta_author"].alias("author"), F.col("metadata")["meta_og_title"].alias("og_title"))
+)
+
+
 def encoded_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages as bytes: a third in UTF-8, a third in Latin-1 and declared so, a third in UTF-16 with nothing but a byte order mark to tell."""
     which = F.col("page_id") % 3
@@ -841,6 +851,9 @@ def stream_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 register("t1_stream_index", f"SELECT sha256(doc_id::VARCHAR) AS chunk_id, sha256({NORMAL_SQL.replace('{t}', 'text')}) AS chunk_content_hash FROM documents")(stream_indexed)
 register("t2_stream_activity_stats", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2")(lambda spark, d: streams.run_to_table(streams.window_stats(streams.read_stream(spark, d, "events")), "stats", "complete"))
+register("t2_stream_sliding_stats", "SELECT window_start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS window_start, event_type, value FROM events) GROUP BY 1, 2")(
+    lambda spark, d: streams.run_to_table(streams.window_stats(streams.read_stream(spark, d, "events"), "2 days", "1 day"), "sliding", "complete")
+)
 register("t3_stream_dedup", "SELECT count(DISTINCT user_id) AS users FROM events")(lambda spark, d: streams.run_to_table(streams.stream_dedup(streams.read_stream(spark, d, "events"), "user_id", "ts"), "dedup").agg(F.count(F.lit(1)).alias("users")))
 register("t4_stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR > ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")(lambda spark, d: streams.run_to_table(streams.sessions(streams.read_stream(spark, d, "events")), "sessions", "complete"))
 
