@@ -121,7 +121,7 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """By cross-fitting: each half is scored by the model of the other one; with very few rows by the feature bins alone."""
+    """By cross-fitting: each half is scored by the model of the other one. With fewer than 20 rows of either kind nothing can be told: 0.5."""
     if min(len(positive), len(unlabelled)) < 20:
         return 0.5
     found = []
