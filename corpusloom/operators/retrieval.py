@@ -135,12 +135,16 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, index: Posting
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k, 3))
 
 
-def count_bigrams(query: Column, text: Column) -> Column:
-    """Neighbouring query words of three letters or more, one of them of four, that stand next to each other in the text."""
+def query_bigrams(query: Column) -> Column:
+    """Neighbouring query words of three letters or more, one of them of four, as "a b"."""
     words = F.filter(X.ordered_tokens(query), lambda t: F.length(t) >= 3)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    there = lambda p: p["b"].isNotNull() & ((F.length(p["a"]) >= 4) | (F.length(p["b"]) >= 4)) & F.lower(text).contains(F.concat(p["a"], F.lit(" "), p["b"]))
-    return F.size(F.filter(pairs, there))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when((F.length(a) >= 4) | (F.length(b) >= 4), F.concat(a, F.lit(" "), b)))
+    return F.array_compact(pairs)
+
+
+def count_bigrams(query: Column, text: Column) -> Column:
+    """How many of the query's bigrams stand in the text."""
+    return F.size(F.filter(query_bigrams(query), lambda p: F.lower(text).contains(p)))
 
 
 def token_frequency(candidates: DataFrame) -> DataFrame:
@@ -167,35 +171,36 @@ def hybrid_rerank(candidates: DataFrame, variants: DataFrame) -> DataFrame:
 
     Features are the best over the variants that share a script with the text.
     """
-    have = candidates.withColumn("tokens", X.match_tokens(F.col("text")))
-    asked = variants.withColumn("asked", X.match_tokens(F.col("query")))
+    # what depends on one side alone is taken once for each candidate and each variant, before they meet
+    text, query = F.col("text"), F.col("query")
+    have = candidates.select("query_id", "chunk_id", "score", X.match_tokens(text).alias("tokens"), F.lower(text).alias("low"), X.numbers(text).alias("figures"), X.has_latin(text).alias("latin"), X.has_arabic(text).alias("arabic"), X.digit_ratio(text).alias("digits"))
+    have = have.withColumn("long", X.informative_tokens(F.col("tokens")))
+    asked = variants.select("query_id", "variant", X.match_tokens(query).alias("asked"), F.when(F.length(query) >= 8, F.lower(query)).alias("phrase"), query_bigrams(query).alias("bigrams"), X.numbers(query).alias("numbers"), X.has_latin(query).alias("asks_latin"), X.has_arabic(query).alias("asks_arabic"))
+    asked = asked.withColumn("informative", X.informative_tokens(F.col("asked")))
     df = token_frequency(have)
     weights = asked.select("query_id", "variant", F.explode("asked").alias("token")).hint("merge").join(df, ["query_id", "token"], "left")
     weights = weights.groupBy("query_id", "variant").agg(F.sort_array(F.collect_list(F.struct("token", (1.0 / F.coalesce("df", F.lit(1))).alias("w")))).alias("weights"))
-    pairs = have.hint("merge").join(asked, "query_id").hint("merge").join(weights, ["query_id", "variant"], "left")
-    text, query = F.col("text"), F.col("query")
-    script = X.shares_script(query, text)
+    pairs = have.hint("merge").join(asked.hint("merge").join(weights, ["query_id", "variant"], "left"), "query_id")
+    script = (F.col("asks_latin") & F.col("latin")) | (F.col("asks_arabic") & F.col("arabic"))
     live = script & (F.size("asked") > 0)
     shared = F.size(F.array_intersect("asked", "tokens"))
-    informative = X.informative_tokens(F.col("asked"))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x["w"])
     weighted = total(F.filter("weights", lambda x: F.array_contains("tokens", x["token"]))) / F.greatest(total(F.col("weights")), F.lit(1e-9))
-    phrase = (F.length("query") >= 8) & F.lower(text).contains(F.lower(query))
     best = pairs.groupBy("query_id", "chunk_id").agg(
-        F.first("text").alias("body"),
+        F.first("digits").alias("digits"),
         F.first("score").alias("semantic"),
         F.max(script).alias("script"),
         F.max(F.when(live, F.struct((shared / F.size("asked")).alias("coverage"), shared.alias("overlap")))).alias("best"),
-        F.max(F.when(live & (F.size(informative) > 0), F.size(F.array_intersect(informative, X.informative_tokens(F.col("tokens")))) / F.greatest(F.size(informative), F.lit(1)))).alias("informative"),
+        F.max(F.when(live & (F.size("informative") > 0), F.size(F.array_intersect("informative", "long")) / F.greatest(F.size("informative"), F.lit(1)))).alias("informative"),
         F.max(F.when(live, weighted)).alias("weighted"),
-        F.max(F.when(live, count_bigrams(query, text))).alias("bigrams"),
-        F.max(F.when(live, phrase)).alias("phrase"),
-        F.max(F.when(live, F.arrays_overlap(X.numbers(query), X.numbers(text)))).alias("number"),
+        F.max(F.when(live, F.size(F.filter("bigrams", lambda p: F.col("low").contains(p))))).alias("bigrams"),
+        F.max(F.when(live, F.coalesce(F.col("low").contains(F.col("phrase")), F.lit(False)))).alias("phrase"),
+        F.max(F.when(live, F.arrays_overlap("numbers", "figures"))).alias("number"),
     )
     z = lambda c: F.coalesce(c, F.lit(0.0))
     coverage, overlap = z(F.col("best.coverage")), F.coalesce("best.overlap", F.lit(0))
     bonus = F.when(F.col("phrase"), 0.05).otherwise(0.0) + F.least(F.lit(0.08), F.coalesce("bigrams", F.lit(0)) * 0.04) + F.when(F.col("number"), 0.04).otherwise(0.0)
-    table = F.when((X.digit_ratio(F.col("body")) > 0.12) & (overlap < 2), 0.04).otherwise(0.0)
+    table = F.when((F.col("digits") > 0.12) & (overlap < 2), 0.04).otherwise(0.0)
     score = F.least(F.lit(0.99), F.col("semantic") * 0.78 + F.greatest(coverage, z(F.col("weighted"))) * 0.22 + bonus - table)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     scored = best.select("query_id", "chunk_id", "semantic", coverage.alias("coverage"), overlap.alias("overlap"), z(F.col("informative")).alias("informative"), z(F.col("weighted")).alias("weighted"), "script", F.when(F.col("script"), score).otherwise(F.col("semantic")).alias("score"))
