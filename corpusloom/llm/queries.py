@@ -145,6 +145,25 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(read(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, rate=199)
 
 
+SQL_OP11 = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS k, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+b AS (SELECT run, n, list_transform(range(strlen(k)), lambda i: ('0x' || substr(hex(k), 2 * i + 1, 2))::BIGINT) AS bytes FROM d),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+s AS (SELECT word, n, p, substr(word, 1, p - 1) AS ahead, substr(word, p + 1) AS behind FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+near AS (SELECT x.word, y.word AS other, y.n FROM s x JOIN s y ON x.p = y.p AND x.ahead = y.ahead AND x.behind = y.behind AND x.word <> y.word
+  UNION SELECT s.word, w.word, w.n FROM s JOIN w ON w.word = s.ahead || s.behind UNION SELECT w.word, s.word, s.n FROM s JOIN w ON w.word = s.ahead || s.behind),
+best AS (SELECT word, other, n AS most, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN other END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.at WHERE f.form IS NOT NULL),
+root AS (SELECT path.word, path.at AS root FROM path JOIN f ON f.word = path.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.fill_middle import fill_in_middle, restored
 
@@ -179,4 +198,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4, "op7_mixing": SQL_OP7, "op10_substring_dedup": SQL_OP10, "op12_fill_in_middle": SQL_OP12}
+    return {"op2_line_dedup": SQL_OP2, "op4_exact_dedup": SQL_OP4, "op7_mixing": SQL_OP7, "op10_substring_dedup": SQL_OP10, "op11_spelling_variants": SQL_OP11, "op12_fill_in_middle": SQL_OP12}
