@@ -27,6 +27,8 @@ MOJIBAKE = "Ã.|Â.|â..|ðŸ|ï¿½"
 LANGUAGE_MARKS = {"en": ("the", "and", "ing"), "fr": ("les", "des", "est"), "de": ("die", "der", "und"), "es": ("los", "las", "que")}
 #: All that counts as white space when text is trimmed or parted into words.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters as a plain string, for trimming.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 QUERY_FROM, QUERY_TO = "أإآٱىئؤةـ", "ااااييوه"
 QUERY_DIACRITICS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
 ARABIC_THRESHOLD = 0.30
@@ -36,12 +38,22 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _chars(text: Column, kind: str) -> Column:
+    """How many characters are of a class: by what is left without them, as `regexp_count` makes a string of every match."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{kind}]+", ""))
+
+
+def _is_ascii(text: Column) -> Column:
+    """As many bytes as characters: such texts have none of the letters that most of the cleaning is about."""
+    return F.octet_length(text) == F.length(text)
+
+
 def repair_mojibake(text: Column) -> Column:
     """UTF-8 that was read as Latin-1 is read again; kept only if no hint is left and most letters survive."""
     fits = text.rlike(MOJIBAKE) & text.rlike(r"^[\x{00}-\x{ff}]*$")
     again = F.try_validate_utf8(F.encode(F.when(fits, text), "ISO-8859-1").cast("string"))
     letters = r"\p{L}"
-    good = again.isNotNull() & ~again.rlike(MOJIBAKE) & (_count(again, letters) >= 0.8 * _count(text, letters))
+    good = again.isNotNull() & ~again.rlike(MOJIBAKE) & (_chars(again, letters) >= 0.8 * _chars(text, letters))
     return F.when(fits & good, again).otherwise(text)
 
 
@@ -85,7 +97,12 @@ _mend = _mend.asNondeterministic()
 
 def mend(text: Column) -> Column:
     """`nfc(repair_mojibake(text))` in one step: only texts with a hint or letters beyond Latin-1 leave the JVM."""
-    return F.coalesce(_mend(F.when(text.rlike(rf"{MOJIBAKE}|[^\x{{00}}-\x{{ff}}]"), text)), text)
+    return F.coalesce(_mend(F.when(~_is_ascii(text) & text.rlike(rf"{MOJIBAKE}|[^\x{{00}}-\x{{ff}}]"), text)), text)
+
+
+def once(value: Column) -> Column:
+    """The same value. The test is always true, but as it isn't deterministic the planner pushes no filter below it, where the value would be made a second time."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def expand_ligatures(text: Column) -> Column:
@@ -122,25 +139,34 @@ def collapse_blank_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
+def _spaced(text: Column) -> Column:
+    """All white space as plain spaces, which patterns find many times faster than the class of all its characters."""
+    return F.translate(text, BLANKS, " " * len(BLANKS))
+
+
+def single_spaced(text: Column) -> Column:
+    """Trimmed, with one space for each run of white space."""
+    return F.trim(F.regexp_replace(_spaced(text), " +", " "))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column, diacritics: bool = True, unicode_form: bool = True) -> Column:
-    """All cleaning steps in order. unicode_form=False leaves out mojibake repair and NFC."""
-    if unicode_form:
-        text = mend(text)
-    text = normalize_arabic(strip_bidi_marks(expand_ligatures(text)))
+    """All cleaning steps in order. unicode_form=False leaves out mojibake repair and NFC. ASCII texts skip the steps that can't change them."""
+    wide = normalize_arabic(strip_bidi_marks(expand_ligatures(mend(text) if unicode_form else text)))
     if diacritics:
-        text = strip_arabic_diacritics(text)
+        wide = strip_arabic_diacritics(wide)
+    text = F.when(_is_ascii(text), text).otherwise(wide)
     return strip(collapse_blank_lines(collapse_spaces(strip_controls(unwrap_hyphens(text)))))
 
 
 def arabic_ratio(text: Column) -> Column:
     """Arabic letters over all letters, unrounded; 0 without letters."""
-    base = _count(text, rf"[\p{{L}}{ARABIC_SCRIPT}]")
-    return F.when(base > 0, _count(text, f"[{ARABIC_SCRIPT}]") / F.greatest(base, F.lit(1))).otherwise(F.lit(0.0))
+    base = _chars(text, rf"\p{{L}}{ARABIC_SCRIPT}")
+    return F.when(~_is_ascii(text) & (base > 0), _chars(text, ARABIC_SCRIPT) / F.greatest(base, F.lit(1))).otherwise(F.lit(0.0))
 
 
 def is_arabic(text: Column) -> Column:
@@ -153,12 +179,16 @@ def _occurrences(text: Column, part: str) -> Column:
 
 def detect_lang(text: Column, arabic: Column | None = None) -> Column:
     """ar, or the Latin language with the most marks in the first 2000 characters; short texts are en."""
-    sample = F.lower(F.substring(text, 1, 2000))
-    scored = []
-    for place, (lang, marks) in enumerate(LANGUAGE_MARKS.items()):
-        total = sum((_occurrences(sample, m) for m in marks), F.lit(0))
-        scored.append(F.struct(total.alias("n"), F.lit(-place).alias("order"), F.lit(lang).alias("lang")))
-    best = F.array_max(F.array(*scored))["lang"]
+
+    def best_of(sample: Column) -> Column:
+        scored = []
+        for place, (lang, marks) in enumerate(LANGUAGE_MARKS.items()):
+            total = sum((_occurrences(sample, m) for m in marks), F.lit(0))
+            scored.append(F.struct(total.alias("n"), F.lit(-place).alias("order"), F.lit(lang).alias("lang")))
+        return F.array_max(F.array(*scored))["lang"]
+
+    # as a lambda's variable the sample is made once, not at each of its uses
+    best = F.get(F.transform(F.array(F.lower(F.substring(text, 1, 2000))), best_of), F.lit(0))
     return F.when(is_arabic(text) if arabic is None else arabic, "ar").when(F.length(text) < 50, "en").otherwise(best)
 
 
@@ -167,7 +197,12 @@ def char_count(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return _count(text, f"[^{SPACE}]+")
+    """One mark is left for each word with the spaces before it."""
+    return F.length(F.regexp_replace(F.rtrim(_spaced(text)), " *+[^ ]++", "x"))
+
+
+def letter_count(text: Column) -> Column:
+    return _chars(text, r"\p{L}")
 
 
 def is_scanned_page(text: Column) -> Column:
@@ -180,8 +215,8 @@ def token_counters(text: Column) -> Column:
     return F.struct(
         _count(text, r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]").alias("tokens"),
         _count(text, r"[\p{L}\p{N}_]*[\p{L}\p{N}][\p{L}\p{N}_]*").alias("words"),
-        _count(text, f"[{ARABIC_CHUNK}]").alias("arabic"),
-        _count(text, r"\p{L}").alias("letters"),
+        _chars(text, ARABIC_CHUNK).alias("arabic"),
+        letter_count(text).alias("letters"),
     )
 
 
@@ -195,7 +230,7 @@ def approx_token_count(text: Column) -> Column:
 
 
 def normalized_chunk_text(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return single_spaced(text)
 
 
 def content_hash(text: Column) -> Column:
@@ -225,8 +260,7 @@ def page_label(label: Column, page_num: Column) -> Column:
 def normalize_query(text: Column) -> Column:
     """The form in which questions are compared: no diacritics, fewer letter variants, single spaces."""
     text = F.regexp_replace(strip(text), QUERY_DIACRITICS, "")
-    text = F.translate(text, QUERY_FROM, QUERY_TO)
-    return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return single_spaced(F.translate(text, QUERY_FROM, QUERY_TO))
 
 
 def match_tokens(text: Column) -> Column:
@@ -261,7 +295,7 @@ def numbers(text: Column) -> Column:
 
 
 def digit_ratio(text: Column) -> Column:
-    return _count(text, r"\p{Nd}") / F.greatest(F.length(text), F.lit(1))
+    return _chars(text, r"\p{Nd}") / F.greatest(F.length(text), F.lit(1))
 
 
 def detect_query_language(text: Column) -> Column:
@@ -269,7 +303,7 @@ def detect_query_language(text: Column) -> Column:
 
 
 def normalize_eval_text(text: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACE}]+", " "))
+    return single_spaced(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def answer_is_idk(text: Column) -> Column:

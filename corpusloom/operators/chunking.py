@@ -59,8 +59,7 @@ def merge_tiny(texts: Column, smallest: int = MIN_TOKENS) -> Column:
 
 def informative(chunks: DataFrame) -> DataFrame:
     """Chunks with some text in them. chunks: text, token_count."""
-    letters = F.regexp_count("text", F.lit(r"\p{L}"))
-    return chunks.filter((F.length(X.strip(F.col("text"))) > 0) & (F.col("token_count") >= MIN_INFORMATIVE_TOKENS) & (letters >= MIN_LETTERS))
+    return chunks.filter((F.length(X.strip(F.col("text"))) > 0) & (F.col("token_count") >= MIN_INFORMATIVE_TOKENS) & (X.letter_count(F.col("text")) >= MIN_LETTERS))
 
 
 def _informative(piece: Column) -> Column:

@@ -114,7 +114,7 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def clean_documents(raw: DataFrame, diacritics: bool = True, unicode_form: bool = True) -> DataFrame:
     """Raw documents with clean_text, counts, language and the hash of the clean text."""
-    clean = raw.withColumn("clean_text", X.clean_text(F.col("raw_text"), diacritics, unicode_form))
+    clean = raw.withColumn("clean_text", X.once(X.clean_text(F.col("raw_text"), diacritics, unicode_form)))
     text, ratio = F.col("clean_text"), F.col("arabic_char_ratio")
     counted = clean.withColumns({"char_count": X.char_count(text), "word_count": X.word_count(text), "raw_content_hash": F.col("content_hash"), "content_hash": X.content_hash(text), "arabic_char_ratio": X.arabic_ratio(text)})
     counted = counted.withColumn("is_arabic", ratio >= X.ARABIC_THRESHOLD)
