@@ -432,7 +432,7 @@ _INDEXES: dict[tuple[str, str], Postings] = {}
 def index_of(spark: SparkSession, d: str) -> Postings:
     """The stored index of the words of the documents: written by the first query of a session that searches them, read by the others."""
     key = (spark.sparkContext.applicationId, d)
-    spot, store = spot_of(spark, f"{_INDEXES[key].folder}/terms") if key in _INDEXES else (None, None)
+    spot, store = spot_of(spark, f"{_INDEXES[key].folder}/words") if key in _INDEXES else (None, None)
     if spot is None or not store.exists(spot):
         _INDEXES[key] = Postings.build(docs_as_chunks(spark, d).select("chunk_id", "text"))
     return _INDEXES[key]
@@ -454,7 +454,7 @@ register("u2_token_intersection", f"SELECT doc_id, len(list_intersect({MATCH_SQL
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The lexical hits of the benchmark, with texts, as candidates of a rerank."""
     hits = retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 15, index_of(spark, d)).select("query_id", "chunk_id", "score")
-    return hits.join(docs_as_chunks(spark, d).hint("merge"), "chunk_id")
+    return retrieval.with_chunks(hits, docs_as_chunks(spark, d))
 
 
 CANDS = f"WITH {TOK_SQL}, h AS (SELECT query_id, chunk_id, score FROM {LEXICAL} WHERE rank <= 15), k AS (SELECT h.query_id, h.chunk_id, h.score, qt, ct, asked, c.text FROM h JOIN q USING (query_id) JOIN c USING (chunk_id)), f AS (SELECT query_id, t, count(*) AS df FROM (SELECT query_id, unnest(ct) AS t FROM k) GROUP BY query_id, t)"
@@ -480,7 +480,7 @@ def variant_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
 def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Vector and word hits of all variants, with texts."""
     both = variant_hits(spark, d).select("query_id", "chunk_id", "score").unionByName(candidates(spark, d).select("query_id", "chunk_id", "score"))
-    return retrieval.best_per_chunk(both).hint("merge").join(docs_as_chunks(spark, d), "chunk_id")
+    return retrieval.with_chunks(retrieval.best_per_chunk(both), docs_as_chunks(spark, d))
 
 
 register("r3_hybrid_rerank")(lambda spark, d: retrieval.hybrid_rerank(merged_candidates(spark, d), variants(spark, d)))
@@ -718,7 +718,7 @@ register("p15_query_activity_record", "SELECT event_id, 'query' AS type, ts, rou
 def case_hits(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.lexical_search(bench(spark, d), docs_as_chunks(spark, d), 5, index_of(spark, d))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path"))
-    return hits.join(docs.hint("merge"), "chunk_id").select(F.concat(F.lit("case-"), F.col("query_id").cast("string")).alias("id"), "query_id", "rank", "text", "source_path")
+    return retrieval.with_chunks(hits, docs).select(F.concat(F.lit("case-"), F.col("query_id").cast("string")).alias("id"), "query_id", "rank", "text", "source_path")
 
 
 def norm_sql(t: str) -> str:

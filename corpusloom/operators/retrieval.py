@@ -127,10 +127,12 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, index: Posting
     coverage = F.col("overlap") / F.col("size")
     # without the phrase a pair needs 5/6 of the tokens, with it 5/9: the others are not joined back to their texts
     near = written(pairs.filter(0.42 + coverage * 0.36 + 0.1 >= LEXICAL_FLOOR), shared_path(queries.sparkSession, "near"))
-    full = near.hint("merge").join(queries.select("query_id", F.lower("query").alias("asked")), "query_id").hint("merge").join(only(chunks.select("chunk_id", "text"), near, "chunk_id"), "chunk_id")
-    phrase = F.lower("text").contains(F.col("asked"))
-    score = F.least(F.lit(0.9), 0.42 + coverage * 0.36 + F.when(phrase, 0.1).otherwise(0.0))
-    scored = full.filter(phrase | (coverage >= 0.55)).select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= LEXICAL_FLOOR)
+    told = near.hint("merge").join(queries.select("query_id", F.lower("query").alias("asked")), "query_id").select("query_id", "chunk_id", "asked", coverage.alias("coverage"))
+    # a text travels once, to all queries that are near to it
+    full = told.groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", "asked", "coverage")).alias("near")).hint("merge").join(only(chunks.select("chunk_id", "text"), near, "chunk_id"), "chunk_id")
+    each = full.select("chunk_id", F.lower("text").alias("low"), "near").select("chunk_id", F.explode(F.transform("near", lambda x: F.struct(x["query_id"].alias("query_id"), x["coverage"].alias("coverage"), F.col("low").contains(x["asked"]).alias("phrase")))).alias("x")).select("chunk_id", "x.*")
+    score = F.least(F.lit(0.9), 0.42 + F.col("coverage") * 0.36 + F.when(F.col("phrase"), 0.1).otherwise(0.0))
+    scored = each.filter(F.col("phrase") | (F.col("coverage") >= 0.55)).select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= LEXICAL_FLOOR)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k, 3))
 
@@ -209,6 +211,7 @@ def hybrid_rerank(candidates: DataFrame, variants: DataFrame) -> DataFrame:
 
 def reject_low_confidence(ranked: DataFrame) -> DataFrame:
     """Drops all hits of a query whose best one convinces too little, else those too far below it. Input as of `hybrid_rerank`."""
+    ranked = written(ranked, shared_path(ranked.sparkSession, "ranked"))
     top = ranked.filter(F.col("rank") == 1).select("query_id", F.struct("score", "semantic", "coverage", "informative", "weighted", "script").alias("top"))
     floor = F.greatest(F.lit(MIN_HYBRID), F.col("top.score") - TOP_WINDOW)
     weak = (F.col("top.score") < MIN_HYBRID) | (F.col("top.script") & (F.col("top.informative") < 0.25) & (F.col("top.semantic") < 0.82)) | (F.col("top.script") & (F.greatest("top.coverage", "top.weighted") < 0.18) & (F.col("top.semantic") < 0.81))
@@ -240,6 +243,12 @@ def post_process(hits: DataFrame, k: int, dedup: bool = True, cap: int | None =
     return walked.select("query_id", F.posexplode("kept").alias("place", "hit")).select("query_id", (F.col("place") + 1).alias("rank"), "hit.chunk_id", "hit.chunk_content_hash", "hit.document_group_id", "hit.score")
 
 
+def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the columns of their chunks. The hits are found once, and chunks that are none of them don't travel."""
+    found = written(hits, shared_path(hits.sparkSession, "hits"))
+    return found.hint("merge").join(only(chunks, found, "chunk_id"), "chunk_id")
+
+
 def best_per_chunk(hits: DataFrame) -> DataFrame:
     """The highest score of each chunk of a query."""
     return hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
@@ -257,6 +266,7 @@ def retrieve_with_variants(variants: DataFrame, hits: DataFrame, chunks: DataFra
 
     variants: query_id, variant (0 first), query; hits: query_id, variant, chunk_id, score; chunks: chunk_id, text, chunk_content_hash, document_group_id.
     """
+    hits = written(hits, shared_path(hits.sparkSession, "hits"))
     tops = hits.groupBy("query_id", "variant").agg(F.max("score").alias("top"))
     passed = tops.filter((F.col("variant") == 0) | (F.col("top") >= VARIANT_FLOOR))
     best = best_per_chunk(hits.hint("merge").join(passed.select("query_id", "variant"), ["query_id", "variant"], "left_semi"))
@@ -264,7 +274,7 @@ def retrieve_with_variants(variants: DataFrame, hits: DataFrame, chunks: DataFra
     sure = sure.hint("merge").join(passed.select("query_id").distinct(), "query_id", "left_semi")
     unsure = variants.filter(F.col("variant") == 0).hint("merge").join(sure, "query_id", "left_anti").select("query_id", "query")
     words = lexical_search(unsure, chunks, max(3 * k, 5), index).select("query_id", "chunk_id", "score")
-    merged = best_per_chunk(best.unionByName(words)).join(chunks.hint("merge"), "chunk_id")
+    merged = with_chunks(best_per_chunk(best.unionByName(words)), chunks)
     ranked = reject_low_confidence(hybrid_rerank(merged, variants))
-    kept = ranked.hint("merge").join(chunks.select("chunk_id", "chunk_content_hash", "document_group_id").hint("merge"), "chunk_id")
+    kept = with_chunks(ranked, chunks.select("chunk_id", "chunk_content_hash", "document_group_id"))
     return post_process(kept, k, min_score=None)
