@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.postings import Postings
-from corpusloom.operators.vectors import TopK, VectorTable
+from corpusloom.operators.vectors import TopK, VectorTable, tiles
 from corpusloom.sources.shared import only, shared_path, written
 
 # Floors, weights and limits of the ranking.
@@ -62,8 +62,11 @@ def vector_score(queries: DataFrame, points: DataFrame) -> DataFrame:
             n, best, total = 0, np.full(len(ids), -np.inf), np.zeros(len(ids))
             for batch in batches:
                 for at in range(0, batch.num_rows if len(ids) else 0, 1000):
-                    scores = matrix @ np.array(batch.column("vector").slice(at, 1000).to_pylist(), dtype=np.float64).T
-                    n, best, total = n + scores.shape[1], np.maximum(best, scores.max(axis=1)), total + scores.sum(axis=1)
+                    block = np.array(batch.column("vector").slice(at, 1000).to_pylist(), dtype=np.float64)
+                    n += len(block)
+                    for some in tiles(len(ids), len(block)):
+                        scores = matrix[some] @ block.T
+                        best[some], total[some] = np.maximum(best[some], scores.max(axis=1)), total[some] + scores.sum(axis=1)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), n)), pa.array(best), pa.array(total)], ["query_id", "pairs", "best", "total"])
 
@@ -82,8 +85,7 @@ def _best_in_tasks(sent: Broadcast, points: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             names = np.array(batch.column("chunk_id").to_pylist())
             for at in range(0, batch.num_rows if len(ids) else 0, 1000):
-                block = np.array(batch.column("vector").slice(at, 1000).to_pylist(), dtype=np.float64)
-                best.add(every, names[at : at + 1000], matrix @ block.T)
+                best.score(every, matrix, names[at : at + 1000], np.array(batch.column("vector").slice(at, 1000).to_pylist(), dtype=np.float64))
         q, chunks, scores = best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(chunks.tolist(), pa.int64() if kind == "bigint" else pa.string()), pa.array(scores, pa.float64())], ["query_id", "chunk_id", "score"])
 

@@ -21,10 +21,18 @@ from corpusloom.sources.shared import shared_path, written
 
 #: Most centroids that are kept; they are sent to all tasks.
 MOST_CELLS = 4_096
+#: Scores that a task holds at a time.
+SCORE_BLOCK = 500_000
 #: Slack for rounding, in distances of unit vectors.
 SLACK = 1e-6
 
 
+def tiles(queries: int, points: int) -> Iterator[slice]:
+    """Ranges of queries whose scores with so many points are SCORE_BLOCK at most."""
+    step = max(1, SCORE_BLOCK // max(1, points))
+    return (slice(at, at + step) for at in range(0, queries, step))
+
+
 class TopK:
     """The k best of each query, fed with blocks of scores; ties go to the smaller id. Holds a few times as many entries as it returns."""
 
@@ -35,12 +43,20 @@ class TopK:
 
     def add(self, which: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: a line for each of the queries `which`, a column for each id."""
+        if scores.shape[1] > self.k and np.isneginf(self.floor[which]).any():
+            # a query's first points: only the k best of them can be among those of all
+            self.floor[which] = np.maximum(self.floor[which], np.partition(scores, -self.k, axis=1)[:, -self.k])
         q, c = np.nonzero(scores >= self.floor[which][:, None])
         self.held.append((which[q], ids[c], scores[q, c]))
         self.size += len(q)
         if self.size > self.most:
             self.settle()
 
+    def score(self, which: np.ndarray, matrix: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        """Add the products of the vectors of the queries `which`, which are lines of matrix, with a block of points: never more than SCORE_BLOCK of them at a time."""
+        for some in tiles(len(which), len(block)):
+            self.add(which[some], ids, matrix[which[some]] @ block.T)
+
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, ids, scores = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         order = np.lexsort((ids, -scores, q))
@@ -134,7 +150,7 @@ class VectorTable:
                     if len(who[c]):
                         for at in range(0, len(here), 1000):
                             some = here[at : at + 1000]
-                            best.add(who[c], names[some], matrix[who[c]] @ block[some].T)
+                            best.score(who[c], matrix, names[some], block[some])
             q, chunks, scores = best.settle()
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunks.tolist(), pa.int64() if kinds["chunk_id"] == "bigint" else pa.string()), pa.array(scores)], ["query_id", "chunk_id", "score"])
 

@@ -98,3 +98,22 @@ def test_best_k_in_blocks():
         every += [(q, -scores[q, c], at + c) for q in which for c in range(50)]
     q, ids, scores = best.settle()
     assert sorted(zip(q.tolist(), (-scores).tolist(), ids.tolist(), strict=True)) == sorted(x for k in range(7) for x in sorted(e for e in every if e[0] == k)[:3])
+
+
+def test_scores_are_held_in_tiles(monkeypatch):
+    """All queries against a block of points at once took memory with the number of queries."""
+    from corpusloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "SCORE_BLOCK", 600)
+    rng = np.random.default_rng(7)
+    matrix, points = rng.normal(size=(90, 4)), np.repeat(rng.normal(size=(100, 4)), 2, axis=0)  # each point twice: ties
+    best, seen, add = TopK(90, 3), [], TopK.add
+    monkeypatch.setattr(TopK, "add", lambda self, which, ids, scores: seen.append(scores.size) or add(self, which, ids, scores))
+    for at in range(0, 200, 50):
+        best.score(np.arange(90), matrix, np.arange(at, at + 50), points[at : at + 50])
+    assert max(seen) <= 600 and sum(seen) == 90 * 200
+    assert best.size < 4 * 90 * 8  # of a block, no more than the best with their ties were held
+    q, ids, _ = best.settle()
+    scores = matrix @ points.T
+    want = [(k, i) for k in range(90) for i in sorted(range(200), key=lambda i: (-round(scores[k, i], 9), i))[:3]]
+    assert list(zip(q.tolist(), ids.tolist(), strict=True)) == want
