@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Values of an Arrow batch that are turned into Python's own at a time.
+SLICE = 250
 # What the cleaning replaces, removes and looks for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 BIDI_MARKS = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -57,10 +59,20 @@ def repair_mojibake(text: Column) -> Column:
     return F.when(fits & good, again).otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def in_slices(part: pa.Array, make: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """make(part), from SLICE values at a time: of a batch of long texts, few are Python's strings at once."""
+    made = [make(part.slice(at, SLICE)) for at in range(0, len(part), SLICE)]
+    return make(part) if len(made) < 2 else pa.concat_arrays(made)
+
+
+def _each(part: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    return in_slices(part, lambda some: pa.array((None if t is None else change(t) for t in some.to_pylist()), pa.string()))
+
+
+@F.arrow_udf(T.StringType())
+def _nfc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in parts:
-        yield part.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+        yield _each(part, lambda t: unicodedata.normalize("NFC", t))
 
 
 _nfc = _nfc.asNondeterministic()  # so that the planner evaluates cleaning once, however often its result is used
@@ -86,10 +98,10 @@ def _mended(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-@F.pandas_udf(T.StringType())
-def _mend(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def _mend(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in parts:
-        yield part.map(lambda t: None if t is None else _mended(t))
+        yield _each(part, _mended)
 
 
 _mend = _mend.asNondeterministic()

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import in_slices
+
 #: How far into a page a charset is looked for (fixed value), and what counts as a declaration.
 DECLARED_IN = 4096
 DECLARATION = r"charset=[\"']?([A-Za-z0-9_-]+)"
@@ -68,9 +70,12 @@ def decoded(content: Column, declares: bool = True) -> Column:
     @F.arrow_udf(DECODED)
     def others(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            found = [(None, None) if raw is None else decode(raw, declares) for raw in part.to_pylist()]
-            texts, names = zip(*found, strict=True) if found else ((), ())
-            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(names, pa.string())], ["text", "charset"])
+            yield in_slices(part, told)
+
+    def told(part: pa.Array) -> pa.Array:
+        found = [(None, None) if raw is None else decode(raw, declares) for raw in part.to_pylist()]
+        texts, names = zip(*found, strict=True) if found else ((), ())
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(names, pa.string())], ["text", "charset"])
 
     text = content.cast("string")
     plain = F.is_valid_utf8(text) & ~F.startswith(F.hex(F.substring(content, 1, 3)), F.lit("EFBBBF"))

@@ -45,3 +45,17 @@ def test_filter_does_not_clean_again(spark):
     docs = spark.createDataFrame([(1, "some words " * 20, "s")], "doc_id long, text string, source string")
     plan = drop_near_empty(clean_documents(read_documents_table(docs)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(X.ARABIC_TO) == 1
+
+
+def test_arrow_functions_hold_few_strings_at_a_time(monkeypatch):
+    """A whole batch of long texts was turned into Python's strings at once."""
+    import pyarrow as pa
+
+    from corpusloom.functions import text
+
+    monkeypatch.setattr(text, "SLICE", 3)
+    seen = []
+    values = pa.array([None if k % 4 == 3 else f"é{k}" for k in range(11)])
+    made = text.in_slices(values.slice(1), lambda some: seen.append(len(some)) or pa.array([None if t is None else t.upper() for t in some.to_pylist()], pa.string()))
+    assert max(seen) <= 3 and made.to_pylist() == [None if t is None else t.upper() for t in values.to_pylist()[1:]]
+    assert text.in_slices(values.slice(0, 0), lambda some: pa.array(some.to_pylist(), pa.string())).to_pylist() == []
