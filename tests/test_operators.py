@@ -213,3 +213,18 @@ def test_snapshots_and_deletion(spark, tmp_path):
 def test_embeddings_have_unit_length(spark):
     v = embed(spark.createDataFrame([("a b c a",)], "t string"), "t").first()["embedding"]
     assert abs(sum(x * x for x in v) - 1) < 1e-5
+
+
+
+def test_a_costly_score_is_made_once_for_each_row(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(n):
+        seen.add(1)
+        return n / 10
+
+    rows = spark.range(10).select("id", F.when(F.col("id") < 8, "A/Src1").otherwise("other").alias("source_path"), F.lit("EN").alias("file_type"), costly(F.col("id")).alias("score"))
+    found = tables.inspect_chunks(rows, "src1", ["en"], 0.2, 0.5)
+    assert sorted((r["id"], r["total"]) for r in found.collect()) == [(k, 4) for k in (2, 3, 4, 5)]
+    assert seen.value == 8  # of the rows that the other conditions leave
