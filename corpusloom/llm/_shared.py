@@ -49,6 +49,15 @@ def drop_tables(tables: list[DataFrame]) -> None:
                 spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spot, True)
 
 
+#: Rows of a few numbers that one task takes.
+ROWS_A_TASK = 100_000
+
+
+def few_tasks(df: DataFrame, rows: int, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """df in no more tasks than so many rows need, but one for each core at least. Small tables of many rounds otherwise cost as many tasks each as a shuffle has partitions."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // a_task)))
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join rows that may share a hot key to a table with one row per key.
 

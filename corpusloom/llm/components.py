@@ -12,21 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import drop_tables, salted_join, table
+from corpusloom.llm._shared import drop_tables, few_tasks, salted_join, table
 
 #: Links that one task writes.
 LINKS_A_TASK = 500_000
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """From links (a, b) between comparable nodes: node, root, the smallest node of its component.
 
-    Nodes without links are not returned. Repeated links, links in both directions and loops are allowed.
+    Nodes without links are not returned. Repeated links, links in both directions and loops are allowed. rows: how many links there are, if that is known.
     """
-    at = table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "components")
+    first = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
+    at = table(first if rows is None else few_tasks(first, rows), "components")
+    number = at.count()
     for _ in range(max_rounds):
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = table(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "components-least")
+        # no step makes more links than there were
+        least = table(few_tasks(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), 2 * number), "components-least")
         state = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends"), F.count_if((F.col("m") < F.col("a")) & (F.col("n") > 1)).alias("open")).first()
         if not state["open"]:
             drop_tables([least])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import drop_tables, partitions, salted_join, slices, table
+from corpusloom.llm._shared import ROWS_A_TASK, drop_tables, few_tasks, partitions, salted_join, slices, table
 from corpusloom.llm.components import components
 from corpusloom.llm.words import text_bytes, window_hashes, word_hashes
 
@@ -45,6 +45,8 @@ SKETCH = 32
 SAMPLED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
 #: Bits of a signature, a power of two.
 SIGNATURE = 2048
+#: Pairs of whole sets that one task checks, and comparisons of sketches.
+SETS_A_TASK, SKETCHES_A_TASK = 20_000, 1_000_000
 #: A list of texts up to this size is broadcast; a longer one is joined by sorting.
 SMALL_LIST = 1_000_000
 
@@ -128,18 +130,23 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, likely: bool = Fal
             both = zip(batch.column("held_a").to_pylist(), batch.column("held_b").to_pylist(), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in both], pa.bool_()))
 
-    def among(pairs: DataFrame) -> DataFrame:
-        keys = table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
+    def among(pairs: DataFrame, number: int) -> DataFrame:
+        keys = table(few_tasks(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * number), "near-keys")
         return only(texts.select("key", "text"), keys, "left_semi", "key")
 
-    near, made = pairs, []
+    def beside(pairs: DataFrame, held: DataFrame, names: tuple[str, ...], a_task: int) -> DataFrame:
+        for side in "ab":
+            pairs = few_tasks(pairs.hint("merge").join(held.toDF(side, *(f"{n}_{side}" for n in names)), side), number, a_task)
+        return pairs
+
+    near, made, number = pairs, [], pairs.count()
     if not likely:
-        bits = table(among(pairs).mapInArrow(signed, "key long, n int, bits binary"), "near-bits")
-        met = pairs.hint("merge").join(bits.toDF("a", "n_a", "bits_a"), "a").hint("merge").join(bits.toDF("b", "n_b", "bits_b"), "b")
+        bits = table(among(pairs, number).mapInArrow(signed, "key long, n int, bits binary"), "near-bits")
+        met = beside(pairs, bits, ("n", "bits"), ROWS_A_TASK)
         near = table(met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(close, "a long, b long"), "near-likely")
-        made = [bits, near]
-    held = table(among(near).mapInArrow(sets, "key long, held binary"), "near-sets")
-    met = near.hint("merge").join(held.toDF("a", "held_a"), "a").hint("merge").join(held.toDF("b", "held_b"), "b")
+        made, number = [bits, near], near.count()
+    held = table(among(near, number).mapInArrow(sets, "key long, held binary"), "near-sets")
+    met = beside(near, held, ("held",), SETS_A_TASK)
     found = table(met.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
     drop_tables([*made, held])
     return found
@@ -172,10 +179,11 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     """
     spark = rows.sparkSession
     n = partitions(spark)
-    ids = table(rows.groupBy("key", "fp").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("copies")), "near-ids")
+    every = rows.count()
+    ids = table(few_tasks(rows.groupBy("key", "fp").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("copies")), every), "near-ids")
     nodes = ids.select("key", "fp")
     again = rows.select("row_id", "key").hint("merge").join(ids.filter("copies > 1").select("key", "first"), "key").filter("row_id != first").select("row_id")
-    texts = only(rows.select("row_id", "key", "text"), table(again, "near-copies"), "left_anti", "row_id")
+    texts = only(rows.select("row_id", "key", "text"), table(few_tasks(again, every), "near-copies"), "left_anti", "row_id")
     sent = spark.sparkContext.broadcast(_frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,28 +216,29 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
 
     full = shared.filter(F.col("texts") > FULL_CELL)
     # central texts first: those that meet others at many shingles are the least changed copies
-    often = table(full.groupBy("key").agg((-F.count(F.lit(1))).alias("rank")), "near-often")
+    crowd = full.count()
+    often = table(few_tasks(full.groupBy("key").agg((-F.count(F.lit(1))).alias("rank")), crowd), "near-often")
     sketched = table(only(texts.select("key", "text"), often.select("key"), "left_semi", "key").mapInArrow(lambda batches: _sketches(batches, words), "key long, sketch array<long>"), "near-sketches")
-    full = table(full.hint("merge").join(often, "key").hint("merge").join(sketched, "key"), "near-crowds")
+    full = table(few_tasks(full.hint("merge").join(often, "key").hint("merge").join(sketched, "key"), crowd), "near-crowds")
     one = F.struct("rank", "key", "n", "short", "sketch")
-    least = table(full.groupBy("h").agg(F.min(one).alias("y"), F.min_by(one, "key").alias("z")), "near-least")
+    least = table(few_tasks(full.groupBy("h").agg(F.min(one).alias("y"), F.min_by(one, "key").alias("z")), crowd), "near-least")
     stars = salted_join(full, least, ["h"], "key").withColumn("x", one)
     stars = stars.select("x", F.explode(F.array("y", "z")).alias("y"))
     stars = stars.filter((F.col("x.key") != F.col("y.key")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
     pairs = pairs.unionByName(stars.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"))).distinct()
     links = known.unionByName(_linked(_verified(texts, table(pairs, "near-pairs"), words), nodes))
-    if full.isEmpty():
+    if not crowd:
         return links
 
-    groups = components(links).withColumnRenamed("node", "fp")
-    rooted = table(nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")), "near-roots")
+    groups = components(links, rows=every).withColumnRenamed("node", "fp")
+    rooted = table(few_tasks(nodes.hint("merge").join(groups, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")), every), "near-roots")
     # what is linked already is a star, and the links of the rounds join stars by their roots
     links = groups.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
-    placed = table(full.hint("merge").join(rooted, "key"), "near-full")
+    placed = table(few_tasks(full.hint("merge").join(rooted, "key"), crowd), "near-full")
     number, done, reach = rooted.count(), 0, PIVOTS
     drop_tables([full, least])
     while True:
-        others = _outside(placed, one)
+        others = _outside(placed, one, crowd)
         left = others.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("texts") - done).alias("pairs"), F.max("texts").alias("most")).first()
         if not left["rows"]:
             break
@@ -237,38 +246,42 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
         turn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("texts")
         now = placed.filter((turn >= done) & (F.lit(last) | (turn < reach))).select("h", "root", one.alias("y"))
         pairs = others.hint("merge").join(now, "h").filter((F.col("root") != F.col("other")) & _fits(F.col("x"), F.col("y")) & _near(F.col("x"), F.col("y")))
-        pairs = table(pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct(), "near-round")
+        pairs = few_tasks(pairs.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")), left["pairs"], SKETCHES_A_TASK)
+        pairs = table(few_tasks(pairs.distinct(), left["pairs"], SKETCHES_A_TASK), "near-round")
         joined = _linked(_verified(texts, pairs, words, likely=True), rooted)
         drop_tables([others, pairs])
         links = links.unionByName(joined)
         if last:
             break
         if not joined.isEmpty():
-            roots = table(components(joined), "near-moved")
-            (rooted, before), (placed, old) = (_moved(rooted, roots), rooted), (_moved(placed, roots), placed)
+            changed = joined.count()
+            roots = table(few_tasks(components(joined, rows=changed), 2 * changed), "near-moved")
+            (rooted, before), (placed, old) = (_moved(rooted, roots, number), rooted), (_moved(placed, roots, crowd), placed)
             drop_tables([before, old, roots])
         done, reach = reach, 4 * reach
     drop_tables([placed, sketched])
     return links
 
 
-def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows with their newest roots. roots: node, root, one row per root that is one no more."""
+def _moved(rows: DataFrame, roots: DataFrame, number: int) -> DataFrame:
+    """The rows, that many, with their newest roots. roots: node, root, one row per root that is one no more."""
     met = salted_join(rows.withColumnRenamed("root", "node"), roots, ["node"], "key", "left")
-    return table(met.withColumn("root", F.coalesce("root", "node")).drop("node"), "near-moving")
+    return table(few_tasks(met.withColumn("root", F.coalesce("root", "node")).drop("node"), number), "near-moving")
 
 
-def _outside(placed: DataFrame, one: Column) -> DataFrame:
-    """Of each shingle the texts that are not in its largest component: h, texts, other (the component), x."""
-    counts = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
-    most = table(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), "near-most")
+def _outside(placed: DataFrame, one: Column, number: int) -> DataFrame:
+    """Of that many rows and each shingle the texts that are not in its largest component: h, texts, other (the component), x."""
+    counts = few_tasks(placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held")), number)
+    most = table(few_tasks(counts.groupBy("h").agg(F.max(F.struct("held", "root")).alias("most")).select("h", F.col("most.root").alias("largest")), number), "near-most")
     others = salted_join(placed, most, ["h"], "key").filter("root != largest").select("h", "texts", F.col("root").alias("other"), one.alias("x"))
-    found = table(others, "near-others")
+    found = table(few_tasks(others, number), "near-others")
     drop_tables([most])
     return found
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of pairs of text keys. nodes: key, node."""
-    both = pairs.hint("merge").join(nodes.toDF("a", "x"), "a").hint("merge").join(nodes.toDF("b", "y"), "b").filter("x != y")
-    return table(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "near-linked")
+    number = pairs.count()
+    both = few_tasks(pairs.hint("merge").join(nodes.toDF("a", "x"), "a"), number)
+    both = few_tasks(both.hint("merge").join(nodes.toDF("b", "y"), "b"), number).filter("x != y")
+    return table(few_tasks(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), number), "near-linked")

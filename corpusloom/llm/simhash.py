@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import salted_join, slices, table
+from corpusloom.llm._shared import few_tasks, salted_join, slices, table
 from corpusloom.llm.components import components
 from corpusloom.llm.near_copies import near_links, only, text_key
 from corpusloom.llm.words import text_bytes
@@ -108,11 +108,13 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2: the linear way for full cells holds up to 2 bits")
     emb = popcounts(F.col("fp"))
-    masks = grids(radius, groups_for(distinct.count(), radius))
+    number = distinct.count()
+    masks = grids(radius, groups_for(number, radius))
+    number *= len(masks)
     cells = F.array(*(F.struct(F.lit(g).alias("grid"), emb.bitwiseAND(F.lit(m)).alias("cell")) for g, m in enumerate(masks)))
     placed = distinct.select("fp", F.explode(cells).alias("c")).select("fp", "c.grid", "c.cell")
-    sizes = table(placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-sizes")
-    shared = table(salted_join(placed, sizes, ["grid", "cell"], "fp"), "simhash-cells")
+    sizes = table(few_tasks(placed.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), number), "simhash-sizes")
+    shared = table(few_tasks(salted_join(placed, sizes, ["grid", "cell"], "fp"), number), "simhash-cells")
 
     few = shared.filter(F.col("n") <= CROWDED).groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps"))
     pairs = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda x: x < F.col("a"))).alias("b"))
@@ -167,22 +169,23 @@ def keep_representatives(docs: DataFrame, words: int = 3, seed: int = 42, radius
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names) + 1], *made], part.schema.names)
 
     printed = table(short.mapInArrow(run, short.schema), "simhash-docs")
+    every = printed.count()
     rank = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("long").alias("id"))
-    distinct = table(printed.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-distinct")
+    distinct = table(few_tasks(printed.groupBy("fp").agg(F.min(rank).alias("least")), every), "simhash-distinct")
     linked = links(distinct.select("fp"), radius)
     if near:
         linked = table(linked, "simhash-links")
         linked = near_links(printed.select("row_id", "key", "fp", F.col(text).cast("string").alias("text")), linked)
     groups = components(linked).withColumnRenamed("node", "fp")
-    tops = distinct.hint("merge").join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    tops = few_tasks(distinct.hint("merge").join(groups, "fp", "left"), every).select("fp", F.coalesce("root", "fp").alias("root"), "least")
     first = tops.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.fp").alias("kept_fp"), F.col("one.least.id").alias("kept_id"))
     same = (F.col("fp") == F.col("kept_fp")) & F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id"))
     # by row_id only, so that texts stay where they are; texts are compared where a doc_id and fingerprint repeat
-    kept = table(printed.select("row_id", doc_id, "fp").hint("merge").join(first, same, "left_semi"), "simhash-kept")
+    kept = table(few_tasks(printed.select("row_id", doc_id, "fp").hint("merge").join(first, same, "left_semi"), every), "simhash-kept")
     each = kept.groupBy(doc_id, "fp").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
     repeats = kept.hint("merge").join(each.filter("n > 1").select(F.col(doc_id).alias("same_id"), F.col("fp").alias("same_fp")), F.col(doc_id).eqNullSafe(F.col("same_id")) & (F.col("fp") == F.col("same_fp")), "left_semi")
     told = only(printed.select("row_id", doc_id, "fp", text), table(repeats.select("row_id"), "simhash-repeats"), "left_semi", "row_id")
     least = told.groupBy(doc_id, "fp").agg(F.min(F.struct(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "row_id")).alias("one")).select("one.row_id")
-    stay = table(each.filter("n = 1").select("row_id").unionByName(least), "simhash-stay")
-    gone = table(printed.select("row_id").hint("merge").join(stay, "row_id", "left_anti"), "simhash-gone")
+    stay = table(few_tasks(each.filter("n = 1").select("row_id").unionByName(least), every), "simhash-stay")
+    gone = table(few_tasks(printed.select("row_id").hint("merge").join(stay, "row_id", "left_anti"), every), "simhash-gone")
     return only(printed, gone, "left_anti", "row_id").select(*names).toDF(*docs.columns)

@@ -113,3 +113,25 @@ def test_pairs_of_a_group_at_the_edge_grow_with_its_size(spark, make_docs, monke
         else:
             assert got == [0]
     assert made[900] <= 1.3 * 3 * made[300]
+
+
+def test_small_tables_of_the_rounds_take_few_tasks(spark, make_docs):
+    """Also where AQE is told not to merge partitions: most of the many stages see a few hundred rows, and should not have a task for each partition of a shuffle."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(120)]
+    rows = [(i, " ".join(f"x{i}" if k == i % 120 else w for k, w in enumerate(base))) for i in range(60)]
+    given = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in given}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "near-dedup of 60 texts")
+        assert [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, make_docs(rows), SF).collect()] == [0]
+        stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+        ran = [x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x is not None and x.numCompletedTasks]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(n >= 40 for n in ran) < 0.2 * len(ran)
