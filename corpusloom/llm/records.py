@@ -20,6 +20,7 @@ table in the shared folder. Reading goes shard by shard, as rows of that table.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -139,11 +140,11 @@ class _Ids:
         missing -= again
         words, marked, bare, others = [], [], [], []
         for p in missing:
-            if p.isalpha() and max(p) < "\u0250":
+            if p.isalpha() and (p.isascii() or max(p) < "\u0250"):
                 words.append(p)
-            elif p[:1] == BARE and p[1:].isalpha() and max(p) < "\u0250":
+            elif p[:1] == BARE and p[1:].isalpha() and (p.isascii() or max(p) < "\u0250"):
                 bare.append(p)
-            elif (form := _MARKED.fullmatch(p)) is not None and form[1].isalpha() and max(p) < "\u0250":
+            elif (form := _MARKED.fullmatch(p)) is not None and form[1].isalpha() and (p.isascii() or max(p) < "\u0250"):
                 marked.append((p, form[1], form[2]))
             else:
                 others.append(p)
@@ -165,10 +166,17 @@ class _Ids:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.new) > CACHE_ENTRIES:
             self.old, self.new = self.new, {}
-        split = [parts_of(t) for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        get = self.new.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in split]
+        # many lists of strings, none of them in a cycle: looking for cycles would go through the caches again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            split = [parts_of(t) for t in texts]
+            self._learn(set(chain.from_iterable(split)))
+            get = self.new.__getitem__
+            return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in split]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _HELD: dict[str, _Ids] = {}

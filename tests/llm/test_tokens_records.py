@@ -123,3 +123,18 @@ def test_other_tokenizer_files_are_refused(tmp_path):
             with pytest.raises(ValueError):
                 made(path)
     RankMerger.from_file(PATH), _Ids(PATH)
+
+
+def test_no_garbage_collection_while_texts_are_encoded():
+    """Each would go through the caches; it is on again afterwards."""
+    import gc
+
+    held, seen = _Ids(public_tokenizers.path("byte_bpe_50k.json")), []
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(3_000)]
+    watch = lambda phase, info: seen.append(phase)
+    gc.callbacks.append(watch)
+    try:
+        made = held.encode(texts)
+    finally:
+        gc.callbacks.remove(watch)
+    assert not seen and gc.isenabled() and len(made) == len(texts)
