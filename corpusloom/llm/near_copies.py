@@ -39,12 +39,11 @@ FULL_CELL = 32
 PIVOTS, AT_ONCE = 8, 8
 #: The texts of a frequent shingle are dealt to so many tasks.
 SALTS = 16
-#: Longs of a sketch: the signature in short.
+#: Longs of a sketch, which is a signature: a power of two.
 SKETCH = 32
+SKETCHES = "key long, n int, sketch array<long>"
 #: One text in so many is looked at for frequent shingles; those in OFTEN of them count, MOST_FREQUENT at most.
 SAMPLED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
-#: Bits of a signature, a power of two.
-SIGNATURE = 2048
 #: Pairs of whole sets that one task checks, and comparisons of sketches.
 SETS_A_TASK, SKETCHES_A_TASK = 20_000, 1_000_000
 #: A list of texts up to this size is broadcast; a longer one is joined by sorting.
@@ -73,7 +72,7 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     return found[: n - (4 * n + 4) // 5 + 1], n - (8 * n + 8) // 9 + 1
 
 
-def signature(found: np.ndarray, size: int = SIGNATURE) -> bytes:
+def signature(found: np.ndarray, size: int) -> bytes:
     """A bit for each shingle; two signatures differ in no more bits than the sets in shingles. size: a power of two."""
     bits = np.zeros(size, dtype=bool)
     bits[found & (size - 1)] = True
@@ -105,49 +104,35 @@ def _frequent(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, likely: bool = False) -> DataFrame:
-    """Of pairs (a, b) of text keys those that are similar. likely: their sketches have been compared already."""
+    """Of pairs (a, b) of text keys those that are similar. likely: their sketches have been compared already.
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = [shingles(t, words) for t in text_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s) for s in found], pa.binary())], ["key", "n", "bits"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64) for c in ("bits_a", "bits_b"))
-            total = np.array(batch.column("n_a"), dtype=np.int64) + np.array(batch.column("n_b"), dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total))
+    What goes to Python is a text at a time; pairs of sketches and of sets, which may be long, are compared in Spark's expressions, row by row.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [shingles(t, words).tobytes() for t in text_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.binary())], ["key", "held"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("held_a").to_pylist(), batch.column("held_b").to_pylist(), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in both], pa.bool_()))
+                found = [shingles(t, words) for t in text_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "held"])
 
     def among(pairs: DataFrame, number: int) -> DataFrame:
         keys = table(few_tasks(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * number), "near-keys")
         return only(texts.select("key", "text"), keys, "left_semi", "key")
 
-    def beside(pairs: DataFrame, held: DataFrame, names: tuple[str, ...], a_task: int) -> DataFrame:
+    def beside(pairs: DataFrame, held: DataFrame, a_task: int) -> DataFrame:
+        one = F.struct(*held.drop("key").columns)
         for side in "ab":
-            pairs = few_tasks(pairs.hint("merge").join(held.toDF(side, *(f"{n}_{side}" for n in names)), side), number, a_task)
+            met = pairs.hint("merge").join(held.select(F.col("key").alias(side), one.alias(f"of_{side}")), side)
+            pairs = few_tasks(met, number, a_task)
         return pairs
 
     near, made, number = pairs, [], pairs.count()
     if not likely:
-        bits = table(among(pairs, number).mapInArrow(signed, "key long, n int, bits binary"), "near-bits")
-        met = beside(pairs, bits, ("n", "bits"), ROWS_A_TASK)
-        near = table(met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(close, "a long, b long"), "near-likely")
+        bits = table(among(pairs, number).mapInArrow(lambda batches: _sketches(batches, words), SKETCHES), "near-bits")
+        near = table(beside(pairs, bits, ROWS_A_TASK).filter(_near(F.col("of_a"), F.col("of_b"))).select("a", "b"), "near-likely")
         made, number = [bits, near], near.count()
-    held = table(among(near, number).mapInArrow(sets, "key long, held binary"), "near-sets")
-    met = beside(near, held, ("held",), SETS_A_TASK)
-    found = table(met.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
+    held = table(among(near, number).mapInArrow(sets, "key long, held array<long>"), "near-sets")
+    found = table(beside(near, held, SETS_A_TASK).filter(_similar(F.col("of_a.held"), F.col("of_b.held"))).select("a", "b"), "near-links")
     drop_tables([*made, held])
     return found
 
@@ -155,9 +140,14 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, likely: bool = Fal
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            bits = [signature(shingles(t, words), 64 * SKETCH) for t in text_bytes(part.column("text"))]
-            made = [np.frombuffer(b, np.int64) for b in bits]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(made, pa.list_(pa.int64()))], ["key", "sketch"])
+            found = [shingles(t, words) for t in text_bytes(part.column("text"))]
+            made = [np.frombuffer(signature(s, 64 * SKETCH), np.int64) for s in found]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in found], pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["key", "n", "sketch"])
+
+
+def _similar(a: Column, b: Column) -> Column:
+    """`similar` of two arrays without repeats; of two empty ones, too."""
+    return 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.size(a) + F.size(b))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -218,8 +208,8 @@ def near_links(rows: DataFrame, known: DataFrame, words: int = 5) -> DataFrame:
     # central texts first: those that meet others at many shingles are the least changed copies
     crowd = full.count()
     often = table(few_tasks(full.groupBy("key").agg((-F.count(F.lit(1))).alias("rank")), crowd), "near-often")
-    sketched = table(only(texts.select("key", "text"), often.select("key"), "left_semi", "key").mapInArrow(lambda batches: _sketches(batches, words), "key long, sketch array<long>"), "near-sketches")
-    full = table(few_tasks(full.hint("merge").join(often, "key").hint("merge").join(sketched, "key"), crowd), "near-crowds")
+    sketched = table(only(texts.select("key", "text"), often.select("key"), "left_semi", "key").mapInArrow(lambda batches: _sketches(batches, words), SKETCHES), "near-sketches")
+    full = table(few_tasks(full.hint("merge").join(often, "key").hint("merge").join(sketched.select("key", "sketch"), "key"), crowd), "near-crowds")
     one = F.struct("rank", "key", "n", "short", "sketch")
     least = table(few_tasks(full.groupBy("h").agg(F.min(one).alias("y"), F.min_by(one, "key").alias("z")), crowd), "near-least")
     stars = salted_join(full, least, ["h"], "key").withColumn("x", one)

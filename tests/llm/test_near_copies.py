@@ -135,3 +135,25 @@ def test_small_tables_of_the_rounds_take_few_tasks(spark, make_docs):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(n >= 40 for n in ran) < 0.2 * len(ran)
+
+
+def test_sets_of_pairs_stay_out_of_python(spark, make_docs, monkeypatch):
+    """A batch of pairs of long sets takes as much of a worker's memory as its rows need, whatever the input; as rows of Spark they are compared one at a time."""
+    plans, whole = {}, near_copies.table
+    monkeypatch.setattr(near_copies, "table", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and whole(df, name))
+    rows = cases()
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, make_docs(rows), SF).collect())
+    assert got == kept_ids(rows)
+    assert all("Join" in plans[k] and "MapInArrow" not in plans[k] for k in ("near-likely", "near-links"))
+
+
+def test_sets_in_spark_are_similar_as_in_numpy(spark):
+    rng = random.Random(7)
+    pairs = [([], []), ([1], []), ([1], [1])]
+    for _ in range(300):
+        a = rng.sample(range(1 << 40), rng.randint(1, 40))
+        b = rng.sample(a, rng.randint(max(0, len(a) - 6), len(a))) + rng.sample(range(1 << 41, 1 << 42), rng.randint(0, 5))
+        pairs.append((a, b))
+    frame = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    got = [r[0] for r in frame.select(near_copies._similar(frame["a"], frame["b"])).collect()]
+    assert got == [similar(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs] and True in got and False in got
