@@ -28,7 +28,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import fresh_path, partitions, slices, table
-from corpusloom.llm.tokens import byte_letters, byte_level_file, cut, is_oddly_spaced
+from corpusloom.llm.tokens import byte_letters, byte_level_file
 
 MASK = 0xA282EAD8
-#: Entries of a worker's cache before a new generation begins; two are held.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache before it keeps those of the latest slice only.
+CACHE_ENTRIES = 800_000
 NULL_ID = -(1 << 63)
 SHARDS = "path string, part int, nth int, n_docs long, n_ids long, n_bytes long"
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -79,33 +78,53 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[int | None, np.ndarr
 
 #: Stands before a part that has no space before it.
 BARE = "\x01"
-_MARKS = ",.;:!?"
-#: A mark that isn't a pre-token of its own.
-_UNFIT = re.compile(f"[{_MARKS}](?=[ \n])(?<![^\\W_].)")
+_MARKS = np.isin(np.arange(256), list(b",.;:!?"))
+#: Bytes at which a text may be cut, bytes that are or may begin white space, and ASCII letters and digits.
+_SPOTS = _MARKS | np.isin(np.arange(256), list(b" \n"))
+_SPACE = np.isin(np.arange(256), [*b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", 0xC2, 0xE1, 0xE2, 0xE3])
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 #: Letters and signs behind them, which are a pre-token each; without the apostrophe, which has rules of its own.
 _MARKED = re.compile("([^\\W\\d_]+)([!-&(-/:-@\\[-`{-~]+)")
 
 
+def cuts_of(data: np.ndarray) -> np.ndarray:
+    """For each place in UTF-8 bytes, and the one behind them, whether they can be cut there into independent parts, so fine that these recur: words with the space before them, marks that end them, newlines.
+
+    A pre-token is white space, or other characters with one space before them at most. So one ends where white space follows something else, where a mark follows a letter or
+    digit, and behind a newline that stands alone. Characters that may be white space in UTF-8 count as such.
+    """
+    spots = np.flatnonzero(_SPOTS[data])
+    padded = np.concatenate((np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)))
+    here, third, second, last, following = data[spots], padded[spots], padded[spots + 1], padded[spots + 2], padded[spots + 4]
+    high = last >= 0x80
+    latin = high & (second == 0xC3)
+    solid = ~(high | _SPACE[last]) | high & ((second >= 0xC3) & (second < 0xE0) | (second < 0xC0) & (third >= 0xE4) & (third < 0xF0))
+    word = _ALNUM[last] | latin & (last != 0x97) & (last != 0xB7)
+    before = np.where(_MARKS[here], word & ((following == 32) | (following == 10)), solid)
+    behind = (here == 10) & solid & ~_SPACE[following]
+    cuts = np.zeros(len(data) + 1, dtype=bool)
+    cuts[spots[before]] = True
+    cuts[spots[behind] + 1] = True
+    return cuts
+
+
 def parts_of(text: str) -> list[str]:
-    """Independent parts of a text, so fine that they recur: words, marks that end them, newlines."""
+    """The parts of one text: without the space before them, or else BARE stands there."""
     if BARE in text:
         return [BARE + text]
-    if "\n\n" in text or is_oddly_spaced(text) or _UNFIT.search(text):
-        first, *rest = cut(text)
-        return [BARE + first, *rest]
-    text = text.replace("\n", f" {BARE}\n {BARE}")
-    for mark in _MARKS:
-        text = text.replace(f"{mark} ", f" {BARE}{mark} ")
-    return (BARE + text).split(" ")
+    data = text.encode()
+    cuts = [0, *(np.flatnonzero(cuts_of(np.frombuffer(data, np.uint8))[1:-1]) + 1).tolist(), len(data)]
+    parts = [data[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [p[1:] if p[:1] == " " else BARE + p for p in parts]
 
 
 class _Ids:
     """Token ids by the tokenizers library; parts of texts that a worker has seen are not encoded again.
 
-    New words of Latin letters, also those before signs, are encoded many at a time, as one line that needs no pattern to be split; the token that
-    begins with a space begins a word.
-    The cache has two generations of bounded size: when the new one is full it becomes the old one.
+    The texts of a slice are cut where their bytes tell (`cuts_of`), so that only its distinct parts are looked up; the ids of all parts known so far stand in one array, from which
+    those of the texts are taken by place. New words of Latin letters, also those before signs, are encoded many at a time, as one line that needs no pattern to be
+    split; the token that begins with a space begins a word. When the cache is full, all but the parts of the latest slice are dropped.
     """
 
     def __init__(self, path: str) -> None:
@@ -119,61 +138,99 @@ class _Ids:
         self.letters = dict(enumerate(byte_letters()))
         size = self.tokenizer.get_vocab_size()
         self.begins = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(size)])
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.places: dict[bytes, int] = {}
+        self.ids, self.sizes, self.starts = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.latest: list[bytes] = []
 
     @staticmethod
-    def _whole(texts: list[str], tokenizer) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(texts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.frombuffer(b"".join(array("I", x).tobytes() for x in found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
-    def _line(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each with a space before it."""
+    def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, each with a space before it, and how many each has."""
         line = f" {' '.join(words)}".encode().decode("latin-1").translate(self.letters)
-        (data,) = self._whole([line], self.words)
-        cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(data, dtype="<u4")])).tolist()
-        return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
-
-    def _learn(self, parts: set[str]) -> None:
-        missing = parts.difference(self.new)
-        again = missing.intersection(self.old)
-        self.new.update((p, self.old[p]) for p in again)
-        missing -= again
+        ids, _ = self._whole([line], self.words)
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(words):
+            raise ValueError(f"{len(words)} words made {len(cuts)} groups of tokens")
+        return ids, np.diff(np.append(cuts, len(ids)))
+
+    def _taken(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts at these places, one after another, and how many each has."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def _add(self, parts: list[bytes], found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.places.update(zip(parts, range(len(self.sizes), len(self.sizes) + len(parts)), strict=True))
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _learn(self, missing: list[bytes]) -> None:
         words, marked, bare, others = [], [], [], []
-        for p in missing:
-            if p.isalpha() and (p.isascii() or max(p) < "\u0250"):
-                words.append(p)
-            elif p[:1] == BARE and p[1:].isalpha() and (p.isascii() or max(p) < "\u0250"):
+        for part in missing:
+            p = part.decode()
+            stem = p[1:] if p[:1] == " " else ""
+            if not (p.isascii() or max(p) < "\u0250"):
+                others.append(p)
+            elif stem.isalpha():
+                words.append(stem)
+            elif p.isalpha():
                 bare.append(p)
-            elif (form := _MARKED.fullmatch(p)) is not None and form[1].isalpha() and (p.isascii() or max(p) < "\u0250"):
-                marked.append((p, form[1], form[2]))
+            elif (form := _MARKED.fullmatch(stem)) is not None and form[1].isalpha():
+                marked.append((part, form[1], form[2]))
             else:
                 others.append(p)
-        stems = {stem for _, stem, _ in marked}.difference(words)
-        words += [w for w in stems if w not in self.new]
-        for at in range(0, len(words), 1_000):
-            some = words[at : at + 1_000]
-            self.new.update(zip(some, self._line(some), strict=True))
-        mapped = [p[1:].encode().decode("latin-1").translate(self.letters) for p in bare]
-        self.new.update(zip(bare, self._whole(mapped, self.words), strict=True))
-        ends = {BARE + mark for _, _, mark in marked}.difference(self.new)
-        others += ends
-        for at in range(0, len(others), 2_000):
-            some = others[at : at + 2_000]
-            self.new.update(zip(some, self._whole([p[1:] if p[:1] == BARE else " " + p for p in some], self.tokenizer), strict=True))
-        for p, stem, mark in marked:
-            self.new[p] = self.new[stem] + self.new[BARE + mark]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.new) > CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
-        # many lists of strings, none of them in a cycle: looking for cycles would go through the caches again and again
+        words += [w for w in {stem for _, stem, _ in marked}.difference(words) if f" {w}".encode() not in self.places]
+        others += [m for m in {mark for _, _, mark in marked}.difference(others) if m.encode() not in self.places]
+        found = [self._line(words[at : at + 1_000]) for at in range(0, len(words), 1_000)]
+        found.append(self._whole([p.encode().decode("latin-1").translate(self.letters) for p in bare], self.words))
+        found += [self._whole(others[at : at + 2_000], self.tokenizer) for at in range(0, len(others), 2_000)]
+        self._add([*(f" {w}".encode() for w in words), *(p.encode() for p in bare), *(p.encode() for p in others)], found)
+        ids, sizes = self._taken(np.array([self.places[x.encode()] for _, stem, mark in marked for x in (" " + stem, mark)], dtype=np.int64))
+        self._add([part for part, _, _ in marked], [(ids, sizes[::2] + sizes[1::2])])
+
+    def _placed(self, parts: list[bytes]) -> np.ndarray:
+        """The places of distinct parts, which are encoded if they are new."""
+        found = list(map(self.places.get, parts))
+        missing = [p for p, k in zip(parts, found, strict=True) if k is None]
+        if missing:
+            self._learn(missing)
+            found = [self.places[p] if k is None else k for p, k in zip(parts, found, strict=True)]
+        self.latest = parts
+        return np.array(found, dtype=np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the parts of the latest slice only."""
+        found = self._taken(self._placed(self.latest))
+        self.places, self.ids, self.sizes = {}, self.ids[:0], self.sizes[:0]
+        self._add(self.latest, [found])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        # many strings, none of them in a cycle: looking for cycles would go through the cache again and again
         collects = gc.isenabled()
         gc.disable()
         try:
-            split = [parts_of(t) for t in texts]
-            self._learn(set(chain.from_iterable(split)))
-            get = self.new.__getitem__
-            return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in split]
+            if len(self.places) > CACHE_ENTRIES:
+                self._shrink()
+            column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+            if not len(column):
+                return []
+            _, offsets, data = column.buffers()
+            bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset :][: len(column) + 1]
+            data = np.frombuffer(data or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+            bounds = bounds - bounds[0]
+            cuts = cuts_of(data)
+            cuts[bounds] = True
+            cuts = np.flatnonzero(cuts)
+            parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+            distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+            ids, sizes = self._taken(self._placed(distinct)[parts.indices.to_numpy()])
+            ends = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(cuts, bounds)].tolist()
+            return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         finally:
             if collects:
                 gc.enable()
@@ -219,7 +276,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         for batch in batches:
             for piece in slices(batch):
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), _HELD[tokenizer_path].encode(piece.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), _HELD[tokenizer_path].encode(piece.column("text")), strict=True):
                     if out is None:
                         temporary = f"{root}/_{uuid.uuid4().hex}"
                         out = [store.open_output_stream(f"{temporary}.rec"), temporary, [], 0, 0, 0]

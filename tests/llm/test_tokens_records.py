@@ -5,10 +5,12 @@ from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
 
+from corpusloom.llm import records
 from corpusloom.llm.records import BARE, CorruptRecord, _Ids, encode_and_read_back, frame, parts_of, read_at, read_records, unframe, write_records
 from corpusloom.llm.tokens import RankMerger, count_tokens, cut
 from tests.llm.conftest import HARD
@@ -138,3 +140,29 @@ def test_no_garbage_collection_while_texts_are_encoded():
     finally:
         gc.callbacks.remove(watch)
     assert not seen and gc.isenabled() and len(made) == len(texts)
+
+
+def test_slices_of_texts_equal_the_library_and_look_up_each_part_once(library, monkeypatch):
+    """Texts lie one behind another and are cut by their bytes: what ends one or begins the next must not matter, nor a cache that is full."""
+    rng = random.Random(5)
+    pieces = ["word", "Wörd", "a", "1", "×", "é", "à", "語", "ж", "’", ",", ".", "!!", "'s", "\n", " ", " ", " ", "\x85", "\xa0", "　", " ", " ", "\x1c", "\t", "<|endoftext|>"]
+    texts = TRICKY + ["", " ", "\n", "word ", " word", ".", ""] + ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    held = _Ids(PATH)
+    assert [x.tolist() for x in held.encode(texts)] == want
+    monkeypatch.setattr(records, "CACHE_ENTRIES", 50)
+    column = pa.array(texts)
+    for at in (0, 1, 700, 1400, 2100):
+        assert [x.tolist() for x in held.encode(column.slice(at, 700))] == want[at : at + 700]
+    assert held.encode([]) == [] and [x.tolist() for x in held.encode(["", ""])] == [[], []]
+
+    class Watched(dict):
+        asked = 0
+
+        def get(self, key):
+            Watched.asked += 1
+            return super().get(key)
+
+    held.places = Watched(held.places)
+    held.encode(["one two three " * 500] * 20)
+    assert Watched.asked < 50
