@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.postings import Postings
+from corpusloom.sources.shared import shared_path, written
 
 TINY, LARGE, HARD = 80, 250, 512  # fixed values: the token range chunks should be in
 
@@ -52,7 +53,8 @@ def histogram_stats(sizes: DataFrame) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Per strategy the sizes of its chunks. Input: strategy, source_doc_id, token_count, is_arabic."""
+    """Per strategy the sizes of its chunks, which are made once: both counts read what is written of them. Input: strategy, source_doc_id, token_count, is_arabic."""
+    chunks = written(chunks.select("strategy", "source_doc_id", "token_count", "is_arabic"), shared_path(chunks.sparkSession, "sizes"))
     documents = chunks.groupBy("strategy").agg(F.countDistinct("source_doc_id").alias("documents"))
     joined = histogram_stats(size_histogram(chunks)).hint("merge").join(documents.withColumnRenamed("strategy", "__of"), F.col("strategy").eqNullSafe(F.col("__of"))).drop("__of")
     order = ["strategy", "chunks", "avg_tokens", "median_tokens", "min_tokens", "max_tokens", "stdev_tokens", "variation", "total_tokens", "arabic", "other", "documents", "tiny", "in_range", "oversize", "hard_oversize", "in_range_pct"]
