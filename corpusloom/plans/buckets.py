@@ -102,7 +102,8 @@ class BucketTables:
     def _write(self, table: str, rows: DataFrame) -> dict[str, str]:
         name = f"{table}/v{self.number + 1}-{uuid.uuid4().hex[:8]}"
         columns = [c.split()[0] for c in self.schemas[table].split(", ")]
-        dealt = rows.select(*columns, self.bucket(table).alias("bucket")).repartition("bucket")
+        # by bucket, but a large one is dealt to several tasks and files: there are few buckets, and one task each would not end sooner on more machines
+        dealt = rows.select(*columns, self.bucket(table).alias("bucket")).hint("rebalance", "bucket")
         dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
         spot, store = spot_of(self.spark, f"{self.folder}/{name}")
         found = [s.getPath().getName() for s in store.listStatus(spot) if s.isDirectory()]

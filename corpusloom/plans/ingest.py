@@ -74,6 +74,12 @@ class Index:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def _each_once(self, chunks: DataFrame) -> DataFrame:
+        """The chunks, each id once: of several rows that of the first content hash. Ids alone are compared; texts are shuffled only if one comes twice."""
+        given = self._kept(chunks, "given")
+        twice = given.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return given if twice.isEmpty() else self._kept(tables.first_by_key(given, "chunk_id", F.col("chunk_content_hash")), "current")
+
     def index_chunks(self, chunks: DataFrame, reset: bool = False) -> DataFrame:
         """Bring the index to these chunks; returns the report. chunks: chunk_id, text, chunk_content_hash, metadata_json, file_hash.
 
@@ -81,7 +87,7 @@ class Index:
         All tables change with one commit: after a run that broke off, the next one finds the same differences again.
         """
         held = self.tables()
-        current = self._kept(tables.first_by_key(chunks.select("chunk_id", "text", "chunk_content_hash", "metadata_json", "file_hash"), "chunk_id", F.col("chunk_content_hash")), "current")
+        current = self._each_once(chunks.select("chunk_id", "text", "chunk_content_hash", "metadata_json", "file_hash"))
         if reset:
             held.clear("manifest")
             held.clear("vectors")
@@ -89,11 +95,12 @@ class Index:
         manifest = held.written("manifest", here)
         touched = tables.manifest_by_files(manifest, current)
         diff = self._kept(tables.manifest_diff(touched, current), "diff")
-        changed = current.hint("merge").join(diff.filter(F.col("status").isin("new", "changed")), "chunk_id", "left_semi")
+        changed = self._kept(current.select("chunk_id", "chunk_content_hash", "file_hash").hint("merge").join(diff.filter(F.col("status").isin("new", "changed")), "chunk_id", "left_semi"), "changed")
         known = held.buckets_of("cache", changed.select(F.col("chunk_content_hash").alias("content_hash")))
         resolved = self._kept(tables.resolve_vectors(changed, held.read("cache", known), self.model_key), "resolved")
         counts = tables.index_report(diff, resolved)
-        missing = changed.hint("merge").join(resolved.filter(~F.col("cached")), "chunk_content_hash", "left_semi")
+        # texts travel here alone, by content; one that an unchanged chunk has too is the same in normal form
+        missing = current.select("chunk_content_hash", "text").hint("merge").join(resolved.filter(~F.col("cached")), "chunk_content_hash", "left_semi")
         made = self.embed(missing.groupBy("chunk_content_hash").agg(F.min("text").alias("text")), "text")
         held.append("cache", made.select(F.lit(self.model_key).alias("model_key"), F.col("chunk_content_hash").alias("content_hash"), "embedding"))
 

@@ -22,3 +22,32 @@ def test_sizes_of_chunks_are_taken_once(spark):
     got = aggregates.chunk_stats(rows.mapInArrow(counted, rows.schema)).collect()
     assert [(r.chunks, r.documents, r.median_tokens) for r in got] == [(60, 20, 29)]
     assert seen.value == 60
+
+
+def test_texts_of_chunks_with_ids_of_their_own_are_not_gathered_by_id(spark, tmp_path, monkeypatch):
+    index = Index(spark, f"file://{tmp_path}/index", buckets=4)
+    rows = [(str(k), f"text number {k % 6}", f"h{k % 6}", "{}", f"f{k % 3}") for k in range(9)]
+    with monkeypatch.context() as m:
+        m.setattr(tables, "first_by_key", None)
+        first = index.index_chunks(spark.createDataFrame(rows, CHUNK)).first()
+    assert (first.new_or_changed, first.embedded) == (9, 6)
+    assert index.vectors().count() == index.manifest().count() == 9
+    # an id that comes twice: the first content hash counts, and the others stay as they are
+    twice = [*rows[1:], ("0", "b", "hb", "{}", "f0"), ("0", "a", "ha", "{}", "f0")]
+    second = index.index_chunks(spark.createDataFrame(twice, CHUNK)).first()
+    assert (second.new_or_changed, second.unchanged, second.deleted, second.embedded) == (1, 8, 0, 1)
+    assert {(r.chunk_id, r.chunk_content_hash) for r in index.manifest().collect()} == {("0", "ha"), *((r[0], r[2]) for r in rows[1:])}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        held = BucketTables(spark, f"file://{tmp_path}/held", {"t": "k string, v string"}, {"t": "k"}, buckets=1)
+        rows = spark.range(0, 20_000, 1, 8).select(F.col("id").cast("string").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        held.replace("t", rows, [0])
+        held.commit()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert held.read("t").count() == held.read("t").distinct().count() == 20_000
+    assert len(list(tmp_path.rglob("bucket=0/*.parquet"))) > 1
