@@ -51,3 +51,15 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
     assert held.read("t").count() == held.read("t").distinct().count() == 20_000
     assert len(list(tmp_path.rglob("bucket=0/*.parquet"))) > 1
+
+
+def test_counters_of_words_add_up_as_one_number(monkeypatch):
+    text = "The quick, brown fox: 3.5 km. كلب صغير " * 50_000
+    word = [segments._of_word(w) for w in text.split()]
+    assert segments.counters(text) == tuple(map(sum, zip(*word, strict=True)))
+    assert segments.counters(" \n") == segments.counters("") == segments.NOTHING
+    assert segments._unpacked(segments._packed(word[0]) + segments._packed(word[-1])) == word[0] + word[-1]
+    known = segments._Known()
+    monkeypatch.setattr(segments, "KNOWN_WORDS", 3)
+    assert [known[w] for w in "a b c d e a".split()] == [segments._packed(segments._of_word(w)) for w in "a b c d e a".split()]
+    assert len(known) <= 3
