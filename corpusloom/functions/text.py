@@ -107,9 +107,14 @@ def _mend(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _mend = _mend.asNondeterministic()
 
 
+def _beyond_latin(text: Column) -> Column:
+    """Has it a hint of mojibake or a letter beyond Latin-1? Nothing but these is mended, joined, folded or dropped by the steps for other scripts."""
+    return ~_is_ascii(text) & text.rlike(rf"{MOJIBAKE}|[^\x{{00}}-\x{{ff}}]")
+
+
 def mend(text: Column) -> Column:
     """`nfc(repair_mojibake(text))` in one step: only texts with a hint or letters beyond Latin-1 leave the JVM."""
-    return F.coalesce(_mend(F.when(~_is_ascii(text) & text.rlike(rf"{MOJIBAKE}|[^\x{{00}}-\x{{ff}}]"), text)), text)
+    return F.coalesce(_mend(F.when(_beyond_latin(text), text)), text)
 
 
 def once(value: Column) -> Column:
@@ -167,18 +172,22 @@ def strip(text: Column) -> Column:
 
 
 def clean_text(text: Column, diacritics: bool = True, unicode_form: bool = True) -> Column:
-    """All cleaning steps in order. unicode_form=False leaves out mojibake repair and NFC. ASCII texts skip the steps that can't change them."""
-    wide = normalize_arabic(strip_bidi_marks(expand_ligatures(mend(text) if unicode_form else text)))
-    if diacritics:
-        wide = strip_arabic_diacritics(wide)
-    text = F.when(_is_ascii(text), text).otherwise(wide)
+    """All cleaning steps in order. unicode_form=False leaves out mojibake repair and NFC. Texts within Latin-1 and without a hint of mojibake skip the steps that can't change them."""
+
+    def widely(some: Column) -> Column:
+        wide = normalize_arabic(strip_bidi_marks(expand_ligatures(some)))
+        return F.when(some.isNotNull(), strip_arabic_diacritics(wide) if diacritics else wide).otherwise(text)
+
+    other = F.when(_beyond_latin(text), text)
+    # as a lambda's variable it is made once, and null says that the text is none of these
+    text = F.get(F.transform(F.array(_mend(other) if unicode_form else other), widely), F.lit(0))
     return strip(collapse_blank_lines(collapse_spaces(strip_controls(unwrap_hyphens(text)))))
 
 
 def arabic_ratio(text: Column) -> Column:
     """Arabic letters over all letters, unrounded; 0 without letters."""
-    base = _chars(text, rf"\p{{L}}{ARABIC_SCRIPT}")
-    return F.when(~_is_ascii(text) & (base > 0), _chars(text, ARABIC_SCRIPT) / F.greatest(base, F.lit(1))).otherwise(F.lit(0.0))
+    some = ~_is_ascii(text) & text.rlike(f"[{ARABIC_SCRIPT}]")  # letters of others needn't be counted where there are none of these
+    return F.when(some, _chars(text, ARABIC_SCRIPT) / _chars(text, rf"\p{{L}}{ARABIC_SCRIPT}")).otherwise(F.lit(0.0))
 
 
 def is_arabic(text: Column) -> Column:

@@ -63,3 +63,16 @@ def test_counters_of_words_add_up_as_one_number(monkeypatch):
     monkeypatch.setattr(segments, "KNOWN_WORDS", 3)
     assert [known[w] for w in "a b c d e a".split()] == [segments._packed(segments._of_word(w)) for w in "a b c d e a".split()]
     assert len(known) <= 3
+
+
+def test_texts_within_latin_1_skip_the_steps_for_other_scripts(spark, monkeypatch):
+    texts = ["déjà  vu\t\n\n\n\nnaïve-\nté", "plain", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    with monkeypatch.context() as m:
+        m.setattr(X, "strip_arabic_diacritics", lambda t: F.raise_error(t).cast("string"))
+        got = [r[0] for r in rows.select(X.clean_text(F.col("text"))).collect()]
+    assert got == ["déjà vu \n\nnaïveté", "plain", "", None]
+    wide = spark.createDataFrame([("cafÃ© au lait",), ("ﬁn أب é",), ("ét",)], "text string")
+    assert [r[0] for r in wide.select(X.clean_text(F.col("text"))).collect()] == ["café au lait", "fin اب é", "ét"]
+    ratios = spark.createDataFrame([("été",), ("اب ab",), ("٠ é",), ("é 1",), (None,)], "text string")
+    assert [r[0] for r in ratios.select(X.arabic_ratio(F.col("text"))).collect()] == [0.0, 0.5, 0.5, 0.0, 0.0]
