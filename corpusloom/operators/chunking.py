@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import segments
+from corpusloom.operators.packing import Packing, assembled, packed
 from corpusloom.operators.segments import Piece, arrow_lists, arrow_pieces, counters, merge_small, numbered, pack_paragraphs, pack_sentences, paragraphs, sentence_units
 
 MIN_TOKENS, MIN_INFORMATIVE_TOKENS, MIN_LETTERS = 80, 12, 20  # fixed values
@@ -73,20 +74,46 @@ def chunk_documents(clean: DataFrame, strategy: str = "sentence_window", target:
     segment: from a text to its pieces with their counters, instead of the strategy's own; `strategy` then only names it.
     """
     if segment is None:
-        if strategy not in ("sentence_window", "paragraph"):
-            raise ValueError("strategy must be 'sentence_window' or 'paragraph'")
-        by_windows = strategy == "sentence_window"
+        by_windows = _by_windows(strategy)
         overlap = (0 if by_windows else 1) if overlap is None else overlap
         segment = by_sentences(target or 140, overlap) if by_windows else by_paragraphs(target or 260, overlap)
     pieces = arrow_pieces(lambda t: numbered(segment(t)) if overlap else merge_small(segment(t), MIN_TOKENS))
     parted = clean.withColumn("pieces", pieces(F.col("clean_text")))
-    rows = parted.select("*", F.posexplode("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text").filter(_informative(F.col("piece")))
+    return _chunks(parted.select("*", F.posexplode("pieces").alias("place", "piece")).drop("pieces", "raw_text", "clean_text"), strategy)
+
+
+def _by_windows(strategy: str) -> bool:
+    if strategy not in ("sentence_window", "paragraph"):
+        raise ValueError("strategy must be 'sentence_window' or 'paragraph'")
+    return strategy == "sentence_window"
+
+
+def _chunks(rows: DataFrame, strategy: str) -> DataFrame:
+    """Chunks of documents' rows with place and piece, the informative ones."""
+    rows = rows.filter(_informative(F.col("piece")))
     text = F.col("piece.text")
     rows = rows.withColumns({"text": text, "chunk_id": X.chunk_identity(F.col("doc_id"), strategy, F.col("piece.index")), "chunk_index": F.col("place"), "strategy": F.lit(strategy), "token_count": X.tokens_from(F.col("piece.c")), "chunk_char_count": F.length(text), "chunk_content_hash": X.chunk_content_hash(text)})
     rows = rows.withColumnRenamed("doc_id", "source_doc_id").drop("piece", "place")
     return chunk_metadata(rows)
 
 
+def units_of_blocks(clean: DataFrame, strategy: str = "sentence_window") -> DataFrame:
+    """The sentences or paragraphs of each block of a text: file_hash, at, word_count, units. clean: blocks as `sources/blocks.py` cuts them, cleaned."""
+    units = (lambda t: sentence_units(t, 140)) if _by_windows(strategy) else paragraphs
+    return clean.select("file_hash", "at", "word_count", arrow_pieces(lambda t: [("", u) for u in units(t)])(F.col("clean_text")).alias("units"))
+
+
+def chunk_blocks(units: DataFrame, documents: DataFrame, strategy: str = "sentence_window") -> DataFrame:
+    """The chunks that `chunk_documents` makes of whole texts by default, from the units of their blocks. units: a written table of `units_of_blocks`; documents: a row each, with file_hash and doc_id."""
+    if _by_windows(strategy):
+        between, make = " ", lambda: Packing(140, 0, False, " ", MIN_TOKENS)
+    else:
+        between, make = "\n\n", lambda: Packing(260, 1, True, "\n\n", None)
+    parts = packed(units.select("file_hash", "at", F.col("units.c").alias("c")), make)
+    pieces = assembled(units.select("file_hash", "at", F.col("units.text").alias("units")), parts, between)
+    return _chunks(pieces.join(F.broadcast(documents), "file_hash"), strategy)  # one row for each large file of a batch
+
+
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
     """Page labels for display."""
     label = F.col("page_label") if "page_label" in chunks.columns else F.lit(None).cast("string")

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import chunking, tables
 from corpusloom.plans.buckets import BucketTables, spot_of
-from corpusloom.sources.documents import LOADERS, clean_documents, dedup_files, drop_near_empty, file_fingerprint, read_documents_table, route_by_extension
+from corpusloom.sources.blocks import BLOCK, LARGE, RANGE, by_blocks, read_blocks, surveyed
+from corpusloom.sources.documents import LOADERS, clean_documents, dedup_files, drop_near_empty, file_fingerprint, read_documents_table, read_files, route_by_extension
+from corpusloom.sources.shared import written
 
 MODEL_KEY = "hashing-tf-256"
 Embed = Callable[[DataFrame, str], DataFrame]
@@ -215,6 +217,28 @@ def file_chunks(files: DataFrame, strategy: str = "sentence_window", min_words:
     return index_rows(chunks)
 
 
+def folder_chunks(files: DataFrame, scratch: str, strategy: str = "sentence_window", min_words: int = 12, large: int = LARGE, block: int = BLOCK, span: int = RANGE) -> DataFrame:
+    """Files (path, length), which are read here, to the chunks of `file_chunks`. Text files of `large` bytes or more are read, cleaned and cut by blocks (`sources/blocks.py`), the others whole.
+
+    scratch: a folder for the units of the blocks; the chunks read it.
+    """
+    spark = files.sparkSession
+    told = [(r["path"], r["length"]) for r in route_by_extension(files.select("path", "length")).filter((F.col("reader") == "text") & (F.col("length") >= large)).select("path", "length").collect()]
+    told = [(path, length) for path, length in told if by_blocks(path)]
+    parted = {path for path, _ in told}
+    whole = [r["path"] for r in files.select("path").collect() if r["path"] not in parted]
+    chunks = file_chunks(read_files(spark, whole), strategy, min_words)
+    if not told:
+        return chunks
+    found = dedup_files(surveyed(spark, told))
+    clean = clean_documents(read_blocks(found, block, span).withColumn("content_hash", F.lit(None).cast("string")), unicode_form=False)
+    units = written(chunking.units_of_blocks(clean, strategy), scratch)
+    kept = units.groupBy("file_hash").agg(F.sum("word_count").alias("word_count")).filter(F.col("word_count") >= min_words)
+    documents = found.select("file_hash", F.col("path").alias("source_path"), F.lit(0).alias("page_num")).join(kept.select("file_hash"), "file_hash", "left_semi")
+    documents = documents.withColumn("doc_id", X.doc_identity(F.col("file_hash"), F.col("page_num")))
+    return chunks.unionByName(index_rows(chunking.chunk_blocks(units, documents, strategy)))
+
+
 def index_rows(chunks: DataFrame, told: tuple[str, ...] = ("source_path", "page_num", "strategy")) -> DataFrame:
     meta = F.map_from_arrays(F.array(*map(F.lit, told)), F.array(*(F.col(c).cast("string") for c in told)))
     return chunks.select("chunk_id", "text", "chunk_content_hash", tables.stable_metadata(meta).alias("metadata_json"), "file_hash")

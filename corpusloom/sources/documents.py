@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,17 @@ def scan_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataF
 
 
 def stream_files(spark: SparkSession, folder: str, extensions: list[str], files_a_batch: int = 10_000) -> DataFrame:
-    """The same files as a stream: those that come to the folder, each once."""
+    """path and length of the same files as a stream: those that come to the folder, each once. What is in them isn't read."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_a_batch)).load(folder)
-    return _allowed(files, extensions)
+    return _allowed(files.select("path", "length"), extensions)
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and content of these files."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    named = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", path) for path in paths]  # names, not patterns
+    return spark.read.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(named).select("path", "content")
 
 
 def file_fingerprint(content: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans.ingest import Index, file_chunks
+from corpusloom.plans.ingest import Index, folder_chunks
 from corpusloom.sources.documents import READERS, stream_files
 from corpusloom.sources.shared import shared_path
 
@@ -82,9 +82,10 @@ def stream_folder(spark: SparkSession, folder: str, index: Index, checkpoint: st
     """The files that have come to a folder since the last call, by micro-batches: read, cleaned, cut into chunks and brought into the index.
 
     Which files have been read is in the checkpoint. A file with the bytes of an earlier one changes nothing, as chunks go by the file's hash.
+    Large text files are read by blocks: none of them has to fit into a cell or a task.
     """
     files = stream_files(spark, folder, extensions or list(READERS), files_a_batch)
-    stream_index(files, lambda batch: file_chunks(batch, strategy, min_words), index, checkpoint)
+    stream_index(files, lambda batch: folder_chunks(batch, f"{index.folder}/work/units", strategy, min_words), index, checkpoint)
 
 
 def read_ingested(spark: SparkSession, path: str, key: str) -> DataFrame:
