@@ -18,6 +18,7 @@ from corpusloom.plans.buckets import spot_of
 from corpusloom.plans.jobs import Jobs
 from corpusloom.sources import charsets
 from corpusloom.sources import documents as sources
+from corpusloom.sources.shared import shuffles_freed
 from corpusloom.streaming import activity as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,7 +599,8 @@ def source_files(spark: SparkSession, d: str) -> str:
     """A folder with a file of each source: its documents by doc_id, a line end after each."""
     folder = streams.shared_path(spark, "files")
     texts = read(spark, d, "documents").select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
-    texts.select("source", "text").write.partitionBy("source").text(folder)
+    with shuffles_freed(texts):
+        texts.select("source", "text").write.partitionBy("source").text(folder)
     return folder
 
 

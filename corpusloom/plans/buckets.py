@@ -20,6 +20,8 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import CODEC, shuffles_freed
+
 Places = dict[str, dict[str, list[str]]]
 
 
@@ -104,7 +106,8 @@ class BucketTables:
         columns = [c.split()[0] for c in self.schemas[table].split(", ")]
         # by bucket, but a large one is dealt to several tasks and files: there are few buckets, and one task each would not end sooner on more machines
         dealt = rows.select(*columns, self.bucket(table).alias("bucket")).hint("rebalance", "bucket")
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        with shuffles_freed(rows):
+            dealt.write.option("compression", CODEC).partitionBy("bucket").parquet(f"{self.folder}/{name}")
         spot, store = spot_of(self.spark, f"{self.folder}/{name}")
         found = [s.getPath().getName() for s in store.listStatus(spot) if s.isDirectory()]
         return {f.removeprefix("bucket="): f"{name}/{f}" for f in found if f.startswith("bucket=")}

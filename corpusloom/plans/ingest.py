@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ from corpusloom.operators import chunking, tables
 from corpusloom.plans.buckets import BucketTables, spot_of
 from corpusloom.sources.blocks import BLOCK, LARGE, RANGE, by_blocks, read_blocks, surveyed
 from corpusloom.sources.documents import LOADERS, clean_documents, dedup_files, drop_near_empty, file_fingerprint, read_documents_table, read_files, route_by_extension
-from corpusloom.sources.shared import written
+from corpusloom.sources.shared import CODEC, less, shared_path, shuffles_freed, written
 
 MODEL_KEY = "hashing-tf-256"
 Embed = Callable[[DataFrame, str], DataFrame]
@@ -72,9 +74,7 @@ class Index:
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows that several tables depend on, written once."""
-        path = f"{self.folder}/work/{name}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return written(rows, f"{self.folder}/work/{name}")
 
     def _each_once(self, chunks: DataFrame) -> DataFrame:
         """The chunks, each id once: of several rows that of the first content hash. Ids alone are compared; texts are shuffled only if one comes twice."""
@@ -118,6 +118,8 @@ class Index:
         held.replace("manifest", rest.unionByName(current.filter(in_them).select("chunk_id", "chunk_content_hash", "metadata_json", "file_hash")), touched_buckets)
         report = self.spark.createDataFrame(*_held(counts))
         held.commit()
+        work, store = spot_of(self.spark, f"{self.folder}/work")
+        store.delete(work, True)  # no lazy result reads it any more
         return report
 
     def manifest(self) -> DataFrame:
@@ -131,7 +133,7 @@ class Index:
         held, gone = self.tables(), files.select("file_hash").distinct()
         here = held.buckets_of("manifest", gone)
         for name in ("vectors", "manifest"):
-            held.replace(name, tables.delete_keys(held.read(name, here), gone, ["file_hash"]), here)
+            held.replace(name, less(held.read(name, here), gone, ["file_hash"]), here)
         held.commit()
 
 
@@ -170,12 +172,49 @@ class Collections:
 def write_snapshot(rows: DataFrame, folder: str, run: str) -> DataFrame:
     """The rows of one run, read back. A run that is written again replaces its own snapshot only."""
     path = f"{folder}/snapshots/run={run}"
-    rows.write.mode("overwrite").parquet(path)
+    settle_latest(rows.sparkSession, folder, run)
+    with shuffles_freed(rows):
+        rows.write.mode("overwrite").option("compression", CODEC).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
 def write_latest(rows: DataFrame, folder: str, run: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{folder}/latest/{run}")
+    with shuffles_freed(rows):
+        rows.write.mode("overwrite").option("compression", CODEC).parquet(f"{folder}/latest/{run}")
+
+
+#: In the folder of a latest table whose rows are those of a snapshot (JSON: run; only: the flag of its rows; dropped: columns that it lacks).
+SAME = "_snapshot"
+
+
+def point_latest(spark: SparkSession, folder: str, run: str, only: str | None = None, dropped: tuple[str, ...] = ()) -> None:
+    """The run's snapshot, or its rows with a flag, becomes the latest table without being written a second time."""
+    spot, store = spot_of(spark, f"{folder}/latest/{run}")
+    store.delete(spot, True)
+    for name, told in ((SAME, json.dumps({"run": run, "only": only, "dropped": dropped})), ("_SUCCESS", "")):
+        out = store.create(spot_of(spark, f"{folder}/latest/{run}/{name}")[0], True)
+        out.write(told.encode())
+        out.close()
+
+
+def _pointed(spark: SparkSession, folder: str, name: str) -> dict | None:
+    """Which snapshot a latest table is; None if it has rows of its own."""
+    path = f"{folder}/latest/{name}/{SAME}"
+    spot, store = spot_of(spark, path)
+    if not store.exists(spot):
+        return None
+    stream = store.open(spot)
+    told = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return json.loads(told)
+
+
+def settle_latest(spark: SparkSession, folder: str, run: str) -> None:
+    """If the latest table is the snapshot of this run, which is about to be replaced or deleted, its rows are written out first."""
+    runs = complete_versions(spark, f"{folder}/latest")
+    told = _pointed(spark, folder, runs[-1]) if runs else None
+    if told and told["run"] == run:
+        write_latest(read_latest(spark, folder), folder, f"{runs[-1]}-{uuid.uuid4().hex[:8]}")
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +222,11 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     runs = complete_versions(spark, f"{folder}/latest")
     if not runs:
         raise FileNotFoundError(f"no complete run below {folder}")
-    return spark.read.parquet(f"{folder}/latest/{runs[-1]}")
+    told = _pointed(spark, folder, runs[-1])
+    if told is None:
+        return spark.read.parquet(f"{folder}/latest/{runs[-1]}")
+    rows = spark.read.parquet(f"{folder}/snapshots/run={told['run']}")
+    return (rows.filter(told["only"]) if told["only"] else rows).drop(*told["dropped"])
 
 
 def write_latest_and_snapshot(chunks: DataFrame, folder: str, run: str) -> None:
@@ -199,12 +242,16 @@ def load_files(files: DataFrame, loaders: dict[str, Load] = LOADERS) -> tuple[Da
     """
     routed = route_by_extension(files.select("path", "content")).withColumn("file_hash", F.coalesce(file_fingerprint(F.col("content")), F.sha2("path", 256)))
     routed = routed.withColumn("skipped", F.coalesce(~F.col("reader").isin(*loaders), F.lit(True)))
-    kept = dedup_files(routed.filter(~F.col("skipped")))
+    # copies are told by keys alone, which are written, so that contents aren't shuffled to meet them
+    keys = written(routed.select("path", "file_hash", "skipped"), shared_path(files.sparkSession, "keys"))
+    read = keys.filter(~F.col("skipped")).select("path", "file_hash").distinct()
+    copies = read.join(dedup_files(read), ["file_hash", "path"], "left_anti")
+    kept = less(routed.filter(~F.col("skipped")), copies, ["file_hash", "path"])
     pages = None
     for reader, load in loaders.items():
         some = load(kept.filter(F.col("reader") == reader))
         pages = some if pages is None else pages.unionByName(some)
-    hashes = routed.agg(F.count(F.lit(1)).alias("given"), F.countDistinct(F.when(~F.col("skipped"), F.col("file_hash"))).alias("files"))
+    hashes = keys.agg(F.count(F.lit(1)).alias("given"), F.countDistinct(F.when(~F.col("skipped"), F.col("file_hash"))).alias("files"))
     return pages, hashes
 
 
@@ -248,7 +295,7 @@ def run_pipeline(files: DataFrame, folder: str, run: str, now: str, strategy: st
     """Files to clean documents, chunks, snapshots, index and latest tables; one row of counts.
 
     files: path, content. The counts: files (read without failure), raw_pages, clean_docs, skipped (unsupported, copies, failed, near-empty),
-    chunks. Pages are written once and read by all that follows. If indexing fails, the error is raised and the latest tables stay as
+    chunks. Pages are written once and read by all that follows; the latest tables are the snapshots until one of these changes. If indexing fails, the error is raised and the latest tables stay as
     they were; the snapshots of the run are there.
     """
     spark = files.sparkSession
@@ -262,8 +309,8 @@ def run_pipeline(files: DataFrame, folder: str, run: str, now: str, strategy: st
     chunks = write_snapshot(chunking.stamp_lineage(chunking.chunk_documents(documents, strategy), run, now), f"{folder}/chunks", run)
     if index is not None:
         index.index_chunks(index_rows(chunks, ("source_path", "page_num", "strategy", "ingestion_id")), reset)
-    write_latest(documents, f"{folder}/pages", run)
-    write_latest(chunks, f"{folder}/chunks", run)
+    point_latest(spark, f"{folder}/pages", run, "kept", ("kept", "failed"))
+    point_latest(spark, f"{folder}/chunks", run)
     seen = pages.agg(F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("raw_pages"), F.count_if("kept").alias("clean_docs")).crossJoin(counts).crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunks")))  # one row each
     skipped = F.col("given") - F.col("files") + F.col("failed") + F.col("raw_pages") - F.col("clean_docs")
     return spark.createDataFrame(*_held(seen.select((F.col("files") - F.col("failed")).alias("files"), "raw_pages", "clean_docs", skipped.alias("skipped"), "chunks")))

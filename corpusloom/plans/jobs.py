@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import tables
 from corpusloom.plans.buckets import BucketTables, spot_of
-from corpusloom.plans.ingest import Index, read_latest, write_latest
+from corpusloom.plans.ingest import Index, read_latest, settle_latest, write_latest
+from corpusloom.sources.shared import without
 
 
 @dataclass
@@ -61,6 +62,7 @@ class Jobs:
         mine = F.col("ingestion_id").eqNullSafe(F.lit(job["ingestion_id"])) & F.lit(job["ingestion_id"] is not None)
         if path:
             mine |= (F.col("source_path") == path) | F.col("source_path").startswith(path + "/")
+        mine = F.coalesce(mine, F.lit(False))
         latest = {name: read_latest(self.spark, f"{folder}/{name}") for name in ("pages", "chunks") if self._there(f"{folder}/{name}/latest")}
         told = self.spark.createDataFrame([(h, p) for h, p in [*((h, None) for h in job["file_hashes"] or []), *((None, p) for p in job["source_paths"] or [])]], "file_hash string, source_path string")
         targets = told
@@ -76,12 +78,14 @@ class Jobs:
             counts["vectors"] = index.manifest().hint("merge").join(hashes, "file_hash", "left_semi").count()
             index.delete_files(hashes)
         for name, rows in latest.items():
-            kept = tables.delete_rows(rows, paths, hashes)
+            # most of it is told row by row; what only shares a path or file with it is found by these keys
+            kept = without(without(rows.filter(~mine), paths, "source_path"), hashes, "file_hash")
             gone = rows.count() - kept.count()
             if gone:
                 write_latest(kept, f"{folder}/{name}", f"without-{job_id}")
             counts["rows"] += gone
         for name in ("pages", "chunks"):
+            settle_latest(self.spark, f"{folder}/{name}", job["ingestion_id"])
             spot, store = spot_of(self.spark, f"{folder}/{name}/snapshots/run={job['ingestion_id']}")
             counts["snapshots"] += int(bool(job["ingestion_id"]) and store.delete(spot, True))
         targets.unpersist()
